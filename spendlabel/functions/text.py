@@ -93,7 +93,7 @@ def ngrams_of(tokens) -> Column:
 def bucket_of(term, bits: int = 20) -> Column:
     """Stateless feature bucket: 32 bits of MD5 of the term, masked to ``bits``."""
     h = F.conv(F.substring(F.md5(col_(term)), 1, 8), 16, 10).cast("long")
-    return F.bitwise_and(h, F.lit((1 << bits) - 1)).cast("int")
+    return h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
 def sum_sq_counts(sorted_buckets) -> Column:

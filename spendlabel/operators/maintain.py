@@ -23,19 +23,27 @@ EXPAND_CHUNK = 1 << 20
 
 
 def assign_positions(df: DataFrame, h: Column, order_cols: Sequence[str],
-                     weight: str | None = None, digits: int = 3) -> DataFrame:
-    """Add ``pos``: 1-based position in (h, order_cols) order. With ``weight``, a
-    row stands for ``weight`` rows and ``pos`` is the first of its range."""
+                     weight: str | None = None, digits: int = 3,
+                     partition_cols: Sequence[str] = (), with_total: bool = False) -> DataFrame:
+    """Add ``pos``: 1-based position in (h, order_cols) order, per ``partition_cols``
+    group when given. With ``weight`` a row stands for ``weight`` rows and ``pos`` is
+    the first of its range. ``with_total`` adds ``__total`` (rows in the group)."""
+    pc = list(partition_cols)
     d = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    counts = d.groupBy("__b").agg(F.sum(w).alias("__n"))
-    # <= 16^digits rows: a single-partition running sum is cheap and bounded.
-    offs = counts.select("__b", (F.coalesce(F.sum("__n").over(
-        Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__off"))
-    inner = Window.partitionBy("__b").orderBy("__h", *order_cols)
+    counts = d.groupBy(*pc, "__b").agg(F.sum(w).alias("__n"))
+    # (groups x 16^digits) rows: the running sum over this small table is cheap.
+    run = Window.partitionBy(*pc).orderBy("__b") if pc else Window.orderBy("__b")
+    offs = counts.select(*pc, "__b", F.coalesce(F.sum("__n").over(
+        run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        *([F.sum("__n").over(Window.partitionBy(*pc) if pc else Window.partitionBy())
+           .alias("__total")] if with_total else []))
+    inner = Window.partitionBy(*pc, "__b").orderBy("__h", *order_cols)
     before = F.coalesce(F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("__before", before)
-    return (d.join(F.broadcast(offs), "__b")
+    # Without groups the offset table has at most 16^digits rows: a proven bound.
+    offs_j = offs if pc else F.broadcast(offs)
+    return (d.join(offs_j, [*pc, "__b"])
             .withColumn("pos", F.col("__off") + F.col("__before") + 1)
             .drop("__h", "__b", "__off", "__before"))
 

@@ -20,6 +20,7 @@ def get_spark(cpus: str | int | None = None, shuffle_partitions: int | None = No
     parts = shuffle_partitions or int(os.environ.get("SPENDLABEL_SHUFFLE_PARTITIONS", "8"))
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
