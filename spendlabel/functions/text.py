@@ -90,6 +90,19 @@ def ngrams_of(tokens) -> Column:
     return F.concat(t, bigrams)
 
 
+def ngram_array(text) -> Column:
+    """Unigrams followed by adjacent bigrams, built without per-element lambdas:
+    tokens are joined by one space (tokens hold no spaces) and every "token token"
+    pair is captured by an overlapping look-ahead match. Equal to
+    ``ngrams_of(tokens_of(text))``."""
+    toks = tokens_of(text)
+    pairs = F.regexp_extract_all(F.array_join(toks, BIGRAM_JOIN), F.lit(_PAIR_RE), F.lit(1))
+    return F.concat(toks, pairs)
+
+
+_PAIR_RE = r"(?:^| )(?=([^ ]+ [^ ]+))"
+
+
 def bucket_of(term, bits: int = 20) -> Column:
     """Stateless feature bucket: 32 bits of MD5 of the term, masked to ``bits``."""
     h = F.conv(F.substring(F.md5(col_(term)), 1, 8), 16, 10).cast("long")

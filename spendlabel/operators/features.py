@@ -14,41 +14,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket_of, ngrams_of, sum_sq_counts, tokens_of
+from ..functions.text import bucket_of, ngram_array
 
 DEFAULT_BITS = 20
 
 
 def tokenize_ngrams(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token): unigrams and adjacent bigrams of the whole text."""
-    return df.select(key, F.explode(ngrams_of(tokens_of(text))).alias("token"))
+    return (df.select(key, F.explode_outer(ngram_array(text)).alias("token"))
+            .filter(F.col("token").isNotNull()))
 
 
-def _bucket_arrays(df: DataFrame, key: str, text: str, bits: int, prepartitioned: bool) -> DataFrame:
+def _bucket_cells(df: DataFrame, key: str, text: str, bits: int, prepartitioned: bool) -> DataFrame:
+    """(key, bucket) per n-gram occurrence, in partitions hashed by key.
+
+    ``explode_outer`` + a null filter instead of ``explode``: the optimizer would
+    otherwise add a ``size(array) > 0`` filter below the exchange and evaluate the
+    tokenizer twice. Hashing runs after the explode, inside generated code."""
     rows = df.select(key, text)
     if not prepartitioned:
         rows = rows.repartition(key)
-    b = rows.select(key, F.transform(ngrams_of(tokens_of(text)), lambda g: bucket_of(g, bits)).alias("b"))
-    # Norm from the row's own bucket array: sum over buckets of count^2, no join.
-    return b.select(key, "b", F.sqrt(sum_sq_counts(F.array_sort("b")).cast("double")).alias("nrm"))
+    return (rows.select(key, F.explode_outer(ngram_array(text)).alias("__g"))
+            .filter(F.col("__g").isNotNull())
+            .select(key, bucket_of("__g", bits).alias("bucket")))
 
 
 def hashed_tf(df: DataFrame, key: str, text: str = "text", bits: int = DEFAULT_BITS,
               prepartitioned: bool = False) -> DataFrame:
-    """(key, bucket, tf): term counts per row and bucket, no sign, no vocabulary."""
-    b = _bucket_arrays(df, key, text, bits, prepartitioned)
-    return (b.select(key, F.explode("b").alias("bucket"))
+    """(key, bucket, tf): term counts per row and bucket, no sign, no vocabulary.
+    The count aggregates inside the key partitions (no second exchange)."""
+    return (_bucket_cells(df, key, text, bits, prepartitioned)
             .groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def featurize(df: DataFrame, key: str, text: str = "text", bits: int = DEFAULT_BITS,
               prepartitioned: bool = False) -> DataFrame:
     """(key, bucket, x): L2-normalised hashed term counts (O37 + O38 in one pass).
-    Rows without tokens produce no cells; callers keep them with a left join."""
-    b = _bucket_arrays(df, key, text, bits, prepartitioned)
-    return (b.select(key, "nrm", F.explode("b").alias("bucket"))
-            .groupBy(key, "nrm", "bucket").agg(F.count(F.lit(1)).alias("tf"))
-            .select(key, "bucket", (F.col("tf") / F.col("nrm")).alias("x")))
+    The norm is a window over the key, which is already the partitioning: one
+    local sort, no join, no second exchange. Rows without tokens produce no cells;
+    callers keep them with a left join."""
+    tf = hashed_tf(df, key, text, bits, prepartitioned)
+    ss = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))
+    return tf.select(key, "bucket", (F.col("tf") / F.sqrt(ss.cast("double"))).alias("x"))
 
 
 def l2_normalize(tf: DataFrame, key: str, value: str = "tf") -> DataFrame:

@@ -117,7 +117,9 @@ def raw_margins(feats: DataFrame, keys: DataFrame, model: Model, key: str) -> Da
             .groupBy(key).agg(*_sum_k(k, F.col("x"), "w", "__m")))
     b = [F.lit(float(v)) for v in model.intercept]
     m = F.array(*[F.coalesce(F.col(f"__m{i}"), F.lit(0.0)) + b[i] for i in range(k)])
-    return keys.join(dots, key, "left").withColumn("m", m).drop(*[f"__m{i}" for i in range(k)])
+    # Both sides are partitioned by key: a hash join without exchange or sort.
+    return (keys.join(dots.hint("shuffle_hash"), key, "left").withColumn("m", m)
+            .drop(*[f"__m{i}" for i in range(k)]))
 
 
 def _sigmoid(c: Column) -> Column:
@@ -157,7 +159,7 @@ def ovr_step(rows: DataFrame, feats: DataFrame, model: Model, key: str = "row_id
         resid = resid.persist()
     # Intercept gradient: K sums -> driver scalars.
     rsum = resid.agg(*[F.sum(F.col("r")[i]).alias(f"s{i}") for i in range(k)]).first()
-    grads = (feats.join(resid, key)
+    grads = (feats.join(resid.hint("shuffle_hash"), key)
              .groupBy("bucket").agg(*_sum_k(k, F.col("x"), "r", "__g"))
              .select("bucket", F.array(*[F.col(f"__g{i}") for i in range(k)]).alias("gs")))
     zeros = F.array_repeat(F.lit(0.0), k)
