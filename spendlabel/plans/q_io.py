@@ -1 +1,196 @@
-"""placeholder"""
+"""Phase 4-5 queries: sources, sinks, the versioned store, training runs and streams
+(O1-O8, O41, O42, O54-O56). Each writes into a new folder below the shared
+checkpoint dir and reads back what was written."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean as C
+from ..operators import model as MD
+from ..operators import sets as S
+from ..session import scratch_path
+from ..sources import files as IO
+from ..sources.store import VersionedStore
+from ..streaming import jobs as ST
+from . import oracle as Q
+from .catalog import query
+from .q_model import _DOCS, _docs, _one_step, _score_sql, _step_sql, _with_split
+from .q_sets import _MERGE_SQL, _train_csv
+
+
+# -- O1 ----------------------------------------------------------------------------
+@query("read_labeled_csv", Q.with_fixtures(["expenses"]) + """
+SELECT expense_id, vendor, description, category FROM expenses""")
+def read_labeled_csv(fx):
+    p = scratch_path(fx.spark, "labeled_csv")
+    raw = fx.expenses.select(F.col("vendor").alias("\ufeffSupplier"), F.col("description").alias("Memo"),
+                             F.col("category").alias(" Label "), F.col("expense_id").alias("ID"))
+    IO.write_csv(raw, p)
+    back = C.conform_columns(IO.read_labeled_csv(fx.spark, p))
+    return back.select(F.col("id").cast("long").alias("expense_id"), "vendor", "description", "category")
+
+
+# -- O2 ----------------------------------------------------------------------------
+@query("read_staging_csv", Q.with_fixtures(["staging"]) + """
+SELECT vendor, description, category, date_txt, amount_txt FROM staging""")
+def read_staging_csv(fx):
+    p = scratch_path(fx.spark, "staging_csv")
+    IO.write_csv(fx.staging.select(*IO.STAGING_FIELDS), p)
+    return IO.read_staging_csv(fx.spark, p)
+
+
+# -- O3 ----------------------------------------------------------------------------
+@query("read_feedback", Q.with_fixtures(["feedback"]) + """
+SELECT date, amount, vendor, description, category, source, created_at_utc FROM feedback""")
+def read_feedback(fx):
+    p = scratch_path(fx.spark, "feedback_csv")
+    IO.write_csv(fx.feedback.select(*IO.FEEDBACK_FIELDS), p, files=4)
+    return IO.read_feedback(fx.spark, p)
+
+
+# -- O4 ----------------------------------------------------------------------------
+@query("append_feedback", Q.with_fixtures(["feedback"]) + """
+SELECT date, amount, vendor, description, category, 'feedback_api' AS source FROM feedback
+UNION ALL
+SELECT NULL, NULL, vendor, description, category, 'feedback_api' FROM feedback""")
+def append_feedback(fx):
+    p = scratch_path(fx.spark, "feedback_log")
+    fb = fx.feedback
+    IO.append_feedback(fb.select("date", "amount", "vendor", "description", "category"), p)
+    # No date / amount: written as empty cells, which read back as NULL.
+    IO.append_feedback(fb.select("vendor", "description", "category"), p)
+    return IO.read_feedback(fx.spark, p).drop("created_at_utc")
+
+
+# -- O5 ----------------------------------------------------------------------------
+@query("write_training_set", _MERGE_SQL)
+def write_training_set(fx):
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    merged = S.merge_feedback(_train_csv(fx), fx.feedback.drop("fb_id"))
+    store.write_training_set(merged)
+    return store.read_training_set()
+
+
+# -- O6 ----------------------------------------------------------------------------
+@query("seen_ledger", Q.with_fixtures(["expenses"]) + f"""
+SELECT DISTINCT {Q.row_id_of(Q.text_of(), Q.clean_field('category'))} AS row_id FROM expenses""")
+def seen_ledger(fx):
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    ids = C.with_row_id(C.build_text(fx.expenses)).select("row_id")
+    lab = fx.user_labels.filter(F.col("source") == "confirm").withColumnRenamed("chosen_cat", "category")
+    store.append_ledger(C.with_row_id(C.build_text(lab)).select("row_id"))
+    store.append_ledger(ids)
+    return store.load_ledger(distinct=True)
+
+
+# -- O7 / O8 -----------------------------------------------------------------------
+def _published(fx):
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    docs = _docs(fx)
+    m = _one_step(docs)
+    store.publish_model(m, learned=docs.select("row_id"))
+    return store, docs
+
+
+@query("publish_model", Q.with_fixtures(["labeled_text"], _DOCS, _step_sql("docs")) + """
+SELECT bucket, cls AS category, round(w, 6) + 0.0 AS w FROM wt""")
+def publish_model(fx):
+    store, _ = _published(fx)
+    r = store.latest("model")
+    w = store.read("model_weights", r["version"])
+    names = F.array(*[F.lit(c) for c in r["classes"]])
+    return (w.select("bucket", F.posexplode("w").alias("i", "v"))
+            .select("bucket", F.element_at(names, F.col("i") + 1).alias("category"),
+                    (F.round("v", 6) + F.lit(0.0)).alias("w")))
+
+
+@query("load_latest_model", Q.with_fixtures(["labeled_text"], _DOCS, _step_sql("docs")) + """
+SELECT class_id, cls AS category, round(b, 6) + 0.0 AS intercept FROM bias""")
+def load_latest_model(fx):
+    store, _ = _published(fx)
+    m = store.load_latest_model()
+    return (store.read("model_classes", m.version)
+            .select("class_id", "category", (F.round("intercept", 6) + F.lit(0.0)).alias("intercept")))
+
+
+# -- O41 (rows only: iterative) ----------------------------------------------------
+@query("full_refit")
+def full_refit(fx):
+    d = _with_split(fx)
+    train = d.filter(F.col("split") == "train")
+    test = d.filter(F.col("split") == "test")
+    m = MD.full_refit(train, scratch_path(fx.spark, "refit"))
+    return MD.score_ovr(test.select("row_key", "text"), m, "row_key").select("row_key", "predicted")
+
+
+# -- O42 (rows only: stateful runs) ------------------------------------------------
+@query("train_or_update")
+def train_or_update(fx):
+    from .training import train_or_update as run
+    root = scratch_path(fx.spark, "store")
+    src = fx.labeled_text
+    run(src, root)          # first run: registers classes and trains
+    run(src, root)          # same input again: nothing unseen, no new version
+    return VersionedStore(fx.spark, root).run_metrics()
+
+
+# -- O54 ---------------------------------------------------------------------------
+def _feedback_valid_sql() -> str:
+    nv, nd, nc = Q.normalized("vendor"), Q.normalized("description"), Q.normalized("category")
+    amt = Q.form_amount("amount")
+    return Q.with_fixtures(["feedback"]) + f"""
+SELECT date, amount, {nv} AS vendor, {nd} AS description, {nc} AS category, source, created_at_utc
+FROM feedback
+WHERE TRY_CAST(date AS DATE) IS NOT NULL
+  AND coalesce({amt} >= 0.01 AND NOT isnan({amt}) AND {amt} < 'inf'::DOUBLE, false)
+  AND length(coalesce(amount, '')) <= 12
+  AND length({nv}) >= 3 AND length({nv}) <= 30
+  AND length({nd}) >= 3 AND length({nd}) <= 255
+  AND length({nc}) >= 1 AND length({nc}) <= 30"""
+
+
+@query("stream_feedback", _feedback_valid_sql())
+def stream_feedback(fx):
+    spark = fx.spark
+    src, dst, ck = (scratch_path(spark, n) for n in ("fb_src", "fb_dst", "fb_ck"))
+    IO.write_csv(fx.feedback.select(*IO.FEEDBACK_FIELDS), src, files=4)
+    q = ST.stream_feedback(spark, src, dst, ck)
+    q.awaitTermination()
+    return spark.read.parquet(f"{dst}/valid").drop("batch_id")
+
+
+# -- O55 ---------------------------------------------------------------------------
+_STREAM_SCHEMA = "row_key long, vendor string, description string, category string"
+
+
+def _doc_stream(fx, name: str):
+    spark = fx.spark
+    src = scratch_path(spark, name)
+    IO.write_csv(fx.labeled_text, src, files=4)
+    return (spark.readStream.options(header="true", escape='"', multiLine="true")
+            .option("maxFilesPerTrigger", "1").schema(_STREAM_SCHEMA).csv(src))
+
+
+@query("stream_train", Q.with_fixtures(["labeled_text"], _DOCS) + """
+SELECT DISTINCT row_id FROM docs""")
+def stream_train(fx):
+    spark = fx.spark
+    root = scratch_path(spark, "store")
+    q = ST.stream_train(spark, _doc_stream(fx, "train_src"), root, scratch_path(spark, "train_ck"),
+                        holdout=False)
+    q.awaitTermination()
+    return VersionedStore(spark, root).load_ledger(distinct=True)
+
+
+# -- O56 ---------------------------------------------------------------------------
+@query("stream_score", Q.with_fixtures(["labeled_text"], _DOCS, _step_sql("docs"), _score_sql("docs")) + """
+SELECT row_key, cls AS category FROM ranked_p WHERE rank = 1""")
+def stream_score(fx):
+    spark = fx.spark
+    store, _ = _published(fx)
+    dst = scratch_path(spark, "score_dst")
+    q = ST.stream_score(spark, _doc_stream(fx, "score_src"), dst, store.root,
+                        scratch_path(spark, "score_ck"), key="row_key")
+    q.awaitTermination()
+    return spark.read.parquet(f"{dst}/scored").select("row_key", "category")
