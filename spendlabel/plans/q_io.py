@@ -194,3 +194,78 @@ def stream_score(fx):
                         scratch_path(spark, "score_ck"), key="row_key")
     q.awaitTermination()
     return spark.read.parquet(f"{dst}/scored").select("row_key", "category")
+
+
+# -- O9 ----------------------------------------------------------------------------
+from ..sources import synth as SY  # noqa: E402
+
+_SYN_SEED, _SYN_AS_OF = 303, "2025-10-10"
+
+
+def _sq(v) -> str:
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _sql_list(vals) -> str:
+    return "[" + ", ".join(_sq(v) if isinstance(v, str) else str(v) for v in vals) + "]"
+
+
+def _synth_sql() -> str:
+    def u(salt: str) -> str:
+        return (f"(('0x' || substr(md5('{_SYN_SEED}:' || CAST(o_orderkey AS VARCHAR) || ':{salt}'), 1, 8))::BIGINT"
+                f" / 4294967296.0)")
+    cats = SY.CATEGORIES
+    vl = "[" + ", ".join(_sql_list(SY.VENDORS[c]) for c in cats) + f"][{u('cat_i')}]"
+    dl = "[" + ", ".join(_sql_list(SY.DESCRIPTIONS[c]) for c in cats) + f"][{u('cat_i')}]"
+    ci = f"CAST(floor({u('cat')} * {len(cats)}) AS INTEGER) + 1"
+    vl, dl = vl.replace(u("cat_i"), "ci"), dl.replace(u("cat_i"), "ci")
+    los = _sql_list([SY.AMOUNT_RANGES.get(c, SY.DEFAULT_RANGE)[0] for c in cats])
+    his = _sql_list([SY.AMOUNT_RANGES.get(c, SY.DEFAULT_RANGE)[1] for c in cats])
+    return f"""WITH base AS (
+  SELECT o_orderkey, {ci} AS ci FROM orders),
+parts AS (
+  SELECT o_orderkey AS id, ci,
+    {vl} AS vl, {dl} AS dl,
+    {_sql_list(cats)}[ci] AS category,
+    {los}[ci] AS lo, {his}[ci] AS hi
+  FROM base),
+picked AS (
+  SELECT id, category, lo, hi,
+    vl[CAST(floor({u('vendor').replace('o_orderkey', 'id')} * len(vl)) AS INTEGER) + 1] AS v0,
+    dl[CAST(floor({u('desc').replace('o_orderkey', 'id')} * len(dl)) AS INTEGER) + 1] AS d0
+  FROM parts),
+shaped AS (
+  SELECT id, category, lo, hi,
+    CASE WHEN {u('suffix').replace('o_orderkey', 'id')} < {SY.VENDOR_SUFFIX_RATE}
+         THEN v0 || ' #' || CAST(CAST(floor({u('suffix_n').replace('o_orderkey', 'id')} * 800) + 100 AS BIGINT) AS VARCHAR)
+         ELSE v0 END AS vendor,
+    d0
+    || CASE WHEN {u('loc').replace('o_orderkey', 'id')} < {SY.LOCATION_RATE}
+            THEN ' ' || {_sql_list(SY.LOCATIONS)}[CAST(floor({u('loc_w').replace('o_orderkey', 'id')} * {len(SY.LOCATIONS)}) AS INTEGER) + 1]
+            ELSE '' END
+    || CASE WHEN {u('mod').replace('o_orderkey', 'id')} < {SY.MODIFIER_RATE}
+            THEN ' ' || {_sql_list(SY.MODIFIERS)}[CAST(floor({u('mod_w').replace('o_orderkey', 'id')} * {len(SY.MODIFIERS)}) AS INTEGER) + 1]
+                 || ' #' || CAST(CAST(floor({u('mod_n').replace('o_orderkey', 'id')} * 9000) + 1000 AS BIGINT) AS VARCHAR)
+            ELSE '' END AS t0
+  FROM picked),
+spaced AS (
+  SELECT *, CASE WHEN {u('dbl').replace('o_orderkey', 'id')} < {SY.DOUBLE_SPACE_RATE}
+    THEN (CASE WHEN len(string_split(t0, ' ')) > least(k, len(string_split(t0, ' ')) - 1) + 1
+               THEN array_to_string(string_split(t0, ' ')[1:least(k, len(string_split(t0, ' ')) - 1) + 1], '  ')
+                    || ' ' || array_to_string(string_split(t0, ' ')[least(k, len(string_split(t0, ' ')) - 1) + 2:len(string_split(t0, ' '))], ' ')
+               ELSE array_to_string(string_split(t0, ' ')[1:least(k, len(string_split(t0, ' ')) - 1) + 1], '  ') END)
+    ELSE t0 END AS t1
+  FROM (SELECT *, CAST(floor({u('dbl_k').replace('o_orderkey', 'id')} * 3) + 1 AS INTEGER) AS k FROM shaped))
+SELECT id, vendor,
+  CASE WHEN {u('case').replace('o_orderkey', 'id')} < {SY.LOWER_RATE} THEN lower(t1)
+       WHEN {u('case').replace('o_orderkey', 'id')} < {SY.LOWER_RATE + SY.TITLE_RATE} THEN {Q.title_words('lower(t1)')}
+       ELSE t1 END AS description,
+  category,
+  DATE '{_SYN_AS_OF}' - CAST(floor({u('date').replace('o_orderkey', 'id')} * {SY.DAYS_BACK + 1}) AS INTEGER) AS date,
+  CAST(CAST(lo * 100 + floor({u('amount').replace('o_orderkey', 'id')} * (hi - lo) * 100) AS DECIMAL(14,0)) / 100 AS DECIMAL(12,2)) AS amount
+FROM spaced"""
+
+
+@query("synthesize_expenses", _synth_sql())
+def synthesize_expenses(fx):
+    return SY.synthesize_expenses(fx.t.orders.select("o_orderkey"), "o_orderkey", _SYN_SEED, _SYN_AS_OF)
