@@ -14,8 +14,9 @@ ROW_ID_SEPARATOR = "||"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BIGRAM_JOIN = " "
 
-# Leading/trailing whitespace of any kind (Spark's trim() strips only U+0020).
-_EDGE_WS = r"^\s+|\s+$"
+# Whitespace stripped at the edges (the regex class \s: space, tab, newline, vertical
+# tab, form feed, carriage return). Spark's one-argument trim() strips only U+0020.
+_EDGE_WS_CHARS = " \t\n\u000b\f\r"
 
 
 def col_(c) -> Column:
@@ -23,8 +24,9 @@ def col_(c) -> Column:
 
 
 def trim_ws(c) -> Column:
-    """Strip all leading and trailing whitespace (tabs, newlines, spaces)."""
-    return F.regexp_replace(col_(c), _EDGE_WS, "")
+    """Strip all leading and trailing whitespace (tabs, newlines, spaces). Native
+    trim with a character set: touches only the edges of long texts."""
+    return F.trim(col_(c), F.lit(_EDGE_WS_CHARS))
 
 
 def clean_field(c) -> Column:

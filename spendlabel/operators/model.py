@@ -132,8 +132,10 @@ def prepare_training(df: DataFrame, model_classes: list[str], text: str = "text"
     """(rows, feats) for training. Copies of one row id become one weighted row:
     the aggregate that does it is also the shuffle that partitions by row id, and a
     hot group of copies is reduced map-side."""
-    rows = (df.groupBy(id_col).agg(F.min(text).alias(text), F.min(category).alias(category),
-                                   F.count(F.lit(1)).alias("weight")))
+    # text and category are functions of the row id, so grouping on all three is the
+    # same grouping; string grouping keys keep it a hash aggregate.
+    rows = (df.groupBy(id_col, text, category).agg(F.count(F.lit(1)).alias("weight"))
+            .repartition(id_col))
     arr = F.array(*[F.lit(c) for c in model_classes])
     pos = F.array_position(arr, F.col(category))
     rows = rows.withColumn("class_id", F.when(pos > 0, (pos - 1).cast("int")))
@@ -150,7 +152,12 @@ def ovr_step(rows: DataFrame, feats: DataFrame, model: Model, key: str = "row_id
         n_rows = int(rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
     if n_rows == 0:
         return model
-    marg = raw_margins(feats, rows, model, key)
+    if model.n_observed == 0:
+        # No weights yet: every margin is its intercept; the features are not read.
+        b = F.array(*[F.lit(float(v)) for v in model.intercept])
+        marg = rows.withColumn("m", b)
+    else:
+        marg = raw_margins(feats, rows, model, key)
     resid = marg.select(key, F.array(*[
         (_sigmoid(F.col("m")[i]) - F.when(F.col("class_id") == i, 1.0).otherwise(0.0)) * F.col("weight")
         for i in range(k)]).alias("r"))
@@ -199,8 +206,12 @@ def fit(rows: DataFrame, feats: DataFrame, model: Model, steps: int, scratch: st
         key: str = "row_id", **kw) -> Model:
     """``steps`` AdaGrad steps, each written to ``scratch/step=<i>``. The row and
     feature tables are persisted once (partitioned by key) and reused by every step."""
+    # Features are read once per step (twice once weights exist). Recomputing them
+    # is cheaper than caching for one or two reads; longer fits persist them.
+    keep = steps > 1
     rows = rows.persist()
-    feats = feats.persist()
+    if keep:
+        feats = feats.persist()
     try:
         n_rows = int(rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
         for i in range(steps):
@@ -208,7 +219,8 @@ def fit(rows: DataFrame, feats: DataFrame, model: Model, steps: int, scratch: st
             model = materialize_weights(model, f"{scratch}/step={i}")
     finally:
         rows.unpersist()
-        feats.unpersist()
+        if keep:
+            feats.unpersist()
     return model
 
 
