@@ -43,8 +43,13 @@ def text_of(vendor, description) -> Column:
 
 
 def row_id_of(text, category) -> Column:
-    """Hex SHA-256 of ``text || '||' || category``: the learned-row identity."""
-    return F.sha2(F.concat(col_(text), F.lit(ROW_ID_SEPARATOR), col_(category)), 256)
+    """Hex SHA-256 of ``text || '||' || category``: the learned-row identity.
+
+    Declared non-null (inputs are coalesced upstream): a nullable computed join key
+    makes the optimizer add an ``isnotnull`` filter below the projection, which would
+    hash every whole text twice."""
+    return F.coalesce(F.sha2(F.concat(col_(text), F.lit(ROW_ID_SEPARATOR), col_(category)), 256),
+                      F.lit(""))
 
 
 def normalized(c) -> Column:

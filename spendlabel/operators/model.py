@@ -148,25 +148,26 @@ def ovr_step(rows: DataFrame, feats: DataFrame, model: Model, key: str = "row_id
              n_rows: int | None = None, cache: bool = False) -> Model:
     """One AdaGrad step over the whole batch; returns the updated model."""
     k = model.k
-    if n_rows is None:
-        n_rows = int(rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
-    if n_rows == 0:
-        return model
     if model.n_observed == 0:
         # No weights yet: every margin is its intercept; the features are not read.
         b = F.array(*[F.lit(float(v)) for v in model.intercept])
         marg = rows.withColumn("m", b)
     else:
         marg = raw_margins(feats, rows, model, key)
-    resid = marg.select(key, F.array(*[
+    resid = marg.select(key, "weight", F.array(*[
         (_sigmoid(F.col("m")[i]) - F.when(F.col("class_id") == i, 1.0).otherwise(0.0)) * F.col("weight")
         for i in range(k)]).alias("r"))
     if cache:
         # Used twice (intercept sums, bucket sums): computed once per step.
         resid = resid.persist()
-    # Intercept gradient: K sums -> driver scalars.
-    rsum = resid.agg(*[F.sum(F.col("r")[i]).alias(f"s{i}") for i in range(k)]).first()
-    grads = (feats.join(resid.hint("shuffle_hash"), key)
+    # Batch size and intercept gradient in one job: K + 1 driver scalars.
+    stats = resid.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"),
+                      *[F.sum(F.col("r")[i]).alias(f"s{i}") for i in range(k)]).first()
+    n_rows = n_rows if n_rows is not None else int(stats["n"])
+    if n_rows == 0:
+        return model
+    rsum = [stats[f"s{i}"] for i in range(k)]
+    grads = (feats.join(resid.select(key, "r").hint("shuffle_hash"), key)
              .groupBy("bucket").agg(*_sum_k(k, F.col("x"), "r", "__g"))
              .select("bucket", F.array(*[F.col(f"__g{i}") for i in range(k)]).alias("gs")))
     zeros = F.array_repeat(F.lit(0.0), k)
@@ -213,9 +214,8 @@ def fit(rows: DataFrame, feats: DataFrame, model: Model, steps: int, scratch: st
     if keep:
         feats = feats.persist()
     try:
-        n_rows = int(rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
         for i in range(steps):
-            model = ovr_step(rows, feats, model, key=key, n_rows=n_rows, cache=True, **kw)
+            model = ovr_step(rows, feats, model, key=key, cache=True, **kw)
             model = materialize_weights(model, f"{scratch}/step={i}")
     finally:
         rows.unpersist()

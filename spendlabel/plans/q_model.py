@@ -41,7 +41,7 @@ def _one_step(train: DataFrame) -> MD.Model:
     classes = MD.register_classes(train)
     model = MD.empty_model(train.sparkSession, classes)
     rows, feats = MD.prepare_training(train, classes)
-    return MD.ovr_step(rows, feats, model)
+    return MD.fit(rows, feats, model, 1, scratch_path(train.sparkSession, "step"))
 
 
 def _scored(docs: DataFrame, model: MD.Model) -> DataFrame:
