@@ -26,13 +26,18 @@ def filter_unseen(df: DataFrame, ledger: DataFrame, key: str = "row_id") -> Data
     return df.join(ledger.select(key), key, "left_anti")
 
 
-def new_labels(df: DataFrame, classes: DataFrame | None, col: str = "category") -> DataFrame:
+def new_labels(df: DataFrame, classes: DataFrame | list[str] | None, col: str = "category") -> DataFrame:
     """Distinct categories of ``df`` unknown to the model; all of them when the
-    model is untrained (``classes`` is None). Classes are K rows: broadcast."""
+    model is untrained (``classes`` is None). A model's class list (K names held by
+    the driver) is a table of known size and is broadcast; a class table computed
+    from data is joined plainly and AQE chooses the strategy."""
     cats = df.select(col).filter(F.col(col).isNotNull()).distinct()
     if classes is None:
         return cats
-    return cats.join(F.broadcast(classes.select(F.col("category").alias(col))), col, "left_anti")
+    if isinstance(classes, list):
+        known = df.sparkSession.createDataFrame([(c,) for c in classes], f"{col} string")
+        return cats.join(F.broadcast(known), col, "left_anti")
+    return cats.join(classes.select(F.col("category").alias(col)), col, "left_anti")
 
 
 def training_view(labels: DataFrame, seed: DataFrame) -> DataFrame:

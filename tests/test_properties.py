@@ -95,7 +95,9 @@ def test_train_or_update_is_idempotent(spark):
     assert r1.changed and r1.kind == "first"
     assert not r2.changed and r2.kind == "noop" and r2.version == r1.version
     store = VersionedStore(spark, root)
-    assert store.load_ledger().count() == r1.rows_new
+    led = store.load_ledger()
+    # the ledger is a set of learned ids; rows_new counts in-batch copies too
+    assert led.count() == led.select("row_id").distinct().count() <= r1.rows_new
 
 
 def test_new_category_triggers_refit(spark):
