@@ -130,11 +130,13 @@ def group_copies(df: DataFrame, text: str = "text", category: str = "category",
                  id_col: str = "row_id") -> DataFrame:
     """One row per distinct row id with its multiplicity as ``weight`` (an input
     that is already grouped passes through). Text and category are functions of the
-    row id, so grouping on all three is the same grouping; string grouping keys keep
-    it a hash aggregate, and copies are merged map-side before the shuffle."""
+    row id, so ``min`` just carries them. Copies are merged map-side (partial
+    aggregate) before the one shuffle of text, and the result comes out
+    hash-partitioned by row id, the layout every later training join needs."""
     if "weight" in df.columns:
         return df.select(id_col, text, category, "weight")
-    return df.groupBy(id_col, text, category).agg(F.count(F.lit(1)).alias("weight"))
+    return df.groupBy(id_col).agg(F.min(text).alias(text), F.min(category).alias(category),
+                                  F.count(F.lit(1)).alias("weight"))
 
 
 def prepare_training(df: DataFrame, model_classes: list[str], text: str = "text",
@@ -143,7 +145,7 @@ def prepare_training(df: DataFrame, model_classes: list[str], text: str = "text"
     """(rows, feats) for training. Copies of one row id become one weighted row:
     the aggregate that does it is also the shuffle that partitions by row id, and a
     hot group of copies is reduced map-side."""
-    rows = group_copies(df, text, category, id_col).repartition(id_col)
+    rows = group_copies(df, text, category, id_col)
     arr = F.array(*[F.lit(c) for c in model_classes])
     pos = F.array_position(arr, F.col(category))
     rows = rows.withColumn("class_id", F.when(pos > 0, (pos - 1).cast("int")))
