@@ -170,3 +170,29 @@ def test_merge_feedback_amount_as_number_and_noop_when_empty(spark):
                                ", ".join(f"{c} string" for c in IO.FEEDBACK_FIELDS))
     assert S.merge_feedback(train, fb).count() == 1
     assert S.merge_feedback(train, fb.limit(0)).count() == 1
+
+
+def test_access_paths_for_user_range_and_labels_of(spark):
+    from spendlabel.operators import metrics as MT
+    from spendlabel.plans.fixtures import Fixtures
+    from tests.conftest import SF_SMALL
+    fx = Fixtures(spark, SF_SMALL)
+    e, lab = fx.expenses, fx.user_labels
+    uid = e.agg(F.min("user_id")).first()[0]
+    mine = V.for_user(e, uid)
+    assert mine.count() == e.filter(F.col("user_id") == uid).count() > 0
+    lo, hi = dt.date(1995, 1, 1), dt.date(1996, 12, 31)
+    ranged = MT.user_expenses(e, uid, lo, hi)
+    assert all(r["user_id"] == uid and lo <= r["expense_date"] <= hi for r in ranged.collect())
+    promo = e.filter(F.col("category").startswith("PROMO")).select("expense_id")
+    got = MT.labels_of(lab, promo)
+    assert got.count() == promo.count()
+
+
+def test_softmax_rows_sum_to_one_and_keep_order(spark):
+    from spendlabel.operators import model as MD
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1000.0, 0.0, -1000.0],)], "m array<double>")
+    out = [r["p"] for r in MD.softmax_scores(df, "m", "p").collect()]
+    for p in out:
+        assert abs(sum(p) - 1.0) < 1e-12
+    assert out[0][2] > out[0][1] > out[0][0] and out[1][0] == 1.0
