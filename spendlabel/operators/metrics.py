@@ -39,7 +39,8 @@ def user_timeline(labels: DataFrame, n: int, user: str = "user_id",
     filter is planned as a partial top-n before the shuffle, so a user holding a
     large share of the labels sends at most n rows per map task."""
     w = Window.partitionBy(user).orderBy(*[F.col(o).desc() for o in order])
-    return labels.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return (labels.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+            .withColumn("rank", F.col("rank").cast("long")))
 
 
 def user_expenses(expenses: DataFrame, user_id, lo, hi, user: str = "user_id",

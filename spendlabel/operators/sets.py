@@ -125,12 +125,17 @@ def suggest_categories(queries: DataFrame, categories: DataFrame, limit: int = 8
             .groupBy("q", "category").agg(F.min("pos").alias("pos")))
     order = [F.when(F.col("pos") == 1, 0).otherwise(1), F.lower("category"), F.col("category")]
     w = Window.partitionBy("q").orderBy(*order)
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+              .withColumn("rank", F.col("rank").cast("long")))
     firsts = (cats.withColumn("q", F.lit(""))
               .withColumn("rank", F.row_number().over(
                   Window.partitionBy("q").orderBy(F.lower("category"), "category")))
-              .filter(F.col("rank") <= limit))
-    empty = q.filter(F.length("q") == 0).join(firsts, "q")
+              .filter(F.col("rank") <= limit)
+              .withColumn("rank", F.col("rank").cast("long")))
+    # The empty query gets the first ``limit`` categories when it was asked at all
+    # (a scalar-subquery filter, not a join on the constant key).
+    asked = q.agg(F.count_if(F.length("q") == 0) > 0).scalar()
+    empty = firsts.filter(asked)
     return ranked.select("q", "rank", "category").unionByName(empty.select("q", "rank", "category"))
 
 

@@ -210,7 +210,7 @@ def top_k_categories(fx):
     m = _one_step(docs)
     sc = MD.top_k_categories(_scored(docs, m), m, 3)
     return sc.select("row_key", F.posexplode("top").alias("i", "t")).select(
-        "row_key", (F.col("i") + 1).alias("rank"), F.col("t.category").alias("category"),
+        "row_key", (F.col("i") + 1).cast("long").alias("rank"), F.col("t.category").alias("category"),
         _r6(F.col("t.prob")).alias("prob"))
 
 

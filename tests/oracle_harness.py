@@ -53,6 +53,22 @@ def canon(v) -> str:
     return str(v)
 
 
+_TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "decimal": "DECIMAL",
+             "float": "FLOAT", "smallint": "SMALLINT"}
+
+
+def _base(t):
+    return (t or "").split("(")[0]
+
+
+def _base_duck(t):
+    t = (t or "").upper()
+    if t.startswith("DECIMAL"):
+        return "DECIMAL"
+    return {"NUMBER": "DOUBLE", "STRING": "VARCHAR"}.get(t, t)
+
+
 def _rows(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(canon(r[i]) for i in order) for r in rows)
@@ -78,6 +94,13 @@ def compare(spark, name: str, sf_dir: str, con=None) -> dict:
     d_rows = res.fetchall()
     out.update(duck_rows=len(d_rows), duck_sec=round(time.time() - t1, 2))
     out["cols_match"] = sorted(s_cols) == sorted(d_cols)
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    s_types = dict(df.dtypes)
+    bad = {c: (s_types.get(c), d_types.get(c)) for c in s_cols
+           if _TYPE_MAP.get(_base(s_types.get(c))) != _base_duck(d_types.get(c))}
+    out["types_match"] = not bad
+    if bad:
+        out["type_diff"] = bad
     if not out["cols_match"]:
         out["spark_cols"], out["duck_cols"] = s_cols, d_cols
         out["match"] = False
@@ -105,7 +128,7 @@ def main(argv):
             r = compare(spark, n, sf_dir, con)
         except Exception as e:  # report and continue
             r = {"name": n, "error": f"{type(e).__name__}: {str(e)[:600]}"}
-        ok = r.get("match", r.get("oracle") == "none")
+        ok = r.get("match", r.get("oracle") == "none") and r.get("types_match", True)
         bad += 0 if ok else 1
         print(("OK  " if ok else "BAD ") + repr(r), flush=True)
     print(f"{len(names) - bad}/{len(names)} ok")
