@@ -121,13 +121,19 @@ class VersionedStore:
     def load_ledger(self, distinct: bool = False) -> DataFrame:
         """Row ids learned by committed model versions (empty when none). The
         version filter prunes partitions of uncommitted writes."""
-        versions = [r[0] for r in self.committed_versions(("model", "ledger")).collect()]
-        if not versions or not path_exists(self.spark, f"{self.root}/ledger"):
+        if not path_exists(self.spark, f"{self.root}/ledger"):
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        led = (self.spark.read.parquet(f"{self.root}/ledger")
-               .filter(F.col("v").isin(*versions)).drop("v"))
+        led = self._committed("ledger", ("model", "ledger"))
         return led.select("row_id").distinct() if distinct else led
 
+    def _committed(self, name: str, kinds: tuple[str, ...]) -> DataFrame:
+        """Rows of table ``name`` whose version is committed. A semi join on the
+        partition column (dynamic partition pruning), so the version list is never
+        collected however many versions a long-running stream commits."""
+        versions = self.committed_versions(kinds).select(F.col("version").alias("v"))
+        return (self.spark.read.parquet(f"{self.root}/{name}")
+                .join(versions, "v", "left_semi").drop("v"))
+
     def append_ledger(self, learned: DataFrame) -> int:
         """Record row ids as learned without a model change (own version)."""
         v = self.next_version()
@@ -175,6 +181,4 @@ class VersionedStore:
     def run_metrics(self) -> DataFrame:
         if not path_exists(self.spark, f"{self.root}/run_metrics"):
             raise LookupError("no run metrics")
-        versions = [x[0] for x in self.committed_versions(("model", "noop")).collect()]
-        return (self.spark.read.parquet(f"{self.root}/run_metrics")
-                .filter(F.col("v").isin(*versions)).drop("v"))
+        return self._committed("run_metrics", ("model",))
