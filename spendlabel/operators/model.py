@@ -310,13 +310,19 @@ def score_batch(df: DataFrame, model: Model, key: str, k: int = TOP_K,
 # -- evaluation --------------------------------------------------------------------
 
 def evaluate(scored: DataFrame, label: str = "category", pred: str = "predicted",
-             guard: DataFrame | None = None, min_rows: int = 10, min_classes: int = 2) -> DataFrame:
+             guard: DataFrame | None = None, min_rows: int = 10, min_classes: int = 2,
+             guard_counts: tuple[int, int] | None = None) -> DataFrame:
     """One row: accuracy, n, classes. Accuracy is 0.0 when the guard frame (the
-    whole labelled input, default ``scored``) has < 2 classes or < 10 rows."""
-    g = guard if guard is not None else scored
-    stats = g.agg(F.count(F.lit(1)).alias("n_all"), F.countDistinct(label).alias("classes"))
-    n_all = stats.select("n_all").scalar()
-    classes = stats.select("classes").scalar()
+    whole labelled input, default ``scored``) has < 2 classes or < 10 rows.
+    ``guard_counts`` (rows, classes) skips recounting when the caller knows them;
+    otherwise both come from one scalar subquery (one pass over the guard)."""
+    if guard_counts is not None:
+        n_all, classes = F.lit(int(guard_counts[0])), F.lit(int(guard_counts[1]))
+    else:
+        g = guard if guard is not None else scored
+        stats = g.agg(F.struct(F.count(F.lit(1)).alias("n_all"),
+                               F.countDistinct(label).alias("classes"))).scalar()
+        n_all, classes = stats["n_all"], stats["classes"]
     acc = scored.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("acc"),
                      F.count(F.lit(1)).alias("n"))
     ok = (n_all >= min_rows) & (classes >= min_classes)
