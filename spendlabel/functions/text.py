@@ -114,20 +114,3 @@ def bucket_of(term, bits: int = 20) -> Column:
     """Stateless feature bucket: 32 bits of MD5 of the term, masked to ``bits``."""
     h = F.conv(F.substring(F.md5(col_(term)), 1, 8), 16, 10).cast("long")
     return h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-
-
-def sum_sq_counts(sorted_buckets) -> Column:
-    """Sum of squared run lengths of a *sorted* array, i.e. sum over distinct values
-    of count^2, in one pass: each repeat adds 2*run+1 to the total."""
-    init = F.struct(F.lit(-1).alias("prev"), F.lit(0).cast("long").alias("run"),
-                    F.lit(0).cast("long").alias("acc"))
-
-    def step(s, v):
-        same = v == s["prev"]
-        return F.struct(
-            v.alias("prev"),
-            F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
-            F.when(same, s["acc"] + 2 * s["run"] + 1).otherwise(s["acc"] + 1).alias("acc"),
-        )
-
-    return F.aggregate(col_(sorted_buckets), init, step, lambda s: s["acc"])

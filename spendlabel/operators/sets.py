@@ -8,13 +8,10 @@ runtime size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_ws_keep_case, normalized, trim_ws
-from .clean import conform_columns
 
 FEEDBACK_KEEP = ("date", "amount", "vendor", "description", "category")
 

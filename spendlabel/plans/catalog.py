@@ -9,9 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import oracle as Q
 from .fixtures import Fixtures
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -47,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-__all__ = ["query", "queries", "oracle_sql", "Q", "F", "Fixtures"]
+__all__ = ["query", "queries", "oracle_sql", "Fixtures"]

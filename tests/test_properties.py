@@ -4,7 +4,6 @@ model quality, and the end-to-end smoke case of the source application."""
 
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from spendlabel.operators import clean as C
