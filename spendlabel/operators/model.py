@@ -246,12 +246,29 @@ def full_refit(df: DataFrame, scratch: str, steps: int = STEPS_REFIT, bits: int
 # -- scoring -----------------------------------------------------------------------
 
 def score_margins(df: DataFrame, model: Model, key: str, text: str = "text") -> DataFrame:
-    """(key, m): raw OvR margins for every row of ``df``. The rows are hash-
-    partitioned by key once; features, the weight join and the per-row sums stay in
-    those partitions (the same exchange feeds both join sides)."""
+    """(key, m): raw OvR margins for every row of ``df`` (one row out per row in).
+
+    The rows are hash-partitioned by key once; everything after stays in those
+    partitions. Term counts are joined with the weights and reduced per key in one
+    hash aggregate that yields both the K dot products and the squared norm, since
+    sum(x*w) = sum(tf*w) / sqrt(sum(tf^2)): no window, no sort of feature cells, no
+    join back to the rows. Rows without tokens keep one empty cell (explode_outer)
+    and score by the intercepts; buckets without weights still count in the norm."""
+    from ..functions.text import bucket_of, ngram_array
+
+    k = model.k
     prep = df.select(key, text).repartition(key)
-    feats = featurize(prep, key, text, bits=model.bits, prepartitioned=True)
-    return raw_margins(feats, prep.select(key), model, key)
+    cells = (prep.select(key, F.explode_outer(ngram_array(text)).alias("__g"))
+             .select(key, bucket_of("__g", model.bits).alias("bucket")))
+    tf = cells.groupBy(key, "bucket").agg(F.count("bucket").alias("tf"))
+    joined = tf.join(_weights_for_join(model), "bucket", "left")
+    sums = joined.groupBy(key).agg(
+        F.sum(F.col("tf") * F.col("tf")).alias("__ss"),
+        *[F.sum(F.col("tf") * F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"__m{i}") for i in range(k)])
+    b = [F.lit(float(v)) for v in model.intercept]
+    inv = F.when(F.col("__ss") > 0, F.lit(1.0) / F.sqrt(F.col("__ss").cast("double")))
+    m = F.array(*[F.coalesce(F.col(f"__m{i}") * inv, F.lit(0.0)) + b[i] for i in range(k)])
+    return sums.select(key, m.alias("m"))
 
 
 def ovr_probabilities(m: Column, k: int) -> Column:
