@@ -149,8 +149,10 @@ def prepare_training(df: DataFrame, model_classes: list[str], text: str = "text"
     arr = F.array(*[F.lit(c) for c in model_classes])
     pos = F.array_position(arr, F.col(category))
     rows = rows.withColumn("class_id", F.when(pos > 0, (pos - 1).cast("int")))
+    # ``rows`` keeps the text: when the caller persists it, the features below are
+    # computed from the cached table instead of re-running the text pipeline.
     feats = featurize(rows, id_col, text, bits=bits, prepartitioned=True)
-    return rows.select(id_col, "class_id", "weight"), feats
+    return rows, feats
 
 
 def ovr_step(rows: DataFrame, feats: DataFrame, model: Model, key: str = "row_id",
@@ -182,14 +184,15 @@ def ovr_step(rows: DataFrame, feats: DataFrame, model: Model, key: str = "row_id
              .select("bucket", F.array(*[F.col(f"__g{i}") for i in range(k)]).alias("gs")))
     zeros = F.array_repeat(F.lit(0.0), k)
     inv_n = 1.0 / n_rows
-    upd = (model.weights.join(grads, "bucket", "full_outer")
-           .select("bucket", F.coalesce("w", zeros).alias("w0"), F.coalesce("g2", zeros).alias("q0"),
-                   F.coalesce("gs", zeros).alias("gs"))
-           .withColumn("gr", F.zip_with("gs", "w0", lambda g, w: g * inv_n + w * alpha))
-           .withColumn("g2", F.zip_with("q0", "gr", lambda q, g: q + g * g))
-           .withColumn("w", F.zip_with(F.arrays_zip("w0", "gr"), "g2",
-                                       lambda wg, q: wg["w0"] - F.lit(eta) * wg["gr"] / F.sqrt(q + eps)))
-           .select("bucket", "w", "g2"))
+    # K is known at plan time: one indexed expression per class (generated code,
+    # no per-element lambdas).
+    both = (model.weights.join(grads, "bucket", "full_outer")
+            .select("bucket", F.coalesce("w", zeros).alias("w0"), F.coalesce("g2", zeros).alias("q0"),
+                    F.coalesce("gs", zeros).alias("gs")))
+    gr = [F.col("gs")[i] * inv_n + F.col("w0")[i] * alpha for i in range(k)]
+    q = [F.col("q0")[i] + gr[i] * gr[i] for i in range(k)]
+    w_new = [F.col("w0")[i] - F.lit(eta) * gr[i] / F.sqrt(q[i] + eps) for i in range(k)]
+    upd = both.select("bucket", F.array(*w_new).alias("w"), F.array(*q).alias("g2"))
     b, bg2 = [], []
     for i in range(k):
         g = (rsum[i] or 0.0) * inv_n
