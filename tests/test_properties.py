@@ -131,3 +131,48 @@ def test_smoke_case_hydro_one_is_utilities(spark):
                               "k long, vendor string, description string")
     scored, _ = MD.score_batch(q, model, "k")
     assert scored.first()["category"] == "Utilities"
+
+
+def test_weight_join_without_broadcast_gives_same_scores(spark):
+    """Above the size limit the weight table is joined by shuffle; same results."""
+    fx = Fixtures(spark, SF_SMALL)
+    docs = C.with_row_id(C.build_text(fx.labeled_text))
+    classes = MD.register_classes(docs)
+    rows, feats = MD.prepare_training(docs, classes)
+    m = MD.fit(rows, feats, MD.empty_model(spark, classes), 2, scratch_path(spark, "fit"))
+    src = fx.labeled_text.select("row_key", "vendor", "description")
+    outs = []
+    for limit in (str(256 << 20), "0"):
+        spark.conf.set("spendlabel.broadcastWeightsBytes", limit)
+        # Spark's own size-based broadcast would still pick this small table; turn it
+        # off to exercise the shuffle join taken above the limit.
+        auto = "-1" if limit == "0" else str(10 << 20)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", auto)
+        scored, _ = MD.score_batch(src, m, "row_key")
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        outs.append((sorted((r["row_key"], r["category"], tuple(round(p, 9) for p in r["prob"]))
+                            for r in scored.collect()), "BroadcastHashJoin" in plan))
+    spark.conf.unset("spendlabel.broadcastWeightsBytes")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert outs[0][1] and not outs[1][1]
+    assert outs[0][0] == outs[1][0]
+
+
+def test_uncommitted_version_is_invisible(spark):
+    """Data of a version without its manifest row (a crash before commit) is never
+    read: not as the latest model, not in the ledger."""
+    fx = Fixtures(spark, SF_SMALL)
+    docs = C.with_row_id(C.build_text(fx.labeled_text))
+    classes = MD.register_classes(docs)
+    rows, feats = MD.prepare_training(docs, classes)
+    m = MD.fit(rows, feats, MD.empty_model(spark, classes), 1, scratch_path(spark, "fit"))
+    store = VersionedStore(spark, scratch_path(spark, "store"))
+    v1 = store.publish_model(m, learned=docs.limit(10).select("row_id"))
+    # simulate a crash: version 2 data written, manifest row missing
+    store.write(m.weights, "model_weights", v1 + 1)
+    store.write(docs.select("row_id", F.lit(v1 + 1).cast("long").alias("model_version"),
+                            F.current_timestamp().alias("learned_at")), "ledger", v1 + 1)
+    assert store.load_latest_model().version == v1
+    assert store.load_ledger(distinct=True).count() == docs.limit(10).select("row_id").distinct().count()
