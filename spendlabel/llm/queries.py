@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup as op2
 from . import quality_rules as op1
 from .common import read_table
 
@@ -12,5 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
-ORACLE_SQL = {"op1_quality_rules": op1.ORACLE}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op2.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup)}
+ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
