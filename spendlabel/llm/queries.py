@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup as op2
 from . import quality_rules as op1
+from . import simhash as op10
 from .common import read_table
 
 
@@ -18,5 +19,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup)}
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.components(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
