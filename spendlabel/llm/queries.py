@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup as op2
 from . import quality_rules as op1
 from . import simhash as op10
+from . import token_counts as op5
 from .common import read_table
 
 
@@ -19,9 +23,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file: SPENDLABEL_TOKENIZERS, or the installed package's folder."""
+    folder = os.environ.get("SPENDLABEL_TOKENIZERS")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op5_token_counts, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
