@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import line_dedup as op2
+from . import quality_rank as op9
 from . import quality_rules as op1
 from . import simhash as op10
 from . import token_counts as op5
+from . import toxicity as op7
 from .common import read_table
 
 
@@ -33,9 +35,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return op7.toxicity(docs, op7.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return op9.quality(docs, op9.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op5_token_counts, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op5_token_counts, op7_toxicity, op9_quality_classifier, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
