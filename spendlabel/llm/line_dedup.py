@@ -239,9 +239,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """``docs`` (all columns) with n_lines, n_dropped, kept_text, kept_sha256."""
     state = state or build_state(docs, min_chars, min_docs)
     lost = cut(dropped_lines(state), "line-lost")
-    # only the few rows that lose lines meet the list; the shuffle carries text once
+    # one exchange of the texts by id at every size; the list of lost keys is the hashed side
     clash = [c for c in docs.columns if c in ("lost_keys", "n_lines", "n_dropped", "kept_text", "kept_sha256")]
-    joined = docs.drop(*clash).alias("d").join(lost.withColumnRenamed("doc_id", "lost_id"),
+    joined = docs.drop(*clash).alias("d").join(lost.withColumnRenamed("doc_id", "lost_id").hint("shuffle_hash"),
                                                F.col("d.doc_id") == F.col("lost_id"), "left").drop("lost_id")
     names = [c for c in joined.columns if c != "lost_keys"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "lost_keys")
