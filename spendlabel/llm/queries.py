@@ -7,6 +7,8 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as op4
+from . import language_id as op8
 from . import line_dedup as op2
 from . import quality_rank as op9
 from . import quality_rules as op1
@@ -31,6 +33,11 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every leaked passage, with its place and edit distance."""
+    return op4.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -40,6 +47,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.toxicity(docs, op7.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return op8.identify(docs, op8.fit(docs))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return op9.quality(docs, op9.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -49,5 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.components(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op5_token_counts, op7_toxicity, op9_quality_classifier, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_line_dedup, op4_benchmark_decontamination, op5_token_counts, op7_toxicity,
+    op8_language_id, op9_quality_classifier, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
