@@ -12,6 +12,7 @@ from . import language_id as op8
 from . import line_dedup as op2
 from . import quality_rank as op9
 from . import quality_rules as op1
+from . import segmentation as op6
 from . import simhash as op10
 from . import token_counts as op5
 from . import toxicity as op7
@@ -42,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.segment(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return op7.toxicity(docs, op7.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -62,6 +67,6 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_line_dedup, op4_benchmark_decontamination, op5_token_counts, op7_toxicity,
+    op1_quality_rules, op2_line_dedup, op4_benchmark_decontamination, op5_token_counts, op6_sentencepiece, op7_toxicity,
     op8_language_id, op9_quality_classifier, op10_simhash_near_dedup)}
 ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
