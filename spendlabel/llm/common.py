@@ -73,7 +73,7 @@ def _powers(n: int) -> np.ndarray:
     """BASE**0 .. BASE**(n-1), wrapping; grown on demand and kept per worker."""
     global _POWERS
     while len(_POWERS) < n:
-        step = _POWERS[-1] * _BASE
+        step = _POWERS[-1:] * _BASE
         _POWERS = np.concatenate([_POWERS, _POWERS * step])
     return _POWERS[:n]
 
@@ -110,9 +110,6 @@ class Words:
 
     def hashes(self, block: int = 1 << 22) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        total = np.add.reduceat if len(self.start) else None
-        if total is None:
-            return np.zeros(0, np.uint64)
         out = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(self.start):  # blocks of bytes keep the temporaries small
@@ -128,16 +125,5 @@ class Words:
         return mix64(out ^ ((self.end - self.start).astype(np.uint64) << np.uint64(48)))
 
 
-def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` neighbouring word hashes (over row borders too; the
-    caller masks those)."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k: len(h) - n + 1 + k])
-    return out
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

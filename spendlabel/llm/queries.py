@@ -14,6 +14,7 @@ from . import quality_rank as op9
 from . import quality_rules as op1
 from . import segmentation as op6
 from . import simhash as op10
+from . import substring_dedup as op3
 from . import token_counts as op5
 from . import toxicity as op7
 from .common import read_table
@@ -34,6 +35,11 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(folder, name) if folder else public_tokenizers.path(name)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op3.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every leaked passage, with its place and edit distance."""
     return op4.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -67,6 +73,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_line_dedup, op4_benchmark_decontamination, op5_token_counts, op6_sentencepiece, op7_toxicity,
-    op8_language_id, op9_quality_classifier, op10_simhash_near_dedup)}
-ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE}
+    op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_benchmark_decontamination,
+    op5_token_counts, op6_sentencepiece, op7_toxicity, op8_language_id, op9_quality_classifier, op10_simhash_near_dedup)}
+ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE,
+              "op3_substring_dedup": op3.ORACLE}
