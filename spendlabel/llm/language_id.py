@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, ship
-from .learn import Adam, WordScores, bounded_sample, feature_rows, fold, sigmoid, word_weights
+from .learn import Adam, WordScores, bounded_sample, fold, sampled_features, sigmoid, word_weights
 
 #: Learned languages (the most frequent ones), documents of each and in all.
 LANGS, PER_LANG, ROWS = 200, 500, 4_000
@@ -99,13 +99,11 @@ def fit(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     share = F.create_map(*[F.lit(x) for k, n in counts for x in (k, min(1.0, 1.2 * limit / n))])
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     ids = mine.where(u < share[F.col("lang")]).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    rows = sorted((r.lang, r.text or "") for r in bounded_sample(docs, ids, ROWS).toLocalIterator())
-    y = np.array([langs.index(k) for k, _ in rows])
-    x = feature_rows([t for _, t in rows])
+    marks, x = sampled_features(bounded_sample(docs, ids, ROWS), "lang")
+    y = np.array([langs.index(k) for k in marks])
     total = np.bincount(x.row, x.val, x.n)
     x.val = x.val / np.maximum(total[x.row], 1e-9) * 7  # about seven features a word
-    d = int(x.col.max(initial=0)) + 1
-    seen = np.bincount(x.col, minlength=d)
+    seen = x.presence(np.ones(x.n, bool))
     top = np.argsort(-seen, kind="stable")[:FEATURES]
     features = np.sort(top[seen[top] > 1])
     x = x.keep(features)

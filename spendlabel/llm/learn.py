@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, ship
+
 #: Hashed feature space of words and their beginnings and ends.
 BITS = 20
 #: Texts above this length are left out of training samples (never out of scoring).
@@ -42,18 +46,19 @@ def word_features(word: str) -> list[int]:
 class Sparse:
     """Rows of (feature, value) pairs with the two products a linear model needs."""
 
-    def __init__(self, rows: list[dict[int, float]]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.fromiter((c for r in rows for c in r), np.int64, len(self.row))
-        self.val = np.fromiter((v for r in rows for v in r.values()), float, len(self.row))
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c, _ in rows])
+        self.col = np.concatenate([np.zeros(0, np.int32), *(c for c, _ in rows)])
+        self.val = np.concatenate([np.zeros(0, np.float32), *(v for _, v in rows)])
 
     def keep(self, features: np.ndarray) -> Sparse:
         """The same rows over the given features, renumbered by place."""
-        at = np.minimum(np.searchsorted(features, self.col), max(0, len(features) - 1))
-        held = features[at] == self.col if len(features) else np.zeros(len(at), bool)
+        at = np.full(max(1 << BITS, 1), -1, np.int32)
+        at[features] = np.arange(len(features))
+        held = at[self.col] >= 0
         out = Sparse([])
-        out.n, out.row, out.col, out.val = self.n, self.row[held], at[held], self.val[held]
+        out.n, out.row, out.col, out.val = self.n, self.row[held], at[self.col[held]], self.val[held]
         return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -62,9 +67,9 @@ class Sparse:
     def dot_t(self, coef: np.ndarray, d: int) -> np.ndarray:
         return np.bincount(self.col, self.val * coef[self.row], d)
 
-    def presence(self, rows: np.ndarray, d: int) -> np.ndarray:
+    def presence(self, rows: np.ndarray) -> np.ndarray:
         """In how many of the marked rows each feature occurs."""
-        return np.bincount(self.col[rows[self.row]], minlength=d)[:d]
+        return np.bincount(self.col[rows[self.row]], minlength=1 << BITS)
 
 
 def word_weights(text: str | None) -> dict[str, float]:
@@ -73,20 +78,37 @@ def word_weights(text: str | None) -> dict[str, float]:
     return {w: 1.0 if n == 1 else 1.0 + log(n) for w, n in Counter((text or "").lower().split()).items()}
 
 
-def feature_rows(texts: list[str | None]) -> Sparse:
-    """The hashed features of each text's words, weighted as the words are."""
-    table: dict[str, list[int]] = {}
-    rows = []
-    for text in texts:
-        row: dict[int, float] = {}
-        for word, n in word_weights(text).items():
-            feats = table.get(word)
-            if feats is None:
-                feats = table[word] = word_features(word)
-            for f in feats:
-                row[f] = row.get(f, 0) + n
-        rows.append(row)
-    return Sparse(rows)
+def sampled_features(sample: DataFrame, label: str) -> tuple[list, Sparse]:
+    """Labels and feature rows of a bounded sample (``label``, text). The tasks turn texts
+    into weighted hashed features; the driver gets these rows, in an order that does not
+    depend on the partitioning."""
+    ship(sample.sparkSession)
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[str, np.ndarray] = {}
+        for b in batches:
+            cols, vals = [], []
+            for text in column(b, "text").to_pylist():
+                feats, weights = [], []
+                for word, n in word_weights(text).items():
+                    f = table.get(word)
+                    if f is None:
+                        if len(table) >= 200_000:
+                            table.clear()
+                        f = table[word] = word_features(word)
+                    feats += f
+                    weights += [n] * len(f)
+                c, at = np.unique(np.array(feats, np.int32), return_inverse=True)
+                cols.append(c.astype("<i4").tobytes())
+                vals.append(np.bincount(at, weights, len(c)).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [column(b, label), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], [label, "cols", "vals"])
+
+    kind = dict(sample.dtypes)[label]
+    rows = [(r[0], bytes(r.cols), bytes(r.vals)) for r in sample.select(label, "text").mapInArrow(
+        featurise, f"{label} {kind}, cols binary, vals binary").toLocalIterator()]
+    rows.sort()
+    return [r[0] for r in rows], Sparse([(np.frombuffer(c, "<i4"), np.frombuffer(v, "<f4")) for _, c, v in rows])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, ship
-from .learn import Adam, WordScores, bounded_sample, feature_rows, fold, sigmoid, word_weights
+from .learn import Adam, WordScores, bounded_sample, fold, sampled_features, sigmoid, word_weights
 
-POSITIVES, UNLABELLED = 3_000, 6_000
+POSITIVES, UNLABELLED = 2_000, 4_000
 FEATURES, STEPS, RATE, L2 = 4_000, 300, 0.1, 1e-4
 #: Least standardised difference between positives and unlabelled rows of a feature.
-Z_LEAST = 3.0
+Z_LEAST = 3.5
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
 
@@ -81,14 +81,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int =
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
     pos = bounded_sample(docs, lab.where("toxic = 1").select("doc_id"), POSITIVES)
     unl = bounded_sample(docs, docs.where(mine).select("doc_id").distinct(), UNLABELLED)
-    rows = [(1, r.text) for r in pos.toLocalIterator()] + [(0, r.text) for r in unl.toLocalIterator()]
-    rows.sort(key=lambda r: (-r[0], r[1] or ""))  # the same order at any partitioning
-    positive = np.array([r[0] == 1 for r in rows])
-    x = feature_rows([r[1] for r in rows])
-    d = int(x.col.max(initial=0)) + 1
-    p, u = x.presence(positive, d), x.presence(~positive, d)
+    sample = pos.select(F.lit(1).alias("positive"), "text").unionByName(unl.select(F.lit(0).alias("positive"), "text"))
+    marks, x = sampled_features(sample, "positive")
+    positive = np.array(marks) == 1
+    p, u = x.presence(positive), x.presence(~positive)
     a, b = p / max(1, positive.sum()), u / max(1, (~positive).sum())
-    mid = (p + u) / len(rows)
+    mid = (p + u) / len(marks)
     z = np.abs(a - b) / np.sqrt(np.maximum(mid * (1 - mid), 1e-9) * (1 / max(1, positive.sum()) + 1 / max(1, (~positive).sum())))
     z[p + u < 3] = 0
     best = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
