@@ -20,7 +20,7 @@ written to the shared checkpoint folder.
 Edge cases. Fewer words than ``shingle``: the whole word sequence is the one shingle.
 No word, empty or null text: fingerprint zero, linked like any other. Null id: the row
 keeps its fingerprint and joins its class; a component of null ids only has a null id.
-Repeated rows: one row each. Empty table: empty result. Extra columns are ignored by
+Repeated rows: one row each (``keep_one`` keeps one). Empty table: empty result. Extra columns are ignored by
 ``components``; ``keep_one`` passes them through.
 """
 
@@ -60,15 +60,17 @@ _LOWER = bytes(range(256)).lower()  # touches A-Z only
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, print, fp): a hash of the text, and the fingerprint as a signed long."""
     ship(docs.sparkSession)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in column(b, "text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "print"), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "print", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("print"), "text").mapInArrow(
+        prints, "doc_id long, print long, fp long")
 
 
 def trie_pairs(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,37 +185,42 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.toDF("node", "root").union(edges.select("b", "b").distinct())
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_links): one row per document. ``n_links``
-    counts the other fingerprints linked to the document's own."""
+def _placed(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, print, fp) and classes (fp, first, n_links), ``first`` being the first
+    row of the class's component: (no_id, doc_id, print), rows without id last."""
     fps = cut(fingerprints(docs, shingle), "fingerprints")
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")
+    classes = cut(fps.groupBy("fp").agg(F.min(first).alias("first")), "classes")
     pairs = cut(links(classes, max_bits), "pairs")
     degree = (pairs.select(F.col("a").alias("fp")).union(pairs.select("b"))
               .groupBy("fp").agg(F.count("*").alias("n_links")))
     root = connected(pairs).toDF("fp", "root")
     placed = (classes.join(root, "fp", "left").join(degree, "fp", "left")
               .select("fp", "first", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = cut(placed.join(ids, "root").select("fp", "component_id", "n_links"), "labels")
+    firsts = placed.groupBy("root").agg(F.min("first").alias("first"))
+    return fps, cut(placed.drop("first").join(firsts, "root").select("fp", "first", "n_links"), "labels")
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id, n_links): one row per document. ``n_links``
+    counts the other fingerprints linked to the document's own."""
+    fps, label = _placed(docs, shingle, max_bits)
     return (fps.join(label, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"))
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                    F.col("first.doc_id").alias("component_id"), "n_links"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, the least id (rows that repeat it
-    count once; of a component of rows without id one per fingerprint stays)."""
-    label = components(docs, shingle, max_bits)
-    keep = label.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # rows that share a kept id, and rows without id, are the only ones to meet their copies
-    repeated = label.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(
-            kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    lone = label.where("component_id is null").select("fingerprint").distinct()
-    if not lone.isEmpty():
-        own = F.udf(lambda t: format(fingerprint(t, shingle), "016x"))
-        loose = docs.where("doc_id is null").withColumn("__fp", own("text")).dropDuplicates(["__fp"])
-        kept = kept.unionByName(loose.join(lone, loose["__fp"] == lone["fingerprint"], "left_semi").drop("__fp"))
-    return kept.select(*docs.columns)
+    """``docs`` (all columns) with one document of each component: the least id (where
+    none has an id, the least hash of the text). Of rows that repeat it one stays."""
+    fps, label = _placed(docs, shingle, max_bits)
+    rows = fps.join(label, "fp")
+    chosen = cut(rows.where((F.col("print") == F.col("first.print")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+                 .groupBy(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).agg(F.count("*").alias("__n")), "chosen")
+    kept = docs.withColumn("__own", F.xxhash64("text")).join(
+        chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print")))
+    own = ["__id", "__print", "__own", "__n"]
+    if chosen.where("__n > 1").isEmpty():
+        return kept.drop(*own)
+    # only rows that are there more than once meet their copies
+    return kept.where("__n = 1").drop(*own).unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__print"]).drop(*own))
