@@ -22,6 +22,8 @@ DEFAULT_SYNONYMS: tuple[tuple[str, str], ...] = (
     ("class", "category"),
 )
 REQUIRED_COLUMNS = ("vendor", "description", "category")
+#: Category mappings up to this many rows (short names) are broadcast.
+MAPPING_ROWS = 50_000
 
 
 def conform_columns(df: DataFrame, synonyms: Sequence[tuple[str, str]] = DEFAULT_SYNONYMS,
@@ -109,12 +111,25 @@ def canonical_spellings(df: DataFrame, col: str = "category") -> DataFrame:
         F.min_by("spelling", F.struct((-F.col("count")).alias("nc"), F.col("spelling"))).alias("canonical"))
 
 
-def canonicalize_category(df: DataFrame, col: str = "category") -> DataFrame:
+def canonicalize_category(df: DataFrame, col: str = "category", known: list[str] | None = None) -> DataFrame:
     """Map every category to its canonical spelling; NULL/blank stays as is.
 
-    The mapping has one row per distinct category key; the join is left to AQE,
-    which broadcasts it when small and shuffles otherwise."""
+    ``known`` (a model's K class names) comes first: a spelling that normalises to a known
+    class becomes that class, whatever the batch prefers. Other keys take the batch's most
+    frequent spelling.
+
+    Counting happens on (key, spelling) pairs before anything moves. The rows themselves
+    must not be exchanged on a key with few values: the mapping is broadcast when its row
+    count is within ``MAPPING_ROWS``, and joined by shuffle (AQE splits the hot keys) beyond."""
     m = canonical_spellings(df, col)
+    if known:
+        first = df.sparkSession.createDataFrame([(c,) for c in known], "name string")
+        first = first.groupBy(normalized("name").alias("key")).agg(F.min("name").alias("name"))
+        m = (m.join(F.broadcast(first), "key", "left")
+             .select("key", F.coalesce("name", "canonical").alias("canonical")))
+    few = m.limit(MAPPING_ROWS + 1).collect()
+    if len(few) <= MAPPING_ROWS:
+        m = F.broadcast(df.sparkSession.createDataFrame(few, "key string, canonical string"))
     keyed = df.withColumn("__key", normalized(col))
     return (keyed.join(m, keyed["__key"] == m["key"], "left")
             .withColumn(col, F.coalesce(F.col("canonical"), F.col(col)))

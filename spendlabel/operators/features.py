@@ -65,18 +65,21 @@ def l2_normalize(tf: DataFrame, key: str, value: str = "tf") -> DataFrame:
 
 
 def stratified_holdout(df: DataFrame, label: str = "category", id_col: str = "row_id",
-                       test_size: float = 0.2, seed: int = 42) -> DataFrame:
+                       test_size: float = 0.2, seed: int = 42, distinct_ids: bool = False) -> DataFrame:
     """Add ``split`` ('train' / 'test'): per label, the first round(n * test_size)
     distinct ids in md5(seed:id) order are held out. Exact counts (unlike sampleBy);
     equal rows share an id and land on one side. Ranking uses hash-prefix buckets
-    with offsets, so a huge label is ranked by many tasks, not one."""
+    with offsets, so a huge label is ranked by many tasks, not one. Only (label, id) pairs
+    are ranked; an id fixes its label, so rows join on the id alone. ``distinct_ids``
+    says that every id occurs once in ``df``."""
     from .maintain import assign_positions
 
-    pairs = df.select(label, id_col).filter(F.col(label).isNotNull()).distinct()
+    pairs = df.select(label, id_col).filter(F.col(label).isNotNull())
+    pairs = pairs if distinct_ids else pairs.distinct()
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col)))
     ranked = assign_positions(pairs, h, [id_col], partition_cols=[label], with_total=True)
     cut = F.round(F.col("__total").cast("double") * F.lit(float(test_size)))
-    split = ranked.select(label, id_col, F.when(F.col("pos") <= cut, F.lit("test"))
+    split = ranked.select(id_col, F.when(F.col("pos") <= cut, F.lit("test"))
                           .otherwise(F.lit("train")).alias("split"))
-    return df.join(split, [label, id_col], "left").withColumn(
+    return df.join(split, id_col, "left").withColumn(
         "split", F.coalesce(F.col("split"), F.lit("train")))

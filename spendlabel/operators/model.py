@@ -1,34 +1,38 @@
-"""One-vs-rest logistic classifier as DataFrame aggregations.
-
-Tables (long form over observed buckets only):
-  features F(key, bucket, x)          L2-normalised hashed n-gram counts
-  weights  W(bucket, w[K], g2[K])     per-class weights and AdaGrad accumulators
-  rows     R(key, class_id, weight)   one row per distinct training row id
-
-One step (full-batch AdaGrad on the mean logistic loss + alpha * L2):
-  1. margins  M = F join W on bucket -> groupBy(key) K sums (+ intercepts), left
-     joined from R so rows without tokens score by intercepts alone;
-  2. residual r = (sigmoid(M) - onehot(y)) * weight;
-  3. gradient G = F join r on key -> groupBy(bucket) K sums / n + alpha * w;
-  4. W full outer join G on bucket: g2 += G^2; w -= eta * G / sqrt(g2 + eps).
-
-F and R are hash-partitioned by key, so steps 1-3 need one exchange: the bucket
-aggregation of step 3, after map-side partial sums absorb hot tokens. W is
-broadcast only when its proven size bound (buckets x K doubles) is under the limit;
-otherwise the join shuffles on bucket. The driver holds only the K class names, K
-intercepts and scalar counts.
+"""One-vs-rest logistic classifier over hashed n-grams.
+
+Tables
+  weights  W(bucket, w[K], g2[K])   observed buckets with AdaGrad accumulators
+  rows     R(row_id, text, category, weight)   one row per distinct training row id
+
+A row's features are the L2-normalised counts of its hashed unigrams and bigrams (O36-O38);
+they are computed where the text is and never leave the task. One step is one map over the
+rows: with the weights sent to the tasks, each task adds up its rows' gradient and hands on
+one row per touched bucket; an aggregate over buckets gives the full gradient. AdaGrad on
+the mean logistic loss + alpha * L2 then updates the bounded weight block.
+
+Scoring is one map as well: no exchange, and all columns of the input stay.
+
+The weights sent at a time are a block of classes: 2^bits buckets x classes doubles, at most
+``BLOCK_BYTES`` whatever the data. One-vs-rest classes do not depend on each other, so many
+classes are trained and scored block by block with the same result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .features import DEFAULT_BITS, featurize
+from ..session import ship_package
+from .features import DEFAULT_BITS
 
 # The classifier's settings.
 ALPHA = 1e-5
@@ -37,7 +41,8 @@ EPS = 1e-8
 TOP_K = 3
 STEPS_UPDATE = 1
 STEPS_REFIT = 5
-BROADCAST_LIMIT_BYTES = 256 << 20
+#: Weights of one block of classes; also bounds a task's gradient and the driver's copy.
+BLOCK_BYTES = 64 << 20
 
 WEIGHTS_SCHEMA = T.StructType([
     T.StructField("bucket", T.IntegerType()),
@@ -45,6 +50,8 @@ WEIGHTS_SCHEMA = T.StructType([
     T.StructField("g2", T.ArrayType(T.DoubleType())),
 ])
 
+_TOKEN = re.compile(r"\w{2,}")  # letters, digits, underscore: as functions.text.TOKEN_PATTERN
+
 
 @dataclass
 class Model:
@@ -56,22 +63,55 @@ class Model:
     n_observed: int | None = None  # observed buckets, when known from metadata
     rows_trained: int = 0
     version: int | None = None
-    extra: dict = field(default_factory=dict)
+    held: dict = field(default_factory=dict)  # dense weight blocks the driver already has
 
     @property
     def k(self) -> int:
         return len(self.classes)
 
-    def class_index(self, col: Column) -> Column:
-        """0-based class id of a category column (NULL when unknown)."""
-        arr = F.array(*[F.lit(c) for c in self.classes])
-        pos = F.array_position(arr, col)
-        return F.when(pos > 0, (pos - 1).cast("int"))
-
     def class_name(self, idx: Column) -> Column:
         arr = F.array(*[F.lit(c) for c in self.classes])
         return F.element_at(arr, idx + 1)
 
+    def blocks(self) -> list[tuple[int, int]]:
+        """(first class, end class) of each block."""
+        limit = int(self.weights.sparkSession.conf.get("spendlabel.blockBytes", str(BLOCK_BYTES)))
+        size = max(1, limit // (8 << self.bits))
+        return [(a, min(a + size, self.k)) for a in range(0, self.k, size)]
+
+    def dense(self, a: int, b: int, col: str = "w") -> np.ndarray:
+        """Weights of classes a..b as a (2^bits, b - a) array."""
+        if (col, a, b) not in self.held:
+            out = np.zeros((1 << self.bits, b - a))
+            t = self.weights.select("bucket", F.slice(col, a + 1, b - a).alias("v")).toArrow()
+            if t.num_rows:
+                out[t["bucket"].to_numpy()] = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, b - a)
+            self.held[col, a, b] = out
+        return self.held[col, a, b]
+
+
+class Buckets(dict):
+    """N-gram -> feature bucket (as functions.text.bucket_of); bounded, starts anew when full."""
+
+    def __init__(self, bits: int):
+        super().__init__()
+        self.mask = (1 << bits) - 1
+
+    def __missing__(self, gram: str) -> int:
+        b = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big") & self.mask
+        if len(self) >= 500_000:
+            self.clear()
+        self[gram] = b
+        return b
+
+
+def text_features(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, x) of a lower-cased text."""
+    t = _TOKEN.findall(text or "")
+    grams = t + [f"{x} {y}" for x, y in zip(t, t[1:])]
+    b, n = np.unique(np.fromiter(map(buckets.__getitem__, grams), np.int64, len(grams)), return_counts=True)
+    return b, n / math.sqrt(float((n * n).sum()) or 1.0)
+
 
 def register_classes(df: DataFrame, col: str = "category") -> list[str]:
     """Sorted distinct categories: the class list, fixed before the first step.
@@ -93,185 +133,162 @@ def empty_model(spark: SparkSession, classes: list[str], bits: int = DEFAULT_BIT
                  intercept=[0.0] * k, intercept_g2=[0.0] * k, bits=bits, n_observed=0)
 
 
-def _weights_for_join(model: Model) -> DataFrame:
-    """W(bucket, w) for the margin join; broadcast behind a size check."""
-    w = model.weights.select("bucket", "w")
-    per_row = model.k * 8 + 48
-    bound = (1 << model.bits) * per_row
-    if model.n_observed is not None:
-        bound = min(bound, model.n_observed * per_row)
-    spark = model.weights.sparkSession
-    limit = int(spark.conf.get("spendlabel.broadcastWeightsBytes", str(BROADCAST_LIMIT_BYTES)))
-    return F.broadcast(w) if bound <= limit else w
-
-
-def _sum_k(k: int, value: Column, arr: str, prefix: str) -> list[Column]:
-    return [F.sum(value * F.col(arr)[i]).alias(f"{prefix}{i}") for i in range(k)]
-
-
-def raw_margins(feats: DataFrame, keys: DataFrame, model: Model, key: str) -> DataFrame:
-    """(key, m ARRAY<DOUBLE>) for every key of ``keys``: K sums of x*w plus
-    intercepts; keys without features get the intercepts."""
-    k = model.k
-    dots = (feats.join(_weights_for_join(model), "bucket")
-            .groupBy(key).agg(*_sum_k(k, F.col("x"), "w", "__m")))
-    b = [F.lit(float(v)) for v in model.intercept]
-    m = F.array(*[F.coalesce(F.col(f"__m{i}"), F.lit(0.0)) + b[i] for i in range(k)])
-    # Both sides are partitioned by key: a hash join without exchange or sort.
-    return (keys.join(dots.hint("shuffle_hash"), key, "left").withColumn("m", m)
-            .drop(*[f"__m{i}" for i in range(k)]))
-
-
-def _sigmoid(c: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
-
-
 def group_copies(df: DataFrame, text: str = "text", category: str = "category",
                  id_col: str = "row_id") -> DataFrame:
     """One row per distinct row id with its multiplicity as ``weight`` (an input
     that is already grouped passes through). Text and category are functions of the
-    row id, so ``min`` just carries them. Copies are merged map-side (partial
+    row id, so any copy carries them. Copies are merged map-side (partial
     aggregate) before the one shuffle of text, and the result comes out
-    hash-partitioned by row id, the layout every later training join needs."""
+    hash-partitioned by row id."""
     if "weight" in df.columns:
         return df.select(id_col, text, category, "weight")
-    return df.groupBy(id_col).agg(F.min(text).alias(text), F.min(category).alias(category),
+    return df.groupBy(id_col).agg(F.first(text).alias(text), F.first(category).alias(category),
                                   F.count(F.lit(1)).alias("weight"))
 
 
-def prepare_training(df: DataFrame, model_classes: list[str], text: str = "text",
-                     category: str = "category", id_col: str = "row_id",
-                     bits: int = DEFAULT_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows, feats) for training. Copies of one row id become one weighted row:
-    the aggregate that does it is also the shuffle that partitions by row id, and a
-    hot group of copies is reduced map-side."""
-    rows = group_copies(df, text, category, id_col)
-    arr = F.array(*[F.lit(c) for c in model_classes])
-    pos = F.array_position(arr, F.col(category))
-    rows = rows.withColumn("class_id", F.when(pos > 0, (pos - 1).cast("int")))
-    # ``rows`` keeps the text: when the caller persists it, the features below are
-    # computed from the cached table instead of re-running the text pipeline.
-    feats = featurize(rows, id_col, text, bits=bits, prepartitioned=True)
-    return rows, feats
-
-
-def ovr_step(rows: DataFrame, feats: DataFrame, model: Model, key: str = "row_id",
-             eta: float = ETA, alpha: float = ALPHA, eps: float = EPS,
-             n_rows: int | None = None, cache: bool = False) -> Model:
-    """One AdaGrad step over the whole batch; returns the updated model."""
-    k = model.k
-    if model.n_observed == 0:
-        # No weights yet: every margin is its intercept; the features are not read.
-        b = F.array(*[F.lit(float(v)) for v in model.intercept])
-        marg = rows.withColumn("m", b)
-    else:
-        marg = raw_margins(feats, rows, model, key)
-    resid = marg.select(key, "weight", F.array(*[
-        (_sigmoid(F.col("m")[i]) - F.when(F.col("class_id") == i, 1.0).otherwise(0.0)) * F.col("weight")
-        for i in range(k)]).alias("r"))
-    if cache:
-        # Used twice (intercept sums, bucket sums): computed once per step.
-        resid = resid.persist()
-    # Batch size and intercept gradient in one job: K + 1 driver scalars.
-    stats = resid.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n"),
-                      *[F.sum(F.col("r")[i]).alias(f"s{i}") for i in range(k)]).first()
-    n_rows = n_rows if n_rows is not None else int(stats["n"])
-    if n_rows == 0:
-        return model
-    rsum = [stats[f"s{i}"] for i in range(k)]
-    grads = (feats.join(resid.select(key, "r").hint("shuffle_hash"), key)
-             .groupBy("bucket").agg(*_sum_k(k, F.col("x"), "r", "__g"))
-             .select("bucket", F.array(*[F.col(f"__g{i}") for i in range(k)]).alias("gs")))
-    zeros = F.array_repeat(F.lit(0.0), k)
-    inv_n = 1.0 / n_rows
-    # K is known at plan time: one indexed expression per class (generated code,
-    # no per-element lambdas).
-    both = (model.weights.join(grads, "bucket", "full_outer")
-            .select("bucket", F.coalesce("w", zeros).alias("w0"), F.coalesce("g2", zeros).alias("q0"),
-                    F.coalesce("gs", zeros).alias("gs")))
-    gr = [F.col("gs")[i] * inv_n + F.col("w0")[i] * alpha for i in range(k)]
-    q = [F.col("q0")[i] + gr[i] * gr[i] for i in range(k)]
-    w_new = [F.col("w0")[i] - F.lit(eta) * gr[i] / F.sqrt(q[i] + eps) for i in range(k)]
-    upd = both.select("bucket", F.array(*w_new).alias("w"), F.array(*q).alias("g2"))
-    b, bg2 = [], []
-    for i in range(k):
-        g = (rsum[i] or 0.0) * inv_n
-        q = model.intercept_g2[i] + g * g
-        b.append(model.intercept[i] - eta * g / math.sqrt(q + eps))
-        bg2.append(q)
-    return replace(model, weights=upd, intercept=b, intercept_g2=bg2, n_observed=None,
-                   rows_trained=model.rows_trained + n_rows,
-                   extra={**model.extra, "cached": [resid] if cache else []})
-
-
-def materialize_weights(model: Model, path: str) -> Model:
-    """Write W and read it back: cuts the lineage between steps (restartable from
-    the shared folder) and gives the exact observed-bucket count for the next
-    broadcast decision."""
-    model.weights.write.mode("overwrite").parquet(path)
-    for df in model.extra.get("cached", []):
-        df.unpersist()
-    w = model.weights.sparkSession.read.parquet(path)
-    n = w.count()
-    return replace(model, weights=w, n_observed=n, extra={**model.extra, "cached": []})
-
-
-def fit(rows: DataFrame, feats: DataFrame, model: Model, steps: int, scratch: str,
-        key: str = "row_id", **kw) -> Model:
-    """``steps`` AdaGrad steps, each written to ``scratch/step=<i>``. The row and
-    feature tables are persisted once (partitioned by key) and reused by every step."""
-    # Features are read once per step (twice once weights exist). Recomputing them
-    # is cheaper than caching for one or two reads; longer fits persist them.
-    keep = steps > 1
-    rows = rows.persist()
-    if keep:
-        feats = feats.persist()
+def _gradients(rows: DataFrame, model: Model, a: int, b: int, w: np.ndarray | None, bias: np.ndarray) -> pa.Table:
+    """Gradient sums of classes a..b: (bucket, g0, ..), bucket -1 holding the intercepts' sums
+    and bucket -2 the number of rows. ``w`` None: no weights yet."""
+    sent = rows.sparkSession.sparkContext.broadcast((w, bias))
+    place, bits, n = {c: i for i, c in enumerate(model.classes[a:b])}, model.bits, b - a
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = sent.value
+        buckets, total, seen = Buckets(bits), np.zeros((1 << bits, n)), np.zeros(1 << bits, bool)
+        ends, count = np.zeros(n), 0.0
+        for batch in batches:
+            for text, category, weight in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                at, x = text_features(text, buckets)
+                m = bias if w is None else bias + x @ w[at]
+                r = 1.0 / (1.0 + np.exp(-np.clip(m, -700, 700)))
+                if category in place:
+                    r[place[category]] -= 1.0
+                r = r * weight
+                total[at] += x[:, None] * r
+                seen[at] = True
+                ends += r
+                count += weight
+        if not count:
+            return
+        found = np.flatnonzero(seen)
+        key = np.concatenate([[-1, -2], found]).astype(np.int32)
+        val = np.concatenate([ends[None], np.full((1, n), count), total[found]])
+        for i in range(0, len(key), 50_000):
+            part = val[i:i + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[i:i + 50_000]), *(pa.array(np.ascontiguousarray(part[:, j])) for j in range(n))],
+                ["bucket", *(f"g{j}" for j in range(n))])
+
+    cols = [f"g{j}" for j in range(n)]
+    parts = rows.select(F.lower("text"), "category", "weight").mapInArrow(
+        add_up, "bucket int, " + ", ".join(f"{c} double" for c in cols))
+    return parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()
+
+
+def _fit_block(rows: DataFrame, model: Model, a: int, b: int, steps: int, eta: float, alpha: float, eps: float):
+    """(weights, accumulators, intercepts, their accumulators, observed buckets, rows)."""
+    fresh = model.n_observed == 0
+    w = np.zeros((1 << model.bits, b - a)) if fresh else model.dense(a, b).copy()
+    g2 = np.zeros_like(w) if fresh else model.dense(a, b, "g2").copy()
+    bias, bias2 = np.array(model.intercept[a:b]), np.array(model.intercept_g2[a:b])
+    seen, n = (g2 != 0).any(1), 0
+    for _ in range(steps):
+        t = _gradients(rows, model, a, b, None if fresh else w, bias)
+        key = t["bucket"].to_numpy()
+        val = np.stack([t[f"g{j}"].to_numpy() for j in range(b - a)], 1) if len(key) else np.zeros((0, b - a))
+        if not len(key):
+            break
+        n = int(val[key == -2][0, 0])
+        g = alpha * w
+        g[key[key >= 0]] += val[key >= 0] / n
+        seen[key[key >= 0]] = True
+        g2 += g * g
+        w = np.where(seen[:, None], w - eta * g / np.sqrt(g2 + eps), 0.0)
+        g = val[key == -1][0] / n
+        bias2 = bias2 + g * g
+        bias = bias - eta * g / np.sqrt(bias2 + eps)
+        fresh = False
+    return w, g2, bias, bias2, seen, n
+
+
+def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: float = ALPHA,
+        eps: float = EPS) -> Model:
+    """``steps`` AdaGrad steps over ``rows`` (as of :func:`group_copies`) from ``model``. The
+    rows are persisted when they are read more than once. ``rows_trained`` counts the rows
+    of this fit once."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    blocks = model.blocks()
+    keep = steps * len(blocks) > 1
+    rows = rows.persist() if keep else rows
+    weights, bias, bias2, held, n = None, [], [], {}, 0
     try:
-        for i in range(steps):
-            model = ovr_step(rows, feats, model, key=key, cache=True, **kw)
-            model = materialize_weights(model, f"{scratch}/step={i}")
+        for a, b in blocks:
+            w, g2, b0, b2, seen, n = _fit_block(rows, model, a, b, steps, eta, alpha, eps)
+            at = np.flatnonzero(seen)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (b - a), pa.int32()),
+                                              pa.array(x[at].ravel())) for x in (w, g2)]
+            part = spark.createDataFrame(pa.table([pa.array(at.astype(np.int32)), *lists], ["bucket", "w", "g2"]), WEIGHTS_SCHEMA)
+            weights = part if weights is None else (
+                weights.join(part.select("bucket", F.col("w").alias("w1"), F.col("g2").alias("q1")), "bucket")
+                .select("bucket", F.concat("w", "w1").alias("w"), F.concat("g2", "q1").alias("g2")))
+            if len(blocks) == 1:
+                held = {("w", a, b): w, ("g2", a, b): g2}
+            bias, bias2 = bias + b0.tolist(), bias2 + b2.tolist()
     finally:
-        rows.unpersist()
         if keep:
-            feats.unpersist()
-    return model
+            rows.unpersist()
+    if not n:
+        return model
+    return replace(model, weights=weights, intercept=bias, intercept_g2=bias2, held=held, version=None,
+                   n_observed=int(seen.sum()), rows_trained=model.rows_trained + n)
+
+
+def ovr_step(rows: DataFrame, model: Model, **kw) -> Model:
+    """One AdaGrad step over all rows; returns the updated model."""
+    return fit(rows, model, 1, **kw)
 
 
-def full_refit(df: DataFrame, scratch: str, steps: int = STEPS_REFIT, bits: int = DEFAULT_BITS,
-               **kw) -> Model:
+def full_refit(df: DataFrame, steps: int = STEPS_REFIT, bits: int = DEFAULT_BITS, **kw) -> Model:
     """Train from zero on all rows; the classes are those of this input."""
-    classes = register_classes(df)
-    model = empty_model(df.sparkSession, classes, bits)
-    rows, feats = prepare_training(df, classes, bits=bits)
-    return fit(rows, feats, model, steps, scratch, **kw)
+    rows = group_copies(df)
+    model = empty_model(df.sparkSession, register_classes(df), bits)
+    return fit(rows, model, steps, **kw)
 
 
 # -- scoring -----------------------------------------------------------------------
 
-def score_margins(df: DataFrame, model: Model, key: str, text: str = "text") -> DataFrame:
-    """(key, m): raw OvR margins for every row of ``df`` (one row out per row in).
-
-    The rows are hash-partitioned by key once; everything after stays in those
-    partitions. Term counts are joined with the weights and reduced per key in one
-    hash aggregate that yields both the K dot products and the squared norm, since
-    sum(x*w) = sum(tf*w) / sqrt(sum(tf^2)): no window, no sort of feature cells, no
-    join back to the rows. Rows without tokens keep one empty cell (explode_outer)
-    and score by the intercepts; buckets without weights still count in the norm."""
-    from ..functions.text import bucket_of, ngram_array
-
-    k = model.k
-    prep = df.select(key, text).repartition(key)
-    cells = (prep.select(key, F.explode_outer(ngram_array(text)).alias("__g"))
-             .select(key, bucket_of("__g", model.bits).alias("bucket")))
-    tf = cells.groupBy(key, "bucket").agg(F.count("bucket").alias("tf"))
-    joined = tf.join(_weights_for_join(model), "bucket", "left")
-    sums = joined.groupBy(key).agg(
-        F.sum(F.col("tf") * F.col("tf")).alias("__ss"),
-        *[F.sum(F.col("tf") * F.coalesce(F.col("w")[i], F.lit(0.0))).alias(f"__m{i}") for i in range(k)])
-    b = [F.lit(float(v)) for v in model.intercept]
-    inv = F.when(F.col("__ss") > 0, F.lit(1.0) / F.sqrt(F.col("__ss").cast("double")))
-    m = F.array(*[F.coalesce(F.col(f"__m{i}") * inv, F.lit(0.0)) + b[i] for i in range(k)])
-    return sums.select(key, m.alias("m"))
+def score_margins(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` (all columns) with m: raw margins of every class. One map per block of
+    classes, no exchange; a text without tokens scores by the intercepts alone."""
+    ship_package(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField("__t", T.StringType()),
+                           T.StructField("m", T.ArrayType(T.DoubleType()))])
+    out = df.withColumn("__t", F.lower(text)).withColumn("m", F.array().cast("array<double>"))
+    bits = model.bits
+    for a, b in model.blocks():
+        sent = df.sparkSession.sparkContext.broadcast((model.dense(a, b), np.array(model.intercept[a:b])))
+
+        def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            w, bias = sent.value
+            buckets = Buckets(bits)
+            for batch in batches:
+                names = batch.schema.names
+                texts = batch.column(names.index("__t")).to_pylist()
+                before = batch.column(names.index("m")).to_pylist()
+                m = []
+                for t, old in zip(texts, before):
+                    at, x = text_features(t, buckets)
+                    m.append(old + (bias + x @ w[at]).tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], pa.array(m, pa.list_(pa.float64()))], names)
+
+        out = out.mapInArrow(add, schema)
+    return out.drop("__t")
+
+
+def _sigmoid(c: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
 
 
 def ovr_probabilities(m: Column, k: int) -> Column:
@@ -293,10 +310,10 @@ def softmax_scores(df: DataFrame, col: str = "m", out: str = "prob") -> DataFram
     return df.withColumn(out, softmax(F.col(col)))
 
 
-def score_ovr(df: DataFrame, model: Model, key: str, text: str = "text") -> DataFrame:
-    """(key, m, prob, predicted): predicted is the most probable class, ties to the
-    lower class id."""
-    sc = score_margins(df, model, key, text)
+def score_ovr(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``df`` with m, prob, predicted: predicted is the most probable class, ties to the
+    lower class id. Labels and keys stay on their rows, so nothing is joined back."""
+    sc = score_margins(df, model, text)
     sc = sc.withColumn("prob", ovr_probabilities(F.col("m"), model.k))
     idx = (F.array_position(F.col("prob"), F.array_max("prob")) - 1).cast("int")
     return sc.withColumn("predicted", model.class_name(idx))
@@ -322,7 +339,7 @@ def score_batch(df: DataFrame, model: Model, key: str, k: int = TOP_K,
     t = build_text(df.select(key, vendor, description), vendor, description, category=None)
     ok = t.filter(F.length("text") > 0)
     rejected = t.filter(F.length("text") == 0).withColumn("reason", F.lit("empty_text"))
-    sc = score_ovr(ok, model, key)
+    sc = score_ovr(ok, model)
     sc = top_k_categories(sc, model, k)
     return sc.select(key, F.col("predicted").alias("category"), "top", "prob"), rejected
 
@@ -331,11 +348,12 @@ def score_batch(df: DataFrame, model: Model, key: str, k: int = TOP_K,
 
 def evaluate(scored: DataFrame, label: str = "category", pred: str = "predicted",
              guard: DataFrame | None = None, min_rows: int = 10, min_classes: int = 2,
-             guard_counts: tuple[int, int] | None = None) -> DataFrame:
+             guard_counts: tuple[int, int] | None = None, weight: str | None = None) -> DataFrame:
     """One row: accuracy, n, classes. Accuracy is 0.0 when the guard frame (the
     whole labelled input, default ``scored``) has < 2 classes or < 10 rows.
     ``guard_counts`` (rows, classes) skips recounting when the caller knows them;
-    otherwise both come from one scalar subquery (one pass over the guard)."""
+    otherwise both come from one scalar subquery (one pass over the guard). ``weight``:
+    how many rows a scored row stands for."""
     if guard_counts is not None:
         n_all, classes = F.lit(int(guard_counts[0])), F.lit(int(guard_counts[1]))
     else:
@@ -343,8 +361,9 @@ def evaluate(scored: DataFrame, label: str = "category", pred: str = "predicted"
         stats = g.agg(F.struct(F.count(F.lit(1)).alias("n_all"),
                                F.countDistinct(label).alias("classes"))).scalar()
         n_all, classes = stats["n_all"], stats["classes"]
-    acc = scored.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("acc"),
-                     F.count(F.lit(1)).alias("n"))
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    right = F.when(F.col(label) == F.col(pred), w).otherwise(F.lit(0))
+    acc = scored.agg((F.sum(right) / F.sum(w)).alias("acc"), F.coalesce(F.sum(w), F.lit(0)).cast("long").alias("n"))
     ok = (n_all >= min_rows) & (classes >= min_classes)
     return acc.select(F.when(ok, F.coalesce(F.col("acc"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("accuracy"),
                       "n", classes.alias("classes"))

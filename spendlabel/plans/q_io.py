@@ -15,7 +15,8 @@ from ..sources.store import VersionedStore
 from ..streaming import jobs as ST
 from . import oracle as Q
 from .catalog import query
-from .q_model import _DOCS, _docs, _one_step, _score_sql, _step_sql, _with_split
+from .q_model import (_DOCS, _HOLDOUT, _docs, _holdout_sql, _one_step, _score_sql, _step_sql, _steps_sql,
+                      _with_split)
 from .q_sets import _MERGE_SQL, _train_csv
 
 
@@ -114,25 +115,32 @@ def load_latest_model(fx):
             .select("class_id", "category", (F.round("intercept", 6) + F.lit(0.0)).alias("intercept")))
 
 
-# -- O41 (rows only: iterative) ----------------------------------------------------
-@query("full_refit")
+# -- O41 ---------------------------------------------------------------------------
+@query("full_refit", _holdout_sql(_steps_sql("train_docs", MD.STEPS_REFIT)) + """
+SELECT row_key, predicted FROM pred""")
 def full_refit(fx):
     d = _with_split(fx)
     train = d.filter(F.col("split") == "train")
     test = d.filter(F.col("split") == "test")
-    m = MD.full_refit(train, scratch_path(fx.spark, "refit"))
-    return MD.score_ovr(test.select("row_key", "text"), m, "row_key").select("row_key", "predicted")
-
-
-# -- O42 (rows only: stateful runs) ------------------------------------------------
-@query("train_or_update")
+    m = MD.full_refit(train)
+    return MD.score_ovr(test.select("row_key", "text"), m).select("row_key", "predicted")
+
+
+# -- O42 ---------------------------------------------------------------------------
+@query("train_or_update", _HOLDOUT + """
+SELECT true AS changed, 'first' AS kind, count(*) AS rows_read,
+       (SELECT count(*) FROM train_docs) AS rows_new, (SELECT count(*) FROM train_docs) AS rows_trained,
+       count(DISTINCT category) AS classes, 0::BIGINT AS new_classes,
+       (SELECT round(avg(CASE WHEN predicted = category THEN 1.0 ELSE 0.0 END), 6) + 0.0 FROM pred) AS accuracy,
+       1::BIGINT AS version
+FROM docs WHERE length(text) > 0 AND length(category) > 0""")
 def train_or_update(fx):
     from .training import train_or_update as run
     root = scratch_path(fx.spark, "store")
     src = fx.labeled_text
     run(src, root)          # first run: registers classes and trains
     run(src, root)          # same input again: nothing unseen, no new version
-    return VersionedStore(fx.spark, root).run_metrics()
+    return VersionedStore(fx.spark, root).run_metrics().withColumn("accuracy", F.round("accuracy", 6) + F.lit(0.0))
 
 
 # -- O54 ---------------------------------------------------------------------------
@@ -183,6 +191,38 @@ def stream_train(fx):
     return VersionedStore(spark, root).load_ledger(distinct=True)
 
 
+def _class_by_class(fx):
+    """A store trained by a stream whose micro-batches bring one class each, and then all
+    rows again under upper-case spellings of the classes."""
+    spark, src, root = fx.spark, scratch_path(fx.spark, "classes_src"), scratch_path(fx.spark, "store")
+    docs = fx.labeled_text
+    for lang in [r[0] for r in docs.select("category").distinct().orderBy("category").collect()]:
+        docs.filter(F.col("category") == lang).coalesce(1).write.mode("append").parquet(src)
+    docs.withColumn("category", F.upper("category")).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.option("maxFilesPerTrigger", "1").schema(_STREAM_SCHEMA).parquet(src)
+    ST.stream_train(spark, stream, root, scratch_path(spark, "classes_ck"), holdout=False).awaitTermination()
+    return VersionedStore(spark, root)
+
+
+@query("stream_train_classes", Q.with_fixtures(["labeled_text"], _DOCS) + """
+SELECT category, count(DISTINCT row_id) AS n_ids FROM docs WHERE length(text) > 0 GROUP BY category""")
+def stream_train_classes(fx):
+    """Classes of the model and learned rows of each: no class and no row is lost, and the
+    other spellings add neither."""
+    store = _class_by_class(fx)
+    classes = store.read("model_classes", store.latest("model")["version"]).select("category")
+    return (classes.join(store.load_training_rows(), "category", "left")
+            .groupBy("category").agg(F.count("row_id").alias("n_ids")))
+
+
+@query("stream_train_model", Q.with_fixtures(["labeled_text"], _DOCS, _steps_sql("docs", MD.STEPS_REFIT), _score_sql("docs")) + """
+SELECT row_key, cls AS category FROM ranked_p WHERE rank = 1""")
+def stream_train_model(fx):
+    """Predictions of the model that saw its classes one by one: those of a refit on all rows."""
+    model = _class_by_class(fx).load_latest_model()
+    return MD.score_ovr(_docs(fx).select("row_key", "text"), model).select("row_key", F.col("predicted").alias("category"))
+
+
 # -- O56 ---------------------------------------------------------------------------
 @query("stream_score", Q.with_fixtures(["labeled_text"], _DOCS, _step_sql("docs"), _score_sql("docs")) + """
 SELECT row_key, cls AS category FROM ranked_p WHERE rank = 1""")

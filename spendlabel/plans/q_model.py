@@ -15,7 +15,6 @@ from ..operators import clean as C
 from ..operators import features as FE
 from ..operators import metrics as MT
 from ..operators import model as MD
-from ..session import scratch_path
 from . import oracle as Q
 from .catalog import query
 
@@ -38,14 +37,11 @@ def _with_split(fx) -> DataFrame:
 
 
 def _one_step(train: DataFrame) -> MD.Model:
-    classes = MD.register_classes(train)
-    model = MD.empty_model(train.sparkSession, classes)
-    rows, feats = MD.prepare_training(train, classes)
-    return MD.fit(rows, feats, model, 1, scratch_path(train.sparkSession, "step"))
+    return MD.full_refit(train, steps=1)
 
 
 def _scored(docs: DataFrame, model: MD.Model) -> DataFrame:
-    return MD.score_ovr(docs, model, "row_key")
+    return MD.score_ovr(docs.select("row_key", "text"), model)
 
 
 def _long(df: DataFrame, model: MD.Model, arr: str, out: str) -> DataFrame:
@@ -108,6 +104,30 @@ bias AS (
   FROM (SELECT class_id, cls, sum(r) / (SELECT n FROM ntot) AS g FROM resid GROUP BY 1, 2))"""
 
 
+def _steps_sql(train_src: str, steps: int) -> str:
+    """CTEs as of :func:`_step_sql` after ``steps`` steps from zero: wt and bias hold the last
+    step's weights; every step is a CTE of its own."""
+    one = _step_sql(train_src)
+    cut = one.index("wt AS (")
+    out = [one[:cut] + f"""w1 AS MATERIALIZED (SELECT bucket, class_id, cls, g * g AS q, -{ETA} * g / sqrt(g * g + {EPS}) AS w FROM grad),
+b1 AS MATERIALIZED (SELECT class_id, cls, g * g AS q, -{ETA} * g / sqrt(g * g + {EPS}) AS b
+  FROM (SELECT class_id, cls, sum(r) / (SELECT n FROM ntot) AS g FROM resid GROUP BY 1, 2))"""]
+    for i in range(2, steps + 1):
+        out.append(f"""d{i} AS MATERIALIZED (SELECT row_id, class_id, sum(x * w) AS m FROM tfeats JOIN w{i - 1} USING (bucket) GROUP BY 1, 2),
+r{i} AS MATERIALIZED (
+  SELECT t.row_id, c.class_id, c.cls,
+         (1.0 / (1.0 + exp(-(coalesce(d.m, 0.0) + c.b))) - CASE WHEN t.category = c.cls THEN 1.0 ELSE 0.0 END) * t.weight AS r
+  FROM trows t CROSS JOIN b{i - 1} c LEFT JOIN d{i} d ON d.row_id = t.row_id AND d.class_id = c.class_id),
+g{i} AS MATERIALIZED (SELECT bucket, class_id, sum(x * r) / (SELECT n FROM ntot) AS g FROM tfeats JOIN r{i} USING (row_id) GROUP BY 1, 2),
+u{i} AS MATERIALIZED (SELECT bucket, class_id, p.cls, p.w, p.q, coalesce(g, 0.0) + {MD.ALPHA} * p.w AS g FROM w{i - 1} p LEFT JOIN g{i} USING (bucket, class_id)),
+w{i} AS MATERIALIZED (SELECT bucket, class_id, cls, q + g * g AS q, w - {ETA} * g / sqrt(q + g * g + {EPS}) AS w FROM u{i}),
+b{i} AS MATERIALIZED (
+  SELECT p.class_id, p.cls, p.q + s.g * s.g AS q, p.b - {ETA} * s.g / sqrt(p.q + s.g * s.g + {EPS}) AS b
+  FROM b{i - 1} p JOIN (SELECT class_id, sum(r) / (SELECT n FROM ntot) AS g FROM r{i} GROUP BY 1) s USING (class_id))""")
+    out.append(f"wt AS (SELECT bucket, class_id, cls, w FROM w{steps}), bias AS (SELECT class_id, cls, b FROM b{steps})")
+    return ",\n".join(out)
+
+
 def _score_sql(src: str) -> str:
     """CTEs scoring the rows of ``src`` (row_key, text) with the step model:
     marg(row_key, class_id, cls, m), prob(row_key, class_id, cls, p)."""
@@ -150,7 +170,7 @@ def hashed_tf(fx):
 @query("l2_normalize", Q.with_fixtures(["labeled_text"], _DOCS, _feats("f", "docs", "row_key")) + """
 SELECT row_key, bucket, round(x, 6) + 0.0 AS x FROM f""")
 def l2_normalize(fx):
-    return FE.featurize(_docs(fx), "row_key").select("row_key", "bucket", _r6(F.col("x")).alias("x"))
+    return FE.l2_normalize(FE.hashed_tf(_docs(fx), "row_key"), "row_key").select("row_key", "bucket", _r6(F.col("x")).alias("x"))
 
 
 # -- O43 ---------------------------------------------------------------------------
@@ -173,7 +193,10 @@ def register_classes(fx):
 SELECT bucket, cls AS category, round(w, 6) + 0.0 AS w FROM wt
 UNION ALL SELECT -1, cls, round(b, 6) + 0.0 FROM bias""")
 def ovr_step(fx):
-    m = _one_step(_docs(fx))
+    return _weights_long(fx, _one_step(_docs(fx)))
+
+
+def _weights_long(fx, m: MD.Model) -> DataFrame:
     names = F.array(*[F.lit(c) for c in m.classes])
     w = (m.weights.select("bucket", F.posexplode("w").alias("i", "v"))
          .select("bucket", F.element_at(names, F.col("i") + 1).alias("category"), _r6(F.col("v")).alias("w")))
@@ -182,6 +205,16 @@ def ovr_step(fx):
     return w.unionByName(bias.select("bucket", "category", _r6(F.col("w")).alias("w")))
 
 
+@query("ovr_two_steps", Q.with_fixtures(["labeled_text"], _DOCS, _steps_sql("docs", 2)) + """
+SELECT bucket, cls AS category, round(w, 6) + 0.0 AS w FROM wt
+UNION ALL SELECT -1, cls, round(b, 6) + 0.0 FROM bias""")
+def ovr_two_steps(fx):
+    """A step that starts from existing weights."""
+    rows = MD.group_copies(_docs(fx))
+    first = MD.ovr_step(rows, MD.empty_model(fx.spark, MD.register_classes(rows)))
+    return _weights_long(fx, MD.ovr_step(rows, first))
+
+
 # -- O45 ---------------------------------------------------------------------------
 @query("score_ovr", _model_sql() + """
 SELECT row_key, cls AS category, round(p, 6) + 0.0 AS prob FROM prob""")
@@ -198,7 +231,7 @@ FROM (SELECT row_key, cls, exp(m - max(m) OVER (PARTITION BY row_key)) AS e FROM
 def softmax_scores(fx):
     docs = _docs(fx)
     m = _one_step(docs)
-    sc = MD.softmax_scores(MD.score_margins(docs, m, "row_key"), "m", "sm")
+    sc = MD.softmax_scores(MD.score_margins(docs.select("row_key", "text"), m), "m", "sm")
     return _long(sc, m, "sm", "prob")
 
 
@@ -252,17 +285,20 @@ def _holdout_scored(fx):
     train = d.filter(F.col("split") == "train")
     test = d.filter(F.col("split") == "test")
     m = _one_step(train)
-    return d, MD.score_ovr(test.select("row_key", "text", "category"), m, "row_key") \
-        .join(test.select("row_key", "category"), "row_key"), m
+    return d, MD.score_ovr(test.select("row_key", "text", "category"), m), m
+
+
+def _holdout_sql(model: str) -> str:
+    return Q.with_fixtures(
+        ["labeled_text"], _DOCS, _SPLIT,
+        """train_docs AS (SELECT d.* FROM docs d JOIN split s USING (category, row_id) WHERE s.split = 'train')""",
+        """test_docs AS (SELECT d.* FROM docs d JOIN split s USING (category, row_id) WHERE s.split = 'test')""",
+        model, _score_sql("test_docs"),
+        """pred AS (SELECT r.row_key, r.cls AS predicted, t.category
+                   FROM ranked_p r JOIN test_docs t USING (row_key) WHERE rank = 1)""")
 
 
-_HOLDOUT = Q.with_fixtures(
-    ["labeled_text"], _DOCS, _SPLIT,
-    """train_docs AS (SELECT d.* FROM docs d JOIN split s USING (category, row_id) WHERE s.split = 'train')""",
-    """test_docs AS (SELECT d.* FROM docs d JOIN split s USING (category, row_id) WHERE s.split = 'test')""",
-    _step_sql("train_docs"), _score_sql("test_docs"),
-    """pred AS (SELECT r.row_key, r.cls AS predicted, t.category
-               FROM ranked_p r JOIN test_docs t USING (row_key) WHERE rank = 1)""")
+_HOLDOUT = _holdout_sql(_step_sql("train_docs"))
 
 
 @query("evaluate", _HOLDOUT + """

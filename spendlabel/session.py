@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,8 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names; set one only when unset.
 
     ``spark.checkpoint.dir`` is the folder every executor can reach. Lineage cuts and
-    scratch tables go below it, never into a machine-local temporary folder. Only when
-    nothing is configured (a bare local session, as in tests) do we create our own.
+    scratch tables go below it, never into a machine-local temporary folder. Only a local
+    session with nothing configured (as in tests) gets a folder of its own; on a cluster
+    an unset folder is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -50,11 +53,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         d = tempfile.mkdtemp(prefix="spendlabel-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers (once per application), so that tasks can
+    import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(to)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique folder name under the shared checkpoint dir (not created)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")

@@ -5,6 +5,7 @@ Layout under a shared root (any path the cluster can reach):
     <root>/model_weights/v=<n>/    bucket, w[K], g2[K]
     <root>/model_classes/v=<n>/    class_id, category, intercept, intercept_g2
     <root>/ledger/v=<n>/           row_id, model_version, learned_at  (rows learned in n)
+    <root>/training_rows/v=<n>/    row_id, text, category, weight     (the same rows, for refits)
     <root>/training_set/v=<n>/     the merged training rows
     <root>/run_metrics/v=<n>/      one row per run
     <root>/_manifest/              one row per committed version
@@ -134,6 +135,12 @@ class VersionedStore:
         return (self.spark.read.parquet(f"{self.root}/{name}")
                 .join(versions, "v", "left_semi").drop("v"))
 
+    def load_training_rows(self) -> DataFrame:
+        """All rows committed model versions have learned from (empty when none)."""
+        if not path_exists(self.spark, f"{self.root}/training_rows"):
+            return self.spark.createDataFrame([], "row_id string, text string, category string, weight long")
+        return self._committed("training_rows", ("model",))
+
     def append_ledger(self, learned: DataFrame) -> int:
         """Record row ids as learned without a model change (own version)."""
         v = self.next_version()
@@ -156,6 +163,8 @@ class VersionedStore:
         if learned is not None:
             self.write(learned.select("row_id", F.lit(v).cast("long").alias("model_version"),
                                       F.current_timestamp().alias("learned_at")), "ledger", v)
+            if {"text", "category", "weight"} <= set(learned.columns):
+                self.write(learned.select("row_id", "text", "category", "weight"), "training_rows", v)
         if metrics is not None:
             self.write(metrics.withColumn("version", F.lit(v).cast("long")).coalesce(1), "run_metrics", v)
         n_obs = self.read("model_weights", v).count()

@@ -73,8 +73,7 @@ def test_probabilities_sum_to_one_and_zero_token_rows_score(spark):
     fx = Fixtures(spark, SF_SMALL)
     docs = C.with_row_id(C.build_text(fx.labeled_text))
     classes = MD.register_classes(docs)
-    rows, feats = MD.prepare_training(docs, classes)
-    m = MD.fit(rows, feats, MD.empty_model(spark, classes), 2, scratch_path(spark, "fit"))
+    m = MD.fit(MD.group_copies(docs), MD.empty_model(spark, classes), 2)
     extra = spark.createDataFrame([(-1, "a", "b"), (-2, "", "")], "row_key long, vendor string, description string")
     src = fx.labeled_text.select("row_key", "vendor", "description").unionByName(extra)
     scored, rejected = MD.score_batch(src, m, "row_key")
@@ -133,31 +132,59 @@ def test_smoke_case_hydro_one_is_utilities(spark):
     assert scored.first()["category"] == "Utilities"
 
 
-def test_weight_join_without_broadcast_gives_same_scores(spark):
-    """Above the size limit the weight table is joined by shuffle; same results."""
-    fx = Fixtures(spark, SF_SMALL)
-    docs = C.with_row_id(C.build_text(fx.labeled_text))
-    classes = MD.register_classes(docs)
-    rows, feats = MD.prepare_training(docs, classes)
-    m = MD.fit(rows, feats, MD.empty_model(spark, classes), 2, scratch_path(spark, "fit"))
-    src = fx.labeled_text.select("row_key", "vendor", "description")
+def test_class_blocks_give_the_same_model_and_scores(spark):
+    """Many classes are trained and scored in blocks of bounded size; same results."""
+    e = Fixtures(spark, SF_SMALL).expenses
+    rows = C.with_row_id(C.build_text(e.withColumn("category", F.col("vendor"))))
+    classes = MD.register_classes(rows)
     outs = []
-    for limit in (str(256 << 20), "0"):
-        spark.conf.set("spendlabel.broadcastWeightsBytes", limit)
-        # Spark's own size-based broadcast would still pick this small table; turn it
-        # off to exercise the shuffle join taken above the limit.
-        auto = "-1" if limit == "0" else str(10 << 20)
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", auto)
-        scored, _ = MD.score_batch(src, m, "row_key")
-        plan = scored._jdf.queryExecution().executedPlan().toString()
-        outs.append((sorted((r["row_key"], r["category"], tuple(round(p, 9) for p in r["prob"]))
-                            for r in scored.collect()), "BroadcastHashJoin" in plan))
-    spark.conf.unset("spendlabel.broadcastWeightsBytes")
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    assert outs[0][1] and not outs[1][1]
-    assert outs[0][0] == outs[1][0]
+    for limit in (str(len(classes) * (8 << 12)), str(3 * (8 << 12))):
+        spark.conf.set("spendlabel.blockBytes", limit)
+        m = MD.fit(MD.group_copies(rows), MD.empty_model(spark, classes, bits=12), 2)
+        n_blocks = len(m.blocks())
+        scored = MD.score_ovr(rows.select("expense_id", "text"), m).select("expense_id", "predicted", "prob")
+        outs.append((n_blocks, m.rows_trained, sorted((r[0], r[1], tuple(round(p, 9) for p in r[2])) for r in scored.collect())))
+    spark.conf.unset("spendlabel.blockBytes")
+    assert outs[0][0] == 1 and outs[1][0] > 2 and outs[0][1] == outs[1][1] == rows.count()
+    assert outs[0][2] == outs[1][2]
+
+
+def test_python_features_equal_the_column_expressions(spark):
+    """Training and scoring hash texts in the task; the feature queries do it in SQL."""
+    texts = ["", "a b", "the cat_1 sat on the mat the cat", "Ärger über ÑANDÚ 東京 x²", "tab\tand\u00a0nbsp \x1c end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    want = {(r.k, r.bucket): round(r.x, 12) for r in FE.featurize(df, "k").collect()}
+    got = {}
+    for k, t in enumerate(texts):
+        at, x = MD.text_features(t.lower(), MD.Buckets(20))
+        got |= {(k, int(b)): round(float(v), 12) for b, v in zip(at, x)}
+    assert got == want
+
+
+def test_a_new_class_in_a_delta_loses_nothing(spark):
+    """Micro-batches that bring new classes: every learned row and class stays, a spelling of
+    a known class is no new class, and resending adds nothing."""
+    root = scratch_path(spark, "store")
+
+    def batch(cat, words, n=20):
+        return spark.createDataFrame([(f"{words} {i}", f"{words} item {i}", cat) for i in range(n)],
+                                     "vendor string, description string, category string")
+    b0 = batch("Groceries", "apple").unionByName(batch("Rent", "flat"))
+    b1, b2, b3 = batch("Fuel", "petrol"), batch("groceries", "pear", 5), batch("RENT ", "loft", 5)
+    r = [train_or_update(b, root, batch_id=i, holdout=False) for i, b in enumerate((b0, b1, b2.unionByName(b3), b0))]
+    assert [x.kind for x in r] == ["first", "refit", "update", "noop"]
+    assert [x.rows_trained for x in r] == [40, 60, 10, 0]
+    store = VersionedStore(spark, root)
+    assert store.load_latest_model().classes == ["Fuel", "Groceries", "Rent"]
+    assert store.load_ledger(distinct=True).count() == store.load_training_rows().count() == 70
+    assert {x[0] for x in store.load_training_rows().select("category").distinct().collect()} == {"Fuel", "Groceries", "Rent"}
+
+
+def test_scoring_does_not_shuffle(spark):
+    docs = Fixtures(spark, SF_SMALL).labeled_text
+    m = MD.full_refit(C.with_row_id(C.build_text(docs)), steps=1)
+    scored = MD.score_ovr(docs.withColumn("text", F.col("description")), m)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
 
 
 def test_uncommitted_version_is_invisible(spark):
@@ -166,8 +193,7 @@ def test_uncommitted_version_is_invisible(spark):
     fx = Fixtures(spark, SF_SMALL)
     docs = C.with_row_id(C.build_text(fx.labeled_text))
     classes = MD.register_classes(docs)
-    rows, feats = MD.prepare_training(docs, classes)
-    m = MD.fit(rows, feats, MD.empty_model(spark, classes), 1, scratch_path(spark, "fit"))
+    m = MD.fit(MD.group_copies(docs), MD.empty_model(spark, classes), 1)
     store = VersionedStore(spark, scratch_path(spark, "store"))
     v1 = store.publish_model(m, learned=docs.limit(10).select("row_id"))
     # simulate a crash: version 2 data written, manifest row missing
