@@ -79,15 +79,14 @@ def qgrams(h: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def cgk(h: np.ndarray, starts: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """Emitted words, (steps, starts); zero beyond the end."""
+def cgk(h: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    """Words emitted by each walk from each start, (steps, WALKS, starts); zero beyond the end."""
     padded = np.append(h, np.uint64(0))
-    at, out = starts.astype(np.int64), np.empty((steps, len(starts)), np.uint64)
+    at, out = np.tile(starts.astype(np.int64), (WALKS, 1)), np.empty((steps, WALKS, len(starts)), np.uint64)
+    walk = np.arange(WALKS, dtype=np.uint64)[:, None] * np.uint64(100_003)
     for j in range(steps):
-        sym = padded[np.minimum(at, len(h))]
-        out[j] = sym
-        step = np.uint64((walk * 100_003 + j + 1) * int(_GOLD) % 2**64)
-        coin = mix64(sym ^ step) >> np.uint64(63)
+        out[j] = sym = padded[np.minimum(at, len(h))]
+        coin = mix64(sym ^ ((walk + np.uint64(j + 1)) * _GOLD)) >> np.uint64(63)
         at += coin.astype(np.int64)
     return out
 
@@ -102,7 +101,7 @@ class SizeClass:
     steps: int
     places: np.ndarray  # walk x table x sampled
     tables: list  # walk x table: (sorted keys, item index)
-    gate: np.ndarray | None = None  # bit per low hash bits, a cheap first look
+    gate: np.ndarray | None = None  # by low hash bits, of all classes with this q: a cheap first look
 
 
 def _keys(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -131,33 +130,37 @@ def build_index(items: list[tuple[int, str]], share: float = EDIT_SHARE, min_wor
         places = np.sort(np.stack([rng.choice(steps, SAMPLED, replace=False) for _ in range(WALKS * TABLES)]), 1)
         places = places.reshape(WALKS, TABLES, SAMPLED)
         tables = []
+        rows = np.concatenate([cgk(held[k][1], np.zeros(1, np.int64), steps) for k in members], 2)
         for w in range(WALKS):
-            rows = np.concatenate([cgk(held[k][1], np.zeros(1, np.int64), steps, w) for k in members], 1)
             for t in range(TABLES):
-                key = _keys(rows, places[w, t])
+                key = _keys(rows[:, w], places[w, t])
                 order = np.argsort(key, kind="stable")
                 tables.append((key[order], np.array(members)[order]))
-        gate = np.zeros(1 << 20, bool)
-        gate[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        classes.append(SizeClass(lo, hi, q, max(1, bound[q]), grams, steps, places, tables, gate))
+        classes.append(SizeClass(lo, hi, q, max(1, bound[q]), grams, steps, places, tables))
+    for q in {c.q for c in classes}:
+        gate = np.zeros(1 << 21, bool)
+        for c in classes:
+            if c.q == q:
+                gate[(c.grams & np.uint64(len(gate) - 1)).astype(np.int64)] = True
+                c.gate = gate
     return held, classes
 
 
 def candidates(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHARE) -> list[tuple[int, int]]:
     """(item index, window start) that agree in at least one table."""
     found: set[tuple[int, int]] = set()
-    gram_of: dict[int, np.ndarray] = {}
+    hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for c in classes:
         if len(h) < c.size - edits(c.size, share):
             continue
-        if c.q not in gram_of:
-            gram_of[c.q] = qgrams(h, c.q)
-        g = gram_of[c.q]
-        hit = c.gate[(g & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        if hit.sum() < c.need:
+        if c.q not in hits:  # places of any class's q-grams, by one look at a shared bit table
+            g = qgrams(h, c.q)
+            at = np.flatnonzero(c.gate[(g & np.uint64(len(c.gate) - 1)).astype(np.int64)])
+            hits[c.q] = at, g[at]
+        at, g = hits[c.q]
+        if len(at) < c.need:
             continue
-        at = np.flatnonzero(hit)
-        at = at[c.grams[np.minimum(np.searchsorted(c.grams, g[at]), len(c.grams) - 1)] == g[at]]
+        at = at[c.grams[np.minimum(np.searchsorted(c.grams, g), len(c.grams) - 1)] == g]
         if len(at) < c.need:
             continue
         # starts whose window of most + edits words holds enough of the q-grams
@@ -170,11 +173,11 @@ def candidates(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHAR
         np.add.at(mark, np.maximum(0, last[near] - span + 1), 1)
         np.add.at(mark, first[near] + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark)[: len(h)] > 0)
+        rows = cgk(h, starts, c.steps)
         for w in range(WALKS):
-            rows = cgk(h, starts, c.steps, w)
             for t in range(TABLES):
                 keys, item = c.tables[w * TABLES + t]
-                key = _keys(rows, c.places[w, t])
+                key = _keys(rows[:, w], c.places[w, t])
                 a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                 for s in np.flatnonzero(b > a):
                     found.update((int(i), int(starts[s])) for i in item[a[s]:b[s]])
