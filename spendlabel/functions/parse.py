@@ -6,14 +6,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, trim_ws
+from .text import FORM_WS, col_, trim_ws
 
 # The accepted date shapes of the staging load and the US pattern.
 ISO_DATE_RE = r"^\d{4}-\d{2}-\d{2}$"
 US_DATE_RE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 US_DATE_FORMAT = "M/d/yyyy"
-# Characters an amount keeps before typing (digits, point, minus).
+# Characters an amount keeps before typing (digits, point, minus), and the
+# decimal shape the form reads as a number (no letter suffix such as 12d or 12f).
 AMOUNT_DROP_RE = r"[^0-9.\-]"
+FORM_NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def staging_date(c) -> Column:
@@ -34,16 +36,16 @@ def staging_amount(c) -> Column:
 
 def form_amount(c) -> Column:
     """Form-side amount: thousands commas removed, stripped, digits past the second
-    decimal cut (not rounded), then typed as DOUBLE; NULL when not a number."""
-    x = trim_ws(F.regexp_replace(F.coalesce(col_(c), F.lit("")), ",", ""))
+    decimal cut (not rounded), then typed as DOUBLE; NULL when not a plain number."""
+    x = trim_ws(F.regexp_replace(F.coalesce(col_(c), F.lit("")), ",", ""), FORM_WS)
     cut = F.regexp_replace(x, r"^([^.]*\.[0-9]{2})[0-9]+$", "$1")
-    return cut.try_cast("double")
+    return F.when(cut.rlike(FORM_NUMBER_RE), cut.try_cast("double"))
 
 
-def is_finite_positive(c) -> Column:
+def iso_date(c) -> Column:
+    """``yyyy-MM-dd`` text as a date; other shapes (2025, 2025-08, a time behind) give NULL."""
     x = col_(c)
-    return (x.isNotNull() & ~F.isnan(x) & (x > 0)
-            & (x < F.lit(float("inf"))))
+    return F.when(x.rlike(ISO_DATE_RE), x.try_cast("date"))
 
 
 def iso_date_text(c) -> Column:

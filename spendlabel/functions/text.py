@@ -14,19 +14,27 @@ ROW_ID_SEPARATOR = "||"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 BIGRAM_JOIN = " "
 
-# Whitespace stripped at the edges (the regex class \s: space, tab, newline, vertical
-# tab, form feed, carriage return). Spark's one-argument trim() strips only U+0020.
-_EDGE_WS_CHARS = " \t\n\u000b\f\r"
+# The white space each side of the source application strips. Training runs
+# use Python's str.strip(), the entry form JavaScript's trim() and \s. Spark's trim() strips
+# U+0020 only and Java's \s is ASCII, so the characters are listed.
+_SHARED_WS = "\t\n\u000b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+STRIP_WS = _SHARED_WS + "\u001c\u001d\u001e\u001f\u0085"
+FORM_WS = _SHARED_WS + "\ufeff"
 
 
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def trim_ws(c) -> Column:
-    """Strip all leading and trailing whitespace (tabs, newlines, spaces). Native
-    trim with a character set: touches only the edges of long texts."""
-    return F.trim(col_(c), F.lit(_EDGE_WS_CHARS))
+def trim_ws(c, chars: str = STRIP_WS) -> Column:
+    """Strip leading and trailing white space, Unicode spaces included (as str.strip;
+    ``FORM_WS``: as the form's trim). Native trim with a character set: touches only the
+    edges of long texts."""
+    return F.trim(col_(c), F.lit(chars))
+
+
+def _fold_ws(c: Column) -> Column:
+    return trim_ws(F.regexp_replace(c, f"[{FORM_WS}]+", " "), FORM_WS)
 
 
 def clean_field(c) -> Column:
@@ -54,12 +62,12 @@ def row_id_of(text, category) -> Column:
 
 def normalized(c) -> Column:
     """UI normalisation: NULL to '', lower case, whitespace runs to one space, stripped."""
-    return trim_ws(F.regexp_replace(F.lower(F.coalesce(col_(c), F.lit(""))), r"\s+", " "))
+    return _fold_ws(F.lower(F.coalesce(col_(c), F.lit(""))))
 
 
 def collapse_ws_keep_case(c) -> Column:
     """Whitespace runs to one space, stripped, case kept."""
-    return trim_ws(F.regexp_replace(F.coalesce(col_(c), F.lit("")), r"\s+", " "))
+    return _fold_ws(F.coalesce(col_(c), F.lit("")))
 
 
 def title_words(c) -> Column:
@@ -88,20 +96,10 @@ def tokens_of(text) -> Column:
     return F.regexp_extract_all(F.lower(col_(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def ngrams_of(tokens) -> Column:
-    """Unigrams followed by adjacent bigrams of a token array."""
-    t = col_(tokens)
-    n = F.greatest(F.size(t) - 1, F.lit(0))
-    bigrams = F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n),
-                         lambda a, b: F.concat(a, F.lit(BIGRAM_JOIN), b))
-    return F.concat(t, bigrams)
-
-
 def ngram_array(text) -> Column:
     """Unigrams followed by adjacent bigrams, built without per-element lambdas:
     tokens are joined by one space (tokens hold no spaces) and every "token token"
-    pair is captured by an overlapping look-ahead match. Equal to
-    ``ngrams_of(tokens_of(text))``."""
+    pair is captured by an overlapping look-ahead match."""
     toks = tokens_of(text)
     pairs = F.regexp_extract_all(F.array_join(toks, BIGRAM_JOIN), F.lit(_PAIR_RE), F.lit(1))
     return F.concat(toks, pairs)

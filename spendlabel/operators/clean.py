@@ -8,8 +8,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import form_amount, iso_date_text, staging_amount, staging_date
-from ..functions.text import (clean_field, normalized, row_id_of, text_of, title_words,
+from ..functions.parse import form_amount, iso_date, iso_date_text, staging_amount, staging_date
+from ..functions.text import (FORM_WS, clean_field, normalized, row_id_of, text_of, title_words,
                               trim_ws)
 
 # Header synonyms of the labelled CSV, applied in this order, each only
@@ -26,12 +26,16 @@ REQUIRED_COLUMNS = ("vendor", "description", "category")
 MAPPING_ROWS = 50_000
 
 
+def lower_headers(df: DataFrame) -> DataFrame:
+    """Column names without byte-order mark and outer space, in lower case."""
+    return df.toDF(*[c.strip(FORM_WS).lower() for c in df.columns])
+
+
 def conform_columns(df: DataFrame, synonyms: Sequence[tuple[str, str]] = DEFAULT_SYNONYMS,
                     required: Iterable[str] = REQUIRED_COLUMNS) -> DataFrame:
     """Strip BOM and whitespace from headers, lower-case them, map synonyms and fail
     at plan time when a required column is missing."""
-    names = [c.replace("\ufeff", "").strip().lower() for c in df.columns]
-    out = df.toDF(*names)
+    out = lower_headers(df)
     for src, dst in synonyms:
         if src in out.columns and dst not in out.columns:
             out = out.withColumnRenamed(src, dst)
@@ -82,7 +86,7 @@ def coerce_amount(df: DataFrame, amount_col: str = "amount", date_col: str | Non
         (F.col("amount_num") > 0) & ~F.isnan("amount_num")
         & (F.col("amount_num") < F.lit(float("inf"))), F.lit(False)))
     if date_col is not None:
-        out = out.withColumn("date_iso", iso_date_text(F.col(date_col).try_cast("date")))
+        out = out.withColumn("date_iso", iso_date_text(iso_date(date_col)))
     return out
 
 
@@ -91,7 +95,7 @@ def display_category(df: DataFrame, col: str = "category", locale_order: bool =
 
     ``locale_order`` sorts with the UNICODE collation (a, A, b, C, é); ordering is
     for display only."""
-    keys = (df.select(F.lower(trim_ws(F.coalesce(F.col(col), F.lit("")))).alias("k"))
+    keys = (df.select(F.lower(trim_ws(F.coalesce(F.col(col), F.lit("")), FORM_WS)).alias("k"))
             .filter(F.length("k") > 0).distinct())
     out = keys.select(title_words("k").alias("category"))
     if locale_order:
@@ -111,6 +115,13 @@ def canonical_spellings(df: DataFrame, col: str = "category") -> DataFrame:
         F.min_by("spelling", F.struct((-F.col("count")).alias("nc"), F.col("spelling"))).alias("canonical"))
 
 
+def bounded_broadcast(small: DataFrame, limit: int = MAPPING_ROWS) -> DataFrame:
+    """A mapping of short names marked for broadcast when it has at most ``limit`` rows
+    (counted here), as it is otherwise."""
+    few = small.limit(limit + 1).collect()
+    return F.broadcast(small.sparkSession.createDataFrame(few, small.schema)) if len(few) <= limit else small
+
+
 def canonicalize_category(df: DataFrame, col: str = "category", known: list[str] | None = None) -> DataFrame:
     """Map every category to its canonical spelling; NULL/blank stays as is.
 
@@ -127,9 +138,7 @@ def canonicalize_category(df: DataFrame, col: str = "category", known: list[str]
         first = first.groupBy(normalized("name").alias("key")).agg(F.min("name").alias("name"))
         m = (m.join(F.broadcast(first), "key", "left")
              .select("key", F.coalesce("name", "canonical").alias("canonical")))
-    few = m.limit(MAPPING_ROWS + 1).collect()
-    if len(few) <= MAPPING_ROWS:
-        m = F.broadcast(df.sparkSession.createDataFrame(few, "key string, canonical string"))
+    m = bounded_broadcast(m)
     keyed = df.withColumn("__key", normalized(col))
     return (keyed.join(m, keyed["__key"] == m["key"], "left")
             .withColumn(col, F.coalesce(F.col("canonical"), F.col(col)))

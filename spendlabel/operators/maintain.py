@@ -104,14 +104,41 @@ def move_rows(src: DataFrame, cond: Column, source: str = SEED_SOURCE) -> tuple[
 
 
 def reconcile_move(before: DataFrame, kept: DataFrame, moved: DataFrame) -> DataFrame:
-    """One row: counts before and on each side, and whether they balance."""
-    b = before.agg(F.count(F.lit(1)).alias("before"))
-    k = kept.agg(F.count(F.lit(1))).scalar()
-    m = moved.agg(F.count(F.lit(1))).scalar()
-    return (b.select("before", k.alias("kept"), m.alias("moved"))
+    """One row: counts before and on each side, and whether they balance. Give it the
+    published tables: what was read before and what can be read back."""
+    n = F.count(F.lit(1))
+    sides = (before.agg(n.alias("c")).select(F.lit("before").alias("side"), "c")
+             .unionByName(kept.agg(n.alias("c")).select(F.lit("kept").alias("side"), "c"))
+             .unionByName(moved.agg(n.alias("c")).select(F.lit("moved").alias("side"), "c")))
+    return (sides.agg(*[F.sum(F.when(F.col("side") == x, F.col("c"))).alias(x) for x in ("before", "kept", "moved")])
             .withColumn("balanced", F.col("before") == F.col("kept") + F.col("moved")))
 
 
+def publish_move(store, src: DataFrame, cond: Column, source: str = SEED_SOURCE) -> int:
+    """Write both sides of :func:`move_rows` and commit them as one version: ``expenses``
+    keeps its columns, ``seed_expenses`` has those of the seed table. Returns the version."""
+    kept, moved = move_rows(src, cond, source)
+    seed = moved.select("vendor", "description", "category", "source")
+    return store.publish_tables({"expenses": kept, "seed_expenses": seed}, "move")
+
+
+def seed_users(users: DataFrame, email: str = "seed@system.local", company: str = "Seed") -> DataFrame:
+    """``users`` (id, company, email) with the seed user, created with the next id when absent."""
+    new = users.agg(F.max("id").alias("m"), F.count_if(F.col("email") == email).alias("n")).where("n = 0").select(
+        (F.coalesce("m", F.lit(0)) + 1).cast("long").alias("id"), F.lit(company).alias("company"), F.lit(email).alias("email"))
+    return users.select("id", "company", "email").unionByName(new)
+
+
+def publish_import(store, staging: DataFrame, expenses: DataFrame, users: DataFrame,
+                   seed_email: str = "seed@system.local") -> int:
+    """Land an import: the seed user exists, the imported rows stand behind the existing
+    ones, and both tables become visible as one version. Returns the version."""
+    with_seed = seed_users(users, seed_email)
+    rows = import_expenses(staging, expenses, with_seed, seed_email)
+    cols = ["expense_id", "user_id", "expense_date", "amount", "vendor", "description", "category"]
+    return store.publish_tables({"users": with_seed, "expenses": expenses.select(*cols).unionByName(rows.select(*cols))}, "import")
+
+
 def latest_label(labels: DataFrame, keys: Sequence[str] = ("user_id", "expense_id"),
                  order: Sequence[str] = ("created_at", "id")) -> DataFrame:
     """One label per key, newest wins (ties by id); rows with a NULL key part are

@@ -12,25 +12,27 @@ from pyspark.sql import functions as F
 def run_metrics(rows: DataFrame, ledger: DataFrame, text: str = "text",
                 category: str = "category", id_col: str = "row_id") -> DataFrame:
     """One row for a run: rows read, valid rows, distinct ids, rows not yet in the
-    ledger, classes. One aggregate after a left join flags the learned ids (the
-    ledger is reduced to distinct ids first, so the join cannot multiply rows)."""
-    seen = ledger.select(id_col).distinct().withColumn("__seen", F.lit(True))
-    flagged = rows.join(seen, id_col, "left")
+    ledger, classes. Copies of a row id are merged first (map-side, one small row each);
+    the join with the ledger and the totals then see every id once."""
     valid = (F.length(F.coalesce(F.col(text), F.lit(""))) > 0) & (F.length(F.coalesce(F.col(category), F.lit(""))) > 0)
-    return flagged.agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count_if(valid).alias("rows_valid"),
-        F.countDistinct(id_col).alias("distinct_ids"),
-        F.count_if(F.col("__seen").isNull()).alias("rows_new"),
-        F.countDistinct(category).alias("classes"))
+    ids = rows.groupBy(id_col, category).agg(F.count(F.lit(1)).alias("__n"), F.count_if(valid).alias("__v"))
+    seen = ledger.select(id_col).distinct().withColumn("__seen", F.lit(True))
+    flagged = ids.join(seen, id_col, "left")
+    per_class = flagged.groupBy(category).agg(
+        F.sum("__n").alias("__n"), F.sum("__v").alias("__v"), F.count(F.lit(1)).alias("__ids"),
+        F.coalesce(F.sum(F.when(F.col("__seen").isNull(), F.col("__n"))), F.lit(0)).alias("__new"))
+    return per_class.agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("rows_read"), F.coalesce(F.sum("__v"), F.lit(0)).alias("rows_valid"),
+        F.coalesce(F.sum("__ids"), F.lit(0)).alias("distinct_ids"), F.coalesce(F.sum("__new"), F.lit(0)).alias("rows_new"),
+        F.count(category).alias("classes"))
 
 
 def acceptance_rate(labels: DataFrame, by: Sequence[str], predicted: str = "predicted",
                     chosen: str = "chosen_cat") -> DataFrame:
-    """Share of labels where the prediction was accepted, per group."""
-    return labels.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("labels"),
-        F.avg((F.col(predicted) == F.col(chosen)).cast("double")).alias("acceptance"))
+    """Share of labels where the prediction was accepted, per group. A label without a
+    prediction counts and is not accepted."""
+    hit = F.coalesce(F.col(predicted) == F.col(chosen), F.lit(False))
+    return labels.groupBy(*by).agg(F.count(F.lit(1)).alias("labels"), F.avg(hit.cast("double")).alias("acceptance"))
 
 
 def user_timeline(labels: DataFrame, n: int, user: str = "user_id",

@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_ws_keep_case, normalized, trim_ws
+from ..functions.text import FORM_WS, collapse_ws_keep_case, normalized, trim_ws
+from .clean import bounded_broadcast, lower_headers
 
+# The columns training rows and feedback rows share.
 FEEDBACK_KEEP = ("date", "amount", "vendor", "description", "category")
 
 
@@ -47,7 +49,7 @@ def training_view(labels: DataFrame, seed: DataFrame) -> DataFrame:
 
 
 def _as_text_frame(df: DataFrame) -> DataFrame:
-    df = df.toDF(*[c.replace("\ufeff", "").strip().lower() for c in df.columns])
+    df = lower_headers(df)
     return df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns
                         else F.lit("")).alias(c) for c in FEEDBACK_KEEP])
 
@@ -82,9 +84,9 @@ def known_categories(classes: DataFrame, feedback: DataFrame, col: str = "catego
 def suggestion_chips(scored: DataFrame, pred: str = "category", top: str = "top") -> DataFrame:
     """``chips``: predicted category followed by the top-k names, stripped, blank
     tops removed, first occurrence kept."""
-    tops = F.filter(F.transform(F.col(top), lambda t: trim_ws(F.coalesce(t["category"], F.lit("")))),
+    tops = F.filter(F.transform(F.col(top), lambda t: trim_ws(F.coalesce(t["category"], F.lit("")), FORM_WS)),
                     lambda x: F.length(x) > 0)
-    chips = F.array_distinct(F.concat(F.array(trim_ws(F.coalesce(F.col(pred), F.lit("")))), tops))
+    chips = F.array_distinct(F.concat(F.array(trim_ws(F.coalesce(F.col(pred), F.lit("")), FORM_WS)), tops))
     return scored.withColumn("chips", chips)
 
 
@@ -108,25 +110,27 @@ def _substrings(df: DataFrame, col: str, max_len: int | None) -> DataFrame:
 def suggest_categories(queries: DataFrame, categories: DataFrame, limit: int = 8,
                        qcol: str = "q", ccol: str = "category") -> DataFrame:
     """Per query: categories starting with it, then those containing it, first
-    ``limit`` in display order; an empty query gets the first ``limit``.
+    ``limit`` in display order (locale order: letters before accents before case, so É
+    stands by E); an empty query gets the first ``limit``.
 
     A 'contains' match is an equi-join of the query with every substring of each
     category (no cross join). Ranking is a row_number <= limit filter, which Spark
     turns into a partial top-k before the shuffle."""
-    q = queries.select(F.lower(trim_ws(F.coalesce(F.col(qcol), F.lit("")))).alias("q")).distinct()
+    q = queries.select(F.lower(trim_ws(F.coalesce(F.col(qcol), F.lit("")), FORM_WS)).alias("q")).distinct()
     cats = categories.select(F.col(ccol).alias("category")).distinct()
     max_q = q.agg(F.max(F.length("q"))).first()[0] or 0
     subs = _substrings(cats, "category", max(int(max_q), 1))
     hits = (q.filter(F.length("q") > 0)
             .join(subs, F.col("q") == F.col("sub"))
             .groupBy("q", "category").agg(F.min("pos").alias("pos")))
-    order = [F.when(F.col("pos") == 1, 0).otherwise(1), F.lower("category"), F.col("category")]
+    shown = [F.collate("category", "UNICODE"), F.col("category")]
+    order = [F.when(F.col("pos") == 1, 0).otherwise(1), *shown]
     w = Window.partitionBy("q").orderBy(*order)
     ranked = (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
               .withColumn("rank", F.col("rank").cast("long")))
     firsts = (cats.withColumn("q", F.lit(""))
               .withColumn("rank", F.row_number().over(
-                  Window.partitionBy("q").orderBy(F.lower("category"), "category")))
+                  Window.partitionBy("q").orderBy(*shown)))
               .filter(F.col("rank") <= limit)
               .withColumn("rank", F.col("rank").cast("long")))
     # The empty query gets the first ``limit`` categories when it was asked at all
@@ -143,11 +147,19 @@ def match_suggestion(labels: DataFrame, suggestions: DataFrame, col: str = "cate
     sug = (suggestions.select(normalized(scol).alias("__k"), F.col(scol).alias("__s"))
            .groupBy("__k").agg(F.min("__s").alias("__s")))
     keyed = labels.withColumn("__k", normalized(col))
-    return (keyed.join(sug, "__k", "left")
+    return (keyed.join(bounded_broadcast(sug), "__k", "left")
             .withColumn(col, F.coalesce(F.col("__s"), collapse_ws_keep_case(col)))
             .drop("__k", "__s"))
 
 
+def match_chips(df: DataFrame, col: str = "category", chips: str = "chips") -> DataFrame:
+    """Replace free text by the first of the row's own chips that equals it after
+    normalisation, else keep the white-space-normalised text."""
+    key = normalized(col)
+    hit = F.get(F.filter(F.col(chips), lambda c: normalized(c) == key), F.lit(0))
+    return df.withColumn(col, F.coalesce(hit, collapse_ws_keep_case(col)))
+
+
 def cascade_delete(labels: DataFrame, expenses: DataFrame, key: str = "expense_id") -> DataFrame:
     """Drop labels whose expense no longer exists; labels without an expense stay."""
     linked = labels.filter(F.col(key).isNotNull()).join(expenses.select(key), key, "left_semi")
@@ -160,8 +172,10 @@ def get_or_create(dim: DataFrame, incoming: DataFrame, key: str, id_col: str = "
     from .maintain import assign_positions
 
     keys = incoming.select(key).filter(F.col(key).isNotNull()).distinct()
-    found = keys.join(dim.select(key, id_col), key, "inner").withColumn("created", F.lit(False))
-    new = keys.join(dim.select(key), key, "left_anti")
+    # a key that the dimension holds twice keeps its first id
+    held = dim.groupBy(key).agg(F.min(id_col).alias(id_col))
+    found = keys.join(held, key, "inner").withColumn("created", F.lit(False))
+    new = keys.join(held, key, "left_anti")
     base = dim.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
     numbered = assign_positions(new, F.md5(F.col(key).cast("string")), [key])
     made = numbered.select(key, (base + F.col("pos")).alias(id_col), F.lit(True).alias("created"))

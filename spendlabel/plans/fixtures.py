@@ -126,6 +126,42 @@ class Fixtures:
             "chosen_cat", "predicted", "source", "created_at")
         return base.unionByName(second).unionByName(orphan)
 
+    @cached_property
+    def user_labels_bad(self) -> DataFrame:
+        """F4y: F4x with cells that break every integrity rule, and missing predictions."""
+        k = F.pmod(F.col("id"), F.lit(50))
+
+        def gone(c: str, *at: int):
+            return F.when(~k.isin(*at), F.col(c)).alias(c)
+        return self.user_labels_x.select(
+            "id", gone("user_id", 1), "expense_id", gone("vendor", 2), gone("description", 3), gone("chosen_cat", 4),
+            gone("predicted", 6, 9), F.when(k == 7, F.lit("guess")).when(k != 5, F.col("source")).alias("source"),
+            gone("created_at", 8))
+
+    # F6 ---------------------------------------------------------------------------
+    @cached_property
+    def messy(self) -> DataFrame:
+        """Expenses with Unicode spaces, missing and overlong cells, dates of other shapes and
+        amounts that only look like numbers."""
+        k, c = F.pmod(F.col("expense_id"), F.lit(8)), F.col
+        date, amount = c("expense_date").cast("string"), c("amount").cast("string")
+        return self.expenses.select(
+            "expense_id",
+            F.when(k == 0, F.concat(F.lit("\u00a0"), "vendor", F.lit("\u2003")))
+             .when(k == 1, F.concat(F.lit("\x1c"), "vendor", F.lit("\x85")))
+             .when(k == 2, F.concat(F.lit("\ufeff"), "vendor", F.lit("\t")))
+             .when(k == 6, F.lit("")).otherwise(c("vendor")).alias("vendor"),
+            F.when(k == 3, F.replace("description", F.lit(" "), F.lit("\u00a0\u2009")))
+             .when(k == 5, F.repeat(F.concat("description", F.lit(" ")), 12))
+             .when(k != 7, c("description")).alias("description"),
+            F.when(k == 4, F.concat(F.lit("\u3000"), F.lower("category"), F.lit("\u2028")))
+             .otherwise(c("category")).alias("category"),
+            F.when(k == 0, F.lit("2025")).when(k == 1, F.lit("2025-08")).when(k == 2, F.concat(date, F.lit("Tjunk")))
+             .otherwise(date).alias("date_txt"),
+            F.when(k == 0, F.concat(amount, F.lit("d"))).when(k == 1, F.concat(amount, F.lit("f")))
+             .when(k == 2, F.lit("1e2")).when(k == 3, F.lit("0x10")).when(k == 4, F.lit("\u00a01,234.567 "))
+             .when(k == 5, F.lit("Infinity")).otherwise(amount).alias("amount_txt"))
+
     # F5 ---------------------------------------------------------------------------
     @cached_property
     def feedback(self) -> DataFrame:

@@ -4,9 +4,26 @@ the checker; fixtures are inlined as CTEs."""
 
 from __future__ import annotations
 
+import unicodedata
+
+
+def _chars(chars) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in chars)
+
+
+# From the definitions of the two sides, not from the Spark code: what Python calls space,
+# and ECMAScript's WhiteSpace and LineTerminator.
+_BMP = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+PY_SPACE = _chars(c for c in _BMP if c.isspace())
+JS_SPACE = _chars("\t\v\f\ufeff\n\r\u2028\u2029" + "".join(c for c in _BMP if unicodedata.category(c) == "Zs"))
+
 
 def trim_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {PY_SPACE})"
+
+
+def form_trim(x: str) -> str:
+    return f"trim({x}, {JS_SPACE})"
 
 
 def clean_field(x: str) -> str:
@@ -18,11 +35,11 @@ def text_of(v: str = "vendor", d: str = "description") -> str:
 
 
 def normalized(x: str) -> str:
-    return trim_ws(f"regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g')")
+    return form_trim(f"regexp_replace(lower(coalesce({x}, '')), '[' || {JS_SPACE} || ']+', ' ', 'g')")
 
 
 def collapse_keep_case(x: str) -> str:
-    return trim_ws(f"regexp_replace(coalesce({x}, ''), '\\s+', ' ', 'g')")
+    return form_trim(f"regexp_replace(coalesce({x}, ''), '[' || {JS_SPACE} || ']+', ' ', 'g')")
 
 
 def row_id_of(text: str = "text", cat: str = "category") -> str:
@@ -46,9 +63,14 @@ def staging_amount(x: str) -> str:
 
 
 def form_amount(x: str) -> str:
-    inner = trim_ws(f"regexp_replace(coalesce({x}, ''), ',', '', 'g')")
+    inner = form_trim(f"regexp_replace(coalesce({x}, ''), ',', '', 'g')")
     cut = f"regexp_replace({inner}, '^([^.]*\\.[0-9]{{2}})[0-9]+$', '\\1')"
-    return f"TRY_CAST({cut} AS DOUBLE)"
+    return (f"CASE WHEN regexp_matches({cut}, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') "
+            f"THEN TRY_CAST({cut} AS DOUBLE) END")
+
+
+def iso_date(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN TRY_CAST({x} AS DATE) END"
 
 
 def tokens_of(x: str) -> str:
@@ -117,6 +139,30 @@ F5 = """feedback AS (
          strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at_utc, id AS fb_id
   FROM labels_base WHERE source = 'correction')"""
 
+F4Y = """user_labels_bad AS (
+  SELECT id, CASE WHEN id % 50 = 1 THEN NULL ELSE user_id END AS user_id, expense_id,
+         CASE WHEN id % 50 = 2 THEN NULL ELSE vendor END AS vendor,
+         CASE WHEN id % 50 = 3 THEN NULL ELSE description END AS description,
+         CASE WHEN id % 50 = 4 THEN NULL ELSE chosen_cat END AS chosen_cat,
+         CASE WHEN id % 50 IN (6, 9) THEN NULL ELSE predicted END AS predicted,
+         CASE WHEN id % 50 = 5 THEN NULL WHEN id % 50 = 7 THEN 'guess' ELSE source END AS source,
+         CASE WHEN id % 50 = 8 THEN NULL ELSE created_at END AS created_at
+  FROM user_labels_x)"""
+
+F6 = """messy AS (
+  SELECT expense_id,
+         CASE expense_id % 8 WHEN 0 THEN chr(160) || vendor || chr(8195) WHEN 1 THEN chr(28) || vendor || chr(133)
+              WHEN 2 THEN chr(65279) || vendor || chr(9) WHEN 6 THEN '' ELSE vendor END AS vendor,
+         CASE expense_id % 8 WHEN 3 THEN replace(description, ' ', chr(160) || chr(8201))
+              WHEN 5 THEN repeat(description || ' ', 12) WHEN 7 THEN NULL ELSE description END AS description,
+         CASE expense_id % 8 WHEN 4 THEN chr(12288) || lower(category) || chr(8232) ELSE category END AS category,
+         CASE expense_id % 8 WHEN 0 THEN '2025' WHEN 1 THEN '2025-08' WHEN 2 THEN CAST(expense_date AS VARCHAR) || 'Tjunk'
+              ELSE CAST(expense_date AS VARCHAR) END AS date_txt,
+         CASE expense_id % 8 WHEN 0 THEN CAST(amount AS VARCHAR) || 'd' WHEN 1 THEN CAST(amount AS VARCHAR) || 'f'
+              WHEN 2 THEN '1e2' WHEN 3 THEN '0x10' WHEN 4 THEN chr(160) || '1,234.567 '
+              WHEN 5 THEN 'Infinity' ELSE CAST(amount AS VARCHAR) END AS amount_txt
+  FROM expenses)"""
+
 _DEPS = {
     "expenses": [],
     "labeled_text": [],
@@ -124,10 +170,12 @@ _DEPS = {
     "labels_base": ["expenses"],
     "user_labels": ["labels_base"],
     "user_labels_x": ["user_labels"],
+    "user_labels_bad": ["user_labels_x"],
     "feedback": ["labels_base"],
+    "messy": ["expenses"],
 }
 _CTE = {"expenses": F1, "labeled_text": F2, "staging": F3, "labels_base": F4_BASE,
-        "user_labels": F4, "user_labels_x": F4X, "feedback": F5}
+        "user_labels": F4, "user_labels_x": F4X, "user_labels_bad": F4Y, "feedback": F5, "messy": F6}
 
 
 def with_fixtures(names: list[str], *extra: str) -> str:

@@ -20,6 +20,15 @@ def build_text(fx):
     return C.build_text(fx.expenses).select("expense_id", "vendor", "description", "category", "text")
 
 
+@query("build_text_messy", Q.with_fixtures(["messy"]) + f"""
+SELECT expense_id, {Q.clean_field('vendor')} AS vendor, {Q.clean_field('description')} AS description,
+       {Q.clean_field('category')} AS category, {_TEXT} AS text,
+       {Q.row_id_of(_TEXT, Q.clean_field('category'))} AS row_id
+FROM messy""")
+def build_text_messy(fx):
+    return C.with_row_id(C.build_text(fx.messy)).select("expense_id", "vendor", "description", "category", "text", "row_id")
+
+
 # -- O12 ---------------------------------------------------------------------------
 @query("row_id", Q.with_fixtures(["expenses"]) + f"""
 SELECT expense_id, {Q.row_id_of(_TEXT, Q.clean_field('category'))} AS row_id FROM expenses""")
@@ -36,6 +45,14 @@ def normalize_text(fx):
         "fb_id", "vendor", "description", "category")
 
 
+@query("normalize_text_messy", Q.with_fixtures(["messy"]) + f"""
+SELECT expense_id, {Q.normalized('vendor')} AS vendor, {Q.normalized('description')} AS description,
+       {Q.normalized('category')} AS category FROM messy""")
+def normalize_text_messy(fx):
+    return C.normalize_text(fx.messy, ["vendor", "description", "category"]).select(
+        "expense_id", "vendor", "description", "category")
+
+
 # -- O14 ---------------------------------------------------------------------------
 @query("parse_staging", Q.with_fixtures(["staging"]) + f"""
 SELECT expense_id, {Q.staging_date('date_txt')} AS expense_date,
@@ -53,13 +70,27 @@ def parse_staging(fx):
 SELECT expense_id, {Q.form_amount('amount_txt')} AS amount_num,
        coalesce({Q.form_amount('amount_txt')} > 0 AND NOT isnan({Q.form_amount('amount_txt')})
                 AND {Q.form_amount('amount_txt')} < 'inf'::DOUBLE, false) AS amount_ok,
-       strftime(TRY_CAST(date_txt AS DATE), '%Y-%m-%d') AS date_iso
+       strftime({Q.iso_date('date_txt')}, '%Y-%m-%d') AS date_iso
 FROM staging""")
 def coerce_amount(fx):
     return C.coerce_amount(fx.staging, "amount_txt", "date_txt").select(
         "expense_id", "amount_num", "amount_ok", "date_iso")
 
 
+def _coerce_sql(src: str) -> str:
+    amt = Q.form_amount("amount_txt")
+    return f"""
+SELECT expense_id, {amt} AS amount_num,
+       coalesce({amt} > 0 AND NOT isnan({amt}) AND {amt} < 'inf'::DOUBLE, false) AS amount_ok,
+       strftime({Q.iso_date('date_txt')}, '%Y-%m-%d') AS date_iso
+FROM {src}"""
+
+
+@query("coerce_amount_messy", Q.with_fixtures(["messy"]) + _coerce_sql("messy"))
+def coerce_amount_messy(fx):
+    return C.coerce_amount(fx.messy, "amount_txt", "date_txt").select("expense_id", "amount_num", "amount_ok", "date_iso")
+
+
 # -- O16 ---------------------------------------------------------------------------
 @query("display_category", Q.with_fixtures(["feedback"]) + f"""
 SELECT {Q.title_words('k')} AS category FROM (
@@ -134,6 +165,12 @@ def labeled_only(fx):
     return V.labeled_only(fx.user_labels).select("id", "user_id", "chosen_cat")
 
 
+@query("for_user", Q.with_fixtures(["user_labels"]) + """
+SELECT id, expense_id, chosen_cat FROM user_labels WHERE user_id = 10""")
+def for_user(fx):
+    return V.for_user(fx.user_labels, 10).select("id", "expense_id", "chosen_cat")
+
+
 # -- O21 ---------------------------------------------------------------------------
 def _form_reasons_sql() -> str:
     amt = Q.form_amount("amount_txt")
@@ -162,8 +199,45 @@ def validate_expenses(fx):
                           F.array_join("reasons", ",").alias("reasons"))
 
 
+def _split_sql(src: str, reasons: str) -> str:
+    return f"""
+SELECT expense_id, CASE WHEN len(r) = 0 THEN 'valid' ELSE 'rejected' END AS side, array_to_string(r, ',') AS reasons
+FROM (SELECT expense_id, {reasons} AS r FROM {src}) t"""
+
+
+def _listed(rules) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for c, r in rules) + "], lambda x: x IS NOT NULL)"
+
+
+_API_RULES = [(f"length(coalesce({c}, '')) < 1", f"{c}_missing") for c in ("vendor", "description", "category")]
+_STORAGE_RULES = [(f"length(coalesce({c}, '')) > {n}", f"{c}_too_long")
+                  for c, n in (("vendor", 255), ("description", 255), ("category", 100))]
+
+
+def _both_sides(df, profile: str, **kw):
+    """The (valid, rejected) split put together again."""
+    valid, rejected = V.validate_expenses(df, profile, **kw)
+    return (valid.select("expense_id", F.lit("valid").alias("side"), F.lit("").alias("reasons"))
+            .unionByName(rejected.select("expense_id", F.lit("rejected").alias("side"), F.array_join("reasons", ",").alias("reasons"))))
+
+
+@query("validate_split", Q.with_fixtures(["messy"]) + _split_sql("messy", _form_reasons_sql()))
+def validate_split(fx):
+    return _both_sides(C.parse_staging(fx.messy), "form", amount_text="amount_txt", date_value="expense_date")
+
+
+@query("validate_api", Q.with_fixtures(["messy"]) + _split_sql("messy", _listed(_API_RULES)))
+def validate_api(fx):
+    return _both_sides(fx.messy, "api")
+
+
+@query("validate_storage", Q.with_fixtures(["messy"]) + _split_sql("messy", _listed(_STORAGE_RULES)))
+def validate_storage(fx):
+    return _both_sides(fx.messy, "storage")
+
+
 # -- O22 ---------------------------------------------------------------------------
-@query("integrity_report", Q.with_fixtures(["expenses", "user_labels_x"], """
+_INTEGRITY = """
 counts AS (
   SELECT 'not_null_user_id' AS rule, CAST(count(*) FILTER (WHERE user_id IS NULL) AS BIGINT) AS violations FROM user_labels_x
   UNION ALL SELECT 'not_null_vendor', CAST(count(*) FILTER (WHERE vendor IS NULL) AS BIGINT) FROM user_labels_x
@@ -178,7 +252,18 @@ counts AS (
          GROUP BY 1, 2 HAVING count(*) > 1) d
   UNION ALL SELECT 'expense_exists', CAST(count(*) AS BIGINT) FROM user_labels_x l
          WHERE expense_id IS NOT NULL
-           AND NOT EXISTS (SELECT 1 FROM expenses e WHERE e.expense_id = l.expense_id))""") + """
-SELECT rule, violations FROM counts WHERE violations > 0""")
+           AND NOT EXISTS (SELECT 1 FROM expenses e WHERE e.expense_id = l.expense_id))"""
+_VIOLATED = """
+SELECT rule, violations FROM counts WHERE violations > 0"""
+
+
+@query("integrity_report", Q.with_fixtures(["expenses", "user_labels_x"], _INTEGRITY) + _VIOLATED)
 def integrity_report(fx):
     return V.integrity_report(fx.user_labels_x, fx.expenses)
+
+
+@query("integrity_report_bad", Q.with_fixtures(
+    ["expenses", "user_labels_bad"], _INTEGRITY.replace("user_labels_x", "user_labels_bad")) + _VIOLATED)
+def integrity_report_bad(fx):
+    """Every rule is broken in this fixture."""
+    return V.integrity_report(fx.user_labels_bad, fx.expenses)

@@ -32,6 +32,20 @@ def read_labeled_csv(fx):
     return back.select(F.col("id").cast("long").alias("expense_id"), "vendor", "description", "category")
 
 
+@query("read_labeled_csv_mixed", Q.with_fixtures(["expenses"]) + """
+SELECT expense_id, vendor, description, category FROM expenses""")
+def read_labeled_csv_mixed(fx):
+    """Files of one folder with their columns in another order."""
+    p = scratch_path(fx.spark, "mixed_csv")
+    e = fx.expenses
+    even = F.col("expense_id") % 2 == 0
+    for part in (e.filter(even).select("expense_id", "vendor", "description", "category"),
+                 e.filter(~even).select("category", "description", "expense_id", "vendor")):
+        part.write.mode("append").options(header="true", escape='"').csv(p)
+    back = C.conform_columns(IO.read_labeled_csv(fx.spark, p))
+    return back.select(F.col("expense_id").cast("long"), "vendor", "description", "category")
+
+
 # -- O2 ----------------------------------------------------------------------------
 @query("read_staging_csv", Q.with_fixtures(["staging"]) + """
 SELECT vendor, description, category, date_txt, amount_txt FROM staging""")
@@ -50,6 +64,20 @@ def read_feedback(fx):
     return IO.read_feedback(fx.spark, p)
 
 
+@query("read_feedback_mixed", Q.with_fixtures(["feedback"]) + """
+SELECT date, amount, vendor, description, category,
+       CASE WHEN fb_id % 2 = 0 THEN source END AS source, created_at_utc FROM feedback""")
+def read_feedback_mixed(fx):
+    """A log whose later files have another column order and lack a column."""
+    p = scratch_path(fx.spark, "feedback_mixed")
+    fb = fx.feedback
+    even = F.col("fb_id") % 2 == 0
+    for part in (fb.filter(even).select(*IO.FEEDBACK_FIELDS),
+                 fb.filter(~even).select("vendor", "created_at_utc", "category", "description", "amount", "date")):
+        part.write.mode("append").options(header="true", escape='"').csv(p)
+    return IO.read_feedback(fx.spark, p)
+
+
 # -- O4 ----------------------------------------------------------------------------
 @query("append_feedback", Q.with_fixtures(["feedback"]) + """
 SELECT date, amount, vendor, description, category, 'feedback_api' AS source FROM feedback
@@ -150,7 +178,7 @@ def _feedback_valid_sql() -> str:
     return Q.with_fixtures(["feedback"]) + f"""
 SELECT date, amount, {nv} AS vendor, {nd} AS description, {nc} AS category, source, created_at_utc
 FROM feedback
-WHERE TRY_CAST(date AS DATE) IS NOT NULL
+WHERE {Q.iso_date('date')} IS NOT NULL
   AND coalesce({amt} >= 0.01 AND NOT isnan({amt}) AND {amt} < 'inf'::DOUBLE, false)
   AND length(coalesce(amount, '')) <= 12
   AND length({nv}) >= 3 AND length({nv}) <= 30
@@ -306,6 +334,16 @@ SELECT id, vendor,
 FROM spaced"""
 
 
+@query("synthesize_balanced", f"""
+SELECT id, {_sql_list(SY.CATEGORIES)}[CAST((pos - 1) % {len(SY.CATEGORIES)} AS INTEGER) + 1] AS category
+FROM (SELECT o_orderkey AS id, row_number() OVER (
+        ORDER BY md5('{_SYN_SEED}:' || CAST(o_orderkey AS VARCHAR) || ':deal'), o_orderkey) AS pos FROM orders)""")
+def synthesize_balanced(fx):
+    """Categories dealt in turn: equally many rows of each."""
+    return SY.synthesize_expenses(fx.t.orders.select("o_orderkey"), "o_orderkey", _SYN_SEED, _SYN_AS_OF,
+                                  balanced=True).select("id", "category")
+
+
 @query("synthesize_expenses", _synth_sql())
 def synthesize_expenses(fx):
     return SY.synthesize_expenses(fx.t.orders.select("o_orderkey"), "o_orderkey", _SYN_SEED, _SYN_AS_OF)

@@ -58,14 +58,14 @@ _DOCS = f"""docs AS (
   FROM labeled_text)"""
 
 
-def _feats(name: str, src: str, key: str) -> str:
+def _feats(name: str, src: str, key: str, bits: int = 20) -> str:
     """CTE ``name``(key, bucket, x) of the texts in ``src``."""
     return f"""{name}_t AS (
   SELECT {key}, {Q.tokens_of('text')} AS t FROM {src}),
 {name}_g AS (
   SELECT {key}, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS g
   FROM {name}_t),
-{name}_tf AS (SELECT {key}, {Q.bucket_of('g')} AS bucket, count(*) AS tf FROM {name}_g GROUP BY 1, 2),
+{name}_tf AS (SELECT {key}, {Q.bucket_of('g', bits)} AS bucket, count(*) AS tf FROM {name}_g GROUP BY 1, 2),
 {name} AS (
   SELECT {key}, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY {key})) AS x FROM {name}_tf)"""
 
@@ -81,13 +81,13 @@ split AS (
   FROM ranked)"""
 
 
-def _step_sql(train_src: str) -> str:
+def _step_sql(train_src: str, bits: int = 20) -> str:
     """CTEs of the one-step model trained on ``train_src`` (text, category, row_id):
     classes(class_id, cls), wt(bucket, class_id, cls, w), bias(class_id, cls, b)."""
     return f"""trows AS (
   SELECT row_id, min(text) AS text, min(category) AS category, count(*) AS weight
   FROM {train_src} GROUP BY row_id),
-{_feats('tfeats', 'trows', 'row_id')},
+{_feats('tfeats', 'trows', 'row_id', bits)},
 classes AS (
   SELECT category AS cls, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS class_id
   FROM (SELECT DISTINCT category FROM trows)),
@@ -128,10 +128,10 @@ b{i} AS MATERIALIZED (
     return ",\n".join(out)
 
 
-def _score_sql(src: str) -> str:
+def _score_sql(src: str, bits: int = 20) -> str:
     """CTEs scoring the rows of ``src`` (row_key, text) with the step model:
     marg(row_key, class_id, cls, m), prob(row_key, class_id, cls, p)."""
-    return f"""{_feats('sfeats', src, 'row_key')},
+    return f"""{_feats('sfeats', src, 'row_key', bits)},
 dots AS (SELECT row_key, class_id, sum(x * w) AS m FROM sfeats JOIN wt USING (bucket) GROUP BY 1, 2),
 marg AS (
   SELECT s.row_key, c.class_id, c.cls, coalesce(dots.m, 0.0) + bias.b AS m
@@ -364,6 +364,16 @@ def acceptance_rate(fx):
         F.col("predicted").alias("category"), "labels", _r6(F.col("acceptance")).alias("acceptance"))
 
 
+@query("acceptance_rate_missing", Q.with_fixtures(["user_labels_bad"]) + """
+SELECT predicted AS category, count(*) AS labels,
+       round(avg(CASE WHEN predicted = chosen_cat THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS acceptance
+FROM user_labels_bad GROUP BY predicted""")
+def acceptance_rate_missing(fx):
+    """Labels without a prediction count as not accepted."""
+    return MT.acceptance_rate(fx.user_labels_bad, ["predicted"]).select(
+        F.col("predicted").alias("category"), "labels", _r6(F.col("acceptance")).alias("acceptance"))
+
+
 @query("acceptance_rate_daily", Q.with_fixtures(["user_labels"]) + """
 SELECT CAST(created_at AS DATE) AS day, count(*) AS labels,
        round(avg(CASE WHEN predicted = chosen_cat THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS acceptance
@@ -382,3 +392,50 @@ SELECT user_id, id, chosen_cat, rank FROM (
   FROM user_labels_x) t WHERE rank <= 5""")
 def user_timeline(fx):
     return MT.user_timeline(fx.user_labels_x, 5).select("user_id", "id", "chosen_cat", "rank")
+
+
+@query("user_expenses", Q.with_fixtures(["expenses"]) + """
+SELECT expense_id, expense_date, amount FROM expenses
+WHERE user_id = 10 AND expense_date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'""")
+def user_expenses(fx):
+    return MT.user_expenses(fx.expenses, 10, "1994-01-01", "1996-12-31").select("expense_id", "expense_date", "amount")
+
+
+@query("labels_of", Q.with_fixtures(["expenses", "user_labels_x"]) + """
+SELECT id, expense_id, chosen_cat FROM user_labels_x
+WHERE expense_id IN (SELECT expense_id FROM expenses WHERE amount > 100000)""")
+def labels_of(fx):
+    return MT.labels_of(fx.user_labels_x, fx.expenses.filter(F.col("amount") > 100000)).select("id", "expense_id", "chosen_cat")
+
+
+# -- O27 over the row's own chips --------------------------------------------------
+@query("match_chips", _model_sql(f"""
+chips AS (SELECT row_key, list(cls ORDER BY rank) AS chips FROM ranked_p WHERE rank <= 3 GROUP BY row_key),
+typed AS (SELECT row_key, chips, ' ' || upper(category) || chr(160) AS category FROM chips JOIN labeled_text USING (row_key))""") + f"""
+SELECT row_key, coalesce(list_filter(chips, lambda c: {Q.normalized('c')} = {Q.normalized('category')})[1],
+                         {Q.collapse_keep_case('category')}) AS category FROM typed""")
+def match_chips(fx):
+    from ..operators import sets as S
+    docs = _docs(fx)
+    sc, _rej = MD.score_batch(fx.labeled_text, _one_step(docs), "row_key")
+    typed = fx.labeled_text.select("row_key", F.concat(F.lit(" "), F.upper("category"), F.lit("\u00a0")).alias("typed"))
+    rows = S.suggestion_chips(sc, "category", "top").select("row_key", "chips").join(typed, "row_key")
+    return S.match_chips(rows, "typed").select("row_key", F.col("typed").alias("category"))
+
+
+# -- O39 / O45 with many classes ---------------------------------------------------
+_MANY_BITS = 16
+_VENDOR_ROWS = f"""vrows AS (
+  SELECT expense_id AS row_key, {Q.text_of()} AS text, {Q.clean_field('vendor')} AS category,
+         {Q.row_id_of(Q.text_of(), Q.clean_field('vendor'))} AS row_id FROM expenses)"""
+
+
+@query("score_many_classes", Q.with_fixtures(["expenses"], _VENDOR_ROWS, _step_sql("vrows", _MANY_BITS), _score_sql("vrows", _MANY_BITS)) + """
+SELECT row_key, round(max(p), 6) + 0.0 AS best, count(*) AS classes FROM prob GROUP BY row_key""")
+def score_many_classes(fx):
+    """Every vendor a class: trained and scored in blocks of classes."""
+    rows = C.build_text(fx.expenses.withColumn("category", F.col("vendor")))
+    rows = C.with_row_id(rows)
+    m = MD.full_refit(rows, steps=1, bits=_MANY_BITS)
+    sc = MD.score_ovr(rows.select(F.col("expense_id").alias("row_key"), "text"), m)
+    return sc.select("row_key", _r6(F.array_max("prob")).alias("best"), F.size("prob").cast("long").alias("classes"))

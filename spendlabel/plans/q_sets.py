@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators import maintain as M
 from ..operators import sets as S
+from ..session import scratch_path
+from ..sources.store import VersionedStore
 from . import oracle as Q
 from .catalog import query
 
@@ -119,6 +121,22 @@ def new_labels(fx):
 
 
 # -- O25 ---------------------------------------------------------------------------
+@query("get_or_create_repeated", Q.with_fixtures(["expenses", "feedback"], """
+keys AS (SELECT DISTINCT vendor FROM (SELECT vendor FROM expenses UNION ALL SELECT vendor FROM feedback) t
+         WHERE vendor IS NOT NULL)""") + """
+SELECT k.vendor, min(s.s_suppkey) AS id, false AS created
+FROM keys k JOIN supplier s ON s.s_name = k.vendor GROUP BY k.vendor
+UNION ALL
+SELECT vendor, (SELECT coalesce(max(s_suppkey), 0) + 1000 FROM supplier)
+              + row_number() OVER (ORDER BY md5(vendor), vendor) AS id, true AS created
+FROM keys WHERE vendor NOT IN (SELECT s_name FROM supplier)""")
+def get_or_create_repeated(fx):
+    """A dimension that holds every key twice."""
+    dim = fx.t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("vendor"))
+    incoming = fx.expenses.select("vendor").unionByName(fx.feedback.select("vendor"))
+    return S.get_or_create(dim.unionByName(dim.withColumn("id", F.col("id") + 1000)), incoming, "vendor", "id")
+
+
 @query("get_or_create", Q.with_fixtures(["expenses", "feedback"], """
 keys AS (SELECT DISTINCT vendor FROM (SELECT vendor FROM expenses UNION ALL SELECT vendor FROM feedback) t
          WHERE vendor IS NOT NULL)""") + """
@@ -135,35 +153,40 @@ def get_or_create(fx):
 
 
 # -- O26 ---------------------------------------------------------------------------
+_ACCENT = "CASE WHEN starts_with(category, 'ECONOMY') THEN 'É' || substr(category, 2) ELSE category END"
 _DISPLAY = f"""disp AS (
   SELECT {Q.title_words('k')} AS category FROM (
-    SELECT DISTINCT lower({Q.trim_ws("coalesce(category, '')")}) AS k FROM expenses) t
+    SELECT DISTINCT lower({Q.form_trim(f"coalesce({_ACCENT}, '')")}) AS k FROM expenses) t
   WHERE length(k) > 0)"""
-_QUERIES = """qs AS (
-  SELECT DISTINCT lower(trim(w)) AS q FROM (
+# locale order of names of letters and spaces: letters, then accents, then case
+_ORDER = "strip_accents(lower(category)), lower(category), category"
+_QUERIES = f"""qs AS (
+  SELECT DISTINCT lower({Q.form_trim('w')}) AS q FROM (
     SELECT unnest(string_split(category, ' ')) AS w FROM feedback
-    UNION ALL SELECT '') t)"""
+    UNION ALL SELECT unnest(['', 'e', 'É'])) t)"""
 
 
 def _display(fx):
-    return C.display_category(fx.expenses, locale_order=False)
+    """Display categories of the expenses, one family of them with an accent."""
+    accent = F.when(F.col("category").startswith("ECONOMY"), F.concat(F.lit("É"), F.expr("substr(category, 2)")))
+    return C.display_category(fx.expenses.withColumn("category", F.coalesce(accent, "category")), locale_order=False)
 
 
 def _queries(fx):
     words = fx.feedback.select(F.explode(F.split("category", " ")).alias("q"))
-    return words.unionByName(fx.t.region.select(F.lit("").alias("q")))
+    return words.unionByName(fx.spark.createDataFrame([("",), ("e",), ("É",)], "q string"))
 
 
 @query("suggest_categories", Q.with_fixtures(["expenses", "feedback"], _DISPLAY, _QUERIES) + """
 SELECT q, rank, category FROM (
   SELECT q, category, row_number() OVER (
            PARTITION BY q ORDER BY CASE WHEN starts_with(lower(category), q) THEN 0 ELSE 1 END,
-                                   lower(category), category) AS rank
+                                   """ + _ORDER + """) AS rank
   FROM qs JOIN disp ON contains(lower(category), q) AND q <> '') t
 WHERE rank <= 8
 UNION ALL
 SELECT q, rank, category FROM (SELECT '' AS q) e JOIN (
-  SELECT category, row_number() OVER (ORDER BY lower(category), category) AS rank FROM disp) d
+  SELECT category, row_number() OVER (ORDER BY """ + _ORDER + """) AS rank FROM disp) d
   ON rank <= 8
 WHERE EXISTS (SELECT 1 FROM qs WHERE q = '')""")
 def suggest_categories(fx):
@@ -187,6 +210,16 @@ def cascade_delete(fx):
     return S.cascade_delete(fx.user_labels_x, fx.expenses).select("id", "expense_id")
 
 
+@query("cascade_delete_published", Q.with_fixtures(["expenses", "user_labels_x"]) + """
+SELECT id, expense_id FROM user_labels_x
+WHERE expense_id IS NULL OR expense_id IN (SELECT expense_id FROM expenses)""")
+def cascade_delete_published(fx):
+    """The rewritten label table as a committed version."""
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    store.publish_tables({"user_labels": S.cascade_delete(fx.user_labels_x, fx.expenses)}, "cascade_delete")
+    return store.read_latest("user_labels", "cascade_delete").select("id", "expense_id")
+
+
 # -- O33 ---------------------------------------------------------------------------
 _USERS_SQL = """users AS (
   SELECT c_custkey AS id, c_name AS company, lower(c_name) || '@example.com' AS email FROM customer)"""
@@ -235,6 +268,24 @@ def move_rows(fx):
             .unionByName(moved.select("expense_id", F.lit("moved").alias("side"), "source")))
 
 
+def _published_move(fx):
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    M.publish_move(store, fx.expenses, F.col("category").startswith("PROMO"))
+    return store.read_latest("expenses", "move"), store.read_latest("seed_expenses", "move")
+
+
+@query("publish_move", Q.with_fixtures(["expenses"]) + """
+SELECT 'expenses' AS side, vendor, description, category, NULL AS source FROM expenses
+WHERE NOT coalesce(starts_with(category, 'PROMO'), false)
+UNION ALL
+SELECT 'seed_expenses', vendor, description, category, 'migrated_from_expenses' FROM expenses
+WHERE coalesce(starts_with(category, 'PROMO'), false)""")
+def publish_move(fx):
+    kept, seed = _published_move(fx)
+    return (kept.select(F.lit("expenses").alias("side"), "vendor", "description", "category", F.lit(None).cast("string").alias("source"))
+            .unionByName(seed.select(F.lit("seed_expenses").alias("side"), "vendor", "description", "category", "source")))
+
+
 @query("reconcile_move", Q.with_fixtures(["expenses"]) + """
 SELECT count(*) AS before,
        count(*) FILTER (WHERE NOT coalesce(starts_with(category, 'PROMO'), false)) AS kept,
@@ -242,8 +293,42 @@ SELECT count(*) AS before,
        true AS balanced
 FROM expenses""")
 def reconcile_move(fx):
-    kept, moved = _move(fx)
-    return M.reconcile_move(fx.expenses, kept, moved)
+    """Counts of what was read and of both published tables."""
+    return M.reconcile_move(fx.expenses, *_published_move(fx))
+
+
+_IMPORTED = Q.with_fixtures(["staging"], _USERS_SQL, f"""
+seed AS (SELECT coalesce(min(CASE WHEN email = 'seed@system.local' THEN id END), coalesce(max(id), 0) + 1) AS id FROM users)""",
+    f"""
+numbered AS (
+  SELECT {_ST_COLS},
+         (SELECT coalesce(max(expense_id), 0) FROM expenses)
+           + row_number() OVER (ORDER BY md5(concat_ws('|', {_ST_COLS})), {_ST_COLS}) AS expense_id
+  FROM staging)""")
+
+
+def _landed(fx):
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    M.publish_import(store, fx.staging, fx.expenses, _users(fx))
+    return store.read_latest("expenses", "import"), store.read_latest("users", "import")
+
+
+@query("publish_import", _IMPORTED + f"""
+SELECT expense_id, CAST(user_id AS BIGINT) AS user_id, expense_date, amount, vendor FROM expenses
+UNION ALL
+SELECT expense_id, (SELECT CAST(id AS BIGINT) FROM seed), {Q.staging_date('date_txt')}, {Q.staging_amount('amount_txt')}, vendor
+FROM numbered""")
+def publish_import(fx):
+    """Existing and imported rows read back from the committed version."""
+    return _landed(fx)[0].select("expense_id", F.col("user_id").cast("long").alias("user_id"), "expense_date", "amount", "vendor")
+
+
+@query("publish_import_users", _IMPORTED + """
+SELECT CAST(id AS BIGINT) AS id, email FROM users
+UNION ALL SELECT CAST((SELECT id FROM seed) AS BIGINT), 'seed@system.local'
+WHERE NOT EXISTS (SELECT 1 FROM users WHERE email = 'seed@system.local')""")
+def publish_import_users(fx):
+    return _landed(fx)[1].select(F.col("id").cast("long").alias("id"), "email")
 
 
 # -- O35 ---------------------------------------------------------------------------

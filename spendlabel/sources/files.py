@@ -3,12 +3,15 @@ the cleaning operators so that bad cells are quarantined, not fatal."""
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import FORM_WS
+
 # Column order of the staging load and of the feedback log.
 STAGING_FIELDS = ("vendor", "description", "category", "date_txt", "amount_txt")
 FEEDBACK_FIELDS = ("date", "amount", "vendor", "description", "category", "source", "created_at_utc")
@@ -17,7 +20,14 @@ FEEDBACK_SOURCE = "feedback_api"
 STAGING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in STAGING_FIELDS])
 FEEDBACK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in FEEDBACK_FIELDS])
 
-_CSV_OPTS = {"header": "true", "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
+_CSV_OPTS = {"header": "true", "escape": '"', "encoding": "UTF-8"}
+
+
+def _options(multi_line: bool) -> dict[str, str]:
+    """``multi_line`` (the default everywhere) reads quoted line feeds right, and so one task
+    reads a whole file: write such logs as many files. Turn it off for large files that hold
+    none; they are then split."""
+    return {**_CSV_OPTS, "multiLine": str(multi_line).lower()}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,16 +39,48 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _strip_header_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.replace("\ufeff", "").strip() for c in df.columns])
-
-
-def read_labeled_csv(spark: SparkSession, path: str,
-                     null_tokens: Sequence[str] = ("",)) -> DataFrame:
-    """Header CSV, UTF-8 with optional BOM, RFC 4180 quotes (``""``), quoted
-    newlines; every column a string. Cells equal to one of ``null_tokens`` are
-    NULL (an empty cell is NULL by default)."""
-    df = _strip_header_names(spark.read.options(**_CSV_OPTS).option("inferSchema", "false").csv(path))
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Header (names stripped) -> files of ``path`` that start with it. One line of each file
+    is read, through the path's Hadoop file system."""
+    jvm, out = spark.sparkContext._jvm, {}
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.globStatus(p) or []:
+        found = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
+        for f in found:
+            name = f.getPath().getName()
+            if f.isDirectory() or name.startswith(("_", ".")) or not f.getLen():
+                continue
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(f.getPath()), "UTF-8"))
+            try:
+                head = next(csv.reader([lines.readLine() or ""]), [])
+            finally:
+                lines.close()
+            names = tuple(h.strip(FORM_WS) for h in head)
+            out.setdefault(names, []).append(f.getPath().toString())
+    return out
+
+
+def _by_name(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
+    """All files of ``path``, columns matched by name; None when there is no file. Files with
+    the same header are one scan, scans with other headers are united by column name."""
+    out = None
+    for names, files in sorted(_headers(spark, path).items()):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.options(**_options(multi_line)).schema(schema).csv(files)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def read_labeled_csv(spark: SparkSession, path: str, null_tokens: Sequence[str] = ("",),
+                     multi_line: bool = True) -> DataFrame:
+    """Header CSV, UTF-8 with optional BOM, RFC 4180 quotes (``""``), quoted newlines;
+    every column a string. Files of one folder may order their columns differently: cells
+    follow their header. Cells equal to one of ``null_tokens`` are NULL (an empty cell is
+    NULL by default)."""
+    df = _by_name(spark, path, multi_line)
+    if df is None:
+        raise FileNotFoundError(path)
     extra = [t for t in null_tokens if t != ""]
     if extra:
         df = df.select(*[F.when(F.col(c).isin(*extra), F.lit(None)).otherwise(F.col(c)).alias(c)
@@ -46,25 +88,30 @@ def read_labeled_csv(spark: SparkSession, path: str,
     return df
 
 
-def read_staging_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_staging_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Five raw text columns. The header is checked against the expected names
     (``enforceSchema=false``): a file written in another column order fails instead
     of loading shifted columns."""
-    return (spark.read.options(**_CSV_OPTS).option("enforceSchema", "false")
+    return (spark.read.options(**_options(multi_line)).option("enforceSchema", "false")
             .schema(STAGING_SCHEMA).csv(path))
 
 
 def read_feedback(spark: SparkSession, path: str, streaming: bool = False,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """The feedback log with its fixed schema; a missing log is an empty table."""
+                  max_files_per_trigger: int | None = None, multi_line: bool = True) -> DataFrame:
+    """The feedback log with its fixed columns, matched by name; columns a file lacks are
+    NULL, others are left out, and a missing log is an empty table. As a stream the header
+    is checked instead: a file in another column order fails the batch and can be rewritten
+    by a batch read."""
     if streaming:
-        r = spark.readStream.options(**_CSV_OPTS).schema(FEEDBACK_SCHEMA)
+        r = spark.readStream.options(**_options(multi_line)).option("enforceSchema", "false").schema(FEEDBACK_SCHEMA)
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
         return r.csv(path)
-    if not path_exists(spark, path):
+    df = _by_name(spark, path, multi_line) if path_exists(spark, path) else None
+    if df is None:
         return spark.createDataFrame([], FEEDBACK_SCHEMA)
-    return spark.read.options(**_CSV_OPTS).schema(FEEDBACK_SCHEMA).csv(path)
+    held = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(held[c]) if c in held else F.lit(None).cast("string")).alias(c) for c in FEEDBACK_FIELDS])
 
 
 def feedback_rows(df: DataFrame) -> DataFrame:
@@ -83,11 +130,11 @@ def feedback_rows(df: DataFrame) -> DataFrame:
 
 def append_feedback(df: DataFrame, path: str) -> None:
     """Append feedback rows (each written file carries the header)."""
-    (feedback_rows(df).write.mode("append").options(**_CSV_OPTS).csv(path))
+    (feedback_rows(df).write.mode("append").options(**_options(True)).csv(path))
 
 
 def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
     """Write a header CSV in RFC 4180 form (doubled quotes), optionally as
     ``files`` files, e.g. to feed a file stream several micro-batches."""
     out = df.repartition(files) if files else df
-    out.write.mode("overwrite").options(**_CSV_OPTS).csv(path)
+    out.write.mode("overwrite").options(**_options(True)).csv(path)

@@ -97,6 +97,21 @@ class VersionedStore:
     def write(self, df: DataFrame, name: str, version: int) -> None:
         df.write.mode("overwrite").parquet(self.path(name, version))
 
+    def publish_tables(self, tables: dict[str, DataFrame], kind: str) -> int:
+        """Write several tables under one new version, then commit it: readers see all of
+        them or none."""
+        v = self.next_version()
+        for name, df in tables.items():
+            self.write(df, name, v)
+        self.commit(v, kind)
+        return v
+
+    def read_latest(self, name: str, kind: str) -> DataFrame:
+        r = self.latest(kind)
+        if r is None:
+            raise LookupError(f"no {kind} under {self.root}")
+        return self.read(name, r["version"])
+
     def read(self, name: str, version: int) -> DataFrame:
         return self.spark.read.parquet(self.path(name, version))
 

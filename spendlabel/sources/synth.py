@@ -105,11 +105,20 @@ def double_first_spaces(txt: Column, k: Column) -> Column:
     return F.when(n > kk + 1, F.concat(head, F.lit(" "), tail)).otherwise(head)
 
 
-def synthesize_expenses(ids: DataFrame, id_col: str, seed: int = 303, as_of: str = "2025-10-10") -> DataFrame:
-    """(id, vendor, description, category, date, amount) for every id."""
+def synthesize_expenses(ids: DataFrame, id_col: str, seed: int = 303, as_of: str = "2025-10-10",
+                        balanced: bool = False) -> DataFrame:
+    """(id, vendor, description, category, date, amount) for every id. ``balanced`` deals the
+    categories in turn over the ids in hash order: n ids per category when there are n times
+    as many ids as categories (ids are numbered without a single-task window)."""
     u = lambda salt: draw(seed, id_col, salt)
     k = len(CATEGORIES)
-    ci = F.floor(u("cat") * k).cast("int") + 1
+    if balanced:
+        from ..operators.maintain import assign_positions
+        h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"), F.lit(":deal")))
+        ids = assign_positions(ids, h, [id_col])
+        ci = ((F.col("pos") - 1) % k).cast("int") + 1
+    else:
+        ci = F.floor(u("cat") * k).cast("int") + 1
     cat = F.element_at(_lits(CATEGORIES), ci)
     vend_lists = F.array(*[_lits(VENDORS[c]) for c in CATEGORIES])
     desc_lists = F.array(*[_lits(DESCRIPTIONS[c]) for c in CATEGORIES])
