@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
+from ..session import ship_package as ship
 
 #: The characters that separate words and are stripped from line ends: [\x20\x09-\x0D].
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -31,24 +27,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers (once per application), so that tasks can
-    import it wherever the driver was started."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    to = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(to)
-    _SHIPPED.add(sc.applicationId)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the cluster's shared checkpoint folder and read it back: the
     lineage ends there, and a lost executor costs no recomputation."""
@@ -108,7 +86,7 @@ class Words:
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
-    def hashes(self, block: int = 1 << 22) -> np.ndarray:
+    def hashes(self, block: int = 1 << 20) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         out = np.empty(len(self.start), np.uint64)
         i = 0

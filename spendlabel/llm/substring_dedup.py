@@ -20,11 +20,12 @@ windows that share it. The work is split by variable-length prefixes:
    Maximal repeats are the union of such windows.
 3. Prefixes found more than ``group`` times would not fit. They are split by the longest
    prefix that matters, all ``window`` words (a 128-bit hash): each such group is one
-   internal node, and counting needs no words, only a pre-aggregated sum.
+   internal node, and counting needs no words, only a pre-aggregated sum. Equal
+   surroundings are merged before that.
 
-Texts are read three times; they are shuffled once, for the last step. Two fixed-size
-bitmaps (``BITMAP`` bits at most) tell the second reading which prefixes matter; a bit set
-by chance costs a row, never a result.
+Texts are read three times; they are shuffled once, for the last step. Fixed-size
+bitmaps (``BITMAP`` bits at most) tell the second reading which prefixes matter and which
+are frequent; a bit set by chance costs a row, never a result.
 
 Edge cases. Null or empty text, or fewer words than ``window``: nothing removed. Null id:
 handled like any row. Repeated rows: each is a repeat of the other, both lose the words.
@@ -46,10 +47,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, column, cut, mix64, ship
 
-WINDOW, GROUP = 35, 5_000
+WINDOW, GROUP = 35, 1_000
 BITMAP = 1 << 28
 #: Bytes of text hashed at a time in a task, occurrences whose trees are built at a time.
-RUN_BYTES, TREE_ROWS = 8_000_000, 50_000
+RUN_BYTES, TREE_ROWS = 2_000_000, 30_000
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 
@@ -157,19 +158,21 @@ def _in_bitmap(key: np.ndarray, bits: int, held: np.ndarray) -> np.ndarray:
     return (held[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-def occurrences(docs: DataFrame, equal: tuple, mixed: tuple, window: int = WINDOW) -> DataFrame:
-    """(doc_id, fp, key, lo, hi, at, words): anchors whose prefix is in a bitmap. Window
-    starts lo..hi and anchor ``at`` are word places in the document; ``words`` are the
-    surroundings, null for prefixes in ``equal`` only."""
-    sent = docs.sparkSession.sparkContext.broadcast((equal, mixed))
+def occurrences(docs: DataFrame, equal: tuple, mixed: tuple, large: tuple, window: int = WINDOW) -> DataFrame:
+    """(doc_id, fp, key, around, lo, hi, at, equal, path, words): anchors whose prefix is in a
+    bitmap. Window starts lo..hi and anchor ``at`` are word places in the document; ``words``
+    are the surroundings and ``around`` is their hash. ``path`` 1 goes to the trees, 2 to the
+    longest prefixes, 0 (no words) to neither; it depends on the prefix alone."""
+    sent = docs.sparkSession.sparkContext.broadcast((equal, mixed, large))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        equal, mixed = sent.value
+        equal, mixed, large = sent.value
         for b in batches:
             for run in _runs(b):
                 a = _Anchors(column(run, "text"), window)
-                many = _in_bitmap(a.key, *mixed)
-                take = np.flatnonzero(many | _in_bitmap(a.key, *equal))
+                many, same = _in_bitmap(a.key, *mixed), _in_bitmap(a.key, *equal)
+                path = np.where(many, 1 + _in_bitmap(a.key, *large), 0).astype(np.int8)
+                take = np.flatnonzero(many | same)
                 w, doc = a.words, a.words.doc[a.at[take]] if len(take) else np.zeros(0, np.int64)
                 base = w.first[doc]
                 raw = w.data.tobytes() if many.any() else b""
@@ -177,12 +180,13 @@ def occurrences(docs: DataFrame, equal: tuple, mixed: tuple, window: int = WINDO
                     w.start[a.lo[take]].tolist(), w.end[a.hi[take] + window - 1].tolist(), many[take].tolist())]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [column(run, "doc_id").take(rows), column(run, "fp").take(rows), _signed(a.key[take]),
-                     *(pa.array((x[take] - base).astype(np.int32)) for x in (a.lo, a.hi, a.at)), pa.array(words, pa.binary())],
-                    ["doc_id", "fp", "key", "lo", "hi", "at", "words"])
+                    [column(run, "doc_id").take(rows), column(run, "fp").take(rows), _signed(a.key[take]), _signed(a.around[take]),
+                     *(pa.array((x[take] - base).astype(np.int32)) for x in (a.lo, a.hi, a.at)),
+                     pa.array(same[take]), pa.array(path[take]), pa.array(words, pa.binary())],
+                    ["doc_id", "fp", "key", "around", "lo", "hi", "at", "equal", "path", "words"])
 
     return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(
-        find, "doc_id long, fp long, key long, lo int, hi int, at int, words binary")
+        find, "doc_id long, fp long, key long, around long, lo int, hi int, at int, equal boolean, path byte, words binary")
 
 
 def _nodes(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -264,7 +268,10 @@ def _trees(occ: DataFrame, window: int) -> DataFrame:
 
 
 def _long_prefixes(occ: DataFrame, window: int) -> DataFrame:
-    """(doc_id, fp, lo, hi) of repeated windows of very frequent prefixes, by whole windows."""
+    """(doc_id, fp, lo, hi) of repeated windows of very frequent prefixes, by whole windows.
+
+    Occurrences with the same surroundings are merged first: their windows repeat each
+    other. One of each kind is spelled out in windows, which tells what the others share."""
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = Words(column(b, "words"))
@@ -277,12 +284,16 @@ def _long_prefixes(occ: DataFrame, window: int) -> DataFrame:
             a = w.first[row] + step
             rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id").take(rows), column(b, "fp").take(rows), pa.array((lo[row] + step).astype(np.int32)),
-                 _signed(r.of(a, a + window)), _signed(r2.of(a, a + window))], ["doc_id", "fp", "lo", "h1", "h2"])
+                [*(column(b, c).take(rows) for c in ("doc_id", "fp", "n")), pa.array((lo[row] + step).astype(np.int32)),
+                 _signed(r.of(a, a + window)), _signed(r2.of(a, a + window))], ["doc_id", "fp", "n", "lo", "h1", "h2"])
 
-    each = occ.mapInArrow(spell, "doc_id long, fp long, lo int, h1 long, h2 long")
-    often = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return each.join(often, ["h1", "h2"], "left_semi").select("doc_id", "fp", "lo", F.col("lo").alias("hi"))
+    kinds = cut(occ.groupBy("key", "around").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "fp", "lo", "hi", "words")).alias("one")), "surroundings")
+    whole = occ.join(kinds.where("n > 1").select("key", "around"), ["key", "around"], "left_semi").select("doc_id", "fp", "lo", "hi")
+    each = cut(kinds.select("n", "one.*").mapInArrow(spell, "doc_id long, fp long, n long, lo int, h1 long, h2 long"), "windows")
+    often = each.groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
+    lone = each.where("n = 1").join(often, ["h1", "h2"], "left_semi").select("doc_id", "fp", "lo", F.col("lo").alias("hi"))
+    return whole.unionByName(lone)
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
@@ -290,14 +301,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counts = cut(prefix_counts(docs, window), "prefixes")
-    n_same, n_mixed = counts.agg(F.count(F.when(F.col("same"), 1)), F.count(F.when(~F.col("same"), 1))).first()
-    equal, mixed = _bitmap(counts.where("same"), n_same), _bitmap(counts.where("not same"), n_mixed)
-    occ = cut(occurrences(docs, equal, mixed, window), "occurrences")
-    whole = occ.join(counts.where("same").select("key"), "key", "left_semi").select("doc_id", "fp", "lo", "hi")
-    several = counts.where("not same")
-    small = occ.join(several.where(F.col("n") <= group).select("key"), "key", "left_semi")
-    large = occ.join(several.where(F.col("n") > group).select("key"), "key", "left_semi")
-    return whole.unionByName(_trees(small, window)).unionByName(_long_prefixes(large, window))
+    parts = {"equal": "same", "mixed": "not same", "large": f"n > {group}"}
+    sizes = counts.agg(*[F.count(F.when(F.expr(c), 1)).alias(k) for k, c in parts.items()]).first()
+    maps = [_bitmap(counts.where(c), sizes[k]) for k, c in parts.items()]
+    occ = cut(occurrences(docs, *maps, window), "occurrences")
+    # a bit set by chance must not remove a word: here the prefix itself is compared
+    whole = (occ.where("equal").select("key", "doc_id", "fp", "lo", "hi")
+             .join(counts.where("same").select("key"), "key", "left_semi").drop("key"))
+    return whole.unionByName(_trees(occ.where("path = 1"), window)).unionByName(_long_prefixes(occ.where("path = 2"), window))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
