@@ -50,7 +50,7 @@ def test_encoding_and_round_trip(spark):
     rows = edge_rows() + [(100 + i, t, "en", "s") for i, t in enumerate(odd_texts(400, 5))]
     docs = with_clashes(table(spark, rows)).drop("ids", "samples", "key")
     out = segmentation.segment(docs, PIECES, k=3)
-    sp = segmentation._lattices(PIECES, 1.0).vocab.sp
+    sp = segmentation.vocabulary(PIECES).sp
     got = out.collect()
     want = sorted(((i, sp.encode(t or "")) for i, t, *_ in rows), key=repr)
     assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == want
@@ -68,7 +68,7 @@ def test_encoding_and_round_trip(spark):
 
 
 def all_segmentations(text):
-    vocab = segmentation._lattices(PIECES, 1.0).vocab
+    vocab = segmentation.vocabulary(PIECES)
     text, out = "▁" + text.replace(" ", "▁"), {}
 
     def go(i, ids, w):
@@ -84,7 +84,7 @@ def all_segmentations(text):
 
 def test_samples_follow_the_lattice_without_replacement():
     exact, n = all_segmentations("then it"), 8000
-    lat = segmentation._lattices(PIECES, 1.0)
+    lat = segmentation.Lattices(segmentation.vocabulary(PIECES))
     runs = segmentation._run(lat, ["then it"] * n, list(range(n)), 2, True)
     first = Counter(tuple(r["samples"][0]["ids"].tolist()) for r in runs)
     either = Counter(tuple(s["ids"].tolist()) for r in runs for s in r["samples"])
@@ -103,7 +103,7 @@ def test_samples_follow_the_lattice_without_replacement():
 
 
 def test_few_segmentations_are_all_returned():
-    lat = segmentation._lattices(PIECES, 1.0)
+    lat = segmentation.Lattices(segmentation.vocabulary(PIECES))
     exact = all_segmentations("is")
     row = segmentation._run(lat, ["is"], [1], 50, True)[0]
     assert {tuple(s["ids"].tolist()) for s in row["samples"]} == set(exact)
