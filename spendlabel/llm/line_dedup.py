@@ -206,7 +206,9 @@ def dropped_lines(state: State) -> DataFrame:
     """(doc_id, keys): the keys whose lines a document loses, as k1 values with k2."""
     refs = state.refs.withColumn("shard", F.pmod("k1", F.lit(state.shards)).cast("int"))
     # one row per shard: how many tasks share its references
-    load = refs.groupBy("shard").agg(F.ceil(F.count("*") / TASK_REFS).cast("int").alias("parts"))
+    # (as many rows as shards, one for SHARD_KEYS frequent keys: small enough to broadcast,
+    # and references must not be exchanged on the shard alone)
+    load = F.broadcast(refs.groupBy("shard").agg(F.ceil(F.count("*") / TASK_REFS).cast("int").alias("parts")))
     held = (state.counts.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("k1", "k2", "keeper"))).alias("exact"))
             .join(state.filters, "shard").join(load, "shard")
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
