@@ -65,10 +65,14 @@ class Fixtures:
     # F2 ---------------------------------------------------------------------------
     @cached_property
     def labeled_text(self) -> DataFrame:
-        """Documents as labelled rows: the language is the class (learnable)."""
-        return self.t.documents.select(
+        """Documents as labelled rows: the language is the class (learnable). Scoring is a map
+        over the scan's tasks, so a table of fewer files than cores is spread once here; a
+        larger one is read as it is split."""
+        docs = self.t.documents.select(
             F.col("doc_id").alias("row_key"), F.col("source").alias("vendor"),
             F.col("text").alias("description"), F.col("lang").alias("category"))
+        cores = self.spark.sparkContext.defaultParallelism
+        return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
     # F3 ---------------------------------------------------------------------------
     @cached_property

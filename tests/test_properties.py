@@ -181,7 +181,7 @@ def test_a_new_class_in_a_delta_loses_nothing(spark):
 
 
 def test_scoring_does_not_shuffle(spark):
-    docs = Fixtures(spark, SF_SMALL).labeled_text
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").selectExpr("source vendor", "text description", "lang category")
     m = MD.full_refit(C.with_row_id(C.build_text(docs)), steps=1)
     scored = MD.score_ovr(docs.withColumn("text", F.col("description")), m)
     assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
