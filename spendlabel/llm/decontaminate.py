@@ -11,12 +11,18 @@ Documents are searched for passages within ``edits(n)`` word edits of a benchmar
    sequences fall back into step after an edit, so edit distance becomes Hamming distance
    of the emitted rows.
 3. Bit sampling. Each of ``TABLES`` tables per walk, for ``WALKS`` walks, compares a few
-   sampled places of the rows; equal samples make a (window, item) candidate.
-4. Verification. Candidates of one item that overlap are verified together by exact
+   sampled places of the rows; equal samples make a (window, item) candidate. Walks drift
+   apart on long texts, so an item over ``PIECE`` words is embedded in pieces.
+4. The rest, exactly. Hash tables may miss, the q-gram lemma does not: wherever a window
+   holds as many q-grams of one item as a passage within its budget must keep (or within the
+   distance the tables already found), the item is a candidate too. So no leak is lost,
+   whatever its length and kind of edits.
+5. Verification. Candidates of one item that overlap are verified together by exact
    semi-global edit distance over words (numpy); only those within the budget count.
 
-The benchmark is the stated query set: it meets all rows in blocks of ``BLOCK_ITEMS``
-items, each block's index (bounded) being sent to the tasks once. Texts are never shuffled.
+The benchmark is the stated query set: it meets all rows in blocks of about ``BLOCK_ITEMS``
+items and ``BLOCK_CHARS`` characters, each block's index (bounded) being sent to the tasks
+once. Texts are never shuffled.
 
 Edge cases. Null or empty text: no match. Null or empty item, or an item of fewer than
 ``MIN_WORDS`` words: not searched, as such a phrase says nothing about a leak. Null ids
@@ -44,7 +50,11 @@ EDIT_SHARE, MIN_WORDS = 0.2, 8
 WALKS, TABLES, SAMPLED = 6, 8, 3
 #: Size classes grow by this factor.
 CLASS_STEP = 1.25
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
+#: Longer items are embedded in pieces of at most so many words.
+PIECE = 40
+#: Cells of walks, and words of a text, looked at in one go.
+WALK_CELLS, LOOK_WORDS = 1 << 21, 4096
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -98,9 +108,13 @@ class SizeClass:
     q: int
     need: int  # q-grams of the benchmark a window must hold
     grams: np.ndarray  # sorted hashes
+    post: np.ndarray  # gram k is in the items holders[post[k]:post[k + 1]]
+    holders: np.ndarray
     steps: int
     places: np.ndarray  # walk x table x sampled
-    tables: list  # walk x table: (sorted keys, item index)
+    tables: list  # walk x table: (sorted keys, piece)
+    pieces: np.ndarray  # (item index, first word) of each embedded piece
+    lengths: np.ndarray  # words of each item of the block
     gate: np.ndarray | None = None  # by low hash bits, of all classes with this q: a cheap first look
 
 
@@ -116,6 +130,7 @@ def build_index(items: list[tuple[int, str]], share: float = EDIT_SHARE, min_wor
     table = WordCodes()
     held = [(i, h) for i, t in items if len(h := codes(t, table)) >= min_words]
     classes: list[SizeClass] = []
+    lengths = np.array([len(h) for _, h in held], np.int64)
     by: dict[int, list[int]] = {}
     for k, (_, h) in enumerate(held):
         by.setdefault(int(math.log(len(h) / min_words) / math.log(CLASS_STEP) + 1e-9), []).append(k)
@@ -124,19 +139,27 @@ def build_index(items: list[tuple[int, str]], share: float = EDIT_SHARE, min_wor
         lo, hi = min(sizes), max(sizes)
         bound = {q: min(n + 1 - q * (edits(n, share) + 1) for n in sizes) for q in (3, 2, 1)}
         q = next((q for q in (3, 2) if bound[q] >= 2), 1)
-        grams = np.unique(np.concatenate([qgrams(held[k][1], q) for k in members]))
-        steps = max(SAMPLED, int(1.6 * lo))
+        own = [np.unique(qgrams(held[k][1], q)) for k in members]
+        every, holders = np.concatenate(own), np.repeat(np.array(members, np.int32), [len(g) for g in own])
+        order = np.argsort(every, kind="stable")
+        grams, post = np.unique(every[order], return_index=True)
+        post, holders = np.append(post, len(every)).astype(np.int32), holders[order]
+        cuts = [(k, np.linspace(0, n, -(-n // PIECE) + 1).astype(np.int64)) for k, n in zip(members, sizes)]
+        pieces = np.array([(k, a) for k, c in cuts for a in c[:-1]], np.int64)
+        steps = max(SAMPLED, int(1.6 * min(int(np.diff(c).min()) for _, c in cuts)))
         rng = np.random.default_rng(lo)
         places = np.sort(np.stack([rng.choice(steps, SAMPLED, replace=False) for _ in range(WALKS * TABLES)]), 1)
         places = places.reshape(WALKS, TABLES, SAMPLED)
         tables = []
-        rows = np.concatenate([cgk(held[k][1], np.zeros(1, np.int64), steps) for k in members], 2)
+        rows = np.concatenate([cgk(held[k][1][a:b], np.zeros(1, np.int64), steps)
+                               for k, c in cuts for a, b in zip(c[:-1], c[1:])], 2)
         for w in range(WALKS):
             for t in range(TABLES):
                 key = _keys(rows[:, w], places[w, t])
                 order = np.argsort(key, kind="stable")
-                tables.append((key[order], np.array(members)[order]))
-        classes.append(SizeClass(lo, hi, q, max(1, bound[q]), grams, steps, places, tables))
+                tables.append((key[order], order))
+        classes.append(SizeClass(lo, hi, q, max(1, bound[q]), grams, post, holders, steps, places, tables, pieces,
+                                 lengths))
     for q in {c.q for c in classes}:
         gate = np.zeros(1 << 21, bool)
         for c in classes:
@@ -146,9 +169,10 @@ def build_index(items: list[tuple[int, str]], share: float = EDIT_SHARE, min_wor
     return held, classes
 
 
-def candidates(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHARE) -> list[tuple[int, int]]:
-    """(item index, window start) that agree in at least one table."""
-    found: set[tuple[int, int]] = set()
+def windows(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHARE) -> list[tuple]:
+    """(class, places of its q-grams in such windows, their gram numbers, marked words) of each
+    class that has windows with enough of its q-grams."""
+    out = []
     hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for c in classes:
         if len(h) < c.size - edits(c.size, share):
@@ -160,7 +184,9 @@ def candidates(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHAR
         at, g = hits[c.q]
         if len(at) < c.need:
             continue
-        at = at[c.grams[np.minimum(np.searchsorted(c.grams, g), len(c.grams) - 1)] == g]
+        gram = np.minimum(np.searchsorted(c.grams, g), len(c.grams) - 1)
+        held = c.grams[gram] == g
+        at, gram = at[held], gram[held]
         if len(at) < c.need:
             continue
         # starts whose window of most + edits words holds enough of the q-grams
@@ -171,17 +197,57 @@ def candidates(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHAR
             continue
         mark = np.zeros(len(h) + 2, np.int32)
         np.add.at(mark, np.maximum(0, last[near] - span + 1), 1)
-        np.add.at(mark, first[near] + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark)[: len(h)] > 0)
-        rows = cgk(h, starts, c.steps)
-        for w in range(WALKS):
-            for t in range(TABLES):
-                keys, item = c.tables[w * TABLES + t]
-                key = _keys(rows[:, w], c.places[w, t])
-                a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-                for s in np.flatnonzero(b > a):
-                    found.update((int(i), int(starts[s])) for i in item[a[s]:b[s]])
-    return sorted(found)
+        # a piece starts anywhere in its window
+        np.add.at(mark, np.minimum(first[near] + (span if c.most > PIECE else 1), len(h) + 1), -1)
+        used = np.zeros(len(at) + 1, np.int32)
+        np.add.at(used, np.flatnonzero(near), 1)
+        np.add.at(used, np.flatnonzero(near) + c.need, -1)
+        used = np.cumsum(used)[:-1] > 0
+        out.append((c, at[used], gram[used], np.flatnonzero(np.cumsum(mark)[: len(h)] > 0)))
+    return out
+
+
+def candidates(h: np.ndarray, found: list[tuple]) -> list[tuple[int, int]]:
+    """(item index, window start) that agree in at least one table."""
+    out: set[tuple[int, int]] = set()
+    for c, _, _, every in found:
+        step = max(1, WALK_CELLS // (c.steps * WALKS))
+        for k in range(0, len(every), step):
+            starts = every[k:k + step]
+            rows = cgk(h, starts, c.steps)
+            for w in range(WALKS):
+                for t in range(TABLES):
+                    keys, piece = c.tables[w * TABLES + t]
+                    key = _keys(rows[:, w], c.places[w, t])
+                    a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+                    for s in np.flatnonzero(b > a):
+                        out.update((int(i), max(0, int(starts[s] - o))) for i, o in c.pieces[piece[a[s]:b[s]]])
+    return sorted(out)
+
+
+def lemma_spans(found: list[tuple], sizes: np.ndarray, budget: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item index, start, end) that hold every passage within ``budget`` edits of an item of
+    ``sizes`` words: the item's q-grams in it are as many as so many edits must leave."""
+    for c, at, gram, _ in found:
+        reach = c.most + int(budget[c.holders].max())
+        look = max(LOOK_WORDS, 4 * reach)
+        for p in range(int(at[0]), int(at[-1]) + 1, look - reach):
+            a, b = np.searchsorted(at, (p, p + look))
+            if b - a < c.need:
+                continue
+            n = c.post[gram[a:b] + 1] - c.post[gram[a:b]]
+            word = np.repeat(at[a:b], n)
+            item = c.holders[np.arange(len(word)) + np.repeat(c.post[gram[a:b]] - (np.cumsum(n) - n), n)]
+            order = np.argsort(item, kind="stable")
+            item, word = item[order], word[order]
+            need = np.maximum(1, sizes[item] + 1 - c.q * (budget[item] + 1))
+            to = np.arange(len(item)) + need - 1
+            inside = to < len(item)
+            head, to = np.flatnonzero(inside), to[inside]
+            wide = sizes[item[head]] + budget[item[head]]
+            near = (item[to] == item[head]) & (word[to] + c.q - word[head] <= wide)
+            for i, x, y, w in zip(item[head[near]], word[head[near]], word[to[near]] + c.q, wide[near]):
+                yield int(i), max(0, int(y - w)), int(x + w)
 
 
 def best_passage(h: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
@@ -206,32 +272,49 @@ def best_passage(h: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def search(h: np.ndarray, held: list, classes: list[SizeClass], share: float = EDIT_SHARE):
-    """(item index, distance, start, end): verified passages, the best of each item."""
+def search(h: np.ndarray, held: list, classes: list[SizeClass], share: float = EDIT_SHARE, any_one: bool = False):
+    """(item index, distance, start, end): verified passages, the best of each item;
+    ``any_one``: as soon as there is one."""
     out: dict[int, tuple[int, int, int]] = {}
-    group: list[tuple[int, int, int]] = []
-    for i, s in candidates(h, classes, share):
-        n = len(held[i][1])
-        e = edits(n, share)
-        if group and group[-1][0] == i and s <= group[-1][2]:
-            group[-1] = (i, group[-1][1], s + n + e)
-        else:
-            group.append((i, max(0, s - e), s + n + e))
-    for i, a, b in group:
-        item = held[i][1]
-        d, x, y = best_passage(h[a:b], item)
-        if d <= edits(len(item), share) and (i not in out or d < out[i][0]):
-            out[i] = (d, a + x, a + y)
+
+    def verify(spans) -> None:
+        group: list[tuple[int, int, int]] = []
+        for i, a, b in sorted(spans):
+            if group and group[-1][0] == i and a <= group[-1][2]:
+                group[-1] = (i, group[-1][1], max(b, group[-1][2]))
+            else:
+                group.append((i, a, b))
+        for i, a, b in group:
+            item = held[i][1]
+            d, x, y = best_passage(h[a:b], item)
+            if d <= edits(len(item), share):
+                out[i] = min(out.get(i, (d, a + x, a + y)), (d, a + x, a + y))
+
+    found = windows(h, classes, share)
+    if not found:
+        return []
+    sizes = classes[0].lengths
+    budget = (share * sizes).astype(np.int64)
+    verify((i, max(0, s - budget[i]), s + sizes[i] + 2 * budget[i]) for i, s in candidates(h, found))
+    if not (any_one and out):
+        for i, m in out.items():
+            budget[i] = m[0]
+        verify(lemma_spans(found, sizes, budget))
     return [(i, *m) for i, m in out.items()]
 
 
+def blocks_of(items: DataFrame, block_items: int) -> int:
+    n, chars = items.agg(F.count("*"), F.sum(F.length("text"))).first()
+    return max(1, math.ceil(n / block_items), math.ceil((chars or 0) / BLOCK_CHARS))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, min_words: int = MIN_WORDS,
             block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, distance, first_word, last_word, n_item_words): leaked passages."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    blocks = max(1, math.ceil(items.count() / block_items))
+    blocks = blocks_of(items, block_items)
     schema = "doc_id long, item_id long, distance int, first_word int, last_word int, n_item_words int"
     out = None
     for k in range(blocks):
@@ -265,7 +348,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHA
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS))
+    blocks = blocks_of(items, BLOCK_ITEMS)
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast(build_index(
@@ -274,7 +357,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHA
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             (held, classes), table = sent.value, WordCodes()
             for b in batches:
-                yield b.filter(pa.array([not search(codes(t, table), held, classes, share)
+                yield b.filter(pa.array([not search(codes(t, table), held, classes, share, any_one=True)
                                          for t in column(b, "text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -177,6 +177,58 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert {c[0] for c in clean} <= left and not left & {i for i, _ in hits}
 
 
+def changed(words, n, kind, r):
+    """``words`` after exactly ``n`` edits of one kind, at distance ``n``."""
+    words, at = list(words), sorted(r.sample(range(len(words)), n), reverse=True)
+    for j, p in enumerate(at):
+        if kind == "swap":
+            words[p] = f"new{j}"
+        elif kind == "add":
+            words.insert(p, f"new{j}")
+        else:
+            del words[p]
+    return words
+
+
+@pytest.mark.parametrize("n_words", [59, 100, 250, 1000])
+def test_leaks_at_the_full_budget_are_found_at_any_length(spark, n_words):
+    r = random.Random(n_words)
+    items = [(k, prose(3000 + n_words + k, n_words)) for k in range(4 if n_words == 1000 else 8)]
+    rows = []
+    for k, text in items:
+        for kind in ("swap", "add", "drop"):
+            for _ in range(1 if n_words == 1000 else 3):
+                i = 100 * len(rows) + k
+                around = prose(50_000 + i, 300).split()
+                leak = changed(text.split(), int(0.2 * n_words), kind, r)
+                rows.append((i, " ".join(around[:100] + leak + around[100:]), "en", "s"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, rows).repartition(8)
+    got = {(m.doc_id, m.item_id): m.distance for m in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == {(i, i % 100) for i, *_ in rows}  # each leak, and nothing else
+    assert all(d <= int(0.2 * n_words) for d in got.values())
+    assert decontaminate.decontaminate(docs, bench).count() == 0
+
+
+def test_candidates_lose_no_passage_within_the_budget():
+    r = random.Random(11)
+    items = [(k, prose(600 + k, n)) for k, n in enumerate([8, 9, 10, 14, 15, 25, 40, 41, 60, 90])]
+    held, classes = decontaminate.build_index(items)
+    table = decontaminate.WordCodes()
+    for _ in range(25):
+        words = prose(r.randrange(10**6), 30).split()
+        for k in r.sample(range(len(items)), 3):
+            words += edited(items[k][1].split(), r.randint(0, int(0.25 * len(items[k][1].split()))), r) + ["between"]
+        h = decontaminate.codes(" ".join(words), table)
+        want = {}
+        for i, (_, item) in enumerate(held):
+            d, a, b = decontaminate.best_passage(h, item)
+            if d <= decontaminate.edits(len(item)):
+                want[i] = d
+        assert {i: d for i, d, _, _ in decontaminate.search(h, held, classes)} == want
+        assert bool(decontaminate.search(h, held, classes, any_one=True)) == bool(want)
+
+
 def test_distance_is_the_least_over_all_passages():
     r = random.Random(9)
     for _ in range(60):
