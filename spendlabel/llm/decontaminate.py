@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Documents are searched for passages within ``edits(n)`` word edits of a benchmark item of
-``n`` words (words are \\w+, lower-cased; an edit replaces, inserts or removes a word).
+``n`` words (words are \\w+, lower-cased; each letter is a word in scripts that
+put no spaces between words; an edit replaces, inserts or removes a word).
 
 1. Windows. Items fall into size classes; a window of the class's size is looked at where
    it holds enough of the benchmark's q-grams. The needed number is the q-gram lemma's
@@ -24,8 +25,10 @@ The benchmark is the stated query set: it meets all rows in blocks of about ``BL
 items and ``BLOCK_CHARS`` characters, each block's index (bounded) being sent to the tasks
 once. Texts are never shuffled.
 
-Edge cases. Null or empty text: no match. Null or empty item, or an item of fewer than
-``MIN_WORDS`` words: not searched, as such a phrase says nothing about a leak. Null ids
+Edge cases. Null or empty text: no match. Null item, or one without a word: not searched.
+Short items are searched like all others (under 5 words the budget is 0: verbatim copies),
+so an item of one common word marks every text with it; ``min_words`` leaves out items of
+fewer words, if a caller wants that. Null ids
 are reported as null. Repeated rows, repeated items and ties: each (doc_id, item_id) once,
 with its best passage (the first of equals). Empty tables: empty result. Extra columns
 are ignored (``matches``) or passed through (``decontaminate``).
@@ -46,16 +49,21 @@ from pyspark.sql import functions as F
 
 from .common import column, mix64, ship
 
-EDIT_SHARE, MIN_WORDS = 0.2, 8
+EDIT_SHARE, MIN_WORDS = 0.2, 1
 WALKS, TABLES, SAMPLED = 6, 8, 3
-#: Size classes grow by this factor.
-CLASS_STEP = 1.25
+#: Size classes grow by this factor, up and down from this size.
+CLASS_STEP, CLASS_FROM = 1.25, 8
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 #: Longer items are embedded in pieces of at most so many words.
 PIECE = 40
 #: Cells of walks, and words of a text, looked at in one go.
 WALK_CELLS, LOOK_WORDS = 1 << 21, 4096
 _WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana and Han: no spaces between words.
+_DENSE = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+          "\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_HAS_DENSE = re.compile(f"[{_DENSE}]").search
+_DENSE_WORD = re.compile(rf"(?=\w)[{_DENSE}]|[^\W{_DENSE}]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +80,8 @@ class WordCodes(dict):
 
 
 def codes(text: str | None, table: WordCodes) -> np.ndarray:
-    words = _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    words = (_WORD if text.isascii() or not _HAS_DENSE(text) else _DENSE_WORD).findall(text)
     return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
 
 
@@ -128,12 +137,12 @@ def _keys(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
 def build_index(items: list[tuple[int, str]], share: float = EDIT_SHARE, min_words: int = MIN_WORDS):
     """Item hashes and size classes of a block of items."""
     table = WordCodes()
-    held = [(i, h) for i, t in items if len(h := codes(t, table)) >= min_words]
+    held = [(i, h) for i, t in items if len(h := codes(t, table)) >= max(1, min_words)]
     classes: list[SizeClass] = []
     lengths = np.array([len(h) for _, h in held], np.int64)
     by: dict[int, list[int]] = {}
     for k, (_, h) in enumerate(held):
-        by.setdefault(int(math.log(len(h) / min_words) / math.log(CLASS_STEP) + 1e-9), []).append(k)
+        by.setdefault(math.floor(math.log(len(h) / CLASS_FROM) / math.log(CLASS_STEP) + 1e-9), []).append(k)
     for members in by.values():
         sizes = [len(held[k][1]) for k in members]
         lo, hi = min(sizes), max(sizes)
@@ -207,9 +216,9 @@ def windows(h: np.ndarray, classes: list[SizeClass], share: float = EDIT_SHARE)
     return out
 
 
-def candidates(h: np.ndarray, found: list[tuple]) -> list[tuple[int, int]]:
-    """(item index, window start) that agree in at least one table."""
-    out: set[tuple[int, int]] = set()
+def candidates(h: np.ndarray, found: list[tuple]) -> list[tuple[int, int, int]]:
+    """(item index, place in the text, place in the item) that agree in at least one table."""
+    out: set[tuple[int, int, int]] = set()
     for c, _, _, every in found:
         step = max(1, WALK_CELLS // (c.steps * WALKS))
         for k in range(0, len(every), step):
@@ -221,7 +230,7 @@ def candidates(h: np.ndarray, found: list[tuple]) -> list[tuple[int, int]]:
                     key = _keys(rows[:, w], c.places[w, t])
                     a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
                     for s in np.flatnonzero(b > a):
-                        out.update((int(i), max(0, int(starts[s] - o))) for i, o in c.pieces[piece[a[s]:b[s]]])
+                        out.update((int(i), int(starts[s]), int(o)) for i, o in c.pieces[piece[a[s]:b[s]]])
     return sorted(out)
 
 
@@ -269,6 +278,8 @@ def best_passage(h: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
         dist, begin = d, b
         if d[n] < best[0]:
             best = (int(d[n]), int(b[n]), j + 1)
+            if not best[0]:
+                break
     return best
 
 
@@ -276,16 +287,21 @@ def search(h: np.ndarray, held: list, classes: list[SizeClass], share: float = E
     """(item index, distance, start, end): verified passages, the best of each item;
     ``any_one``: as soon as there is one."""
     out: dict[int, tuple[int, int, int]] = {}
+    seen: dict[int, list[tuple[int, int]]] = {}
 
     def verify(spans) -> None:
         group: list[tuple[int, int, int]] = []
         for i, a, b in sorted(spans):
+            b = min(b, len(h))
             if group and group[-1][0] == i and a <= group[-1][2]:
                 group[-1] = (i, group[-1][1], max(b, group[-1][2]))
             else:
                 group.append((i, a, b))
         for i, a, b in group:
             item = held[i][1]
+            if any(x <= a and b <= y for x, y in seen.get(i, ())) or (i in out and not out[i][0] and out[i][1] <= a):
+                continue
+            seen.setdefault(i, []).append((a, b))
             d, x, y = best_passage(h[a:b], item)
             if d <= edits(len(item), share):
                 out[i] = min(out.get(i, (d, a + x, a + y)), (d, a + x, a + y))
@@ -295,7 +311,9 @@ def search(h: np.ndarray, held: list, classes: list[SizeClass], share: float = E
         return []
     sizes = classes[0].lengths
     budget = (share * sizes).astype(np.int64)
-    verify((i, max(0, s - budget[i]), s + sizes[i] + 2 * budget[i]) for i, s in candidates(h, found))
+    # words before a piece may be left out or put in
+    verify((i, max(0, s - o - int(budget[i])), s - o + int(sizes[i] + budget[i] * (1 + (o > 0))))
+           for i, s, o in candidates(h, found))
     if not (any_one and out):
         for i, m in out.items():
             budget[i] = m[0]

@@ -229,6 +229,24 @@ def test_candidates_lose_no_passage_within_the_budget():
         assert bool(decontaminate.search(h, held, classes, any_one=True)) == bool(want)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(n, " ".join(f"k{n}x{j}" for j in range(n))) for n in range(1, 8)]
+    han, thai = "机器学习需要大量高质量的数据", "การเรียนรู้ของเครื่องต้องใช้ข้อมูล"
+    around = prose(78, 60)
+    rows = [(n, f"{around} {t} {around}", "en", "s") for n, t in items]
+    rows += [(100 + n, f"{around} {t.replace('x1', 'other')} {around}", "en", "s") for n, t in items[1:]]
+    rows += [(20, f"他们说，{han}和时间。", "zh", "s"), (21, f"ว่า{thai}มาก", "th", "s"), (30, "数，据", "zh", "s"),
+             (31, "没有数", "zh", "s"), (40, around, "en", "s")]
+    # one edit is within the budget from 5 words on
+    want = {(n, n): 0 for n in range(1, 8)} | {(100 + n, n): 1 for n in (5, 6, 7)}
+    want |= {(20, 20): 0, (21, 21): 0, (20, 22): 0, (30, 22): 0}
+    bench = spark.createDataFrame([*items, (20, han), (21, thai), (22, "数据"), (23, "...")], "item_id long, text string")
+    docs = table(spark, rows)
+    assert {(m.doc_id, m.item_id): m.distance for m in decontaminate.matches(docs, bench).collect()} == want
+    left = {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert left == {102, 103, 104, 31, 40}
+
+
 def test_distance_is_the_least_over_all_passages():
     r = random.Random(9)
     for _ in range(60):
