@@ -14,7 +14,9 @@ Scoring is one map as well: no exchange, and all columns of the input stay.
 
 The weights sent at a time are a block of classes: 2^bits buckets x classes doubles, at most
 ``BLOCK_BYTES`` whatever the data. One-vs-rest classes do not depend on each other, so many
-classes are trained and scored block by block with the same result.
+classes are trained and scored block by block with the same result. Each of several blocks is
+written below the checkpoint folder when fitted and read again when its turn comes, so the
+driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import scratch_path, ship_package
 from .features import DEFAULT_BITS
 
 # The classifier's settings.
@@ -63,7 +65,8 @@ class Model:
     n_observed: int | None = None  # observed buckets, when known from metadata
     rows_trained: int = 0
     version: int | None = None
-    held: dict = field(default_factory=dict)  # dense weight blocks the driver already has
+    held: dict = field(default_factory=dict)  # the dense weights, where one block is all
+    parts: dict = field(default_factory=dict)  # (first class, end class) -> stored block, where there are several
 
     @property
     def k(self) -> int:
@@ -81,13 +84,16 @@ class Model:
 
     def dense(self, a: int, b: int, col: str = "w") -> np.ndarray:
         """Weights of classes a..b as a (2^bits, b - a) array."""
-        if (col, a, b) not in self.held:
-            out = np.zeros((1 << self.bits, b - a))
-            t = self.weights.select("bucket", F.slice(col, a + 1, b - a).alias("v")).toArrow()
-            if t.num_rows:
-                out[t["bucket"].to_numpy()] = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, b - a)
+        if (col, a, b) in self.held:
+            return self.held[col, a, b]
+        out = np.zeros((1 << self.bits, b - a))
+        t = (self.parts[a, b].select("bucket", F.col(col).alias("v")) if (a, b) in self.parts else
+             self.weights.select("bucket", F.slice(col, a + 1, b - a).alias("v"))).toArrow()
+        if t.num_rows:
+            out[t["bucket"].to_numpy()] = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, b - a)
+        if b - a == self.k:
             self.held[col, a, b] = out
-        return self.held[col, a, b]
+        return out
 
 
 class Buckets(dict):
@@ -221,7 +227,7 @@ def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: floa
     blocks = model.blocks()
     keep = steps * len(blocks) > 1
     rows = rows.persist() if keep else rows
-    weights, bias, bias2, held, n = None, [], [], {}, 0
+    weights, bias, bias2, held, parts, n = None, [], [], {}, {}, 0
     try:
         for a, b in blocks:
             w, g2, b0, b2, seen, n = _fit_block(rows, model, a, b, steps, eta, alpha, eps)
@@ -229,6 +235,10 @@ def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: floa
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (b - a), pa.int32()),
                                               pa.array(x[at].ravel())) for x in (w, g2)]
             part = spark.createDataFrame(pa.table([pa.array(at.astype(np.int32)), *lists], ["bucket", "w", "g2"]), WEIGHTS_SCHEMA)
+            if len(blocks) > 1:
+                path = scratch_path(spark, "class-block")
+                part.write.parquet(path)
+                part = parts[a, b] = spark.read.schema(WEIGHTS_SCHEMA).parquet(path)
             weights = part if weights is None else (
                 weights.join(part.select("bucket", F.col("w").alias("w1"), F.col("g2").alias("q1")), "bucket")
                 .select("bucket", F.concat("w", "w1").alias("w"), F.concat("g2", "q1").alias("g2")))
@@ -240,7 +250,7 @@ def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: floa
             rows.unpersist()
     if not n:
         return model
-    return replace(model, weights=weights, intercept=bias, intercept_g2=bias2, held=held, version=None,
+    return replace(model, weights=weights, intercept=bias, intercept_g2=bias2, held=held, parts=parts, version=None,
                    n_observed=int(seen.sum()), rows_trained=model.rows_trained + n)
 
 

@@ -149,6 +149,23 @@ def test_class_blocks_give_the_same_model_and_scores(spark):
     assert outs[0][2] == outs[1][2]
 
 
+def test_class_blocks_are_stored_and_not_held_by_the_driver(spark):
+    e = Fixtures(spark, SF_SMALL).expenses
+    rows = C.with_row_id(C.build_text(e.withColumn("category", F.col("vendor"))))
+    classes = MD.register_classes(rows)
+    spark.conf.set("spendlabel.blockBytes", str(2 * (8 << 10)))
+    try:
+        m = MD.fit(MD.group_copies(rows), MD.empty_model(spark, classes, bits=10), 1)
+        assert len(m.blocks()) > 2 and not m.held
+        assert len(m.weights.inputFiles()) >= len(m.blocks())  # files, no driver-held relation
+        MD.score_ovr(rows.select("expense_id", "text"), m)
+        assert not m.held
+        again = MD.fit(MD.group_copies(rows), m, 1)  # goes on from the stored blocks
+        assert again.weights.filter(F.size("w") == len(classes)).count() == m.weights.count() > 0
+    finally:
+        spark.conf.unset("spendlabel.blockBytes")
+
+
 def test_python_features_equal_the_column_expressions(spark):
     """Training and scoring hash texts in the task; the feature queries do it in SQL."""
     texts = ["", "a b", "the cat_1 sat on the mat the cat", "Ärger über ÑANDÚ 東京 x²", "tab\tand\u00a0nbsp \x1c end"]
