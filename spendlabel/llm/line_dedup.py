@@ -9,7 +9,8 @@ bits. The state has three tables:
 
 ``insert_documents`` and ``delete_documents`` change ``refs`` and recount the touched keys
 only; keys that become frequent enter their shard's filter, keys that no longer are leave
-it, so a deletion undoes an insertion exactly. ``dropped_lines`` sends each reference to
+it, so a deletion undoes an insertion exactly. When the frequent keys outgrow their shards,
+there are more shards from then on. ``dropped_lines`` sends each reference to
 its shard, where the filter discards the keys that are surely not frequent before the
 exact count decides. A shard that holds a large share of all references (one very common
 line) is read by several tasks, each with the shard's filter and counts.
@@ -169,6 +170,10 @@ def _change(state: State, refs: DataFrame, touched: DataFrame, min_docs: int) ->
     new = cut(_count(refs.join(touched, ["k1", "k2"], "left_semi"), state.shards, min_docs), "line-recount")
     old = state.counts.join(touched, ["k1", "k2"], "left_semi")
     counts = cut(state.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(new), "line-counts")
+    shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
+    if shards > state.shards:  # outgrown: more shards, and their filters from the exact counts
+        counts = counts.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+        return State(refs, counts, cut(_filters(counts), "line-filters"), shards)
     entered = new.join(old, ["k1", "k2"], "left_anti").select("shard", "k2", F.lit(True).alias("enter"))
     left = old.join(new, ["k1", "k2"], "left_anti").select("shard", "k2", F.lit(False).alias("enter"))
 

@@ -123,6 +123,22 @@ def test_state_is_reversible(spark):
         assert held[r.shard].contains(np.array([r.k2]))[0]
 
 
+def test_a_state_begun_small_gets_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
+    rows = line_rows()
+    state = line_dedup.build_state(table(spark, []))
+    assert state.shards == 1
+    both = line_dedup.insert_documents(state, table(spark, rows))
+    whole = line_dedup.build_state(table(spark, rows))
+    assert both.shards == whole.shards > 1
+    key = ("shard", "k1", "k2", "n_docs", "keeper")
+    assert rows_of(both.counts, *key) == rows_of(whole.counts, *key)
+    assert rows_of(line_dedup.dedup_lines(table(spark, rows), state=both), *COLS) == brute_lines(rows)
+    gone = line_dedup.delete_documents(both, table(spark, rows[::2]).where("doc_id is not null"))
+    held = {r.shard: line_dedup.CuckooFilter.from_bytes(r.blob) for r in gone.filters.collect()}
+    assert all(held[r.shard].contains(np.array([r.k2]))[0] for r in gone.counts.collect())
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(-2**63, 2**63 - 1, 3000)
     f = line_dedup.CuckooFilter.of(keys)
