@@ -221,14 +221,17 @@ def stream_train(fx):
 
 def _class_by_class(fx):
     """A store trained by a stream whose micro-batches bring one class each, and then all
-    rows again under upper-case spellings of the classes."""
+    rows again under upper-case spellings of the classes. Each batch is written in as many
+    files as there are tasks; the stream then goes on from its checkpoint, so that one
+    micro-batch reads them all and Spark splits them."""
     spark, src, root = fx.spark, scratch_path(fx.spark, "classes_src"), scratch_path(fx.spark, "store")
-    docs = fx.labeled_text
-    for lang in [r[0] for r in docs.select("category").distinct().orderBy("category").collect()]:
-        docs.filter(F.col("category") == lang).coalesce(1).write.mode("append").parquet(src)
-    docs.withColumn("category", F.upper("category")).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.option("maxFilesPerTrigger", "1").schema(_STREAM_SCHEMA).parquet(src)
-    ST.stream_train(spark, stream, root, scratch_path(spark, "classes_ck"), holdout=False).awaitTermination()
+    docs, checkpoint = fx.labeled_text, scratch_path(fx.spark, "classes_ck")
+    batches = [docs.filter(F.col("category") == r[0])
+               for r in docs.select("category").distinct().orderBy("category").collect()]
+    for batch in [*batches, docs.withColumn("category", F.upper("category"))]:
+        batch.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(_STREAM_SCHEMA).parquet(src)
+        ST.stream_train(spark, stream, root, checkpoint, holdout=False).awaitTermination()
     return VersionedStore(spark, root)
 
 

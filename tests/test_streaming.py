@@ -43,3 +43,26 @@ def test_train_stream_skips_committed_batches(spark):
     replay = train_or_update(docs, root, batch_id=1)                 # a replayed batch id
     assert not replay.changed and replay.kind == "replayed"
     assert store.manifest().filter(F.col("kind") == "model").count() == versions
+
+
+def test_class_batches_are_read_from_many_files(spark, monkeypatch):
+    import glob
+    import json
+    from types import SimpleNamespace
+
+    from spendlabel.plans import q_io
+
+    paths, scratch = {}, q_io.scratch_path
+    monkeypatch.setattr(q_io, "scratch_path", lambda s, n: paths.setdefault(n, scratch(s, n)))
+    docs = spark.createDataFrame([(i, f"vendor {i}", f"about {i % 7} things", "abc"[i % 3]) for i in range(60)],
+                                 "row_key long, vendor string, description string, category string").repartition(4)
+    store = q_io._class_by_class(SimpleNamespace(spark=spark, labeled_text=docs))
+    root = paths["classes_ck"].removeprefix("file:")
+    files = {}  # micro-batch -> files it read
+    for log in glob.glob(f"{root}/sources/0/*"):
+        for line in open(log).read().splitlines()[1:]:
+            entry = json.loads(line)
+            files.setdefault(entry["batchId"], set()).add(entry["path"])
+    assert len(files) == 4 and all(len(x) > 1 for x in files.values())
+    classes = [r.category for r in store.read("model_classes", store.latest("model")["version"]).collect()]
+    assert sorted(classes) == ["a", "b", "c"] and store.load_training_rows().count() == 60
