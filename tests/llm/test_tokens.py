@@ -102,6 +102,26 @@ def test_samples_follow_the_lattice_without_replacement():
         assert abs(weighted[ids] - p) < 4 * tol  # the inclusion scores weigh the samples back
 
 
+def test_round_trip_decodes_the_ids_and_every_sample(monkeypatch):
+    vocab = segmentation.Vocabulary(PIECES, segmentation.ALPHA)
+    texts = ["then it was said", "", "two  spaces\nand 東京 \u0000", "a word \u2581 mark"]
+    run = lambda: [r["round_trip"] for r in segmentation._run(
+        segmentation.Lattices(vocab), texts, [1, 2, 3, 4], 2, False)]
+    assert run() == [True, True, True, False]
+    right, asked = vocab.decode, []
+
+    def wrong_for(n):
+        def decode(ids):
+            asked.append(len(ids))
+            return right(ids) + b"?" * (len(asked) == n)
+        return decode
+
+    for n in (1, 2, 3):  # the ids, the first and the second sample of the first text
+        asked.clear()
+        monkeypatch.setattr(vocab, "decode", wrong_for(n))
+        assert run() == [False, True, True, False]
+
+
 def test_few_segmentations_are_all_returned():
     lat = segmentation.Lattices(segmentation.vocabulary(PIECES))
     exact = all_segmentations("is")
