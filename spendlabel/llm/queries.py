@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import alignment as op12
 from . import decontaminate as op4
+from . import embedding_dedup as op13
 from . import language_id as op8
 from . import line_dedup as op2
 from . import quality_rank as op9
@@ -17,6 +18,7 @@ from . import simhash as op10
 from . import substring_dedup as op3
 from . import token_counts as op5
 from . import toxicity as op7
+from . import whitening as op11
 from .common import read_table
 
 
@@ -32,7 +34,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenizer_path(name: str) -> str:
     """Place of a vocabulary file: SPENDLABEL_TOKENIZERS, or the installed package's folder."""
     folder = os.environ.get("SPENDLABEL_TOKENIZERS")
-    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +78,21 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.align(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_benchmark_decontamination,
-    op5_token_counts, op6_sentencepiece, op7_toxicity, op8_language_id, op9_quality_classifier, op10_simhash_near_dedup)}
+    op5_token_counts, op6_sentencepiece, op7_toxicity, op8_language_id, op9_quality_classifier, op10_simhash_near_dedup,
+    op11_embedding_whitening, op12_tokenizer_alignment, op13_embedding_near_dedup)}
 ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE,
               "op3_substring_dedup": op3.ORACLE}
