@@ -112,3 +112,8 @@ def bucket_of(term, bits: int = 20) -> Column:
     """Stateless feature bucket: 32 bits of MD5 of the term, masked to ``bits``."""
     h = F.conv(F.substring(F.md5(col_(term)), 1, 8), 16, 10).cast("long")
     return h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def ngram_buckets(text, bits: int = 20) -> Column:
+    """The bucket of every n-gram of the text, repeats included."""
+    return F.transform(ngram_array(text), lambda g: bucket_of(g, bits))

@@ -23,39 +23,20 @@ def tokenize_ngrams(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             .filter(F.col("token").isNotNull()))
 
 
-def _bucket_cells(df: DataFrame, key: str, text: str, bits: int, prepartitioned: bool) -> DataFrame:
-    """(key, bucket) per n-gram occurrence, in partitions hashed by key.
+def hashed_tf(df: DataFrame, key: str, text: str = "text", bits: int = DEFAULT_BITS) -> DataFrame:
+    """(key, bucket, tf): term counts per row and bucket, no sign, no vocabulary.
 
     ``explode_outer`` + a null filter instead of ``explode``: the optimizer would
     otherwise add a ``size(array) > 0`` filter below the exchange and evaluate the
-    tokenizer twice. Hashing runs after the explode, inside generated code."""
-    rows = df.select(key, text)
-    if not prepartitioned:
-        rows = rows.repartition(key)
-    return (rows.select(key, F.explode_outer(ngram_array(text)).alias("__g"))
+    tokenizer twice. Hashing runs after the explode, inside generated code; the count
+    aggregates inside the key partitions (no second exchange)."""
+    return (df.select(key, text).repartition(key)
+            .select(key, F.explode_outer(ngram_array(text)).alias("__g"))
             .filter(F.col("__g").isNotNull())
-            .select(key, bucket_of("__g", bits).alias("bucket")))
-
-
-def hashed_tf(df: DataFrame, key: str, text: str = "text", bits: int = DEFAULT_BITS,
-              prepartitioned: bool = False) -> DataFrame:
-    """(key, bucket, tf): term counts per row and bucket, no sign, no vocabulary.
-    The count aggregates inside the key partitions (no second exchange)."""
-    return (_bucket_cells(df, key, text, bits, prepartitioned)
+            .select(key, bucket_of("__g", bits).alias("bucket"))
             .groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def featurize(df: DataFrame, key: str, text: str = "text", bits: int = DEFAULT_BITS,
-              prepartitioned: bool = False) -> DataFrame:
-    """(key, bucket, x): L2-normalised hashed term counts (O37 + O38 in one pass).
-    The norm is a window over the key, which is already the partitioning: one
-    local sort, no join, no second exchange. Rows without tokens produce no cells;
-    callers keep them with a left join."""
-    tf = hashed_tf(df, key, text, bits, prepartitioned)
-    ss = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))
-    return tf.select(key, "bucket", (F.col("tf") / F.sqrt(ss.cast("double"))).alias("x"))
-
-
 def l2_normalize(tf: DataFrame, key: str, value: str = "tf") -> DataFrame:
     """Generic O38 over a (key, bucket, value) table: value / Euclidean norm of its
     row. The norm is an aggregate joined back on the key; when ``tf`` is already

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from .clean import parse_staging
 
+# The seed table's default source, its columns besides id and source, and the
+# column order of the staging load.
 SEED_SOURCE = "migrated_from_expenses"
+SEED_COLUMNS = ("vendor", "description", "category", "amount", "expense_date")
 STAGING_COLUMNS = ("vendor", "description", "category", "date_txt", "amount_txt")
 EXPAND_CHUNK = 1 << 20
 
@@ -103,23 +106,38 @@ def move_rows(src: DataFrame, cond: Column, source: str = SEED_SOURCE) -> tuple[
     return kept, moved
 
 
-def reconcile_move(before: DataFrame, kept: DataFrame, moved: DataFrame) -> DataFrame:
-    """One row: counts before and on each side, and whether they balance. Give it the
+def reconcile_move(before: DataFrame, kept: DataFrame, moved: DataFrame,
+                   cols: Sequence[str] = SEED_COLUMNS, amount: str = "amount") -> DataFrame:
+    """One row: counts and amounts before and on each side, and whether they balance: rows,
+    amounts, and the content of ``cols``, whose hashes add up to the same sum. Give it the
     published tables: what was read before and what can be read back."""
-    n = F.count(F.lit(1))
-    sides = (before.agg(n.alias("c")).select(F.lit("before").alias("side"), "c")
-             .unionByName(kept.agg(n.alias("c")).select(F.lit("kept").alias("side"), "c"))
-             .unionByName(moved.agg(n.alias("c")).select(F.lit("moved").alias("side"), "c")))
-    return (sides.agg(*[F.sum(F.when(F.col("side") == x, F.col("c"))).alias(x) for x in ("before", "kept", "moved")])
-            .withColumn("balanced", F.col("before") == F.col("kept") + F.col("moved")))
-
-
-def publish_move(store, src: DataFrame, cond: Column, source: str = SEED_SOURCE) -> int:
-    """Write both sides of :func:`move_rows` and commit them as one version: ``expenses``
-    keeps its columns, ``seed_expenses`` has those of the seed table. Returns the version."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        content = F.xxhash64(*[F.col(c).cast("string") for c in cols]).cast("decimal(38,0)")
+        return df.agg(F.count(F.lit(1)).alias("c"), F.sum(amount).alias("a"),
+                      F.coalesce(F.sum(content), F.lit(0)).cast("decimal(38,0)").alias("h")).select(F.lit(name).alias("side"), "c", "a", "h")
+
+    names = ("before", "kept", "moved")
+    sides = side(before, "before").unionByName(side(kept, "kept")).unionByName(side(moved, "moved"))
+
+    def of(col: str, name: str) -> Column:
+        return F.sum(F.when(F.col("side") == name, F.col(col)))
+    one = sides.agg(*[of("c", x).alias(x) for x in names], *[of("a", x).alias(f"amount_{x}") for x in names],
+                    *[of("h", x).alias(f"__{x}") for x in names])
+    money = [F.coalesce(F.col(f"amount_{x}"), F.lit(0)) for x in names]
+    return one.withColumn("balanced", (F.col("before") == F.col("kept") + F.col("moved")) & (money[0] == money[1] + money[2])
+                          & (F.col("__before") == F.col("__kept") + F.col("__moved"))).drop(*[f"__{x}" for x in names])
+
+
+def publish_move(store, src: DataFrame, cond: Column, source: str = SEED_SOURCE, seed: DataFrame | None = None) -> int:
+    """Write both sides of :func:`move_rows` and commit them as one version: ``expenses`` keeps
+    its columns; ``seed_expenses`` has id, ``SEED_COLUMNS`` and source, the moved rows with serial
+    ids behind those of ``seed`` (the seed table so far). Returns the version."""
     kept, moved = move_rows(src, cond, source)
-    seed = moved.select("vendor", "description", "category", "source")
-    return store.publish_tables({"expenses": kept, "seed_expenses": seed}, "move")
+    base = F.lit(0).cast("long") if seed is None else seed.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    cols = ["id", *SEED_COLUMNS, "source"]
+    rows = number_rows(moved.select(*SEED_COLUMNS, "source"), [*SEED_COLUMNS, "source"], base, "id").select(*cols)
+    rows = rows if seed is None else seed.select(*cols).unionByName(rows)
+    return store.publish_tables({"expenses": kept, "seed_expenses": rows}, "move")
 
 
 def seed_users(users: DataFrame, email: str = "seed@system.local", company: str = "Seed") -> DataFrame:

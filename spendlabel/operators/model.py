@@ -1,38 +1,40 @@
 """One-vs-rest logistic classifier over hashed n-grams.
 
 Tables
-  weights  W(bucket, w[K], g2[K])   observed buckets with AdaGrad accumulators
+  weights  W(bucket, block, w[], g2[])   observed buckets with AdaGrad accumulators, the classes
+                                         in blocks of ``CLASS_BLOCK`` (the last one ends in zeros)
   rows     R(row_id, text, category, weight)   one row per distinct training row id
+  cells    R without text, with b[], x[]       its sparse feature row (``sparse_rows``)
 
-A row's features are the L2-normalised counts of its hashed unigrams and bigrams (O36-O38);
-they are computed where the text is and never leave the task. One step is one map over the
-rows: with the weights sent to the tasks, each task adds up its rows' gradient and hands on
-one row per touched bucket; an aggregate over buckets gives the full gradient. AdaGrad on
-the mean logistic loss + alpha * L2 then updates the bounded weight block.
+A row's features are the L2-normalised counts of its hashed unigrams and bigrams (O36-O38). A
+text is tokenised once per fit; every step reads the stored sparse rows.
 
-Scoring is one map as well: no exchange, and all columns of the input stay.
+One step: margins and residuals per row, gradient sums per bucket (added up in the tasks first),
+and an aggregate over the union of weights and sums, so that AdaGrad on the mean logistic loss +
+alpha * L2 updates every bucket seen so far, also those that this step does not touch. Weights are read and written as tables; the driver holds class names and
+intercepts.
 
-The weights sent at a time are a block of classes: 2^bits buckets x classes doubles, at most
-``BLOCK_BYTES`` whatever the data. One-vs-rest classes do not depend on each other, so many
-classes are trained and scored block by block with the same result. Each of several blocks is
-written below the checkpoint folder when fitted and read again when its turn comes, so the
-driver holds one block at a time.
+Rows meet the weights in one of two ways with the same result. Weights of at most
+``BROADCAST_BYTES`` (observed buckets x classes, counted) are broadcast, and a step or a scoring
+is one map over the rows. Larger ones are joined: rows are dealt into chunks of bounded size,
+each chunk's distinct buckets are joined with the weights by shuffle, and every (chunk, block of
+classes) is worked on by itself. A bucket held by very many rows is asked for once per chunk.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.text import ngram_buckets
 from ..session import scratch_path, ship_package
 from .features import DEFAULT_BITS
 
@@ -43,16 +45,22 @@ EPS = 1e-8
 TOP_K = 3
 STEPS_UPDATE = 1
 STEPS_REFIT = 5
-#: Weights of one block of classes; also bounds a task's gradient and the driver's copy.
-BLOCK_BYTES = 64 << 20
+#: Classes of one weight row.
+CLASS_BLOCK = 32
+#: Weights above this size are joined by shuffle (``Model.broadcast_bytes``).
+BROADCAST_BYTES = 64 << 20
+#: Cells of one chunk of rows; a longer row is a chunk of its own.
+CHUNK_CELLS = 1 << 14
+#: Doubles that a task multiplies at a time.
+_AT_A_TIME = 1 << 22
 
 WEIGHTS_SCHEMA = T.StructType([
     T.StructField("bucket", T.IntegerType()),
+    T.StructField("block", T.IntegerType()),
     T.StructField("w", T.ArrayType(T.DoubleType())),
     T.StructField("g2", T.ArrayType(T.DoubleType())),
 ])
-
-_TOKEN = re.compile(r"\w{2,}")  # letters, digits, underscore: as functions.text.TOKEN_PATTERN
+_BIAS = -1  # the bucket of the intercepts while a step runs
 
 
 @dataclass
@@ -62,61 +70,101 @@ class Model:
     intercept: list[float]
     intercept_g2: list[float]
     bits: int = DEFAULT_BITS
-    n_observed: int | None = None  # observed buckets, when known from metadata
+    n_observed: int = 0  # observed buckets
     rows_trained: int = 0
     version: int | None = None
-    held: dict = field(default_factory=dict)  # the dense weights, where one block is all
-    parts: dict = field(default_factory=dict)  # (first class, end class) -> stored block, where there are several
+    broadcast_bytes: int = BROADCAST_BYTES
 
     @property
     def k(self) -> int:
         return len(self.classes)
 
+    @property
+    def width(self) -> int:
+        """Classes of a weight row."""
+        return max(1, min(self.k, CLASS_BLOCK))
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.k // self.width)
+
     def class_name(self, idx: Column) -> Column:
         arr = F.array(*[F.lit(c) for c in self.classes])
         return F.element_at(arr, idx + 1)
 
-    def blocks(self) -> list[tuple[int, int]]:
-        """(first class, end class) of each block."""
-        limit = int(self.weights.sparkSession.conf.get("spendlabel.blockBytes", str(BLOCK_BYTES)))
-        size = max(1, limit // (8 << self.bits))
-        return [(a, min(a + size, self.k)) for a in range(0, self.k, size)]
-
-    def dense(self, a: int, b: int, col: str = "w") -> np.ndarray:
-        """Weights of classes a..b as a (2^bits, b - a) array."""
-        if (col, a, b) in self.held:
-            return self.held[col, a, b]
-        out = np.zeros((1 << self.bits, b - a))
-        t = (self.parts[a, b].select("bucket", F.col(col).alias("v")) if (a, b) in self.parts else
-             self.weights.select("bucket", F.slice(col, a + 1, b - a).alias("v"))).toArrow()
-        if t.num_rows:
-            out[t["bucket"].to_numpy()] = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, b - a)
-        if b - a == self.k:
-            self.held[col, a, b] = out
-        return out
+    def fits_broadcast(self) -> bool:
+        return self.n_observed * self.k * 8 <= self.broadcast_bytes
+
+    def long_weights(self) -> DataFrame:
+        """(bucket, class_id, w): a row for each observed bucket and class."""
+        return (self.weights.select("bucket", "block", F.posexplode("w").alias("i", "w"))
+                .select("bucket", (F.col("block") * self.width + F.col("i")).alias("class_id"), "w")
+                .where(F.col("class_id") < self.k))
+
+
+# -- sparse rows -------------------------------------------------------------------------
+
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray]  # buckets, values, first cell of each row
+
+
+def _count_cells(grams: pa.Array) -> Cells:
+    """Cells of rows of n-gram buckets: counts over the row's Euclidean norm."""
+    n = grams.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    cell, tf = np.unique(row << 32 | grams.flatten().to_numpy().astype(np.int64), return_counts=True)
+    row = cell >> 32
+    norm = np.sqrt(np.bincount(row, tf * tf, len(n)))
+    return (cell & 0xFFFFFFFF).astype(np.int32), tf / norm[row], np.append(0, np.cumsum(np.bincount(row, minlength=len(n))))
+
+
+def _held_cells(b: pa.Array, x: pa.Array) -> Cells:
+    return b.flatten().to_numpy(), x.flatten().to_numpy(), np.append(0, np.cumsum(b.value_lengths().to_numpy()))
 
 
-class Buckets(dict):
-    """N-gram -> feature bucket (as functions.text.bucket_of); bounded, starts anew when full."""
+def _slices(batches: Iterator[pa.RecordBatch], lists: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``limit`` entries of column ``lists`` at most, or one row."""
+    for b in batches:
+        end = np.cumsum(b.column(b.schema.names.index(lists)).value_lengths().to_numpy())
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + limit, "right")))
+            yield b.slice(i, j - i)
+            i = j
 
-    def __init__(self, bits: int):
-        super().__init__()
-        self.mask = (1 << bits) - 1
 
-    def __missing__(self, gram: str) -> int:
-        b = int.from_bytes(hashlib.md5(gram.encode()).digest()[:4], "big") & self.mask
-        if len(self) >= 500_000:
-            self.clear()
-        self[gram] = b
-        return b
+def _lists(flat: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.ascontiguousarray(flat).ravel()))
 
 
-def text_features(text: str | None, buckets: Buckets) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, x) of a lower-cased text."""
-    t = _TOKEN.findall(text or "")
-    grams = t + [f"{x} {y}" for x, y in zip(t, t[1:])]
-    b, n = np.unique(np.fromiter(map(buckets.__getitem__, grams), np.int64, len(grams)), return_counts=True)
-    return b, n / math.sqrt(float((n * n).sum()) or 1.0)
+def _with_grams(df: DataFrame, text: str, bits: int, drop: bool) -> DataFrame:
+    grams = F.coalesce(ngram_buckets(text, bits), F.array().cast("array<int>")).alias("__g")
+    return df.select(*[c for c in df.columns if not (drop and c == text)], grams)
+
+
+def sparse_rows(df: DataFrame, text: str = "text", bits: int = DEFAULT_BITS) -> DataFrame:
+    """``df`` without ``text``, with b (buckets) and x (values): the text's sparse feature row.
+    N-grams and buckets are column expressions; the task only counts them."""
+    ship_package(df.sparkSession)
+    grams = _with_grams(df, text, bits, drop=True)
+    schema = T.StructType([*grams.schema.fields[:-1], T.StructField("b", T.ArrayType(T.IntegerType())),
+                           T.StructField("x", T.ArrayType(T.DoubleType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, "__g", _AT_A_TIME):
+            b, x, first = _count_cells(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(b, first), _lists(x, first)], schema.names)
+
+    return grams.mapInArrow(count, schema)
+
+
+def _is_sparse(df: DataFrame) -> bool:
+    return {"b", "x"} <= set(df.columns)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def register_classes(df: DataFrame, col: str = "category") -> list[str]:
@@ -133,10 +181,11 @@ def class_table(df: DataFrame, col: str = "category") -> DataFrame:
                        .alias("class_id"), "category")
 
 
-def empty_model(spark: SparkSession, classes: list[str], bits: int = DEFAULT_BITS) -> Model:
+def empty_model(spark: SparkSession, classes: list[str], bits: int = DEFAULT_BITS,
+                broadcast_bytes: int = BROADCAST_BYTES) -> Model:
     k = len(classes)
     return Model(classes=list(classes), weights=spark.createDataFrame([], WEIGHTS_SCHEMA),
-                 intercept=[0.0] * k, intercept_g2=[0.0] * k, bits=bits, n_observed=0)
+                 intercept=[0.0] * k, intercept_g2=[0.0] * k, bits=bits, broadcast_bytes=broadcast_bytes)
 
 
 def group_copies(df: DataFrame, text: str = "text", category: str = "category",
@@ -152,106 +201,222 @@ def group_copies(df: DataFrame, text: str = "text", category: str = "category",
                                   F.count(F.lit(1)).alias("weight"))
 
 
-def _gradients(rows: DataFrame, model: Model, a: int, b: int, w: np.ndarray | None, bias: np.ndarray) -> pa.Table:
-    """Gradient sums of classes a..b: (bucket, g0, ..), bucket -1 holding the intercepts' sums
-    and bucket -2 the number of rows. ``w`` None: no weights yet."""
-    sent = rows.sparkSession.sparkContext.broadcast((w, bias))
-    place, bits, n = {c: i for i, c in enumerate(model.classes[a:b])}, model.bits, b - a
+def _segment_sums(values: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, sum of its rows) of rows that are sorted by segment."""
+    first = np.flatnonzero(np.diff(segment, prepend=-1 << 40))
+    return segment[first], np.add.reduceat(values, first, axis=0)
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias = sent.value
-        buckets, total, seen = Buckets(bits), np.zeros((1 << bits, n)), np.zeros(1 << bits, bool)
-        ends, count = np.zeros(n), 0.0
-        for batch in batches:
-            for text, category, weight in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                at, x = text_features(text, buckets)
-                m = bias if w is None else bias + x @ w[at]
-                r = 1.0 / (1.0 + np.exp(-np.clip(m, -700, 700)))
-                if category in place:
-                    r[place[category]] -= 1.0
-                r = r * weight
-                total[at] += x[:, None] * r
-                seen[at] = True
-                ends += r
-                count += weight
-        if not count:
+
+def _margins(cells: Cells, at: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Margins (rows x classes); ``w`` holds the weights of the sorted buckets ``at``."""
+    b, x, first = cells
+    out = np.tile(bias, (len(first) - 1, 1))
+    if not len(at) or not len(b):
+        return out
+    place = np.minimum(np.searchsorted(at, b), len(at) - 1)
+    known = at[place] == b
+    row, place, x = np.repeat(np.arange(len(first) - 1), np.diff(first))[known], place[known], x[known]
+    step = max(1, _AT_A_TIME // max(len(x), 1))
+    for k in range(0, len(bias), step) if len(x) else ():
+        rows, sums = _segment_sums(x[:, None] * w[place, k:k + step], row)
+        out[rows, k:k + step] += sums
+    return out
+
+
+def _residuals(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted residuals; ``y`` is the column of each row's class, or outside of it."""
+    r = 1.0 / (1.0 + np.exp(-np.clip(m, -700, 700)))
+    own = np.flatnonzero((y >= 0) & (y < r.shape[1]))
+    r[own, y[own]] -= 1.0
+    return r * weight[:, None]
+
+
+class _Gradient:
+    """Gradient sums per bucket, in blocks of classes, held up to a bound."""
+
+    def __init__(self, width: int, first_block: int):
+        self.width, self.first_block, self.parts, self.size = width, first_block, [], 0
+
+    def add(self, cells: Cells, r: np.ndarray) -> None:
+        b, x, first = cells
+        if not len(b):
             return
-        found = np.flatnonzero(seen)
-        key = np.concatenate([[-1, -2], found]).astype(np.int32)
-        val = np.concatenate([ends[None], np.full((1, n), count), total[found]])
-        for i in range(0, len(key), 50_000):
-            part = val[i:i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[i:i + 50_000]), *(pa.array(np.ascontiguousarray(part[:, j])) for j in range(n))],
-                ["bucket", *(f"g{j}" for j in range(n))])
-
-    cols = [f"g{j}" for j in range(n)]
-    parts = rows.select(F.lower("text"), "category", "weight").mapInArrow(
-        add_up, "bucket int, " + ", ".join(f"{c} double" for c in cols))
-    return parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()
-
-
-def _fit_block(rows: DataFrame, model: Model, a: int, b: int, steps: int, eta: float, alpha: float, eps: float):
-    """(weights, accumulators, intercepts, their accumulators, observed buckets, rows)."""
-    fresh = model.n_observed == 0
-    w = np.zeros((1 << model.bits, b - a)) if fresh else model.dense(a, b).copy()
-    g2 = np.zeros_like(w) if fresh else model.dense(a, b, "g2").copy()
-    bias, bias2 = np.array(model.intercept[a:b]), np.array(model.intercept_g2[a:b])
-    seen, n = (g2 != 0).any(1), 0
-    for _ in range(steps):
-        t = _gradients(rows, model, a, b, None if fresh else w, bias)
-        key = t["bucket"].to_numpy()
-        val = np.stack([t[f"g{j}"].to_numpy() for j in range(b - a)], 1) if len(key) else np.zeros((0, b - a))
-        if not len(key):
-            break
-        n = int(val[key == -2][0, 0])
-        g = alpha * w
-        g[key[key >= 0]] += val[key >= 0] / n
-        seen[key[key >= 0]] = True
-        g2 += g * g
-        w = np.where(seen[:, None], w - eta * g / np.sqrt(g2 + eps), 0.0)
-        g = val[key == -1][0] / n
-        bias2 = bias2 + g * g
-        bias = bias - eta * g / np.sqrt(bias2 + eps)
-        fresh = False
-    return w, g2, bias, bias2, seen, n
+        order = np.argsort(b, kind="stable")
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))[order]
+        step, sums = max(1, _AT_A_TIME // len(b)), []
+        for k in range(0, r.shape[1], step):
+            at, s = _segment_sums(x[order, None] * r[row, k:k + step], b[order])
+            sums.append(s)
+        self.keep(at, np.concatenate(sums, 1))
+
+    def keep(self, at: np.ndarray, sums: np.ndarray) -> None:
+        self.parts.append((at, sums))
+        self.size += sums.size
+
+    def rows(self, at_least: int = 0) -> Iterator[pa.RecordBatch]:
+        """What is held, if it is more than ``at_least`` doubles once merged."""
+        if self.size <= at_least:
+            return
+        at, sums = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(at, kind="stable")
+        at, sums = _segment_sums(sums[order], at[order])
+        if at_least and sums.size <= at_least // 2:
+            self.parts, self.size = [(at, sums)], sums.size
+            return
+        self.parts, self.size = [], 0
+        for k in range(0, sums.shape[1], self.width):
+            part = np.zeros((len(at), self.width))
+            part[:, :sums.shape[1] - k] = sums[:, k:k + self.width]
+            for i in range(0, len(at), 50_000):
+                n = len(at[i:i + 50_000])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[i:i + n].astype(np.int32)), pa.array(np.full(n, self.first_block + k // self.width, np.int32)),
+                     *(pa.array(np.ascontiguousarray(part[i:i + n, j])) for j in range(self.width))], _names(self.width))
+
+
+def _names(width: int) -> list[str]:
+    return ["bucket", "block", *(f"g{j}" for j in range(width))]
+
+
+def _gradient_schema(width: int) -> T.StructType:
+    return T.StructType([T.StructField(c, T.IntegerType() if c[0] == "b" else T.DoubleType()) for c in _names(width)])
+
+
+def _broadcast_weights(model: Model):
+    """The observed buckets, sorted, and their weights (buckets x classes), sent to the tasks."""
+    t = model.weights.select("bucket", "block", "w").toArrow()
+    bucket, block = t["bucket"].to_numpy(), t["block"].to_numpy()
+    at = np.unique(bucket)
+    w = np.zeros((len(at), model.blocks * model.width))
+    flat = t["w"].combine_chunks().flatten().to_numpy().reshape(-1, model.width) if t.num_rows else np.zeros((0, model.width))
+    for i in range(model.blocks):
+        held = block == i
+        w[np.searchsorted(at, bucket[held]), i * model.width:(i + 1) * model.width] = flat[held]
+    return model.weights.sparkSession.sparkContext.broadcast((at, np.ascontiguousarray(w[:, :model.k]), np.array(model.intercept)))
+
+
+def _classed(cells: DataFrame, model: Model) -> DataFrame:
+    """(y, weight, b, x): the class number of each row, -1 for other categories. Joined as a
+    table of the model's classes, which the driver holds."""
+    spark = cells.sparkSession
+    names = spark.createDataFrame([(c, i) for i, c in enumerate(model.classes)], "category string, y int")
+    return (cells.join(F.broadcast(names), "category", "left")
+            .select(F.coalesce("y", F.lit(-1)).alias("y"), F.col("weight").cast("double"), "b", "x"))
+
+
+def _gradient_map(rows: DataFrame, model: Model) -> DataFrame:
+    sent, width = _broadcast_weights(model), model.width
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w, bias = sent.value
+        total = _Gradient(width, 0)
+        for batch in _slices(batches, "b", max(1, _AT_A_TIME // len(bias))):
+            cells = _held_cells(batch.column(2), batch.column(3))
+            r = _residuals(_margins(cells, at, w, bias), batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            total.add(cells, r)
+            total.keep(np.array([_BIAS]), r.sum(0)[None])
+            yield from total.rows(1 << 23)
+        yield from total.rows()
+
+    return rows.mapInArrow(add_up, _gradient_schema(width))
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` (b, ...) with ``chunk``: runs of rows of ``CHUNK_CELLS`` cells at most, or one row."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 40
+        for i, batch in enumerate(_slices(batches, "b", CHUNK_CELLS)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, chunk + i))], [*batch.schema.names, "chunk"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.LongType())])
+    return _stored(rows.mapInArrow(deal, schema), "chunks")
+
+
+def _with_weights(chunks: DataFrame, model: Model, work, schema: T.StructType) -> DataFrame:
+    """``work(rows, at, w, bias, block)`` for every chunk and block of classes, with the weights
+    of the chunk's buckets. A chunk's distinct buckets are joined with the weights."""
+    width, k = model.width, model.k
+    bias = model.weights.sparkSession.sparkContext.broadcast(np.array(model.intercept))
+    need = chunks.select(F.col("chunk").alias("c"), F.explode("b").alias("bucket")).distinct()
+    pulled = need.join(model.weights.select("bucket", F.col("block").alias("k"), "w"), "bucket").select("c", "k", "bucket", "w")
+    spread = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(model.blocks - 1))))
+
+    def both(key: tuple, rows: pa.Table, weights: pa.Table) -> pa.Table:
+        block = key[1].as_py()
+        size = min(width, k - block * width)
+        at, order = np.unique(weights["bucket"].to_numpy(), return_index=True)
+        w = weights["w"].combine_chunks().flatten().to_numpy().reshape(-1, width)[order, :size] if len(at) else np.zeros((0, size))
+        rows = rows.combine_chunks().to_batches()
+        out = list(work(rows[0], at, w, bias.value[block * width:block * width + size], block)) if rows else []
+        return pa.Table.from_batches(out, schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    return spread.groupBy("chunk", "block").cogroup(pulled.groupBy("c", "k")).applyInArrow(both, schema)
+
+
+def _gradient_join(chunks: DataFrame, model: Model) -> DataFrame:
+    width = model.width
+
+    def work(rows: pa.RecordBatch, at, w, bias, block: int) -> Iterator[pa.RecordBatch]:
+        col = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+        cells = _held_cells(col["b"], col["x"])
+        r = _residuals(_margins(cells, at, w, bias), col["y"].to_numpy() - block * width, col["weight"].to_numpy())
+        total = _Gradient(width, block)
+        total.add(cells, r)
+        total.keep(np.array([_BIAS]), r.sum(0)[None])
+        return total.rows()
+
+    return _with_weights(chunks, model, work, _gradient_schema(width))
+
+
+def _update(model: Model, parts: DataFrame, n: float, eta: float, alpha: float, eps: float) -> DataFrame:
+    """The weights after one step, intercepts included as bucket -1. Weights and gradient sums
+    are united and added up by bucket, so every bucket seen so far is there, whether this step
+    touches it or not; AdaGrad is then column arithmetic."""
+    width, spark, zero = model.width, parts.sparkSession, F.lit(0.0)
+    pad = [0.0] * (model.blocks * width - model.k)
+    b, q = (np.array(v + pad).reshape(-1, width).tolist() for v in (model.intercept, model.intercept_g2))
+    bias = spark.createDataFrame([(_BIAS, i, b[i], q[i]) for i in range(model.blocks)], WEIGHTS_SCHEMA)
+    place = range(width)
+    held = model.weights.unionByName(bias).select(
+        "bucket", "block", *[F.col("w")[i].alias(f"w{i}") for i in place], *[F.col("g2")[i].alias(f"q{i}") for i in place],
+        *[zero.alias(f"g{i}") for i in place])
+    new = parts.select("bucket", "block", *[zero.alias(f"{c}{i}") for c in "wq" for i in place], *[f"g{i}" for i in place])
+    sums = held.unionByName(new).groupBy("bucket", "block").agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "wqg" for i in place])
+    decay = F.when(F.col("bucket") == _BIAS, zero).otherwise(F.lit(alpha))  # intercepts do not decay
+    sums = sums.withColumns({f"g{i}": F.col(f"g{i}") / n + decay * F.col(f"w{i}") for i in place})
+    grown = [F.col(f"q{i}") + F.col(f"g{i}") * F.col(f"g{i}") for i in place]
+    return sums.select("bucket", "block",
+                       F.array(*[F.col(f"w{i}") - eta * F.col(f"g{i}") / F.sqrt(grown[i] + eps) for i in place]).alias("w"),
+                       F.array(*grown).alias("g2"))
 
 
 def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: float = ALPHA,
         eps: float = EPS) -> Model:
-    """``steps`` AdaGrad steps over ``rows`` (as of :func:`group_copies`) from ``model``. The
-    rows are persisted when they are read more than once. ``rows_trained`` counts the rows
-    of this fit once."""
+    """``steps`` AdaGrad steps over ``rows`` (as of :func:`group_copies`, or sparse already) from
+    ``model``. Texts are tokenised once, into stored sparse rows. ``rows_trained`` counts the
+    rows of this fit once."""
     spark = rows.sparkSession
     ship_package(spark)
-    blocks = model.blocks()
-    keep = steps * len(blocks) > 1
-    rows = rows.persist() if keep else rows
-    weights, bias, bias2, held, parts, n = None, [], [], {}, {}, 0
-    try:
-        for a, b in blocks:
-            w, g2, b0, b2, seen, n = _fit_block(rows, model, a, b, steps, eta, alpha, eps)
-            at = np.flatnonzero(seen)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (b - a), pa.int32()),
-                                              pa.array(x[at].ravel())) for x in (w, g2)]
-            part = spark.createDataFrame(pa.table([pa.array(at.astype(np.int32)), *lists], ["bucket", "w", "g2"]), WEIGHTS_SCHEMA)
-            if len(blocks) > 1:
-                path = scratch_path(spark, "class-block")
-                part.write.parquet(path)
-                part = parts[a, b] = spark.read.schema(WEIGHTS_SCHEMA).parquet(path)
-            weights = part if weights is None else (
-                weights.join(part.select("bucket", F.col("w").alias("w1"), F.col("g2").alias("q1")), "bucket")
-                .select("bucket", F.concat("w", "w1").alias("w"), F.concat("g2", "q1").alias("g2")))
-            if len(blocks) == 1:
-                held = {("w", a, b): w, ("g2", a, b): g2}
-            bias, bias2 = bias + b0.tolist(), bias2 + b2.tolist()
-    finally:
-        if keep:
-            rows.unpersist()
-    if not n:
+    cells = rows if _is_sparse(rows) else _stored(sparse_rows(rows.select("category", "weight", "text"), "text", model.bits), "cells")
+    classed = _classed(cells, model)
+    n = cells.agg(F.sum("weight")).first()[0]
+    if not n or not model.k:
         return model
-    return replace(model, weights=weights, intercept=bias, intercept_g2=bias2, held=held, parts=parts, version=None,
-                   n_observed=int(seen.sum()), rows_trained=model.rows_trained + n)
+    chunks = None
+    for _ in range(steps):
+        if model.fits_broadcast():
+            parts = _gradient_map(classed, model)
+        else:
+            chunks = chunks if chunks is not None else _chunked(classed)
+            parts = _gradient_join(chunks, model)
+        new = _stored(_update(model, parts, float(n), eta, alpha, eps), "weights")
+        ends = sorted(new.where(F.col("bucket") == _BIAS).collect(), key=lambda r: r["block"])
+        weights = new.where(F.col("bucket") != _BIAS)
+        model = replace(model, weights=weights, intercept=[v for r in ends for v in r["w"]][:model.k],
+                        intercept_g2=[v for r in ends for v in r["g2"]][:model.k], version=None,
+                        n_observed=weights.where("block = 0").count())
+    return replace(model, rows_trained=model.rows_trained + int(n))
 
 
 def ovr_step(rows: DataFrame, model: Model, **kw) -> Model:
@@ -269,32 +434,43 @@ def full_refit(df: DataFrame, steps: int = STEPS_REFIT, bits: int = DEFAULT_BITS
 # -- scoring -----------------------------------------------------------------------
 
 def score_margins(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` (all columns) with m: raw margins of every class. One map per block of
-    classes, no exchange; a text without tokens scores by the intercepts alone."""
+    """``df`` (all columns) with m: raw margins of every class. With broadcast weights it is one
+    map, no exchange; a text without tokens scores by the intercepts alone. Rows that are
+    sparse already (b, x) are not tokenised again."""
     ship_package(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("__t", T.StringType()),
-                           T.StructField("m", T.ArrayType(T.DoubleType()))])
-    out = df.withColumn("__t", F.lower(text)).withColumn("m", F.array().cast("array<double>"))
-    bits = model.bits
-    for a, b in model.blocks():
-        sent = df.sparkSession.sparkContext.broadcast((model.dense(a, b), np.array(model.intercept[a:b])))
-
-        def add(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            w, bias = sent.value
-            buckets = Buckets(bits)
-            for batch in batches:
-                names = batch.schema.names
-                texts = batch.column(names.index("__t")).to_pylist()
-                before = batch.column(names.index("m")).to_pylist()
-                m = []
-                for t, old in zip(texts, before):
-                    at, x = text_features(t, buckets)
-                    m.append(old + (bias + x @ w[at]).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array(m, pa.list_(pa.float64()))], names)
+    if not model.fits_broadcast():
+        return _margins_joined(df, model, text)
+    sparse = _is_sparse(df)
+    src = df if sparse else _with_grams(df, text, model.bits, drop=False)
+    schema = T.StructType([*df.schema.fields, T.StructField("m", T.ArrayType(T.DoubleType()))])
+    sent, lists = _broadcast_weights(model), "b" if sparse else "__g"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w, bias = sent.value
+        for batch in _slices(batches, lists, max(1, _AT_A_TIME // max(len(bias), 1))):
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            m = _margins(_held_cells(col["b"], col["x"]) if sparse else _count_cells(col["__g"]), at, w, bias)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(schema) - 1], _lists(m, np.arange(len(m) + 1) * len(bias))], schema.names)
+
+    return src.mapInArrow(add, schema)
+
+
+def _margins_joined(df: DataFrame, model: Model, text: str) -> DataFrame:
+    """Margins with weights that are too large to broadcast: blocks of classes by shuffle."""
+    held = _stored(df.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    cells = held if _is_sparse(df) else sparse_rows(held.select("__row", text), text, model.bits)
+
+    def work(rows: pa.RecordBatch, at, w, bias, block: int) -> Iterator[pa.RecordBatch]:
+        col = {n: rows.column(i) for i, n in enumerate(rows.schema.names)}
+        m = _margins(_held_cells(col["b"], col["x"]), at, w, bias)
+        yield pa.RecordBatch.from_arrays([col["__row"], pa.array(np.full(len(m), block, np.int32)),
+                                          _lists(m, np.arange(len(m) + 1) * m.shape[1])], ["__row", "block", "m"])
 
-        out = out.mapInArrow(add, schema)
-    return out.drop("__t")
+    parts = _with_weights(_chunked(cells.select("__row", "b", "x")), model, work, T.StructType([
+        T.StructField("__row", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("m", T.ArrayType(T.DoubleType()))]))
+    whole = parts.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("s"))
+    return held.join(whole.select("__row", F.flatten("s.m").alias("m")), "__row").drop("__row")
 
 
 def _sigmoid(c: Column) -> Column:

@@ -50,8 +50,10 @@ def read_labeled_csv_mixed(fx):
 @query("read_staging_csv", Q.with_fixtures(["staging"]) + """
 SELECT vendor, description, category, date_txt, amount_txt FROM staging""")
 def read_staging_csv(fx):
+    """A file headed as the seed file is: vendor,description,category,date,amount."""
     p = scratch_path(fx.spark, "staging_csv")
-    IO.write_csv(fx.staging.select(*IO.STAGING_FIELDS), p)
+    IO.write_csv(fx.staging.select("vendor", "description", "category", F.col("date_txt").alias("date"),
+                                   F.col("amount_txt").alias("amount")), p)
     return IO.read_staging_csv(fx.spark, p)
 
 
@@ -78,6 +80,28 @@ def read_feedback_mixed(fx):
     return IO.read_feedback(fx.spark, p)
 
 
+def _mixed_log(fx) -> str:
+    """A log of sub-folders: a plain file with a byte order mark, compressed files in another
+    column order, and files that lack a column and repeat another."""
+    p = scratch_path(fx.spark, "feedback_tree")
+    fb, third = fx.feedback, F.col("fb_id") % 3
+    fb.filter(third == 0).select(F.col("date").alias("\ufeffdate"), *IO.FEEDBACK_FIELDS[1:]).write.options(header="true", escape='"').csv(f"{p}/day=0")
+    (fb.filter(third == 1).select(*reversed(IO.FEEDBACK_FIELDS))
+     .write.options(header="true", escape='"', compression="gzip").csv(f"{p}/day=1"))
+    (fb.filter(third == 2).select("amount", "vendor", "category", "description", F.upper("vendor").alias("Vendor "), "date")
+     .write.options(header="true", escape='"').csv(f"{p}/old/2"))
+    return p
+
+
+_TREE_SQL = """SELECT date, amount, vendor, description, category, CASE WHEN fb_id % 3 < 2 THEN source END AS source,
+       CASE WHEN fb_id % 3 < 2 THEN created_at_utc END AS created_at_utc FROM feedback"""
+
+
+@query("read_feedback_tree", Q.with_fixtures(["feedback"]) + _TREE_SQL)
+def read_feedback_tree(fx):
+    return IO.read_feedback(fx.spark, _mixed_log(fx))
+
+
 # -- O4 ----------------------------------------------------------------------------
 @query("append_feedback", Q.with_fixtures(["feedback"]) + """
 SELECT date, amount, vendor, description, category, 'feedback_api' AS source FROM feedback
@@ -126,12 +150,9 @@ def _published(fx):
 SELECT bucket, cls AS category, round(w, 6) + 0.0 AS w FROM wt""")
 def publish_model(fx):
     store, _ = _published(fx)
-    r = store.latest("model")
-    w = store.read("model_weights", r["version"])
-    names = F.array(*[F.lit(c) for c in r["classes"]])
-    return (w.select("bucket", F.posexplode("w").alias("i", "v"))
-            .select("bucket", F.element_at(names, F.col("i") + 1).alias("category"),
-                    (F.round("v", 6) + F.lit(0.0)).alias("w")))
+    m = store.load_latest_model()
+    return m.long_weights().select("bucket", m.class_name(F.col("class_id")).alias("category"),
+                                   (F.round("w", 6) + F.lit(0.0)).alias("w"))
 
 
 @query("load_latest_model", Q.with_fixtures(["labeled_text"], _DOCS, _step_sql("docs")) + """
@@ -171,6 +192,28 @@ def train_or_update(fx):
     return VersionedStore(fx.spark, root).run_metrics().withColumn("accuracy", F.round("accuracy", 6) + F.lit(0.0))
 
 
+@query("train_or_update_delta", Q.with_fixtures(["labeled_text"], _DOCS, """
+delta AS (
+  SELECT CASE WHEN category NOT IN ('en', 'fr') THEN 3 WHEN substr(row_id, 1, 1) < '8' THEN 1 ELSE 2 END AS part, category
+  FROM docs WHERE length(text) > 0 AND length(category) > 0),
+per AS (SELECT part, count(*) AS n FROM delta GROUP BY part)""") + """
+SELECT part::BIGINT AS version, CASE part WHEN 1 THEN 'first' WHEN 2 THEN 'update' ELSE 'refit' END AS kind,
+       n AS rows_read, n AS rows_new, CASE part WHEN 3 THEN (SELECT sum(n) FROM per)::BIGINT ELSE n END AS rows_trained,
+       CASE part WHEN 3 THEN (SELECT count(DISTINCT category) FROM delta) ELSE 2 END AS classes,
+       CASE part WHEN 3 THEN (SELECT count(DISTINCT category) - 2 FROM delta) ELSE 0 END AS new_classes
+FROM per""")
+def train_or_update_delta(fx):
+    """A first run, an update with other rows of the same classes, a refit for new classes."""
+    from .training import train_or_update as run
+    root = scratch_path(fx.spark, "store")
+    docs = _docs(fx).select("row_id", *fx.labeled_text.columns[1:3], "category")
+    known = F.col("category").isin("en", "fr")
+    low = F.col("row_id").substr(1, 1) < "8"
+    for delta in (docs.filter(known & low), docs.filter(known & ~low), docs.filter(~known)):
+        run(delta.drop("row_id"), root, holdout=False)
+    return VersionedStore(fx.spark, root).run_metrics().drop("changed", "accuracy", "v")
+
+
 # -- O54 ---------------------------------------------------------------------------
 def _feedback_valid_sql() -> str:
     nv, nd, nc = Q.normalized("vendor"), Q.normalized("description"), Q.normalized("category")
@@ -196,6 +239,15 @@ def stream_feedback(fx):
     return spark.read.parquet(f"{dst}/valid").drop("batch_id")
 
 
+@query("stream_feedback_tree", _feedback_valid_sql().replace("FROM feedback\nWHERE", f"FROM ({_TREE_SQL}) t\nWHERE"))
+def stream_feedback_tree(fx):
+    """The same stream over files whose headers differ."""
+    spark = fx.spark
+    dst, ck = (scratch_path(spark, n) for n in ("fb_dst", "fb_ck"))
+    ST.stream_feedback(spark, _mixed_log(fx), dst, ck, max_files_per_trigger=None).awaitTermination()
+    return spark.read.parquet(f"{dst}/valid").drop("batch_id")
+
+
 # -- O55 ---------------------------------------------------------------------------
 _STREAM_SCHEMA = "row_key long, vendor string, description string, category string"
 

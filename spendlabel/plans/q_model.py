@@ -197,9 +197,7 @@ def ovr_step(fx):
 
 
 def _weights_long(fx, m: MD.Model) -> DataFrame:
-    names = F.array(*[F.lit(c) for c in m.classes])
-    w = (m.weights.select("bucket", F.posexplode("w").alias("i", "v"))
-         .select("bucket", F.element_at(names, F.col("i") + 1).alias("category"), _r6(F.col("v")).alias("w")))
+    w = m.long_weights().select("bucket", m.class_name(F.col("class_id")).alias("category"), _r6(F.col("w")).alias("w"))
     bias = fx.spark.createDataFrame([(-1, c, float(b)) for c, b in zip(m.classes, m.intercept)],
                                     "bucket int, category string, w double")
     return w.unionByName(bias.select("bucket", "category", _r6(F.col("w")).alias("w")))
@@ -430,12 +428,34 @@ _VENDOR_ROWS = f"""vrows AS (
          {Q.row_id_of(Q.text_of(), Q.clean_field('vendor'))} AS row_id FROM expenses)"""
 
 
+_PAIR_ROWS = f"""prows AS (
+  SELECT expense_id AS row_key, {Q.text_of()} AS text, {Q.clean_field("vendor || ' / ' || category")} AS category,
+         {Q.row_id_of(Q.text_of(), Q.clean_field("vendor || ' / ' || category"))} AS row_id FROM expenses)"""
+
+
+@query("ovr_update_blocks", Q.with_fixtures(["expenses"], _PAIR_ROWS, _steps_sql("prows", 2)) + """
+SELECT bucket, count(*) AS classes, round(sum(w), 6) + 0.0 AS total, round(sum(w * w), 6) + 0.0 AS squares
+FROM wt GROUP BY bucket
+UNION ALL SELECT -1, count(*), round(sum(b), 6) + 0.0, round(sum(b * b), 6) + 0.0 FROM bias""")
+def ovr_update_blocks(fx):
+    """Every vendor and category a class (hundreds), 2^20 buckets, an update from existing
+    weights; the weights are joined by shuffle, in blocks of classes."""
+    pairs = fx.expenses.withColumn("category", F.concat_ws(" / ", "vendor", "category"))
+    rows = MD.group_copies(C.with_row_id(C.build_text(pairs)))
+    empty = MD.empty_model(fx.spark, MD.register_classes(rows), broadcast_bytes=0)
+    m = MD.ovr_step(rows, MD.ovr_step(rows, empty))
+    w = m.long_weights().select("bucket", "w").unionByName(
+        fx.spark.createDataFrame([(-1, float(b)) for b in m.intercept], "bucket int, w double"))
+    return w.groupBy("bucket").agg(F.count("*").alias("classes"), _r6(F.sum("w")).alias("total"),
+                                   _r6(F.sum(F.col("w") * F.col("w"))).alias("squares"))
+
+
 @query("score_many_classes", Q.with_fixtures(["expenses"], _VENDOR_ROWS, _step_sql("vrows", _MANY_BITS), _score_sql("vrows", _MANY_BITS)) + """
 SELECT row_key, round(max(p), 6) + 0.0 AS best, count(*) AS classes FROM prob GROUP BY row_key""")
 def score_many_classes(fx):
-    """Every vendor a class: trained and scored in blocks of classes."""
+    """Every vendor a class; the weights are joined by shuffle, in blocks of classes."""
     rows = C.build_text(fx.expenses.withColumn("category", F.col("vendor")))
     rows = C.with_row_id(rows)
-    m = MD.full_refit(rows, steps=1, bits=_MANY_BITS)
+    m = MD.fit(MD.group_copies(rows), MD.empty_model(fx.spark, MD.register_classes(rows), _MANY_BITS, broadcast_bytes=0), 1)
     sc = MD.score_ovr(rows.select(F.col("expense_id").alias("row_key"), "text"), m)
     return sc.select("row_key", _r6(F.array_max("prob")).alias("best"), F.size("prob").cast("long").alias("classes"))

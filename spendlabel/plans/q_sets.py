@@ -274,26 +274,37 @@ def _published_move(fx):
     return store.read_latest("expenses", "move"), store.read_latest("seed_expenses", "move")
 
 
-@query("publish_move", Q.with_fixtures(["expenses"]) + """
-SELECT 'expenses' AS side, vendor, description, category, NULL AS source FROM expenses
+_SEED_COLS = "vendor, description, category, amount, expense_date"
+
+
+@query("publish_move", Q.with_fixtures(["expenses"]) + f"""
+SELECT 'expenses' AS side, expense_id AS id, {_SEED_COLS}, NULL AS source FROM expenses
 WHERE NOT coalesce(starts_with(category, 'PROMO'), false)
 UNION ALL
-SELECT 'seed_expenses', vendor, description, category, 'migrated_from_expenses' FROM expenses
+SELECT 'seed_expenses',
+       row_number() OVER (ORDER BY md5(concat_ws('|', vendor, description, category, CAST(amount AS VARCHAR),
+                                                 CAST(expense_date AS VARCHAR), 'migrated_from_expenses')), {_SEED_COLS}),
+       {_SEED_COLS}, 'migrated_from_expenses' FROM expenses
 WHERE coalesce(starts_with(category, 'PROMO'), false)""")
 def publish_move(fx):
+    """Both published tables, every column of the seed table included."""
     kept, seed = _published_move(fx)
-    return (kept.select(F.lit("expenses").alias("side"), "vendor", "description", "category", F.lit(None).cast("string").alias("source"))
-            .unionByName(seed.select(F.lit("seed_expenses").alias("side"), "vendor", "description", "category", "source")))
+    cols = [c.strip() for c in _SEED_COLS.split(",")]
+    return (kept.select(F.lit("expenses").alias("side"), F.col("expense_id").alias("id"), *cols, F.lit(None).cast("string").alias("source"))
+            .unionByName(seed.select(F.lit("seed_expenses").alias("side"), "id", *cols, "source")))
 
 
 @query("reconcile_move", Q.with_fixtures(["expenses"]) + """
 SELECT count(*) AS before,
        count(*) FILTER (WHERE NOT coalesce(starts_with(category, 'PROMO'), false)) AS kept,
        count(*) FILTER (WHERE coalesce(starts_with(category, 'PROMO'), false)) AS moved,
+       sum(amount) AS amount_before,
+       sum(amount) FILTER (WHERE NOT coalesce(starts_with(category, 'PROMO'), false)) AS amount_kept,
+       sum(amount) FILTER (WHERE coalesce(starts_with(category, 'PROMO'), false)) AS amount_moved,
        true AS balanced
 FROM expenses""")
 def reconcile_move(fx):
-    """Counts of what was read and of both published tables."""
+    """Counts, amounts and content of what was read and of both published tables."""
     return M.reconcile_move(fx.expenses, *_published_move(fx))
 
 

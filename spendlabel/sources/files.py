@@ -4,7 +4,9 @@ the cleaning operators so that bad cells are quarantined, not fatal."""
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ FEEDBACK_SOURCE = "feedback_api"
 STAGING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in STAGING_FIELDS])
 FEEDBACK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in FEEDBACK_FIELDS])
 
+_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 _CSV_OPTS = {"header": "true", "escape": '"', "encoding": "UTF-8"}
 
 
@@ -39,79 +42,119 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Header (names stripped) -> files of ``path`` that start with it. One line of each file
-    is read, through the path's Hadoop file system."""
-    jvm, out = spark.sparkContext._jvm, {}
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for st in fs.globStatus(p) or []:
-        found = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
-        for f in found:
-            name = f.getPath().getName()
-            if f.isDirectory() or name.startswith(("_", ".")) or not f.getLen():
-                continue
-            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(f.getPath()), "UTF-8"))
-            try:
-                head = next(csv.reader([lines.readLine() or ""]), [])
-            finally:
-                lines.close()
-            names = tuple(h.strip(FORM_WS) for h in head)
-            out.setdefault(names, []).append(f.getPath().toString())
+def _files(paths: Sequence[str]) -> list[str]:
+    """File URIs as the reader takes them: decoded, glob characters escaped."""
+    return [re.sub(r"([\\[\]{}*?])", r"\\\1", unquote(p)) for p in paths]
+
+
+def _names(line: str) -> list[str]:
+    """Column names of a header line, stripped (byte order mark included). A nameless column is
+    called _c<place>; a name that is there before, in any case, gets its place behind it
+    (name_<place>), so the first of several keeps the name."""
+    out: list[str] = []
+    for i, h in enumerate(next(csv.reader([line]), [])):
+        name = h.strip(FORM_WS) or f"_c{i}"
+        out.append(f"{name}_{i}" if name.lower() in map(str.lower, out) else name)
     return out
 
 
-def _by_name(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
-    """All files of ``path``, columns matched by name; None when there is no file. Files with
-    the same header are one scan, scans with other headers are united by column name."""
-    out = None
-    for names, files in sorted(_headers(spark, path).items()):
+def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> files that start with it. The lines are read and the first one of each
+    file is found in the tasks (compressed files and sub-folders included); only the distinct
+    headers and the names of their files reach the driver."""
+    lines = (spark.read.option("recursiveFileLookup", "true").text(paths)
+             .select("value", "_metadata.file_path", "_metadata.file_block_start")
+             .where("file_block_start = 0").withColumn("at", F.monotonically_increasing_id()))
+    first = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files"))
+    return {r["header"]: r["files"] for r in found.collect()}
+
+
+def _by_name(spark: SparkSession, paths: str | list[str], multi_line: bool,
+             header: Sequence[str] | None = None, called: Callable[[list[str]], list[str]] = list) -> DataFrame | None:
+    """All files of ``paths``, columns matched by name; None when there is no line. Files with
+    the same header are one scan, scans with other headers are united by column name.
+    ``header``: all files are known to have these columns, so no pass looks for them.
+    ``called`` gives the columns of a header their names."""
+    def scan(names: Sequence[str], files: str | list[str]) -> DataFrame:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = spark.read.options(**_options(multi_line)).schema(schema).csv(files)
+        return spark.read.options(**_options(multi_line)).option("recursiveFileLookup", "true").schema(schema).csv(files)
+
+    if header is not None:
+        return scan(header, paths)
+    headers, out = _headers(spark, paths), None
+    for line, files in sorted(headers.items()):
+        df = scan(called(_names(line)), paths if len(headers) == 1 else _files(files))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def _field(df: DataFrame, *names: str) -> str | None:
+    held = {c.lower(): c for c in df.columns}
+    return next((held[n] for n in names if n in held), None)
+
+
 def read_labeled_csv(spark: SparkSession, path: str, null_tokens: Sequence[str] = ("",),
-                     multi_line: bool = True) -> DataFrame:
+                     multi_line: bool = True, header: Sequence[str] | None = None) -> DataFrame:
     """Header CSV, UTF-8 with optional BOM, RFC 4180 quotes (``""``), quoted newlines;
-    every column a string. Files of one folder may order their columns differently: cells
-    follow their header. Cells equal to one of ``null_tokens`` are NULL (an empty cell is
-    NULL by default)."""
-    df = _by_name(spark, path, multi_line)
+    every column a string. Files of one folder, its sub-folders and compressed files included,
+    may order their columns differently: cells follow their header. Of columns with the same
+    name the first keeps it. The headers cost a pass over the lines; give ``header`` when it is
+    known to be that of all files. Cells equal to one of ``null_tokens`` are NULL (an empty cell
+    is NULL by default)."""
+    df = _by_name(spark, path, multi_line, header)
     if df is None:
         raise FileNotFoundError(path)
     extra = [t for t in null_tokens if t != ""]
     if extra:
-        df = df.select(*[F.when(F.col(c).isin(*extra), F.lit(None)).otherwise(F.col(c)).alias(c)
+        df = df.select(*[F.when(F.col(f"`{c}`").isin(*extra), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
                          for c in df.columns])
     return df
 
 
+def _staging_names(names: list[str]) -> list[str]:
+    """Names of a staging header: date and amount may be called date_txt and amount_txt."""
+    raw = {"date": "date_txt", "amount": "amount_txt"}
+    out = [raw.get(n.lower(), n.lower()) for n in names]
+    if lost := [c for c in STAGING_FIELDS if out.count(c) != 1]:
+        raise ValueError(f"no single column for {', '.join(lost)} in the header {names}")
+    return out
+
+
 def read_staging_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Five raw text columns. The header is checked against the expected names
-    (``enforceSchema=false``): a file written in another column order fails instead
-    of loading shifted columns."""
-    return (spark.read.options(**_options(multi_line)).option("enforceSchema", "false")
-            .schema(STAGING_SCHEMA).csv(path))
-
-
-def read_feedback(spark: SparkSession, path: str, streaming: bool = False,
-                  max_files_per_trigger: int | None = None, multi_line: bool = True) -> DataFrame:
-    """The feedback log with its fixed columns, matched by name; columns a file lacks are
-    NULL, others are left out, and a missing log is an empty table. As a stream the header
-    is checked instead: a file in another column order fails the batch and can be rewritten
-    by a batch read."""
-    if streaming:
-        r = spark.readStream.options(**_options(multi_line)).option("enforceSchema", "false").schema(FEEDBACK_SCHEMA)
-        if max_files_per_trigger:
-            r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-        return r.csv(path)
-    df = _by_name(spark, path, multi_line) if path_exists(spark, path) else None
+    """Five raw text columns, matched by name: vendor, description, category, and date and
+    amount, also as date_txt and amount_txt. A file without one of them is an error."""
+    df = _by_name(spark, path, multi_line, called=_staging_names)
+    return spark.createDataFrame([], STAGING_SCHEMA) if df is None else df.select(*STAGING_FIELDS)
+
+
+def _feedback_of(spark: SparkSession, paths: str | list[str], multi_line: bool) -> DataFrame:
+    df = _by_name(spark, paths, multi_line) if paths else None
     if df is None:
         return spark.createDataFrame([], FEEDBACK_SCHEMA)
-    held = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(held[c]) if c in held else F.lit(None).cast("string")).alias(c) for c in FEEDBACK_FIELDS])
+    held = {c: _field(df, c) for c in FEEDBACK_FIELDS}
+    return df.select(*[(F.col(f"`{held[c]}`") if held[c] else F.lit(None).cast("string")).alias(c) for c in FEEDBACK_FIELDS])
+
+
+def read_feedback(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The feedback log with its fixed columns, matched by name, sub-folders and compressed files
+    included; columns a file lacks are NULL, others are left out, and a missing log is an empty
+    table."""
+    return _feedback_of(spark, path if path_exists(spark, path) else [], multi_line)
+
+
+def feedback_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a feedback log as a stream (their contents are not read). Each micro-batch
+    becomes rows by :func:`read_feedback_batch`."""
+    r = spark.readStream.format("binaryFile").schema(_FILE_SCHEMA).option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.load(path).select("path")
+
+
+def read_feedback_batch(batch: DataFrame, multi_line: bool = True) -> DataFrame:
+    """Rows of the files of a micro-batch, columns matched by name as in a batch read."""
+    return _feedback_of(batch.sparkSession, _files([r["path"] for r in batch.collect()]), multi_line)
 
 
 def feedback_rows(df: DataFrame) -> DataFrame:

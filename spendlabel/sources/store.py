@@ -2,10 +2,10 @@
 
 Layout under a shared root (any path the cluster can reach):
 
-    <root>/model_weights/v=<n>/    bucket, w[K], g2[K]
+    <root>/model_weights/v=<n>/    bucket, block, w[], g2[]       (block: 64 classes)
     <root>/model_classes/v=<n>/    class_id, category, intercept, intercept_g2
     <root>/ledger/v=<n>/           row_id, model_version, learned_at  (rows learned in n)
-    <root>/training_rows/v=<n>/    row_id, text, category, weight     (the same rows, for refits)
+    <root>/training_rows/v=<n>/    row_id, category, weight, b[], x[]  (their sparse rows, for refits)
     <root>/training_set/v=<n>/     the merged training rows
     <root>/run_metrics/v=<n>/      one row per run
     <root>/_manifest/              one row per committed version
@@ -153,7 +153,7 @@ class VersionedStore:
     def load_training_rows(self) -> DataFrame:
         """All rows committed model versions have learned from (empty when none)."""
         if not path_exists(self.spark, f"{self.root}/training_rows"):
-            return self.spark.createDataFrame([], "row_id string, text string, category string, weight long")
+            return self.spark.createDataFrame([], "row_id string, category string, weight long, b array<int>, x array<double>")
         return self._committed("training_rows", ("model",))
 
     def append_ledger(self, learned: DataFrame) -> int:
@@ -170,7 +170,7 @@ class VersionedStore:
         """Write weights, classes, the ledger delta and run metrics under a new
         version, then commit the manifest row. Returns the version."""
         v = self.next_version()
-        self.write(model.weights.select("bucket", "w", "g2"), "model_weights", v)
+        self.write(model.weights.select("bucket", "block", "w", "g2"), "model_weights", v)
         classes = self.spark.createDataFrame(
             [(i, c, float(b), float(q)) for i, (c, b, q) in
              enumerate(zip(model.classes, model.intercept, model.intercept_g2))], CLASSES_SCHEMA)
@@ -178,12 +178,11 @@ class VersionedStore:
         if learned is not None:
             self.write(learned.select("row_id", F.lit(v).cast("long").alias("model_version"),
                                       F.current_timestamp().alias("learned_at")), "ledger", v)
-            if {"text", "category", "weight"} <= set(learned.columns):
-                self.write(learned.select("row_id", "text", "category", "weight"), "training_rows", v)
+            if {"category", "weight", "b", "x"} <= set(learned.columns):
+                self.write(learned.select("row_id", "category", "weight", "b", "x"), "training_rows", v)
         if metrics is not None:
             self.write(metrics.withColumn("version", F.lit(v).cast("long")).coalesce(1), "run_metrics", v)
-        n_obs = self.read("model_weights", v).count()
-        self.commit(v, "model", batch_id=batch_id, n_buckets=1 << model.bits, n_observed=n_obs,
+        self.commit(v, "model", batch_id=batch_id, n_buckets=1 << model.bits, n_observed=model.n_observed,
                     rows_trained=model.rows_trained, classes=list(model.classes))
         return v
 

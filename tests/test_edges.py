@@ -158,6 +158,44 @@ def test_csv_reader_bom_quotes_newlines(spark):
                           ('Say "hi"', "two\nlines", "Dining", None)], key=str)
 
 
+def _write(folder, name, text, gz=False):
+    import gzip
+    import os
+    path = f"{folder.replace('file:', '')}/{name}"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with (gzip.open if gz else open)(path, "wt", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_csv_folders_compressed_files_and_repeated_names(spark):
+    p = scratch_path(spark, "csv_tree")
+    _write(p, "a.csv.gz", "vendor,description,category\nMetro,milk,Food\n", gz=True)
+    _write(p, "day=1/b [x].csv", "category,vendor,Category,\nFuel,Shell,second,last\n")
+    _write(p, "day=1/deep er/c.csv", "\ufeffcategory,description,vendor\nRent,flat,Home\n")
+    _write(p, "_skipped.csv", "x\n1\n")
+    _write(p, "empty.csv", "")
+    df = IO.read_labeled_csv(spark, p)
+    assert set(df.columns) == {"vendor", "description", "category", "Category_2", "_c3"}
+    assert sorted(rows(df, "vendor", "description", "category", "Category_2", "_c3"), key=str) == sorted(
+        [("Metro", "milk", "Food", None, None), ("Shell", None, "Fuel", "second", "last"), ("Home", "flat", "Rent", None, None)], key=str)
+    assert IO.read_feedback(spark, p).count() == 3
+    one = IO.read_labeled_csv(spark, f"{p}/a.csv.gz", header=["vendor", "description", "category"])
+    assert rows(one, "category") == [("Food",)]
+
+
+def test_staging_file_as_the_seed_file_is_headed(spark):
+    p = scratch_path(spark, "staging")
+    _write(p, "seed.csv", "vendor,description,category,date,amount\nFarm Boy,Weekly  run,Groceries,2025-08-01,70.53\n")
+    _write(p, "later.csv", "amount_txt,Vendor,category,description,date_txt\n$5,Metro,Food,milk,1/5/2025\n")
+    df = IO.read_staging_csv(spark, p)
+    assert df.columns == list(IO.STAGING_FIELDS)
+    assert sorted(rows(df, *IO.STAGING_FIELDS)) == [("Farm Boy", "Weekly  run", "Groceries", "2025-08-01", "70.53"),
+                                                    ("Metro", "milk", "Food", "1/5/2025", "$5")]
+    _write(p, "bad.csv", "vendor,category\nx,y\n")
+    with pytest.raises(ValueError, match="description, date_txt, amount_txt"):
+        IO.read_staging_csv(spark, p)
+
+
 def test_missing_feedback_log_is_empty(spark):
     df = IO.read_feedback(spark, scratch_path(spark, "nothing-here"))
     assert df.count() == 0 and df.columns == list(IO.FEEDBACK_FIELDS)

@@ -24,7 +24,7 @@ def test_features_do_not_depend_on_partitioning(spark):
     out = []
     for parts in ("3", "11"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        f = FE.featurize(docs, "row_key").select("row_key", "bucket", F.round("x", 9).alias("x"))
+        f = FE.l2_normalize(FE.hashed_tf(docs, "row_key"), "row_key").select("row_key", "bucket", F.round("x", 9).alias("x"))
         out.append(sorted(map(tuple, f.collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert out[0] == out[1]
@@ -35,6 +35,22 @@ def test_move_rows_conserves_rows(spark):
     kept, moved = M.move_rows(e, F.col("category").startswith("PROMO"))
     assert kept.count() + moved.count() == e.count()
     assert M.reconcile_move(e, kept, moved).first()["balanced"]
+    changed = moved.withColumn("amount", F.when(F.col("amount") < 100_000, F.col("amount")))
+    assert not M.reconcile_move(e, kept, changed).first()["balanced"]
+    swapped = moved.withColumn("description", F.lower("vendor"))
+    assert not M.reconcile_move(e, kept, swapped).first()["balanced"]
+
+
+def test_publish_move_keeps_amounts_dates_and_earlier_seed_rows(spark):
+    e = Fixtures(spark, SF_SMALL).expenses
+    store = VersionedStore(spark, scratch_path(spark, "store"))
+    M.publish_move(store, e, F.col("category").startswith("PROMO"))
+    seed = store.read_latest("seed_expenses", "move")
+    assert seed.columns == ["id", "vendor", "description", "category", "amount", "expense_date", "source"]
+    M.publish_move(store, store.read_latest("expenses", "move"), F.col("category").startswith("SMALL"), seed=seed)
+    kept, both = store.read_latest("expenses", "move"), store.read_latest("seed_expenses", "move")
+    assert sorted(r[0] for r in both.select("id").collect()) == list(range(1, both.count() + 1))
+    assert M.reconcile_move(e, kept, both).first()["balanced"]
 
 
 def test_validation_conserves_rows(spark):
@@ -132,50 +148,77 @@ def test_smoke_case_hydro_one_is_utilities(spark):
     assert scored.first()["category"] == "Utilities"
 
 
-def test_class_blocks_give_the_same_model_and_scores(spark):
-    """Many classes are trained and scored in blocks of bounded size; same results."""
+def _vendor_rows(spark):
     e = Fixtures(spark, SF_SMALL).expenses
-    rows = C.with_row_id(C.build_text(e.withColumn("category", F.col("vendor"))))
+    return C.with_row_id(C.build_text(e.withColumn("category", F.concat("vendor", "category"))))
+
+
+def _weights(model):
+    return {(r[0], r[1]): (tuple(round(v, 10) for v in r[2]), tuple(round(v, 12) for v in r[3]))
+            for r in model.weights.select("bucket", "block", "w", "g2").collect()}
+
+
+def test_joined_and_broadcast_weights_give_the_same_model_and_scores(spark):
+    """Broadcast in one piece, or joined by shuffle in blocks of classes: same weights after a
+    first fit and after an update with other rows, same scores."""
+    rows = _vendor_rows(spark)
     classes = MD.register_classes(rows)
+    assert len(classes) > MD.CLASS_BLOCK  # several blocks
+    low = F.col("row_id").substr(1, 1) < "8"
     outs = []
-    for limit in (str(len(classes) * (8 << 12)), str(3 * (8 << 12))):
-        spark.conf.set("spendlabel.blockBytes", limit)
-        m = MD.fit(MD.group_copies(rows), MD.empty_model(spark, classes, bits=12), 2)
-        n_blocks = len(m.blocks())
+    for limit in (MD.BROADCAST_BYTES, 0):
+        m = MD.fit(MD.group_copies(rows.filter(low)), MD.empty_model(spark, classes, 12, limit), 2)
+        m = MD.fit(MD.group_copies(rows.filter(~low)), m, 1)
         scored = MD.score_ovr(rows.select("expense_id", "text"), m).select("expense_id", "predicted", "prob")
-        outs.append((n_blocks, m.rows_trained, sorted((r[0], r[1], tuple(round(p, 9) for p in r[2])) for r in scored.collect())))
-    spark.conf.unset("spendlabel.blockBytes")
-    assert outs[0][0] == 1 and outs[1][0] > 2 and outs[0][1] == outs[1][1] == rows.count()
-    assert outs[0][2] == outs[1][2]
+        outs.append((m.fits_broadcast(), m.rows_trained, _weights(m), [round(b, 10) for b in m.intercept],
+                     sorted((r[0], r[1], tuple(round(p, 9) for p in r[2])) for r in scored.collect())))
+    assert outs[0][0] and not outs[1][0] and outs[0][1] == rows.count()
+    assert outs[0][1:] == outs[1][1:]
+    assert len(outs[0][4]) == rows.count()
+
+
+def test_an_update_keeps_every_weight(spark):
+    """Buckets that an update does not touch stay (and decay), whatever their accumulators."""
+    def rows(*texts):
+        df = spark.createDataFrame([(f"{t}|{c}", t, c) for t, c in texts], "row_id string, text string, category string")
+        return MD.group_copies(df)
+    first = rows(("tie one", "a"), ("tie two", "b"), ("three", "c"))
+    for limit in (MD.BROADCAST_BYTES, 0):
+        m = MD.fit(first, MD.empty_model(spark, ["a", "b", "c"], 12, limit), 1)
+        again = MD.fit(rows(("other words", "a"), ("else", "c")), m, 1)
+        before, after = _weights(m), _weights(again)
+        assert set(before) < set(after) and again.n_observed == len(after)
+        assert all(len(w) == 3 for w, _ in after.values())
+
+
+def test_a_row_larger_than_a_chunk_and_rows_without_tokens(spark, monkeypatch):
+    monkeypatch.setattr(MD, "CHUNK_CELLS", 8)
+    df = spark.createDataFrame([("1", " ".join(f"word{i}" for i in range(60)), "a"), ("2", "", "b"), ("3", "a b", "b"),
+                                ("4", "word1 word2", "b"), ("5", None, "a")], "row_id string, text string, category string")
+    out = []
+    for limit in (MD.BROADCAST_BYTES, 0):
+        m = MD.fit(MD.group_copies(df), MD.empty_model(spark, ["a", "b"], 10, limit), 2)
+        out.append((_weights(m), sorted((r.row_id, tuple(round(v, 9) for v in r.m)) for r in MD.score_margins(df, m).collect())))
+    assert out[0] == out[1] and len(out[0][1]) == 5
 
 
-def test_class_blocks_are_stored_and_not_held_by_the_driver(spark):
-    e = Fixtures(spark, SF_SMALL).expenses
-    rows = C.with_row_id(C.build_text(e.withColumn("category", F.col("vendor"))))
-    classes = MD.register_classes(rows)
-    spark.conf.set("spendlabel.blockBytes", str(2 * (8 << 10)))
-    try:
-        m = MD.fit(MD.group_copies(rows), MD.empty_model(spark, classes, bits=10), 1)
-        assert len(m.blocks()) > 2 and not m.held
-        assert len(m.weights.inputFiles()) >= len(m.blocks())  # files, no driver-held relation
-        MD.score_ovr(rows.select("expense_id", "text"), m)
-        assert not m.held
-        again = MD.fit(MD.group_copies(rows), m, 1)  # goes on from the stored blocks
-        assert again.weights.filter(F.size("w") == len(classes)).count() == m.weights.count() > 0
-    finally:
-        spark.conf.unset("spendlabel.blockBytes")
-
-
-def test_python_features_equal_the_column_expressions(spark):
-    """Training and scoring hash texts in the task; the feature queries do it in SQL."""
-    texts = ["", "a b", "the cat_1 sat on the mat the cat", "Ärger über ÑANDÚ 東京 x²", "tab\tand\u00a0nbsp \x1c end"]
+def test_a_fit_tokenises_each_text_once(spark):
+    """Five steps read stored sparse rows; the tokenizer runs in one pass over the texts."""
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: seen.add(1) or t, "string")
+    rows = MD._stored(MD.group_copies(_vendor_rows(spark)), "rows")
+    counted = rows.withColumn("text", count.asNondeterministic()("text"))
+    MD.fit(counted, MD.empty_model(spark, MD.register_classes(rows), 12), 5)
+    assert seen.value == rows.count()
+
+
+def test_sparse_rows_equal_the_feature_queries(spark):
+    texts = ["", "a b", "the cat_1 sat on the mat the cat", "Ärger über ÑANDÚ 東京 x²", "tab\tand\u00a0nbsp \x1c end", None]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    want = {(r.k, r.bucket): round(r.x, 12) for r in FE.featurize(df, "k").collect()}
-    got = {}
-    for k, t in enumerate(texts):
-        at, x = MD.text_features(t.lower(), MD.Buckets(20))
-        got |= {(k, int(b)): round(float(v), 12) for b, v in zip(at, x)}
-    assert got == want
+    want = {(r.k, r.bucket): round(r.x, 12) for r in FE.l2_normalize(FE.hashed_tf(df, "k"), "k").collect()}
+    sparse = MD.sparse_rows(df).collect()
+    got = {(r.k, b): round(x, 12) for r in sparse for b, x in zip(r.b, r.x)}
+    assert got == want and len(sparse) == len(texts)
 
 
 def test_a_new_class_in_a_delta_loses_nothing(spark):
