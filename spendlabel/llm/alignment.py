@@ -150,10 +150,16 @@ class Aligner:
             out.append((flat, start, end, np.diff(n, prepend=0)))
         return *out, edge
 
+    def hold(self, chunks: set[str]) -> None:
+        """Have all of ``chunks`` in the table, which starts anew when full."""
+        new = chunks.difference(self.place)
+        if new and (len(self.place) + len(new) > CHUNKS or self.first[-1] > 32 * CHUNKS):
+            self.clear()
+            new = chunks
+        self.learn(sorted(new))
+
     def learn(self, chunks: list[str]) -> None:
         """Add chunks to the table: together, but for those that begin or end in white space."""
-        if len(self.place) > CHUNKS or self.first[-1] > 32 * CHUNKS:
-            self.clear()
         odd = [c for c in chunks if not c or _EDGE.search(c)]
         self.learn_run(sorted(set(chunks).difference(odd)))
         for c in odd:
@@ -208,7 +214,7 @@ class Aligner:
         parts = [self.parts(t) if t else () for t in texts]
         if sum(len(t or "") for t in texts) <= BATCH:  # short texts meet the table together
             parts = [[self.chunks(p) for p in text] for text in parts]
-            self.learn(list({c for text in parts for p in text for c in p}.difference(self.place)))
+            self.hold({c for text in parts for p in text for c in p})
         else:
             parts = [map(self.chunks, text) for text in parts]
         for text in parts:
@@ -217,8 +223,7 @@ class Aligner:
                 try:
                     at = list(map(self.place.__getitem__, chunks))
                 except KeyError:
-                    while new := list(set(chunks).difference(self.place)):  # again where the table starts anew
-                        self.learn(new)
+                    self.hold(set(chunks))
                     at = list(map(self.place.__getitem__, chunks))
                 found, n = np.unique(np.array(at), return_counts=True)
                 if (self.sizes[found, 0] < 0).any():

@@ -1,7 +1,7 @@
 """Language identification by error-correcting output codes.
 
-Every language gets a codeword; one binary linear classifier per bit, on hashed word and
-affix n-grams, predicts the bit. Decoding compares the bit margins with every codeword:
+Every language gets a codeword; one binary linear classifier per bit, on hashed words, their
+affix n-grams and, in scripts without spaces, character n-grams, predicts the bit. Decoding compares the bit margins with every codeword:
 each bit's loss log(1 + exp(-code * margin)) is weighted by how well that bit's classifier did on
 the sample, and the codeword of least weighted loss wins. The score is the softmax of the
 negative losses at the winner; a text is ``ambiguous`` when the second codeword is close
@@ -9,8 +9,9 @@ negative losses at the winner; a text is ``ambiguous`` when the second codeword
 
 Codes are the exhaustive code for up to seven languages (every split of the languages
 once) and, beyond, the best of several random dense codes by least row distance.
-Fitted on at most ``PER_LANG`` documents of a language and ``ROWS`` in all; every whole
-text is scored in the tasks.
+Every language of the labelled documents is learned, from at most ``PER_LANG`` documents each
+and ``ROWS`` in all (about ``LEAST`` each where that is more); every whole text is scored in the
+tasks.
 
 Edge cases. Null text or text without a letter: ``und`` with score 0. Null lang: not used
 for learning. No labelled document: ``und`` everywhere; one language only: that one, with
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import column, ship
 from .learn import Adam, WordScores, bounded_sample, fold, sampled_features, sigmoid, word_weights
 
-#: Learned languages (the most frequent ones), documents of each and in all.
-LANGS, PER_LANG, ROWS = 200, 500, 4_000
+#: Documents of a language at most, in all, and of a language where there are very many.
+PER_LANG, ROWS, LEAST = 500, 4_000, 20
 FEATURES, STEPS, RATE, L2 = 20_000, 60, 0.2, 1e-4
 FOLDS, HELD_OUT, CLEAR = 4, 2, 0.75
 _LETTER = re.compile(r"[^\W\d_]")
@@ -50,7 +51,7 @@ def codewords(n: int) -> np.ndarray:
     best, length = None, int(np.ceil(10 * np.log2(n)))
     for _ in range(50):
         code = rng.choice(np.array([-1, 1], np.int8), (n, length))
-        code = code[:, np.abs(code.sum(1 - 1)) < n]
+        code = code[:, np.abs(code.sum(0)) < n]
         far = (code.shape[1] - (code.astype(int) @ code.T.astype(int)) + 2 * code.shape[1] * np.eye(n)).min()
         if best is None or far > best[0]:
             best = (far, code)
@@ -89,17 +90,17 @@ def fit(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> Model:
     """Model from text and lang of ``docs`` without the held-out fold."""
     mine = docs.where((F.coalesce(fold("doc_id", folds), F.lit(held_out)) != held_out) & F.col("lang").isNotNull())
     counts = sorted((r.lang, r.n) for r in mine.groupBy("lang").agg(F.count("*").alias("n"))
-                    .orderBy(F.desc("n"), "lang").limit(LANGS).collect())
+                    .collect())
     langs = [x for x, _ in counts]
     code, none = codewords(len(langs)) if langs else np.zeros((0, 0), np.int8), np.zeros(0)
     if len(langs) < 2:
         return Model(langs, np.zeros((len(langs), 0)), none.astype(np.int64), np.zeros((0, 0)), none, none)
     # an id is taken when its hash falls below its language's share: about PER_LANG of each
-    limit = min(PER_LANG, ROWS // len(langs))
+    limit = max(LEAST, min(PER_LANG, ROWS // len(langs)))
     share = F.create_map(*[F.lit(x) for k, n in counts for x in (k, min(1.0, 1.2 * limit / n))])
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     ids = mine.where(u < share[F.col("lang")]).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    marks, x = sampled_features(bounded_sample(docs, ids, ROWS), "lang")
+    marks, x = sampled_features(bounded_sample(docs, ids, max(ROWS, 2 * LEAST * len(langs))), "lang")
     y = np.array([langs.index(k) for k in marks])
     total = np.bincount(x.row, x.val, x.n)
     x.val = x.val / np.maximum(total[x.row], 1e-9) * 7  # about seven features a word

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -16,8 +17,8 @@ from .common import column, ship
 
 #: Hashed feature space of words and their beginnings and ends.
 BITS = 20
-#: Texts above this length are left out of training samples (never out of scoring).
-SAMPLE_CHARS = 200_000
+#: Thai, Lao, Burmese, Khmer, kana and Han letters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -26,20 +27,25 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def bounded_sample(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text, other columns of ids) of at most ``rows`` of ``ids``, the first in
-    the order of a hash of the id. Only ids are sorted; the chosen ones (``rows`` at most,
-    which bounds the broadcast) then pick their texts in one scan."""
-    chosen = ids.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    """(doc_id, text, other columns of ids) of at most ``rows`` of ``ids``, the first in the
+    order of a hash of the id, one row each: where an id has several texts, the least. Only ids
+    are sorted; the chosen ones (``rows`` at most, which bounds the broadcast and the result)
+    then pick their texts in one scan, reduced in the tasks."""
+    chosen = ids.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = (docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+             .groupBy("doc_id").agg(F.min("text").alias("text")))
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: the word, and its 3-6 letter beginnings and
-    3-4 letter ends."""
+    """Hashed features of a lower-case word: the word, its 3-6 letter beginnings and 3-4 letter
+    ends; in scripts written without spaces, where a word may be a sentence, every letter and
+    every two letters in a row."""
     parts = [f"={word}"]
     parts += [f"^{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n]
     parts += [f"{word[-n:]}$" for n in (3, 4) if len(word) > n]
+    for run in () if word.isascii() else _UNSPACED.findall(word):
+        parts += [*run, *map("".join, zip(run, run[1:]))]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) >> (32 - BITS) for p in parts]
 
 

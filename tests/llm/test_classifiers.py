@@ -116,3 +116,29 @@ def test_codewords_stay_apart(n):
     assert (m.decode(margins)[0] == np.arange(n)).all()
     if far >= 3:
         assert (m.decode(wrong)[0] == np.arange(n)).all()
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """One id on very many rows, and repeated labels, add nothing to the sample."""
+    from spendlabel.llm.learn import bounded_sample
+    docs = spark.range(2_000).selectExpr("id doc_id", "concat('text ', id) text").union(
+        spark.range(5_000).selectExpr("7L doc_id", "concat('other ', id) text"))
+    ids = spark.range(2_000).selectExpr("id doc_id").union(spark.range(500).selectExpr("7L doc_id"))
+    rows = bounded_sample(docs, ids, 2_000).collect()
+    assert len(rows) == 2_000 and len({r.doc_id for r in rows}) == 2_000
+    assert {r.text for r in rows if r.doc_id == 7} == {"other 0"}
+    assert bounded_sample(docs, ids, 300).count() == 300
+
+
+def test_languages_without_spaces(spark):
+    """Held-out accuracy where a whole sentence is one word."""
+    r = np.random.default_rng(5)
+    han, kana = [chr(0x4e00 + i) for i in range(300)], [chr(0x3042 + i) for i in range(60)]
+
+    def text(letters):
+        return "".join(r.choice(letters, 60)) + "\u3002"
+    rows = [(i, text(han) if i % 2 else text(han[:150] + kana), "zh" if i % 2 else "ja", "s") for i in range(400)]
+    got = language_id.identify(df := table(spark, rows), language_id.fit(df)).collect()
+    lang = {i: x for i, _, x, _ in rows}
+    held_out = [g for g in got if g.held_out]
+    assert len(held_out) > 50 and np.mean([g.lang_pred == lang[g.doc_id] for g in held_out]) > 0.95
