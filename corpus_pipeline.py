@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendlabel.llm import decontaminate, line_dedup, segmentation, simhash, toxicity
-from spendlabel.llm.common import cut, read_table
+from spendlabel.llm.common import cut, free_names, read_table
 from spendlabel.llm.queries import tokenizer_path
 
 
@@ -30,10 +30,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs)
+    # a document's own columns named like the operator's results step aside meanwhile
+    names = docs.columns
+    aside = [free_names(docs, f"own_{c}")[0] if c.lower() in line_dedup.RESULT else c for c in names]
+    kept = line_dedup.dedup_lines(docs.toDF(*aside))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     size = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    return kept.withColumns({"text": text, "n_chars": size}).drop(*line_dedup.RESULT).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

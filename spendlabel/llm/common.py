@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 from ..session import ship_package as ship
@@ -103,5 +106,35 @@ class Words:
         return mix64(out ^ ((self.end - self.start).astype(np.uint64) << np.uint64(48)))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it (in any case)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``df`` without the columns that have one of ``names`` (in any case)."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+             schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` over columns of any name: dots and quotes in names, which a plain
+    call would resolve as paths, reach ``work`` and the result as they are."""
+    held, made = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(b.rename_columns(held) for b in batches):
+            yield out.rename_columns(made)
+
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(made, schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(held))]).mapInArrow(named, plain).toDF(*schema.names)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix64, ship
+from .common import column, map_rows, mix64, ship
 
 EDIT_SHARE, MIN_WORDS = 0.2, 1
 WALKS, TABLES, SAMPLED = 6, 8, 3
@@ -378,5 +378,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHA
                 yield b.filter(pa.array([not search(codes(t, table), held, classes, share, any_one=True)
                                          for t in column(b, "text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_rows(docs, clean, docs.schema)
     return docs

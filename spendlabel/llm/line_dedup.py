@@ -18,7 +18,8 @@ line) is read by several tasks, each with the shard's filter and counts.
 Edge cases. Null or empty text: one empty line, nothing dropped. Null id: such rows keep
 all lines and count for no key. Repeated rows with one id are one document and get the
 same verdict each. Ties cannot occur: the keeper is the largest id. Empty table: empty
-result. Extra columns pass through untouched.
+result. Extra columns pass through untouched whatever their names and types; those named like
+a result column (``RESULT``) give way to it.
 """
 
 from __future__ import annotations
@@ -33,10 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, column, cut, mix64, ship
+from .common import SPACE_CHARS, column, cut, free_names, map_rows, mix64, ship, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: The columns ``dedup_lines`` adds.
+RESULT = ("n_lines", "n_dropped", "kept_text", "kept_sha256")
 #: Frequent keys a shard holds on average, and references a task reads of one shard.
 SHARD_KEYS, TASK_REFS = 50_000, 200_000
 _SLOTS, _KICKS = 4, 500
@@ -195,9 +199,15 @@ def _change(state: State, refs: DataFrame, touched: DataFrame, min_docs: int) ->
 
 
 def insert_documents(state: State, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> State:
-    """State with more documents (inserting a document twice changes nothing)."""
-    new = cut(line_refs(docs, min_chars), "line-new")
-    return _change(state, cut(state.refs.unionByName(new).distinct(), "line-refs"), new, min_docs)
+    """State with more documents. One that is there already is replaced: keys its new text
+    no longer has are released (the same text again changes nothing)."""
+    new = cut(line_refs(docs, min_chars).distinct(), "line-new")
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    old = cut(state.refs.join(ids, "doc_id", "left_semi"), "line-old")
+    on = ["k1", "k2", "doc_id"]
+    touched = cut(new.join(old, on, "left_anti").unionByName(old.join(new, on, "left_anti")), "line-touched")
+    refs = state.refs.join(ids, "doc_id", "left_anti").unionByName(new)
+    return _change(state, cut(refs, "line-refs"), touched, min_docs)
 
 
 def delete_documents(state: State, ids: DataFrame, min_docs: int = MIN_DOCS) -> State:
@@ -247,16 +257,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     state = state or build_state(docs, min_chars, min_docs)
     lost = cut(dropped_lines(state), "line-lost")
     # one exchange of the texts by id at every size; the list of lost keys is the hashed side
-    clash = [c for c in docs.columns if c in ("lost_keys", "n_lines", "n_dropped", "kept_text", "kept_sha256")]
-    joined = docs.drop(*clash).alias("d").join(lost.withColumnRenamed("doc_id", "lost_id").hint("shuffle_hash"),
-                                               F.col("d.doc_id") == F.col("lost_id"), "left").drop("lost_id")
-    names = [c for c in joined.columns if c != "lost_keys"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "lost_keys")
+    given = without(docs, RESULT)
+    lost_id, held = free_names(given, "lost_id", "lost_keys")
+    joined = given.join(lost.toDF(lost_id, held).hint("shuffle_hash"),
+                        given["doc_id"] == F.col(lost_id), "left").drop(lost_id)
+    names = given.columns
+    schema = T.StructType([*given.schema.fields, *(T.StructField(n, t) for n, t in zip(
+        RESULT, (T.LongType(), T.LongType(), T.StringType(), T.StringType())))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_lines, n_dropped, kept, digest = [], [], [], []
-            for text, lost_keys in zip(column(b, "text").to_pylist(), column(b, "lost_keys").to_pylist()):
+            for text, lost_keys in zip(column(b, "text").to_pylist(), column(b, held).to_pylist()):
                 lines = (text or "").split("\n")
                 n_lines.append(len(lines))
                 if lost_keys:
@@ -269,9 +281,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             yield pa.RecordBatch.from_arrays(
                 [column(b, c) for c in names] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
                                                  pa.array(kept, pa.string()), pa.array(digest, pa.string())],
-                [*names, "n_lines", "n_dropped", "kept_text", "kept_sha256"])
+                [*names, *RESULT])
 
-    return joined.mapInArrow(apply, schema + ", n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+    return map_rows(joined, apply, schema)
 
 
 ORACLE = r"""

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, ship
+from .common import column, cut, free_names, ship
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -215,12 +215,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     none has an id, the least hash of the text). Of rows that repeat it one stays."""
     fps, label = _placed(docs, shingle, max_bits)
     rows = fps.join(label, "fp")
+    key, mark, own, n = free_names(docs, "kept_id", "kept_print", "own_print", "n_rows")
     chosen = cut(rows.where((F.col("print") == F.col("first.print")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-                 .groupBy(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).agg(F.count("*").alias("__n")), "chosen")
-    kept = docs.withColumn("__own", F.xxhash64("text")).join(
-        chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__print")))
-    own = ["__id", "__print", "__own", "__n"]
-    if chosen.where("__n > 1").isEmpty():
-        return kept.drop(*own)
+                 .groupBy(F.col("doc_id").alias(key), F.col("print").alias(mark)).agg(F.count("*").alias(n)), "chosen")
+    kept = docs.withColumn(own, F.xxhash64("text")).join(
+        chosen.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark)))
+    helpers = [key, mark, own, n]
+    if chosen.where(F.col(n) > 1).isEmpty():
+        return kept.drop(*helpers)
     # only rows that are there more than once meet their copies
-    return kept.where("__n = 1").drop(*own).unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__print"]).drop(*own))
+    many = kept.where(F.col(n) > 1).dropDuplicates([key, mark])
+    return kept.where(F.col(n) == 1).drop(*helpers).unionByName(many.drop(*helpers))

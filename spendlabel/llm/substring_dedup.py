@@ -29,7 +29,7 @@ are frequent; a bit set by chance costs a row, never a result.
 
 Edge cases. Null or empty text, or fewer words than ``window``: nothing removed. Null id:
 handled like any row. Repeated rows: each is a repeat of the other, both lose the words.
-Empty table: empty result. Extra columns pass through. Surroundings of one prefix, and
+Empty table: empty result. Extra columns pass through, whatever their names. Surroundings of one prefix, and
 windows of very frequent prefixes, are compared by hashes of 128 bits in all; everything
 else word by word.
 """
@@ -44,10 +44,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, column, cut, mix64, ship
+from .common import Words, column, cut, free_names, map_rows, mix64, ship, without
 
 WINDOW, GROUP = 35, 1_000
+#: The columns ``remove_repeats`` adds; a document's own of these names give way.
+RESULT = ("n_words", "n_removed", "kept_text", "kept_sha256")
 BITMAP = 1 << 28
 #: Bytes of text hashed at a time in a task, occurrences whose trees are built at a time.
 RUN_BYTES, TREE_ROWS = 2_000_000, 30_000
@@ -315,19 +318,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
     """``docs`` (all columns) with n_words, n_removed, kept_text (kept words joined by one
     space) and kept_sha256."""
     ranges = cut(repeated_ranges(docs, window, group), "repeats")
-    per_doc = (ranges.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("__runs"))
-               .toDF("__id", "__print", "__runs"))
-    clash = [c for c in docs.columns if c in ("n_words", "n_removed", "kept_text", "kept_sha256", "__id", "__print", "__runs")]
-    joined = docs.drop(*clash).withColumn("__fp", F.xxhash64("text")).join(
-        per_doc.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__print")),
-        "left").drop("__id", "__print", "__fp")
-    names = [c for c in joined.columns if c != "__runs"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "__runs")
+    given = without(docs, RESULT)
+    doc, own, mark, held = free_names(given, "run_doc", "own_print", "run_print", "runs")
+    per_doc = ranges.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("lo", "hi"))).toDF(doc, mark, held)
+    joined = given.withColumn(own, F.xxhash64("text")).join(
+        per_doc.hint("shuffle_hash"), given["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark)),
+        "left").drop(doc, mark, own)
+    names = given.columns
+    schema = T.StructType([*given.schema.fields, *(T.StructField(n, t) for n, t in zip(
+        RESULT, (T.LongType(), T.LongType(), T.StringType(), T.StringType())))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept, digest = [], [], [], []
-            for text, runs in zip(column(b, "text").to_pylist(), column(b, "__runs").to_pylist()):
+            for text, runs in zip(column(b, "text").to_pylist(), column(b, held).to_pylist()):
                 words = (text or "").encode().split()
                 n_words.append(len(words))
                 if runs:
@@ -342,9 +346,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) ->
             yield pa.RecordBatch.from_arrays(
                 [column(b, c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                                  pa.array(kept, pa.string()), pa.array(digest, pa.string())],
-                [*names, "n_words", "n_removed", "kept_text", "kept_sha256"])
+                [*names, *RESULT])
 
-    return joined.mapInArrow(apply, schema + ", n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return map_rows(joined, apply, schema)
 
 
 ORACLE = r"""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, ship
+from .common import column, map_rows, ship
 from .learn import Adam, WordScores, bounded_sample, fold, sampled_features, sigmoid, word_weights
 
 POSITIVES, UNLABELLED = 2_000, 4_000
@@ -128,4 +128,4 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
                           for t in column(b, "text").to_pylist()], float)
             yield b.filter(pa.array(sigmoid(g) < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, clean, docs.schema)

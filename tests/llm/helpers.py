@@ -15,7 +15,9 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
                        T.StructField("n_chars", T.LongType())])
 #: Names the operators use inside or return.
 CLASH = ["host", "fp", "words", "line", "key", "lo", "hi", "score", "kept", "n_lines", "kept_text", "lost_keys",
-         "component_id", "fingerprint", "held_out", "predicted", "ids", "samples", "item_id", "n_words", "root", "shard"]
+         "component_id", "fingerprint", "held_out", "predicted", "ids", "samples", "item_id", "n_words", "root", "shard",
+         "lost_id", "n_dropped", "kept_sha256", "n_removed", "run_doc", "run_print", "own_print", "runs", "kept_id",
+         "kept_print", "n_rows", "first", "print", "c0", "c1", "d", "dotted.name", "quoted `name`"]
 
 
 def table(spark, rows):
@@ -40,7 +42,8 @@ def edge_rows():
 
 def with_clashes(df):
     from pyspark.sql import functions as F
-    return df.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    return (df.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+            .withColumn("nested", F.struct(F.lit(1).alias("a b.c"), F.array(F.struct(F.lit("x").alias("d-e"))).alias("`"))))
 
 
 def rows_of(df, *cols):

@@ -4,7 +4,7 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from spendlabel.llm import decontaminate, simhash, toxicity
 
-from .helpers import CHECK, edge_rows, prose, table
+from .helpers import CHECK, edge_rows, prose, table, with_clashes
 from .test_rules_lines import brute_lines
 from .test_substrings import brute_components, brute_print
 
@@ -59,6 +59,22 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == len(safe)
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    line = prose(11, 12)
+    rows = edge_rows()[:-1] + [(100 + i, f"{prose(40 + i, 70)}\n{line}", "en", "s") for i in range(8)]
+    rows += [(200 + i, prose(60, 80) + f" end{i}", "en", "s") for i in range(3)]
+    docs = with_clashes(table(spark, rows))
+    sf = str(tmp_path)
+    spark.createDataFrame([(100, 1, 0), (101, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, prose(71, 30))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, sf), name)
+        assert docs.columns == with_clashes(table(spark, [])).columns
+        assert docs.where("n_lines = 'own n_lines' and kept_text = 'own kept_text' and n_rows = 'own n_rows' and "
+                          "`dotted.name` = 'own dotted.name' and nested.`a b.c` = 1").count() == docs.count() > 10
+    assert corpus_pipeline.encode(spark, docs, sf).count() == docs.count()
+
+
 def test_whole_run_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{CHECK}/documents.parquet")
     out = {r.doc_id for r in corpus_pipeline.run(spark, CHECK).select("doc_id").collect()}

@@ -94,7 +94,8 @@ def test_lines_on_edge_rows(spark):
     rows = line_rows()
     df = line_dedup.dedup_lines(with_clashes(table(spark, rows)))
     assert rows_of(df, *COLS) == brute_lines(rows)
-    assert df.where("host = 'own host'").count() == len(rows)  # other columns pass through
+    assert df.where("host = 'own host' and lost_id = 'own lost_id' and `dotted.name` = 'own dotted.name'"
+                    " and nested.`a b.c` = 1").count() == len(rows)  # other columns pass through
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
@@ -123,6 +124,21 @@ def test_state_is_reversible(spark):
         assert held[r.shard].contains(np.array([r.k2]))[0]
 
 
+def test_a_changed_document_replaces_its_keys(spark):
+    rows = line_rows()
+    docs = table(spark, rows)
+    state = line_dedup.build_state(docs)
+    new = [(i, "\n".join([prose(7000 + i, 12), prose(51, 9)]), "en", "s") for i, *_ in rows[-30:]]
+    now = [r for r in rows if r[0] not in {x[0] for x in new}] + new
+    state = line_dedup.insert_documents(state, table(spark, new))
+    fresh = line_dedup.build_state(table(spark, now))
+    assert rows_of(state.refs, "k1", "k2", "doc_id") == rows_of(fresh.refs, "k1", "k2", "doc_id")
+    assert rows_of(state.counts, "k1", "k2", "n_docs", "keeper") == rows_of(fresh.counts, "k1", "k2", "n_docs", "keeper")
+    assert rows_of(line_dedup.dedup_lines(table(spark, now), state=state), *COLS) == brute_lines(now)
+    held = {r.shard: line_dedup.CuckooFilter.from_bytes(r.blob) for r in state.filters.collect()}
+    assert all(held[r.shard].contains(np.array([r.k2]))[0] for r in state.counts.collect())
+
+
 def test_a_state_begun_small_gets_more_shards(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
     rows = line_rows()
