@@ -9,10 +9,11 @@ without another exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bucket_of, ngram_array
+from .clean import bounded_broadcast
 
 DEFAULT_BITS = 20
 
@@ -64,3 +65,32 @@ def stratified_holdout(df: DataFrame, label: str = "category", id_col: str = "ro
                           .otherwise(F.lit("train")).alias("split"))
     return df.join(split, id_col, "left").withColumn(
         "split", F.coalesce(F.col("split"), F.lit("train")))
+
+
+def _order(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col)))
+
+
+def holdout_thresholds(df: DataFrame, known: DataFrame | None = None, label: str = "category", id_col: str = "row_id",
+                       test_size: float = 0.2, seed: int = 42, distinct_ids: bool = False) -> DataFrame:
+    """(label, threshold) of the labels of ``df`` that ``known`` lacks: ids whose
+    md5(seed:id) lies below the threshold are held out. It is the least hash on the train
+    side of :func:`stratified_holdout`, so the first split has its exact counts; a label too
+    small to hold anything out takes ``test_size`` of the hash range where that moves no id."""
+    fresh = df.filter(F.col(label).isNotNull())
+    fresh = fresh if known is None else fresh.join(known.select(label), label, "left_anti")
+    split = stratified_holdout(fresh.select(label, id_col), label, id_col, test_size, seed, distinct_ids)
+    h, share = _order(id_col, seed), F.lit(f"{min(int(test_size * 16**8), 16**8 - 1):08x}")
+    least = split.groupBy(label).agg(F.min(F.when(F.col("split") == "train", h)).alias("least"),
+                                     F.count_if(F.col("split") == "test").alias("held"))
+    threshold = F.coalesce(F.when(F.col("held") == 0, F.least("least", share)).otherwise(F.col("least")), F.lit("g"))
+    return least.select(label, threshold.alias("threshold"))
+
+
+def stable_holdout(df: DataFrame, thresholds: DataFrame, label: str = "category", id_col: str = "row_id",
+                   seed: int = 42) -> DataFrame:
+    """Add ``split`` by stored thresholds: an id's side depends on its label and itself only,
+    so no learned id is ever held out however its label grows."""
+    test = F.col("threshold").isNotNull() & (_order(id_col, seed) < F.col("threshold"))
+    return (df.join(bounded_broadcast(thresholds.select(label, "threshold")), label, "left")
+            .withColumn("split", F.when(test, "test").otherwise("train")).drop("threshold"))

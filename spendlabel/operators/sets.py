@@ -8,7 +8,7 @@ runtime size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FORM_WS, collapse_ws_keep_case, normalized, trim_ws
@@ -20,8 +20,8 @@ FEEDBACK_KEEP = ("date", "amount", "vendor", "description", "category")
 
 def filter_unseen(df: DataFrame, ledger: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows whose id is not in the ledger. In-batch duplicates are kept (anti join,
-    not distinct). The ledger is never collected; at scale both sides shuffle on
-    the id, or AQE broadcasts a small ledger."""
+    not distinct). The ledger is never collected; one read from a store lies bucketed by
+    id and stays where it is, any other is exchanged or, when small, broadcast by AQE."""
     return df.join(ledger.select(key), key, "left_anti")
 
 
@@ -48,7 +48,7 @@ def training_view(labels: DataFrame, seed: DataFrame) -> DataFrame:
                                        F.lit("seed").alias("source")))
 
 
-def _as_text_frame(df: DataFrame) -> DataFrame:
+def as_text_frame(df: DataFrame) -> DataFrame:
     df = lower_headers(df)
     return df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns
                         else F.lit("")).alias(c) for c in FEEDBACK_KEEP])
@@ -63,15 +63,28 @@ def merge_feedback(train: DataFrame, feedback: DataFrame) -> DataFrame:
     depend on partitioning. The dedupe is one aggregation: copies are merged
     map-side before the shuffle."""
     if feedback.isEmpty():
-        return _as_text_frame(train)
-    both = _as_text_frame(train).unionByName(_as_text_frame(feedback))
-    akey = F.coalesce(F.col("amount").try_cast("decimal(38,10)").cast("string"), F.col("amount"))
-    return (both.withColumn("__akey", akey)
+        return as_text_frame(train)
+    return merge_rows(as_text_frame(train).unionByName(as_text_frame(feedback)))
+
+
+def _amount_key() -> Column:
+    return F.coalesce(F.col("amount").try_cast("decimal(38,10)").cast("string"), F.col("amount"))
+
+
+def merge_rows(rows: DataFrame) -> DataFrame:
+    """Text rows without exact duplicates, amounts compared as numbers."""
+    return (rows.withColumn("__akey", _amount_key())
             .groupBy("date", "__akey", "vendor", "description", "category")
             .agg(F.min("amount").alias("amount"))
             .select(*FEEDBACK_KEEP))
 
 
+def with_part(rows: DataFrame, parts: int) -> DataFrame:
+    """``part``: 0..parts-1 by a hash of what ``merge_rows`` compares, so copies share it."""
+    key = F.xxhash64("date", _amount_key(), "vendor", "description", "category")
+    return rows.withColumn("part", F.pmod(key, F.lit(parts)).cast("int"))
+
+
 def known_categories(classes: DataFrame, feedback: DataFrame, col: str = "category") -> DataFrame:
     """Model classes plus stripped, non-blank feedback categories; unique
     (case-sensitive) and sorted without case."""

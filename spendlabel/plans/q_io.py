@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import metrics as MT
 from ..operators import model as MD
 from ..operators import sets as S
 from ..session import scratch_path
@@ -17,7 +18,7 @@ from . import oracle as Q
 from .catalog import query
 from .q_model import (_DOCS, _HOLDOUT, _docs, _holdout_sql, _one_step, _score_sql, _step_sql, _steps_sql,
                       _with_split)
-from .q_sets import _MERGE_SQL, _train_csv
+from .q_sets import _LEDGER_SQL, _MERGE_SQL, _ledger, _train_csv
 
 
 # -- O1 ----------------------------------------------------------------------------
@@ -137,6 +138,43 @@ def seen_ledger(fx):
     return store.load_ledger(distinct=True)
 
 
+@query("filter_unseen_bucketed", Q.with_fixtures(["expenses", "user_labels"], _LEDGER_SQL) + f"""
+SELECT expense_id, {Q.row_id_of(Q.text_of(), Q.clean_field('category'))} AS row_id FROM expenses
+WHERE {Q.row_id_of(Q.text_of(), Q.clean_field('category'))} NOT IN (SELECT row_id FROM ledger)""")
+def filter_unseen_bucketed(fx):
+    """Rows against a stored ledger of three versions: buckets are read where they lie."""
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    ids = _ledger(fx)
+    for k in range(3):
+        store.append_ledger(ids.filter(F.pmod(F.crc32("row_id"), F.lit(3)) == k))
+    rows = C.with_row_id(C.build_text(fx.expenses)).select("expense_id", "row_id")
+    return S.filter_unseen(rows, store.load_ledger()).select("expense_id", "row_id")
+
+
+# -- O5 / O30 by parts -------------------------------------------------------------
+@query("merge_training_parts", _MERGE_SQL)
+def merge_training_parts(fx):
+    """The training set once, then two batches of feedback that rewrite their parts only."""
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    store.start_training_parts(_train_csv(fx), parts=32)
+    first = F.pmod(F.col("fb_id"), F.lit(2)) == 0
+    for batch in (fx.feedback.filter(first), fx.feedback.filter(~first | first.isNull())):
+        store.merge_training_parts(batch.drop("fb_id"))
+    return store.read_training_parts()
+
+
+# -- O53 access paths --------------------------------------------------------------
+@query("user_expenses_clustered", Q.with_fixtures(["expenses"]) + """
+SELECT expense_id, expense_date, amount FROM expenses
+WHERE user_id = 10 AND expense_date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'""")
+def user_expenses_clustered(fx):
+    """One user's range from a published table clustered by user and date."""
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    store.publish_clustered(fx.expenses, "expenses_by_user", ["user_id", "expense_date", "expense_id"])
+    published = store.read_latest("expenses_by_user", "expenses_by_user")
+    return MT.user_expenses(published, 10, "1994-01-01", "1996-12-31").select("expense_id", "expense_date", "amount")
+
+
 # -- O7 / O8 -----------------------------------------------------------------------
 def _published(fx):
     store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))

@@ -15,6 +15,8 @@ from ..operators import clean as C
 from ..operators import features as FE
 from ..operators import metrics as MT
 from ..operators import model as MD
+from ..session import scratch_path
+from ..sources.store import VersionedStore
 from . import oracle as Q
 from .catalog import query
 
@@ -180,6 +182,29 @@ def stratified_holdout(fx):
     return _with_split(fx).select("row_key", "split")
 
 
+@query("stable_holdout", Q.with_fixtures(["labeled_text"], _DOCS) + f""",
+seen AS (SELECT DISTINCT category, row_id, md5('{SEED}:' || row_id) AS h,
+                category IN ('en', 'fr') AND substr(row_id, 1, 1) < '8' AS early FROM docs),
+firsts AS (SELECT * FROM seen WHERE early OR category NOT IN (SELECT category FROM seen WHERE early)),
+placed AS (
+  SELECT category, h, row_number() OVER (PARTITION BY category ORDER BY h, row_id) AS pos,
+         round(count(*) OVER (PARTITION BY category) * {SHARE}) AS held FROM firsts),
+limits AS (
+  SELECT category, CASE WHEN max(held) = 0 THEN least(min(h), '33333333') ELSE min(h) FILTER (pos > held) END AS threshold
+  FROM placed GROUP BY category)
+SELECT row_key, CASE WHEN md5('{SEED}:' || row_id) < threshold THEN 'test' ELSE 'train' END AS split
+FROM docs JOIN limits USING (category)""")
+def stable_holdout(fx):
+    """Thresholds of a first delta, stored, then those of labels a second delta brings."""
+    store = VersionedStore(fx.spark, scratch_path(fx.spark, "store"))
+    docs = _docs(fx)
+    early = F.col("category").isin("en", "fr") & (F.col("row_id").substr(1, 1) < "8")
+    for delta in (docs.filter(early), docs):
+        made = FE.holdout_thresholds(delta, store.load_holdout(), test_size=SHARE, seed=SEED)
+        store.publish_tables({"holdout": made}, "holdout")
+    return FE.stable_holdout(docs, store.load_holdout(), seed=SEED).select("row_key", "split")
+
+
 # -- O40 ---------------------------------------------------------------------------
 @query("register_classes", Q.with_fixtures(["labeled_text"], _DOCS) + """
 SELECT CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS class_id, category

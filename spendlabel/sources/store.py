@@ -4,9 +4,12 @@ Layout under a shared root (any path the cluster can reach):
 
     <root>/model_weights/v=<n>/    bucket, block, w[], g2[]       (block: 64 classes)
     <root>/model_classes/v=<n>/    class_id, category, intercept, intercept_g2
-    <root>/ledger/v=<n>/           row_id, model_version, learned_at  (rows learned in n)
+    <root>/ledger/v=<n>/           row_id, model_version, learned_at  (rows learned in n), bucketed by row_id
     <root>/training_rows/v=<n>/    row_id, category, weight, b[], x[]  (their sparse rows, for refits)
     <root>/training_set/v=<n>/     the merged training rows
+    <root>/training_parts/v=<n>/part=<k>/  the parts of the training set that n rewrote, whole
+    <root>/training_touched/v=<n>/ part  (the parts that n rewrote)
+    <root>/holdout/v=<n>/          category, threshold  (labels first seen in n)
     <root>/run_metrics/v=<n>/      one row per run
     <root>/_manifest/              one row per committed version
 
@@ -24,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import sets as S
+from ..operators.clean import bounded_broadcast
 from ..operators.model import Model
 from .files import path_exists
+from .layout import IdTable, write_clustered
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("version", T.LongType()),
@@ -53,9 +59,11 @@ LEDGER_SCHEMA = T.StructType([
 
 
 class VersionedStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, ledger_buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.ledger = IdTable(spark, f"{self.root}/ledger", "row_id",
+                              "row_id STRING, model_version BIGINT, learned_at TIMESTAMP", ledger_buckets)
 
     # -- manifest ------------------------------------------------------------------
     @property
@@ -133,15 +141,79 @@ class VersionedStore:
             version = r["version"]
         return self.read("training_set", version)
 
+    # -- O30 by parts --------------------------------------------------------------
+    def start_training_parts(self, train: DataFrame, parts: int = 256) -> int:
+        """Write the whole training set (exact duplicates removed) in ``parts`` parts by a
+        hash of the row. Each later merge rewrites the parts that its rows fall into."""
+        return self._write_parts(S.merge_rows(S.as_text_frame(train)), parts, self.next_version())
+
+    def _write_parts(self, rows: DataFrame, parts: int, v: int) -> int:
+        dealt = S.with_part(rows, parts).repartition("part")
+        dealt.write.mode("overwrite").partitionBy("part").parquet(self.path("training_parts", v))
+        made = self.spark.read.parquet(self.path("training_parts", v)).select("part").distinct()
+        self.write(made.select(F.col("part").cast("int"), F.lit(parts).alias("parts")).coalesce(1), "training_touched", v)
+        self.commit(v, "training_parts")
+        return v
+
+    def _parts_held(self) -> DataFrame:
+        """(part, v, parts): the version that holds each part; as many rows as parts."""
+        held = self.spark.read.parquet(f"{self.root}/training_touched").join(
+            self.committed_versions(("training_parts",)).select(F.col("version").alias("v")), "v", "left_semi")
+        return held.groupBy("part").agg(F.max("v").alias("v"), F.max("parts").alias("parts"))
+
+    def read_training_parts(self) -> DataFrame:
+        """The training set as the last merge left it."""
+        return self._training_parts().select(*S.FEEDBACK_KEEP)
+
+    def _training_parts(self) -> DataFrame:
+        """Of each part the newest committed version, with ``part``. Both partition columns are
+        in the join, so older files are pruned."""
+        if self.latest("training_parts") is None:
+            raise LookupError(f"no training parts under {self.root}")
+        held = F.broadcast(self._parts_held().select("part", "v"))
+        return self.spark.read.parquet(f"{self.root}/training_parts").join(held, ["part", "v"], "left_semi").drop("v")
+
+    def merge_training_parts(self, feedback: DataFrame) -> int | None:
+        """Merge a batch of feedback (see ``merge_feedback``): only the parts its rows fall
+        into are read and written. None, and nothing written, when there is none."""
+        if feedback.isEmpty():
+            return None
+        parts = self._parts_held().agg(F.max("parts")).first()[0]
+        new = S.merge_rows(S.as_text_frame(feedback))
+        touched = F.broadcast(S.with_part(new, parts).select("part").distinct())
+        old = self._training_parts().join(touched, "part", "left_semi").drop("part")
+        return self._write_parts(S.merge_rows(old.unionByName(new)), parts, self.next_version())
+
+    # -- O53 access paths ----------------------------------------------------------
+    def publish_clustered(self, df: DataFrame, name: str, by: list[str], group_bytes: int = 16 << 20) -> int:
+        """Publish ``df`` as table ``name`` clustered by ``by``; read with ``read_latest(name, name)``."""
+        v = self.next_version()
+        write_clustered(df, self.path(name, v), by, group_bytes)
+        self.commit(v, name)
+        return v
+
+    # -- O43 thresholds ------------------------------------------------------------
+    def load_holdout(self) -> DataFrame | None:
+        """(category, threshold) of all labels split so far; None before the first."""
+        if not path_exists(self.spark, f"{self.root}/holdout"):
+            return None
+        return self._committed("holdout", ("model", "holdout"))
+
     # -- O6 ------------------------------------------------------------------------
     def load_ledger(self, distinct: bool = False) -> DataFrame:
-        """Row ids learned by committed model versions (empty when none). The
-        version filter prunes partitions of uncommitted writes."""
-        if not path_exists(self.spark, f"{self.root}/ledger"):
+        """Row ids learned by committed model versions (empty when none), bucketed by id: an
+        anti join moves the batch only. The version filter prunes partitions of uncommitted
+        writes; it is a small broadcast (counted), which keeps the bucketing."""
+        if not self.ledger.exists():
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        led = self._committed("ledger", ("model", "ledger"))
+        versions = self.committed_versions(("model", "ledger")).select(F.col("version").alias("v"))
+        led = self.ledger.read().join(bounded_broadcast(versions), "v", "left_semi").drop("v")
         return led.select("row_id").distinct() if distinct else led
 
+    def write_ledger(self, learned: DataFrame, version: int) -> None:
+        self.ledger.write(learned.select("row_id", F.lit(version).cast("long").alias("model_version"),
+                                         F.current_timestamp().alias("learned_at")), version)
+
     def _committed(self, name: str, kinds: tuple[str, ...]) -> DataFrame:
         """Rows of table ``name`` whose version is committed. A semi join on the
         partition column (dynamic partition pruning), so the version list is never
@@ -159,16 +231,16 @@ class VersionedStore:
     def append_ledger(self, learned: DataFrame) -> int:
         """Record row ids as learned without a model change (own version)."""
         v = self.next_version()
-        self.write(learned.select("row_id", F.lit(v).cast("long").alias("model_version"),
-                                  F.current_timestamp().alias("learned_at")), "ledger", v)
+        self.write_ledger(learned, v)
         self.commit(v, "ledger")
         return v
 
     # -- O7 ------------------------------------------------------------------------
     def publish_model(self, model: Model, learned: DataFrame | None = None,
-                      batch_id: int | None = None, metrics: DataFrame | None = None) -> int:
-        """Write weights, classes, the ledger delta and run metrics under a new
-        version, then commit the manifest row. Returns the version."""
+                      batch_id: int | None = None, metrics: DataFrame | None = None,
+                      holdout: DataFrame | None = None) -> int:
+        """Write weights, classes, the ledger delta, run metrics and the ``holdout`` thresholds
+        of new labels under a new version, then commit the manifest row. Returns the version."""
         v = self.next_version()
         self.write(model.weights.select("bucket", "block", "w", "g2"), "model_weights", v)
         classes = self.spark.createDataFrame(
@@ -176,10 +248,11 @@ class VersionedStore:
              enumerate(zip(model.classes, model.intercept, model.intercept_g2))], CLASSES_SCHEMA)
         self.write(classes.coalesce(1), "model_classes", v)
         if learned is not None:
-            self.write(learned.select("row_id", F.lit(v).cast("long").alias("model_version"),
-                                      F.current_timestamp().alias("learned_at")), "ledger", v)
+            self.write_ledger(learned, v)
             if {"category", "weight", "b", "x"} <= set(learned.columns):
                 self.write(learned.select("row_id", "category", "weight", "b", "x"), "training_rows", v)
+        if holdout is not None:
+            self.write(holdout, "holdout", v)
         if metrics is not None:
             self.write(metrics.withColumn("version", F.lit(v).cast("long")).coalesce(1), "run_metrics", v)
         self.commit(v, "model", batch_id=batch_id, n_buckets=1 << model.bits, n_observed=model.n_observed,

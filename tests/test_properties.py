@@ -258,7 +258,6 @@ def test_uncommitted_version_is_invisible(spark):
     v1 = store.publish_model(m, learned=docs.limit(10).select("row_id"))
     # simulate a crash: version 2 data written, manifest row missing
     store.write(m.weights, "model_weights", v1 + 1)
-    store.write(docs.select("row_id", F.lit(v1 + 1).cast("long").alias("model_version"),
-                            F.current_timestamp().alias("learned_at")), "ledger", v1 + 1)
+    store.write_ledger(docs.select("row_id"), v1 + 1)
     assert store.load_latest_model().version == v1
     assert store.load_ledger(distinct=True).count() == docs.limit(10).select("row_id").distinct().count()
