@@ -29,7 +29,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -162,9 +162,17 @@ def _is_sparse(df: DataFrame) -> bool:
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_with(df, name)[0]
+
+
+def stored_with(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a scratch table, and ``metrics`` (aggregates by name) over its rows from the pass
+    that writes it. A write's tasks count once each, however often a lost executor makes one
+    run, so the figures are exact."""
+    path, seen = scratch_path(df.sparkSession, name), Observation()
+    out = df.observe(seen, *[m.alias(k) for k, m in metrics.items()]) if metrics else df
+    out.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), (seen.get if metrics else {})
 
 
 def register_classes(df: DataFrame, col: str = "category") -> list[str]:
@@ -392,15 +400,20 @@ def _update(model: Model, parts: DataFrame, n: float, eta: float, alpha: float,
 
 
 def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: float = ALPHA,
-        eps: float = EPS) -> Model:
+        eps: float = EPS, n: int | None = None) -> Model:
     """``steps`` AdaGrad steps over ``rows`` (as of :func:`group_copies`, or sparse already) from
     ``model``. Texts are tokenised once, into stored sparse rows. ``rows_trained`` counts the
-    rows of this fit once."""
+    rows of this fit once; ``n`` is their number (sum of weights) where the caller has it."""
     spark = rows.sparkSession
     ship_package(spark)
-    cells = rows if _is_sparse(rows) else _stored(sparse_rows(rows.select("category", "weight", "text"), "text", model.bits), "cells")
+    cells = rows
+    if not _is_sparse(rows):
+        made = sparse_rows(rows.select("category", "weight", "text"), "text", model.bits)
+        cells, seen = stored_with(made, "cells", n=F.sum("weight"))
+        n = seen.get("n")
+    elif n is None:
+        n = cells.agg(F.sum("weight")).first()[0]
     classed = _classed(cells, model)
-    n = cells.agg(F.sum("weight")).first()[0]
     if not n or not model.k:
         return model
     chunks = None
@@ -410,12 +423,13 @@ def fit(rows: DataFrame, model: Model, steps: int, eta: float = ETA, alpha: floa
         else:
             chunks = chunks if chunks is not None else _chunked(classed)
             parts = _gradient_join(chunks, model)
-        new = _stored(_update(model, parts, float(n), eta, alpha, eps), "weights")
+        new, seen = stored_with(_update(model, parts, float(n), eta, alpha, eps), "weights",
+                                observed=F.count_if((F.col("block") == 0) & (F.col("bucket") != _BIAS)))
         ends = sorted(new.where(F.col("bucket") == _BIAS).collect(), key=lambda r: r["block"])
         weights = new.where(F.col("bucket") != _BIAS)
         model = replace(model, weights=weights, intercept=[v for r in ends for v in r["w"]][:model.k],
                         intercept_g2=[v for r in ends for v in r["g2"]][:model.k], version=None,
-                        n_observed=weights.where("block = 0").count())
+                        n_observed=int(seen["observed"]))
     return replace(model, rows_trained=model.rows_trained + int(n))
 
 

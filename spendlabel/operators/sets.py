@@ -107,17 +107,30 @@ def distinct_categories(df: DataFrame, col: str = "category") -> DataFrame:
     return df.select(col).distinct()
 
 
-def _substrings(df: DataFrame, col: str, max_len: int | None) -> DataFrame:
-    """Every (start, substring) of ``col`` up to ``max_len`` characters: the exact
-    equi-join key for a 'contains' match, without a nested-loop join."""
+#: Length of the grams names are indexed by; a shorter query is a gram itself.
+GRAM = 3
+
+
+def gram_postings(names: DataFrame, col: str) -> DataFrame:
+    """(gram, ``col``): the distinct lower-cased grams of 1 to ``GRAM`` characters of each name,
+    at most ``GRAM`` times its length however long it is."""
     s = F.lower(F.col(col))
-    n = F.length(s)
-    lim = n if max_len is None else F.least(n, F.lit(max_len))
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    pairs = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.least(lim, n - i + 1), F.lit(1))),
-        lambda L: F.struct(i.alias("pos"), F.substring(s, i, L).alias("sub")))))
-    return df.select(F.col(col), F.explode(pairs).alias("p")).select(col, "p.pos", "p.sub")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(s, i, n)))))
+    return names.select(F.explode(grams).alias("gram"), col).filter(F.length("gram") > 0)
+
+
+def _query_grams(q: DataFrame, postings: DataFrame) -> DataFrame:
+    """(q, gram): the gram each query is looked up by. A query of up to ``GRAM`` characters is
+    its own; a longer one takes the rarest of its grams of ``GRAM`` characters."""
+    n = F.length("q")
+    short = q.filter(n.between(1, GRAM)).select("q", F.col("q").alias("gram"))
+    grams = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring("q", i, GRAM))
+    held = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
+    cut = q.filter(n > GRAM).select("q", F.explode(grams).alias("gram")).join(held, "gram", "left")
+    rare = cut.groupBy("q").agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), F.col("gram"))).alias("gram"))
+    return short.unionByName(rare)
 
 
 def suggest_categories(queries: DataFrame, categories: DataFrame, limit: int = 8,
@@ -126,18 +139,17 @@ def suggest_categories(queries: DataFrame, categories: DataFrame, limit: int = 8
     ``limit`` in display order (locale order: letters before accents before case, so É
     stands by E); an empty query gets the first ``limit``.
 
-    A 'contains' match is an equi-join of the query with every substring of each
-    category (no cross join). Ranking is a row_number <= limit filter, which Spark
-    turns into a partial top-k before the shuffle."""
+    A 'contains' match looks one gram of the query up in the grams of the categories (an
+    equi-join, postings linear in a name's length) and verifies the rest of it. Ranking is
+    a row_number <= limit filter, which Spark turns into a partial top-k before the shuffle."""
     q = queries.select(F.lower(trim_ws(F.coalesce(F.col(qcol), F.lit("")), FORM_WS)).alias("q")).distinct()
     cats = categories.select(F.col(ccol).alias("category")).distinct()
-    max_q = q.agg(F.max(F.length("q"))).first()[0] or 0
-    subs = _substrings(cats, "category", max(int(max_q), 1))
-    hits = (q.filter(F.length("q") > 0)
-            .join(subs, F.col("q") == F.col("sub"))
-            .groupBy("q", "category").agg(F.min("pos").alias("pos")))
+    postings = gram_postings(cats, "category")
+    lower = F.lower("category")
+    hits = (_query_grams(q, postings).join(postings, "gram")
+            .filter(F.contains(lower, F.col("q"))))
     shown = [F.collate("category", "UNICODE"), F.col("category")]
-    order = [F.when(F.col("pos") == 1, 0).otherwise(1), *shown]
+    order = [F.when(F.startswith(lower, F.col("q")), 0).otherwise(1), *shown]
     w = Window.partitionBy("q").orderBy(*order)
     ranked = (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
               .withColumn("rank", F.col("rank").cast("long")))

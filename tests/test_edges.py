@@ -137,6 +137,29 @@ def test_suggest_categories_matches_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_suggestions_look_up_rare_grams_and_verify(spark):
+    """Queries longer than a gram, names that hold a query's grams but not the query, repeated
+    names, nulls, accents and a name of 20,000 characters."""
+    cats = ["abcabd", "abcd", "xabcd", "bcdabc", "abcd", "Éclair abcd", "", None, "a", "ab", "q" * 19_990 + "needle end"]
+    qs = ["abcd", "abca", "cdab", "éclair", "needle", "qqqq", "abcdabcd", "nothing", "ab", "A", " bcd ", None, ""]
+    got = S.suggest_categories(spark.createDataFrame([(q,) for q in qs], "q string"),
+                               spark.createDataFrame([(c,) for c in cats], "category string"), limit=3)
+    names = sorted({c for c in cats if c}, key=lambda c: c.lower().replace("é", "e"))
+    want = set()
+    for q in {(q or "").strip().lower() for q in qs} - {""}:
+        hits = [c for c in names if c.lower().startswith(q)] + \
+               [c for c in names if q in c.lower() and not c.lower().startswith(q)]
+        want |= {(q, i + 1, c) for i, c in enumerate(hits[:3])}
+    assert {tuple(r) for r in got.select("q", "rank", "category").filter("q <> ''").collect()} == want
+    assert got.filter("q = ''").count() == 3
+
+
+def test_gram_postings_are_linear(spark):
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3_000))
+    names = spark.createDataFrame([(text,), (None,), ("",)], "category string")
+    assert 0 < S.gram_postings(names, "category").count() <= S.GRAM * len(text)
+
+
 def test_suggestion_chips_order_and_dedupe(spark):
     df = spark.createDataFrame([("Dining ", [("Dining", 0.5), (" ", 0.3), ("Coffee", 0.2)])],
                                "category string, top array<struct<category:string, prob:double>>")

@@ -10,9 +10,10 @@ from spendlabel.operators import clean as C
 from spendlabel.operators import features as FE
 from spendlabel.operators import maintain as M
 from spendlabel.operators import model as MD
+from spendlabel.operators import sets as S
 from spendlabel.operators import validate as V
 from spendlabel.plans.fixtures import Fixtures
-from spendlabel.plans.training import train_or_update
+from spendlabel.plans.training import prepare_rows, train_or_update
 from spendlabel.session import scratch_path
 from spendlabel.sources.store import VersionedStore
 from spendlabel.sources.synth import synthesize_expenses
@@ -114,6 +115,30 @@ def test_train_or_update_is_idempotent(spark):
     assert led.count() == led.select("row_id").distinct().count() <= r1.rows_new
 
 
+def test_write_reports_what_it_wrote(spark):
+    rows = spark.range(1_000).selectExpr("id % 7 AS weight", "id % 3 AS c").groupBy("c").agg(F.sum("weight").alias("weight"))
+    table, seen = MD.stored_with(rows, "seen", n=F.sum("weight"), k=F.count("c"))
+    assert seen == {"n": table.agg(F.sum("weight")).first()[0], "k": table.count()} == {"n": 2_997, "k": 3}
+    table, seen = MD.stored_with(rows.limit(0), "seen", n=F.coalesce(F.sum("weight"), F.lit(0)))
+    assert seen == {"n": 0} and table.count() == 0
+
+
+def test_train_or_update_counts_rows_in_the_writes(spark, monkeypatch):
+    """An empty batch is a no-op; figures are those of the rows; a first run and an update ask
+    for no count of rows beside the writes."""
+    root = scratch_path(spark, "store")
+    src = Fixtures(spark, SF_SMALL).labeled_text
+    assert train_or_update(src.limit(0), root).kind == "noop"
+    monkeypatch.setattr(MD, "register_classes", None)
+    monkeypatch.setattr(S, "new_labels", None)
+    r = train_or_update(src, root, holdout=False)
+    prepared = prepare_rows(src)
+    assert (r.rows_read, r.rows_new, r.rows_trained) == (prepared.count(),) * 3
+    assert r.classes == prepared.select("category").distinct().count()
+    m = VersionedStore(spark, root).load_latest_model()
+    assert m.n_observed == m.weights.select("bucket").distinct().count()
+
+
 def test_new_category_triggers_refit(spark):
     root = scratch_path(spark, "store")
     fx = Fixtures(spark, SF_SMALL)
