@@ -3,7 +3,10 @@
 A line's key is the line without outer [\\x20\\x09-\\x0D], A-Z lower-cased, hashed to 128
 bits. The state has three tables:
 
-* ``refs``    (k1, k2, doc_id): one row per document that holds a key, the exact truth;
+* ``refs``    (k1, k2, doc_id): one row per document that holds a key, the exact truth. It lies
+  as a log: each change adds a folder of its documents' references and one of the ids that
+  it replaces or deletes, and writes no other reference again; a log of more than ``LOG``
+  changes is written anew as one;
 * ``counts``  (shard, k1, k2, n_docs, keeper): the frequent keys, derived from ``refs``;
 * ``filters`` (shard, blob): per shard a cuckoo filter of the frequent keys.
 
@@ -32,17 +35,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, column, cut, free_names, map_rows, mix64, ship, without
+from .common import SPACE_CHARS, column, cut, free_names, map_rows, mix64, scratch_path, ship, without
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: The columns ``dedup_lines`` adds.
 RESULT = ("n_lines", "n_dropped", "kept_text", "kept_sha256")
 #: Frequent keys a shard holds on average, and references a task reads of one shard.
 SHARD_KEYS, TASK_REFS = 50_000, 200_000
+#: Changes a state holds before its references are written as one folder.
+LOG = 16
 _SLOTS, _KICKS = 4, 500
 
 
@@ -139,12 +144,47 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 @dataclass
 class State:
-    refs: DataFrame
+    log: tuple[Change, ...]
+    refs: DataFrame  # the log's living references
     counts: DataFrame
     filters: DataFrame
     shards: int
 
 
+@dataclass(frozen=True)
+class Change:
+    """Folders of one change: references it adds (k1, k2, doc_id, seq) and ids whose earlier
+    references it ends (doc_id, seq)."""
+    added: str | None
+    ended: str | None
+
+
+REFS, ENDED = "k1 long, k2 long, doc_id long, seq int", "doc_id long, seq int"
+
+
+def _record(log: tuple[Change, ...], added: DataFrame | None, ended: DataFrame | None) -> tuple[Change, ...]:
+    """``log`` with one more change; only its own rows are written."""
+    def put(df: DataFrame | None, name: str) -> str | None:
+        if df is None:
+            return None
+        path = scratch_path(df.sparkSession, name)
+        df.withColumn("seq", F.lit(len(log))).write.parquet(path)
+        return path
+
+    return (*log, Change(put(added, "line-refs"), put(ended, "line-ended")))
+
+
+def _living(spark: SparkSession, log: tuple[Change, ...]) -> DataFrame:
+    """(k1, k2, doc_id): references that no later change ended."""
+    refs = spark.read.schema(REFS).parquet(*[c.added for c in log if c.added])
+    ended = [c.ended for c in log if c.ended]
+    if ended:
+        last = (spark.read.schema(ENDED).parquet(*ended)
+                .groupBy("doc_id").agg(F.max("seq").alias("ended")))
+        refs = refs.join(last, "doc_id", "left").where("ended is null or seq >= ended")
+    return refs.select("k1", "k2", "doc_id")
+
+
 def _count(refs: DataFrame, shards: int, min_docs: int) -> DataFrame:
     return (refs.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
             .where(F.col("n_docs") >= min_docs)
@@ -161,15 +201,20 @@ def _filters(counts: DataFrame) -> DataFrame:
 
 def build_state(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> State:
     """State of a first batch. The number of shards follows the number of frequent keys."""
-    refs = cut(line_refs(docs, min_chars), "line-refs")
+    log = _record((), line_refs(docs, min_chars), None)
+    refs = _living(docs.sparkSession, log)
     counts = cut(_count(refs, 1, min_docs), "line-counts")
     shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
     counts = counts.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
-    return State(refs, counts, cut(_filters(counts), "line-filters"), shards)
+    return State(log, refs, counts, cut(_filters(counts), "line-filters"), shards)
 
 
-def _change(state: State, refs: DataFrame, touched: DataFrame, min_docs: int) -> State:
-    """State over ``refs``, recounting the ``touched`` keys only."""
+def _change(state: State, log: tuple[Change, ...], touched: DataFrame, min_docs: int) -> State:
+    """State over ``log``, recounting the ``touched`` keys only."""
+    refs = _living(touched.sparkSession, log)
+    if len(log) > LOG:
+        log = _record((), refs, None)
+        refs = _living(touched.sparkSession, log)
     touched = touched.select("k1", "k2").distinct()
     new = cut(_count(refs.join(touched, ["k1", "k2"], "left_semi"), state.shards, min_docs), "line-recount")
     old = state.counts.join(touched, ["k1", "k2"], "left_semi")
@@ -177,7 +222,7 @@ def _change(state: State, refs: DataFrame, touched: DataFrame, min_docs: int) ->
     shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
     if shards > state.shards:  # outgrown: more shards, and their filters from the exact counts
         counts = counts.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
-        return State(refs, counts, cut(_filters(counts), "line-filters"), shards)
+        return State(log, refs, counts, cut(_filters(counts), "line-filters"), shards)
     entered = new.join(old, ["k1", "k2"], "left_anti").select("shard", "k2", F.lit(True).alias("enter"))
     left = old.join(new, ["k1", "k2"], "left_anti").select("shard", "k2", F.lit(False).alias("enter"))
 
@@ -195,26 +240,29 @@ def _change(state: State, refs: DataFrame, touched: DataFrame, min_docs: int) ->
     # a filter that ran full is built anew from its shard's exact counts
     full = moved.where("blob is null").select("shard")
     filters = moved.where("blob is not null").unionByName(_filters(counts.join(full, "shard", "left_semi")))
-    return State(refs, counts, cut(filters, "line-filters"), state.shards)
+    return State(log, refs, counts, cut(filters, "line-filters"), state.shards)
 
 
 def insert_documents(state: State, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> State:
     """State with more documents. One that is there already is replaced: keys its new text
     no longer has are released (the same text again changes nothing)."""
-    new = cut(line_refs(docs, min_chars).distinct(), "line-new")
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    log = _record(state.log, line_refs(docs, min_chars).distinct(), ids)
+    read = docs.sparkSession.read
+    new = read.schema(REFS).parquet(log[-1].added).drop("seq")
+    ids = read.schema(ENDED).parquet(log[-1].ended).drop("seq")
     old = cut(state.refs.join(ids, "doc_id", "left_semi"), "line-old")
     on = ["k1", "k2", "doc_id"]
-    touched = cut(new.join(old, on, "left_anti").unionByName(old.join(new, on, "left_anti")), "line-touched")
-    refs = state.refs.join(ids, "doc_id", "left_anti").unionByName(new)
-    return _change(state, cut(refs, "line-refs"), touched, min_docs)
+    touched = new.join(old, on, "left_anti").unionByName(old.join(new, on, "left_anti"))
+    return _change(state, log, cut(touched, "line-touched"), min_docs)
 
 
 def delete_documents(state: State, ids: DataFrame, min_docs: int = MIN_DOCS) -> State:
     """State without the documents of ``ids`` (doc_id)."""
-    ids = ids.select("doc_id").distinct()
-    gone = cut(state.refs.join(ids, "doc_id", "left_semi"), "line-gone")
-    return _change(state, cut(state.refs.join(ids, "doc_id", "left_anti"), "line-refs"), gone, min_docs)
+    ids = ids.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+    log = _record(state.log, None, ids)
+    ids = ids.sparkSession.read.schema(ENDED).parquet(log[-1].ended).drop("seq")
+    return _change(state, log, cut(state.refs.join(ids, "doc_id", "left_semi"), "line-gone"), min_docs)
 
 
 def dropped_lines(state: State) -> DataFrame:

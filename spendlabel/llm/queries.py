@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import alignment as op12
 from . import decontaminate as op4
@@ -31,6 +32,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def line_dedup_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 by increments: the documents arrive in three batches, the second first with
+    other texts; the third is deleted and comes again. The state then is that of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    batch = [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == i) for i in range(3)]
+    state = op2.build_state(batch[0])
+    state = op2.insert_documents(state, batch[1].withColumn("text", F.reverse("text")))
+    state = op2.insert_documents(state, batch[1].union(batch[2]))
+    state = op2.insert_documents(op2.delete_documents(state, batch[2]), batch[2])
+    return op2.dedup_lines(docs, state=state).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a vocabulary file: SPENDLABEL_TOKENIZERS, or the installed package's folder."""
     folder = os.environ.get("SPENDLABEL_TOKENIZERS")
@@ -93,6 +106,6 @@ def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_benchmark_decontamination,
     op5_token_counts, op6_sentencepiece, op7_toxicity, op8_language_id, op9_quality_classifier, op10_simhash_near_dedup,
-    op11_embedding_whitening, op12_tokenizer_alignment, op13_embedding_near_dedup)}
-ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE,
+    op11_embedding_whitening, op12_tokenizer_alignment, op13_embedding_near_dedup, line_dedup_increments)}
+ORACLE_SQL = {"op1_quality_rules": op1.ORACLE, "op2_line_dedup": op2.ORACLE, "line_dedup_increments": op2.ORACLE,
               "op3_substring_dedup": op3.ORACLE}

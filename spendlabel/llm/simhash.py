@@ -9,10 +9,14 @@ The classes are then joined with themselves at up to ``max_bits`` differing bits
   least two of them, so for each pair of blocks the classes are grouped by those bits.
   In the trie whose first levels are these bits a group is one subtree, reached without
   a differing bit; only its node paired with itself can hold new links;
+* a group of more than ``GROUP`` classes is split by its next trie levels: the other bits are
+  cut into ``max_bits + 1`` blocks, of which a pair agrees on at least one, and the group
+  falls into the subtrees of each;
 * inside a group the trie over the remaining bits (sorted array, a node is a range) is
   traversed in node pairs, adding a differing bit whenever the children differ, and
   dropping the pair once the sum exceeds the budget;
-* a link counts in the first pair of blocks it agrees on, so it is found once.
+* a link counts in the first pair of blocks it agrees on (in a split group: and in the
+  first further block), so it is found once.
 
 Links between classes become components by large-star and small-star rounds, each
 written to the shared checkpoint folder.
@@ -38,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import column, cut, free_names, ship
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
+#: Classes of one group that one task joins; a larger group is split. Rows a task joins at a time.
+GROUP, AT_A_TIME = 100_000, 200_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -102,11 +108,6 @@ def trie_pairs(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.nda
     return alo, blo
 
 
-def _rotated(fp: np.ndarray, masks: list[int], pair: np.ndarray) -> np.ndarray:
-    """The bits of each fingerprint that its pair of blocks fixes."""
-    return fp & np.array(masks, np.uint64)[pair]
-
-
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): fingerprints of distinct ``classes`` (fp) at 1..max_bits differing bits, each pair once."""
     blocks = max_bits + 2
@@ -114,47 +115,69 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     edges = np.linspace(0, 64, blocks + 1).astype(int)
     block = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:])]
     masks = [block[x] | block[y] for x, y in combinations(range(blocks), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits"))
-                     for i, m in enumerate(signed)])
+    further = [[sum(1 << int(x) for x in part) for part in np.array_split([x for x in range(64) if not m >> x & 1], max_bits + 1)]
+               for m in masks]  # of each pair of blocks
+
+    def under(mask: int):
+        return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
+
+    keys = F.array(*[F.struct(F.lit(i).alias("pair"), under(m).alias("bits")) for i, m in enumerate(masks)])
     spread = classes.select("fp", F.explode(keys).alias("k")).select("fp", "k.pair", "k.bits")
+    large = cut(spread.groupBy("pair", "bits").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+                .select("pair", "bits"), "large-groups")
+    whole = [F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subbits")]
+    if large.isEmpty():
+        groups = spread.select("*", *whole)
+    else:
+        parts = F.element_at(F.array(*[F.array(*[F.struct(F.lit(j).alias("sub"), under(m).alias("subbits"))
+                                                 for j, m in enumerate(ms)]) for ms in further]), F.col("pair") + 1)
+        split = spread.join(large, ["pair", "bits"], "left_semi").withColumn("s", F.explode(parts))
+        groups = (spread.join(large, ["pair", "bits"], "left_anti").select("fp", "pair", "bits", *whole)
+                  .union(split.select("fp", "pair", "bits", "s.sub", "s.subbits")))
+    by = ["pair", "bits", "sub", "subbits"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            fp, pair = t["fp"].to_numpy().view(np.uint64), t["pair"].to_numpy()
-            bits = t["bits"].to_numpy().view(np.uint64)
-            order = np.lexsort((fp, bits, pair))
-            fp, pair, bits = fp[order], pair[order], bits[order]
-            new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (bits[1:] != bits[:-1])])
-            i, j = trie_pairs(np.cumsum(new), fp, max_bits)
+        def flush(t: pa.Table) -> pa.RecordBatch:
+            fp, pair, sub = t["fp"].to_numpy().view(np.uint64), t["pair"].to_numpy(), t["sub"].to_numpy()
+            group = np.cumsum(_begins(t, by))
+            order = np.lexsort((fp, group))
+            fp, pair, sub = fp[order], pair[order], sub[order]
+            i, j = trie_pairs(group[order], fp, max_bits)
             diff, first = fp[i] ^ fp[j], np.ones(len(i), bool)
-            for p, m in enumerate(masks):  # found again in a later pair of blocks: not here
+            for p, m in enumerate(masks):  # found again in a later pair of blocks, or further block: not here
                 first &= ~((p < pair[i]) & ((diff & np.uint64(m)) == 0))
+                for k, f in enumerate(further[p]):
+                    first &= ~((p == pair[i]) & (k < sub[i]) & ((diff & np.uint64(f)) == 0))
             return pa.RecordBatch.from_arrays([pa.array(fp[x][first].view(np.int64)) for x in (i, j)], ["a", "b"])
 
-        last = None
-        for b in batches:  # sorted by (pair, bits): whole groups are joined as soon as enough rows are there
+        held, rows, enough = [], 0, AT_A_TIME
+        for b in batches:  # sorted by group: whole groups are joined as soon as enough rows are there
             held.append(b)
-            if sum(x.num_rows for x in held) >= 200_000:
+            rows += b.num_rows
+            if rows >= enough:
                 t = pa.Table.from_batches(held).combine_chunks()
-                p, k = t["pair"].to_numpy(), t["bits"].to_numpy()
-                tail = int(np.flatnonzero((p != p[-1]) | (k != k[-1]))[-1]) + 1 if (p[0], k[0]) != (p[-1], k[-1]) else 0
+                tail = int(np.flatnonzero(_begins(t, by))[-1])
                 if tail:
-                    rest = t.slice(tail).to_batches()
-                    held[:] = t.slice(0, tail).to_batches()
-                    yield flush()
-                    held[:] = rest
-            last = b
-        if last is not None and held:
-            yield flush()
-
-    return (spread.repartition("pair", "bits").sortWithinPartitions("pair", "bits")
+                    yield flush(t.slice(0, tail))
+                held, rows = t.slice(tail).to_batches(), t.num_rows - tail
+                enough = max(AT_A_TIME, 2 * rows)  # one group in progress is put together ever more rarely
+        if rows:
+            yield flush(pa.Table.from_batches(held))
+
+    return (groups.repartition(*by).sortWithinPartitions(*by)
             .mapInArrow(join, "a long, b long"))
 
 
+def _begins(t: pa.Table, by: list[str]) -> np.ndarray:
+    """Whether a row of the sorted table is the first of its group."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        v = t[c].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b); root is the least node reachable.
 

@@ -139,6 +139,23 @@ def test_a_changed_document_replaces_its_keys(spark):
     assert all(held[r.shard].contains(np.array([r.k2]))[0] for r in state.counts.collect())
 
 
+def test_a_change_writes_its_own_references_only(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LOG", 3)
+    rows = line_rows()
+    states = [line_dedup.build_state(table(spark, rows[:-4]))]
+    for r in rows[-4:]:
+        states.append(line_dedup.insert_documents(states[-1], table(spark, [r])))
+    assert [len(s.log) for s in states] == [1, 2, 3, 1, 2]  # beyond three changes: one folder
+    assert states[2].log[:2] == states[1].log and states[1].log[:1] == states[0].log
+    assert {r.doc_id for r in spark.read.parquet(states[1].log[1].added).collect()} == {rows[-4][0]}
+    fresh = line_dedup.build_state(table(spark, rows))
+    assert rows_of(states[-1].refs, "k1", "k2", "doc_id") == rows_of(fresh.refs, "k1", "k2", "doc_id")
+    first = line_dedup.build_state(table(spark, rows[:-4]))  # an older state still says what it said
+    assert rows_of(states[0].refs, "k1", "k2", "doc_id") == rows_of(first.refs, "k1", "k2", "doc_id")
+    gone = line_dedup.delete_documents(states[0], table(spark, rows).where("doc_id is not null"))
+    assert gone.refs.count() == gone.counts.count() == 0
+
+
 def test_a_state_begun_small_gets_more_shards(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
     rows = line_rows()

@@ -121,6 +121,20 @@ def test_trie_join_finds_every_pair_once(spark, bits):
     assert len(linked) == len(want) and set(linked) == want
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_large_groups_are_split_without_losing_a_link(spark, monkeypatch, bits):
+    """Fingerprints that share their first 44 bits are one group for several pairs of blocks."""
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    monkeypatch.setattr(simhash, "AT_A_TIME", 30)
+    r = random.Random(bits)
+    fps = sorted({(7 << 60) | r.getrandbits(9) for _ in range(220)} | {r.getrandbits(64) for _ in range(50)})
+    fps = sorted({*fps, *(f ^ (1 << r.randrange(64)) for f in fps[::5])})
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1:] if (a ^ b).bit_count() <= bits}
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in fps], "fp long")
+    linked = [tuple(sorted((p.a % 2**64, p.b % 2**64))) for p in simhash.links(df, bits).collect()]
+    assert len(linked) == len(want) > 200 and set(linked) == want
+
+
 def test_long_chains_become_one_component(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)] + [(5000, 5000 + i) for i in range(1, 200)]
     root = {r.node: r.root for r in simhash.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
