@@ -51,6 +51,9 @@ from .common import column, map_rows, mix64, ship
 
 EDIT_SHARE, MIN_WORDS = 0.2, 1
 WALKS, TABLES, SAMPLED = 6, 8, 3
+#: Share of the leaks at the full edit budget that walks and tables are to find by themselves,
+#: for items of any length and edits of any kind; their numbers are set for it.
+TARGET_RECALL = 0.9
 #: Size classes grow by this factor, up and down from this size.
 CLASS_STEP, CLASS_FROM = 1.25, 8
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000

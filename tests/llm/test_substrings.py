@@ -282,3 +282,25 @@ def test_leaks_in_the_tables_and_empty_tables(spark):
     assert decontaminate.matches(table(spark, edge_rows()), bench).count() == 0
     assert decontaminate.decontaminate(table(spark, edge_rows()), bench).count() == len(edge_rows())
     assert decontaminate.matches(table(spark, []), spark.createDataFrame([(1, prose(1, 20))], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["swap", "insert", "delete"])
+@pytest.mark.parametrize("n", [12, 30, 60, 120, 250])
+def test_tables_alone_reach_their_target(n, kind):
+    """Recall of walks and tables without the exact rest, each leak at the full budget."""
+    r = random.Random(n * 31 + len(kind))
+    vocab = ["w%d" % i for i in range(3_000)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(n))) for i in range(60)]
+    held, classes = decontaminate.build_index(items)
+    found = 0
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        places = r.sample(range(n), decontaminate.edits(n, decontaminate.EDIT_SHARE))
+        out = []
+        for i, w in enumerate(words):
+            hit = i in places
+            out += [w] if not hit else [r.choice(vocab)] if kind == "swap" else [r.choice(vocab), w] if kind == "insert" else []
+        passage = [r.choice(vocab) for _ in range(40)] + out + [r.choice(vocab) for _ in range(40)]
+        h = decontaminate.codes(" ".join(passage), decontaminate.WordCodes())
+        found += k in {i for i, *_ in decontaminate.candidates(h, decontaminate.windows(h, classes))}
+    assert found >= decontaminate.TARGET_RECALL * len(items), found / len(items)
