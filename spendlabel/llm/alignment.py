@@ -38,6 +38,8 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +52,14 @@ from .common import column, cut, ship
 PART = 100_000
 #: Characters of short texts that a task takes at a time.
 BATCH = 400_000
-#: Chunks whose tokens and links a task holds; when full the table starts anew (costs time only).
-CHUNKS = 300_000
+#: Chunks whose tokens and links a task holds, and links in all (8 bytes each); when either is
+#: full the table starts anew (costs time only).
+CHUNKS, LINKS = 500_000, 9_600_000
 #: Pairs that are broadcast at most (17 bytes each).
 FREQUENT = 400_000
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 _EDGE = re.compile(r"\A[\s▁]|[\s▁]\Z")
+_ID, _BEGIN = attrgetter("id"), attrgetter("begin")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -135,11 +139,13 @@ class Aligner:
         head = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
         byte = np.append(np.flatnonzero(head), len(data))  # characters -> bytes
         edge = byte[np.cumsum([len(c) + 1 for c in chunks])]
-        begin = np.fromiter((p.begin for p in proto), np.int64, len(proto)) + 1  # behind the space that B put there
+        begin = np.fromiter(map(_BEGIN, proto), np.int64, len(proto)) + 1  # behind the space that B put there
         begin[:1] = 0
+        ids_a = enc.ids
+        spans = np.fromiter(chain.from_iterable(enc.offsets), np.int64, 2 * len(ids_a))
         out = []
-        for side, ids, coarse in ((self.side_a, enc.ids, byte[np.array(enc.offsets, np.int64).reshape(-1, 2)].T),
-                                  (self.side_b, [p.id for p in proto], np.stack([begin, np.append(begin[1:], len(data))]))):
+        for side, ids, coarse in ((self.side_a, ids_a, byte[spans.reshape(-1, 2)].T),
+                                  (self.side_b, list(map(_ID, proto)), np.stack([begin, np.append(begin[1:], len(data))]))):
             if b"".join(map(side.pieces.__getitem__, ids)) != data:
                 return None
             flat = np.array(ids, np.int64)
@@ -153,7 +159,7 @@ class Aligner:
     def hold(self, chunks: set[str]) -> None:
         """Have all of ``chunks`` in the table, which starts anew when full."""
         new = chunks.difference(self.place)
-        if new and (len(self.place) + len(new) > CHUNKS or self.first[-1] > 32 * CHUNKS):
+        if new and (len(self.place) + len(new) > CHUNKS or self.first[-1] > LINKS):
             self.clear()
             new = chunks
         self.learn(sorted(new))
