@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import form_amount
 from ..functions.text import normalized
+from .model import stored_with
 
 # The length limits enforced by the entry form, the API and storage.
 FORM_LIMITS = {
@@ -72,9 +73,8 @@ def with_reasons(df: DataFrame, profile: str = "form", amount_text: str = "amoun
 def validate_expenses(df: DataFrame, profile: str = "form", **kw) -> tuple[DataFrame, DataFrame]:
     """Split into (valid, rejected); rejected rows keep their ``reasons``.
 
-    Both outputs derive from one projected plan; persist the input first when both
-    are written."""
-    checked = with_reasons(df, profile, **kw)
+    The rows are checked once, into a scratch table that both sides are read from."""
+    checked, _ = stored_with(with_reasons(df, profile, **kw), "checked")
     valid = checked.filter(F.size("reasons") == 0).drop("reasons")
     rejected = checked.filter(F.size("reasons") > 0)
     return valid, rejected
