@@ -291,11 +291,13 @@ _STREAM_SCHEMA = "row_key long, vendor string, description string, category stri
 
 
 def _doc_stream(fx, name: str):
+    """The documents in four micro-batches. A file with line ends in its cells is read by one
+    task, so each batch has as many files as there are tasks."""
     spark = fx.spark
-    src = scratch_path(spark, name)
-    IO.write_csv(fx.labeled_text, src, files=4)
+    src, tasks = scratch_path(spark, name), spark.sparkContext.defaultParallelism
+    IO.write_csv(fx.labeled_text, src, files=4 * tasks)
     return (spark.readStream.options(header="true", escape='"', multiLine="true")
-            .option("maxFilesPerTrigger", "1").schema(_STREAM_SCHEMA).csv(src))
+            .option("maxFilesPerTrigger", str(tasks)).schema(_STREAM_SCHEMA).csv(src))
 
 
 @query("stream_train", Q.with_fixtures(["labeled_text"], _DOCS) + """
