@@ -142,3 +142,18 @@ def test_languages_without_spaces(spark):
     lang = {i: x for i, _, x, _ in rows}
     held_out = [g for g in got if g.held_out]
     assert len(held_out) > 50 and np.mean([g.lang_pred == lang[g.doc_id] for g in held_out]) > 0.95
+
+
+@pytest.mark.parametrize("rare", [2, 10])
+def test_quality_model_is_fitted_on_every_row(spark, monkeypatch, rare):
+    rows = [(i, ("plain words number %d of a calm text. " % i) * 3 if i % rare else "!!! $$$ 99 BUY " * (1 + i % 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % rare > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    small = {r.doc_id: r.predicted for r in quality_rank.quality(docs, quality_rank.fit(docs, labels)).collect()}
+    monkeypatch.setattr(quality_rank, "ROWS", 20)
+    monkeypatch.setattr(quality_rank, "GROUP_ROWS", 30)
+    monkeypatch.setattr(quality_rank, "bounded_sample", lambda *a: pytest.fail("a sample"))
+    model = quality_rank.fit(docs, labels)
+    assert {r.doc_id: r.predicted for r in quality_rank.quality(docs, model).collect()} == small
+    learned = np.array([quality_rank.text_features(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5])
+    assert np.allclose(model.mean, learned.mean(0)) and np.allclose(model.scale, learned.std(0) + 1e-6)
