@@ -16,3 +16,33 @@ def test_row_sums_are_computed_once_a_row(spark):
     s, e = 1 / (1 + np.exp(-rows)), np.exp(rows - rows.max(1, keepdims=True))
     assert np.allclose([r["p"] for r in got], s / s.sum(1, keepdims=True), rtol=1e-12)
     assert np.allclose([r["s"] for r in got], e / e.sum(1, keepdims=True), rtol=1e-12)
+
+
+def test_chunks_are_bounded_by_their_distinct_buckets(spark):
+    same = [(list(range(100)), [1.0] * 100)] * 1000  # 100,000 cells, 100 buckets
+    df = spark.createDataFrame(same, "b array<int>, x array<double>").coalesce(1)
+    assert MD._chunked(df).select("chunk").distinct().count() == 1
+    other = [(list(range(i * 4000, i * 4000 + 4000)), [1.0] * 4000) for i in range(20)]
+    df = spark.createDataFrame(other, "b array<int>, x array<double>").coalesce(1)
+    n = MD._chunked(df).groupBy("chunk").agg(F.countDistinct(F.element_at("b", 1)).alias("n")).collect()
+    assert len(n) > 1 and sum(r["n"] for r in n) == 20 and max(r["n"] for r in n) * 4000 <= MD.CHUNK_BUCKETS
+
+
+def test_a_step_over_many_classes_is_the_same_by_chunks(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"r{i}", f"word{i % 7} {'big ' * (i % 3)}x{i}", f"c{i % 150:03d}", 1 + i % 2) for i in range(400)],
+                                 "row_id string, text string, category string, weight long")
+    classes = MD.register_classes(docs)
+
+    taken, gradient = [], MD._gradient_join
+    monkeypatch.setattr(MD, "_gradient_join", lambda *a: taken.append(1) or gradient(*a))
+
+    def weights(limit):
+        monkeypatch.setattr(MD, "MAP_CLASSES", limit)
+        return MD.fit(docs, MD.empty_model(spark, classes, 10), 2)
+
+    a, b = weights(256), weights(0)
+    assert len(taken) == 2
+    assert np.allclose(a.intercept, b.intercept, atol=1e-9)
+    both = a.long_weights().alias("a").join(b.long_weights().alias("b"), ["bucket", "class_id"], "full_outer")
+    worst = both.agg(F.max(F.abs(F.col("a.w") - F.col("b.w"))).alias("d"), F.count_if(F.col("a.w").isNull() | F.col("b.w").isNull()).alias("n")).first()
+    assert worst["n"] == 0 and worst["d"] < 1e-9
