@@ -11,7 +11,8 @@ next one starts, so a lost executor repeats at most one stage's tasks.
   them; ``n_chars`` follows the text. Documents stay, also when no line is left.
 * ``near_dedup``: of each SimHash component the least id stays.
 * ``decontamination``: documents that hold a passage of a benchmark item go.
-* ``segmentation``: ids of the library's encoding and sampled segmentations per document.
+* ``segmentation``: ids of the library's encoding and sampled segmentations per document, and
+  the digest of what the ids decode to.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return segmentation.segment(docs, tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return segmentation.segment(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -69,7 +69,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6.segment(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False)
+    """The ids of every document and of its samples, and the digest of what the ids decode to."""
+    return op6.segment(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ from .common import column, mix64, ship
 SAMPLES, ALPHA, SEED = 2, 1.0, 0
 #: Chunk lattices are kept up to this many arcs; texts are handled in runs, and new chunks in
 #: slices, of these many characters.
-ARCS, RUN_CHARS, SLICE_CHARS = 7_000_000, 1_500_000, 50_000
+ARCS, RUN_CHARS, SLICE_CHARS = 4_000_000, 1_000_000, 50_000
 MARK = "▁"
 #: Latin letters. Where no piece of a model joins one to another character (but for marks
 #: before it), texts are cut there too, which makes far fewer different chunks.
@@ -458,29 +458,45 @@ def _run(lat: Lattices, texts: list[str], keys: list[int], k: int, emit: bool) -
         n = v["first_best"][c + 1] - a
         ids = v["best"][np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(c) else np.zeros(0, np.int32)
         raw, drawn = text.encode("utf-8", "replace"), [ids_of(w) for w in ws]
-        row = told(ids) | {"round_trip": all(vocab.decode(x) == raw for x in (ids, *drawn))}
+        back = [vocab.decode(x) for x in (ids, *drawn)]
+        row = told(ids) | {"round_trip": all(x == raw for x in back), "decoded_sha256": hashlib.sha256(back[0]).hexdigest()}
         row["samples"] = [told(x) | {"log_prob": w.log_prob, "perturbed": w.value,
                                                   "log_inclusion": log_inclusion(w.log_prob, rest)} for w, x in zip(ws, drawn)]
         out.append(row)
     return out
 
 
+def _offsets(lists: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+
+
+def _columns(rows: list[dict], kinds: list[tuple[str, pa.DataType]]) -> list[pa.Array]:
+    """The columns of ``rows``; id lists are joined as arrays, not id by id."""
+    out = []
+    for name, kind in kinds:
+        held = [r[name] for r in rows]
+        out.append(pa.ListArray.from_arrays(_offsets(held), pa.array(np.concatenate([np.zeros(0, np.int32), *held])))
+                   if pa.types.is_list(kind) else pa.array(held, kind))
+    return out
+
+
 def segment(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA, ids: bool = True,
             key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_ids, ids_sha256, [ids,] round_trip, samples): the library's encoding of
-    each whole text, whether it and the samples decode to the text, and ``k`` sampled
+    """(doc_id, n_ids, ids_sha256, [ids,] round_trip, decoded_sha256, samples): the library's encoding of
+    each whole text, whether it and the samples decode to the text, the digest of what it decodes to, and ``k`` sampled
     segmentations, each with its size, digest of the ids (as little-endian 32-bit integers), log-probability,
     perturbed value and log inclusion score. ``ids=False`` leaves the id lists out."""
     ship(docs.sparkSession)
     base = [("n_ids", pa.int32()), ("ids_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * ids
     sample = pa.struct([*base, ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())])
-    base = [*base, ("round_trip", pa.bool_())]
+    base = [*base, ("round_trip", pa.bool_()), ("decoded_sha256", pa.string())]
     kinds = {pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.float64(): "double"}
     ddl = [(n, kinds.get(t, "array<int>")) for n, t in base]
     nested = ", ".join(f"{f.name}: {kinds.get(f.type, 'array<int>')}" for f in sample)
     schema = f"{key} long, " + ", ".join(f"{n} {t}" for n, t in ddl) + f", samples array<struct<{nested}>>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what an earlier stage left in this worker
         lat = Lattices(vocabulary(path, alpha))  # gone with the task: an idle worker holds none
         for b in batches:
             texts = [t or "" for t in column(b, "text").to_pylist()]
@@ -493,8 +509,10 @@ def segment(docs: DataFrame, path: str, k: int = SAMPLES, alpha: float = ALPHA,
                     z += 1
                 rows = _run(lat, texts[a:z], keys[a:z], k, ids)
                 cols = [column(b, key).slice(a, z - a)]
-                cols += [pa.array([r[n] for r in rows], t) for n, t in base]
-                cols.append(pa.array([r["samples"] for r in rows], pa.list_(sample)))
+                cols += _columns(rows, base)
+                drawn = [r["samples"] for r in rows]
+                drawn_cols = _columns([x for s in drawn for x in s], [(f.name, f.type) for f in sample])
+                cols.append(pa.ListArray.from_arrays(_offsets(drawn), pa.StructArray.from_arrays(drawn_cols, fields=list(sample))))
                 yield pa.RecordBatch.from_arrays(cols, [key, *(n for n, _ in base), "samples"])
                 a = z
 
@@ -510,7 +528,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for b in batches:
-            texts = [None if x is None else vocab.decode(x).decode("utf-8", "replace") for x in column(b, ids).to_pylist()]
+            held = column(b, ids)
+            first = held.offsets.to_numpy()
+            flat, there = held.values.to_numpy(zero_copy_only=False), held.is_valid().to_pylist()
+            texts = [vocab.decode(flat[i:j]).decode("utf-8", "replace") if x else None for x, i, j in zip(there, first, first[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
     return plain.mapInArrow(join, schema)

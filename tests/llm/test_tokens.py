@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from tokenizers import Tokenizer
 
-from spendlabel.llm import segmentation, token_counts
+from spendlabel.llm import queries, segmentation, token_counts
 from spendlabel.llm.queries import QUERIES
 from tests.oracle_harness import duck_connect
 
@@ -138,3 +138,24 @@ def test_a_row_gets_the_same_samples_in_any_batch(spark):
     one = segmentation.segment(docs.repartition(7), PIECES, ids=False)
     two = segmentation.segment(docs.coalesce(1), PIECES, ids=False)
     assert rows_of(one, *cols) == rows_of(two, *cols)
+
+
+def test_the_query_returns_ids_and_decodes_them(spark, tmp_path):
+    texts = [*odd_texts(60, 9), "", None, "two\n lines  ", "one"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sp = segmentation.vocabulary(PIECES).sp
+    got = {r.doc_id: r for r in queries.op6_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert list(got[i].ids) == sp.encode(t or "") and got[i].n_ids == len(got[i].ids)
+        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        assert all(sp.decode(s.ids) == (t or "") for s in got[i].samples)
+
+
+def test_decoding_slices_and_nulls(spark):
+    sp = segmentation.vocabulary(PIECES).sp
+    rows = [(0, None), (1, sp.encode("a b")), (2, []), (3, None), (4, sp.encode("then it é"))]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    back = {r.k: r.decoded for r in segmentation.decode(df, PIECES).where("k > 0").collect()}
+    assert back == {1: "a b", 2: "", 3: None, 4: "then it é"}
