@@ -47,7 +47,14 @@ def text_of(vendor, description) -> Column:
 
     Inner whitespace runs are kept on purpose: training text is not collapsed.
     """
-    return trim_ws(F.lower(F.concat(clean_field(vendor), F.lit(" "), clean_field(description))))
+    return text_of_clean(clean_field(vendor), clean_field(description))
+
+
+def text_of_clean(vendor, description) -> Column:
+    """:func:`text_of` of fields that are stripped already: the ends of a joined text are theirs,
+    so a long text is not walked again to strip it."""
+    v, d = col_(vendor), col_(description)
+    return F.lower(F.when(F.length(v) == 0, d).when(F.length(d) == 0, v).otherwise(F.concat(v, F.lit(" "), d)))
 
 
 def row_id_of(text, category) -> Column:

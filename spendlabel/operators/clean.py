@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import form_amount, iso_date, iso_date_text, staging_amount, staging_date
-from ..functions.text import (FORM_WS, clean_field, normalized, row_id_of, text_of, title_words,
+from ..functions.text import (FORM_WS, clean_field, normalized, row_id_of, text_of_clean, title_words,
                               trim_ws)
 
 # Header synonyms of the labelled CSV, applied in this order, each only
@@ -51,7 +51,7 @@ def build_text(df: DataFrame, vendor: str = "vendor", description: str = "descri
     out = df.withColumn(vendor, clean_field(vendor)).withColumn(description, clean_field(description))
     if category is not None and category in df.columns:
         out = out.withColumn(category, clean_field(category))
-    return out.withColumn("text", text_of(vendor, description))
+    return out.withColumn("text", text_of_clean(vendor, description))
 
 
 def with_row_id(df: DataFrame, text: str = "text", category: str = "category") -> DataFrame:

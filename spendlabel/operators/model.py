@@ -485,16 +485,18 @@ def full_refit(df: DataFrame, steps: int = STEPS_REFIT, bits: int = DEFAULT_BITS
 
 # -- scoring -----------------------------------------------------------------------
 
-def score_margins(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score_margins(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` (all columns) with m: raw margins of every class. With broadcast weights it is one
     map, no exchange; a text without tokens scores by the intercepts alone. Rows that are
-    sparse already (b, x) are not tokenised again."""
+    sparse already (b, x) are not tokenised again. ``keep_text=False`` leaves the text out of the
+    result, so that a task gets a row's tokens only, and gives no text back."""
     ship_package(df.sparkSession)
     if not model.fits_broadcast():
-        return _margins_joined(df, model, text)
+        return _margins_joined(df, model, text, keep_text)
     sparse, bits = _is_sparse(df), model.bits
-    src = df if sparse else _with_tokens(df, text, drop=False)
-    schema = T.StructType([*df.schema.fields, T.StructField("m", T.ArrayType(T.DoubleType()))])
+    kept = df if keep_text else df.drop(text)
+    src = kept if sparse else _with_tokens(df, text, drop=not keep_text)
+    schema = T.StructType([*kept.schema.fields, T.StructField("m", T.ArrayType(T.DoubleType()))])
     sent = _broadcast_weights(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,7 +512,7 @@ def score_margins(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return src.mapInArrow(add, schema)
 
 
-def _margins_joined(df: DataFrame, model: Model, text: str) -> DataFrame:
+def _margins_joined(df: DataFrame, model: Model, text: str, keep_text: bool) -> DataFrame:
     """Margins with weights that are too large to broadcast: blocks of classes by shuffle."""
     held = _stored(df.withColumn("__row", F.monotonically_increasing_id()), "scored")
     cells = held if _is_sparse(df) else sparse_rows(held.select("__row", text), text, model.bits)
@@ -525,6 +527,7 @@ def _margins_joined(df: DataFrame, model: Model, text: str) -> DataFrame:
     parts = _with_weights(_chunked(cells.select("__row", "b", "x")), model, work, T.StructType([
         T.StructField("__row", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("m", T.ArrayType(T.DoubleType()))]))
     whole = parts.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("s"))
+    held = held if keep_text else held.drop(text)
     return held.join(whole.select("__row", F.flatten("s.m").alias("m")), "__row").drop("__row")
 
 
@@ -562,10 +565,10 @@ def softmax_scores(df: DataFrame, col: str = "m", out: str = "prob") -> DataFram
     return df.withColumn(out, softmax(F.col(col)))
 
 
-def score_ovr(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score_ovr(df: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with m, prob, predicted: predicted is the most probable class, ties to the
     lower class id. Labels and keys stay on their rows, so nothing is joined back."""
-    sc = score_margins(df, model, text)
+    sc = score_margins(df, model, text, keep_text)
     sc = sc.withColumn("prob", ovr_probabilities(F.col("m"), model.k))
     idx = (F.array_position(F.col("prob"), F.array_max("prob")) - 1).cast("int")
     return sc.withColumn("predicted", model.class_name(idx))
@@ -589,9 +592,10 @@ def score_batch(df: DataFrame, model: Model, key: str, k: int = TOP_K,
     from .clean import build_text
 
     t = build_text(df.select(key, vendor, description), vendor, description, category=None)
-    ok = t.filter(F.length("text") > 0)
-    rejected = t.filter(F.length("text") == 0).withColumn("reason", F.lit("empty_text"))
-    sc = score_ovr(ok, model)
+    held = (F.length(vendor) > 0) | (F.length(description) > 0)  # a text is empty when both are; it is not built to ask
+    ok = t.filter(held)
+    rejected = t.filter(~held).withColumn("reason", F.lit("empty_text"))
+    sc = score_ovr(ok.select(key, "text"), model, keep_text=False)
     sc = top_k_categories(sc, model, k)
     return sc.select(key, F.col("predicted").alias("category"), "top", "prob"), rejected
 

@@ -43,7 +43,7 @@ def _one_step(train: DataFrame) -> MD.Model:
 
 
 def _scored(docs: DataFrame, model: MD.Model) -> DataFrame:
-    return MD.score_ovr(docs.select("row_key", "text"), model)
+    return MD.score_ovr(docs.select("row_key", "text"), model, keep_text=False)
 
 
 def _long(df: DataFrame, model: MD.Model, arr: str, out: str) -> DataFrame:
@@ -253,7 +253,7 @@ FROM (SELECT row_key, cls, exp(m - max(m) OVER (PARTITION BY row_key)) AS e FROM
 def softmax_scores(fx):
     docs = _docs(fx)
     m = _one_step(docs)
-    sc = MD.softmax_scores(MD.score_margins(docs.select("row_key", "text"), m), "m", "sm")
+    sc = MD.softmax_scores(MD.score_margins(docs.select("row_key", "text"), m, keep_text=False), "m", "sm")
     return _long(sc, m, "sm", "prob")
 
 
@@ -307,7 +307,7 @@ def _holdout_scored(fx):
     train = d.filter(F.col("split") == "train")
     test = d.filter(F.col("split") == "test")
     m = _one_step(train)
-    return d, MD.score_ovr(test.select("row_key", "text", "category"), m), m
+    return d, MD.score_ovr(test.select("row_key", "text", "category"), m, keep_text=False), m
 
 
 def _holdout_sql(model: str) -> str:
@@ -481,5 +481,5 @@ def score_many_classes(fx):
     rows = C.build_text(fx.expenses.withColumn("category", F.col("vendor")))
     rows = C.with_row_id(rows)
     m = MD.fit(MD.group_copies(rows), MD.empty_model(fx.spark, MD.register_classes(rows), _MANY_BITS, broadcast_bytes=0), 1)
-    sc = MD.score_ovr(rows.select(F.col("expense_id").alias("row_key"), "text"), m)
+    sc = MD.score_ovr(rows.select(F.col("expense_id").alias("row_key"), "text"), m, keep_text=False)
     return sc.select("row_key", _r6(F.array_max("prob")).alias("best"), F.size("prob").cast("long").alias("classes"))

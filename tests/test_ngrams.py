@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spendlabel.functions.text import bucket_of, ngram_array
+from spendlabel.functions.text import bucket_of, ngram_array, trim_ws
+from spendlabel.operators import clean as C
 from spendlabel.operators import features as FE
 from spendlabel.operators import model as MD
 from spendlabel.operators import validate as V
@@ -87,3 +88,33 @@ def test_a_run_without_new_rows_tokenises_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(MD, "sparse_rows", lambda *a, **k: pytest.fail("tokenised"))
     again = training.train_or_update(df, str(tmp_path))
     assert again.kind == "noop" and again.rows_read == 40
+
+
+@pytest.mark.parametrize("broadcast_bytes", [MD.BROADCAST_BYTES, 0])
+def test_scoring_without_the_text_gives_the_same_scores(spark, broadcast_bytes):
+    rows = spark.createDataFrame([(i, f"aa w{i % 7} cc", "xyz"[i % 3], 1) for i in range(30)],
+                                 "id long, text string, category string, weight long")
+    m = MD.fit(rows, MD.empty_model(spark, ["x", "y", "z"], 12, broadcast_bytes=broadcast_bytes), 2)
+    whole, lean = MD.score_ovr(rows, m), MD.score_ovr(rows, m, keep_text=False)
+    assert lean.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(lean.collect()) == sorted(whole.drop("text").collect())
+
+
+def test_score_batch_gives_a_task_the_tokens_only(spark):
+    rows = spark.createDataFrame([(1, "v", "aa bb", "x"), (2, "", "\u00a0Cc ", "y"), (3, None, " ", "x"), (4, " V", None, "y")],
+                                 "id long, vendor string, description string, category string")
+    m = MD.full_refit(C.with_row_id(C.build_text(rows)), steps=1, bits=12)
+    scored, rejected = MD.score_batch(rows, m, "id")
+    assert {r.id for r in scored.collect()} == {1, 2, 4} and [(r.id, r.reason) for r in rejected.collect()] == [(3, "empty_text")]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    given = next(x for x in plan if "MapInArrow" in x)
+    assert "text#" not in given and "description#" not in given
+    assert not [x for x in plan if "Filter" in x and "lower(" in x]
+
+
+def test_text_of_stripped_fields(spark):
+    fields = ["", None, " ", "\u00a0 A\u2003b \x85", "\x1cÉ", "I\u0307x", "a  b\t"]
+    rows = spark.createDataFrame([(a, b) for a in fields for b in fields], "vendor string, description string")
+    clean = [trim_ws(F.coalesce(c, F.lit(""))) for c in ("vendor", "description")]
+    want = rows.select(trim_ws(F.lower(F.concat(clean[0], F.lit(" "), clean[1]))))
+    assert [r[0] for r in C.build_text(rows, category=None).select("text").collect()] == [r[0] for r in want.collect()]
