@@ -118,3 +118,15 @@ def test_text_of_stripped_fields(spark):
     clean = [trim_ws(F.coalesce(c, F.lit(""))) for c in ("vendor", "description")]
     want = rows.select(trim_ws(F.lower(F.concat(clean[0], F.lit(" "), clean[1]))))
     assert [r[0] for r in C.build_text(rows, category=None).select("text").collect()] == [r[0] for r in want.collect()]
+
+
+def test_holdout_moves_labels_and_ids_only(spark):
+    rows = spark.createDataFrame([(i, f"id{i // 2:03}", None if i % 20 < 2 else "abc"[i // 2 % 3], "long text") for i in range(120)],
+                                 "k long, row_id string, category string, text string")
+    split = FE.stratified_holdout(rows, test_size=0.25, seed=7)
+    got = {(r.category, r.row_id): r.split for r in split.collect()}
+    assert split.count() == 120 and "Exchange hashpartitioning" not in _plan(split)
+    for label in (None, *"abc"):
+        ids = sorted((i for c, i in got if c == label), key=lambda i: hashlib.md5(f"7:{i}".encode()).hexdigest())
+        held = int(len(ids) * 0.25 + 0.5) if label else 0
+        assert [i for i in ids if got[label, i] == "test"] == ids[:held]
