@@ -144,17 +144,11 @@ class Vocabulary:
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """Bytes of a text's ids (the leading mark is the one encoding put there)."""
-        return self.decode_all([np.asarray(ids, np.int64)])[0]
-
-    def decode_all(self, lists: list[np.ndarray]) -> list[bytes]:
-        """:meth:`decode` of each list of ids."""
-        end = np.cumsum([0, *map(len, lists)])
-        if not end[-1]:
-            return [b""] * len(lists)
-        taken = self.joined.take(pa.array(np.concatenate(lists)))
-        edge = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)[end].tolist()
-        data = memoryview(taken.buffers()[2])
-        return [bytes(data[a + 1:z]) if z > a else b"" for a, z in zip(edge, edge[1:])]
+        if not len(ids):
+            return b""
+        taken = self.joined.take(pa.array(ids, pa.int64()))
+        edge = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)
+        return taken.buffers()[2][int(edge[0]) + 1:int(edge[-1])].to_pybytes()
 
 
 ARC = np.dtype([("p", "f8"), ("end", "i4"), ("piece", "i4")])
@@ -516,9 +510,8 @@ def _run(lat: Lattices, texts: list[str], keys: list[int], k: int, emit: bool) -
     end = np.append(0, np.cumsum(n))
     found = np.split(v["best"][np.repeat(a - end[:-1], n) + np.arange(end[-1])], end[np.cumsum(size)[:-1]])
     drawn = [[ids_of(w) for w in ws] for ws in ways]
-    back = iter(vocab.decode_all([x for ids, ds in zip(found, drawn) for x in (ids, *ds)]))
     for text, ids, ws, ds, rest in zip(texts, found, ways, drawn, left):
-        raw, decoded = text.encode("utf-8", "replace"), [next(back) for _ in range(1 + len(ds))]
+        raw, decoded = text.encode("utf-8", "replace"), [vocab.decode(x) for x in (ids, *ds)]
         row = told(ids) | {"round_trip": all(x == raw for x in decoded), "decoded_sha256": hashlib.sha256(decoded[0]).hexdigest()}
         row["samples"] = [told(x) | {"log_prob": w.log_prob, "perturbed": w.value,
                                                   "log_inclusion": log_inclusion(w.log_prob, rest)} for w, x in zip(ws, ds)]
