@@ -38,7 +38,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,9 @@ from .common import column, mix64, ship
 SAMPLES, ALPHA, SEED = 2, 1.0, 0
 #: Chunk lattices are kept up to this many arcs; texts are handled in runs, and new chunks in
 #: slices, of these many characters.
-ARCS, RUN_CHARS, SLICE_CHARS = 4_000_000, 1_000_000, 100_000
+ARCS, RUN_CHARS, SLICE_CHARS = 8_000_000, 500_000, 100_000
+#: The trie of the pieces has a table of the next states by so many kinds of characters.
+KINDS = 64
 MARK = "▁"
 #: Latin letters. Where no piece of a model joins one to another character (but for marks
 #: before it), texts are cut there too, which makes far fewer different chunks.
@@ -87,11 +89,13 @@ def chunks_of(texts: list[str], fine: bool) -> tuple[np.ndarray, list[str], np.n
     edge = pa.array(np.append(start, len(data)), pa.int64())
     coded = pa.LargeStringArray.from_buffers(len(start), edge.buffers()[1], pa.py_buffer(data)).dictionary_encode()
     at = np.searchsorted(start, np.append(0, ends))
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.diff(at)
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.diff(at)
 
 
 #: No Gumbel drawn here is further above its place: uniforms have 53 bits.
 _HIGHEST = 37.5
+#: Regions are first looked for among so many places.
+NEAR = 256
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F))
 
 
@@ -116,7 +120,15 @@ class Vocabulary:
             {p[:j] for p in self.ids for j in range(1, len(p) + 1)}))}
         edges = sorted((prefixes[x[:-1]] << 21 | ord(x[-1]), i) for x, i in prefixes.items() if x)
         self.edge, self.to = (np.array(x, np.int64) for x in zip(*edges))
-        self.start = self.step(np.zeros(0x3000, np.int64), np.arange(0x3000))
+        # next states by the characters that most edges have; other characters are searched for
+        char, many = np.unique(self.edge & 0x1FFFFF, return_counts=True)
+        often = char[np.argsort(-many, kind="stable")]
+        often = often[often < 0x2FFF][:KINDS - 1]
+        self.kinds = np.zeros(0x3000, np.uint8)
+        self.kinds[often] = np.arange(1, len(often) + 1)
+        self.next = np.full(len(prefixes) * KINDS, -1, np.int32)
+        kind = self.kind(self.edge & 0x1FFFFF)
+        self.next[((self.edge >> 21) * KINDS + kind)[kind > 0]] = self.to[kind > 0]
         self.ends = np.full(len(prefixes), -1)  # piece that ends at each state of the trie
         for p, i in self.ids.items():
             self.ends[prefixes[p]] = i
@@ -131,24 +143,28 @@ class Vocabulary:
                 self.bytes[i] = bytes([int(names[i][1:-1], 16)])
         self.joined = pa.array(self.bytes, pa.large_binary())
 
-    def begin(self, char: np.ndarray) -> np.ndarray:
-        """State after one character."""
-        return np.where(char < len(self.start), self.start[np.minimum(char, len(self.start) - 1)],
-                        self.step(np.zeros(len(char), np.int64), char) if (char >= len(self.start)).any() else -1)
+    def kind(self, char: np.ndarray) -> np.ndarray:
+        """Column of ``next`` of each character, 0 for those that have none."""
+        return self.kinds[np.minimum(char, len(self.kinds) - 1)]
 
-    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+    def step(self, state: np.ndarray, char: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Next state of the trie, -1 where no piece goes on."""
-        key = state << 21 | char
-        at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
-        return np.where(self.edge[at] == key, self.to[at], -1)
+        to = self.next[state * KINDS + kind]
+        rare = np.flatnonzero(kind == 0)
+        if len(rare):
+            key = state[rare].astype(np.int64) << 21 | char[rare]
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            to[rare] = np.where(self.edge[at] == key, self.to[at], -1)
+        return to
 
     def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """Bytes of a text's ids (the leading mark is the one encoding put there)."""
         if not len(ids):
             return b""
-        taken = self.joined.take(pa.array(ids, pa.int64()))
-        edge = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, taken.offset * 8)
-        return taken.buffers()[2][int(edge[0]) + 1:int(edge[-1])].to_pybytes()
+        taken = self.joined.take(pa.array(ids))
+        _, edge, data = taken.buffers()
+        edge = np.frombuffer(edge, np.int64, len(taken) + 1, taken.offset * 8)
+        return data[int(edge[0]) + 1:int(edge[-1])].to_pybytes()
 
 
 ARC = np.dtype([("p", "f8"), ("end", "i4"), ("piece", "i4")])
@@ -170,19 +186,6 @@ class _Grown:
         return self.held[:self.n]
 
 
-class _Codes(dict):
-    """Chunk -> number, given on first sight; ``new`` are the chunks without a lattice yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
-
-
 class Lattices:
     """Chunk lattices of a task as flat arrays. Chunks are kept with spaces for word marks.
 
@@ -197,18 +200,26 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.at = _Codes()
+        self.at: dict[str, int] = {}
         self.first, self.ptr, self.arc = _Grown(np.int32, ARCS // 8), _Grown(np.int32, ARCS // 2), _Grown(ARC, ARCS + ARCS // 4)
         self.first_best, self.best = _Grown(np.int64, ARCS // 8), _Grown(np.int32, ARCS // 4)
         self.ptr.extend(np.zeros(1, np.int32))
         self.first_best.extend(np.zeros(1, np.int64))
 
-    def add(self) -> None:
-        """Lattices and best ids of the new chunks."""
-        chunks, vocab = self.at.new, self.vocab
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The number of each of ``chunks``, which all differ; new ones get their lattices and best ids."""
+        out = np.fromiter(map(self.at.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0)
+        out[new] = at = np.arange(len(self.at), len(self.at) + len(new))
+        found = [chunks[i] for i in new.tolist()]
+        self.at.update(zip(found, at.tolist()))
+        self._add(found)
+        return out
+
+    def _add(self, chunks: list[str]) -> None:
         if not chunks:
             return
-        self.at.new = []
+        vocab = self.vocab
         marked = [c[0] == " " for c in chunks]
         found = vocab.sp.encode([c[1:] if m else "\n" + c for c, m in zip(chunks, marked)])
         best = [(ids or [vocab.ids[MARK]]) if m else ids[2:] for ids, m in zip(found, marked)]  # [2:]: mark, line feed
@@ -231,7 +242,8 @@ class Lattices:
         node = np.arange(n) + owner  # one node per character and one at the end of each chunk
         left = stop[owner] - np.arange(n)  # characters from here to the chunk's end
         # (place, piece) of every piece of 1, 2, ... characters: all places walk the trie together
-        live, state, steps, bare = np.arange(n), vocab.begin(char), [], np.ones(n, bool)
+        kind = vocab.kind(char)
+        live, state, steps, bare = np.arange(n), vocab.step(np.zeros(n, np.int32), char, kind), [], np.ones(n, bool)
         while len(live):
             live, state = live[state >= 0], state[state >= 0]
             piece = vocab.ends[state]
@@ -239,7 +251,7 @@ class Lattices:
             steps.append((live[found], piece[found]))
             go = left[live] > len(steps)
             live, state = live[go], state[go]
-            state = vocab.step(state, char[live + len(steps)])
+            state = vocab.step(state, char[live + len(steps)], kind[live + len(steps)])
         bare[steps[0][0]] = False
         bare = np.flatnonzero(bare)  # characters without a piece: their bytes
         steps.insert(0, (bare, np.where(char[bare] < 0x80, vocab.byte_id[char[bare] & 0x7F], vocab.n + char[bare])))
@@ -296,10 +308,15 @@ class Lattices:
         return {k: x.view() for k, x in vars(self).items() if isinstance(x, _Grown)}
 
 
-def _uniform(seed: np.ndarray, sample: int, chunk: np.ndarray, step) -> np.ndarray:
-    x = seed + chunk.astype(np.uint64) * _A + np.atleast_1d(step).astype(np.uint64) * _B
-    x += np.atleast_1d(np.uint64(sample + 1)) * _C
-    return ((mix64(x) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+def _seeded(seed: np.ndarray, sample: int, chunk: np.ndarray) -> np.ndarray:
+    return seed + chunk.astype(np.uint64) * _A + np.atleast_1d(np.uint64(sample + 1)) * _C
+
+
+def _uniform(seeded: np.ndarray, step) -> np.ndarray:
+    u = (mix64(seeded + np.atleast_1d(step).astype(np.uint64) * _B) >> np.uint64(11)).astype(float)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def _below(loc, bound, u):
@@ -307,161 +324,161 @@ def _below(loc, bound, u):
     return loc - np.log(np.exp(np.minimum(loc - bound, 700)) - np.log(u))
 
 
-def _walk(v: dict, node: np.ndarray, seed: np.ndarray, chunk: np.ndarray, sample: int):
-    """Draws a way from each node to the end of its chunk: (chunk place, node, arc record), by place."""
+def _walk(v: dict, node: np.ndarray, seeded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Draws a way from each node to the end of its chunk: arcs per chunk; node and arc record of each, by place."""
     ptr, arc = v["ptr"], v["arc"]
-    live, step, count = np.arange(len(node)), 0, np.zeros(len(node), np.int64)
-    go = ptr[node + 1] > ptr[node]
-    live, node = live[go], node[go]
-    steps = []
+    live, steps, count = np.arange(len(node)), [], np.zeros(len(node), np.int64)
     while len(live):
-        u = _uniform(seed[live], sample, chunk[live], np.uint64(step))
-        at, last = ptr[node].astype(np.int64), ptr[node + 1] - 1
+        at, end = ptr[node], ptr[node + 1]
+        go = at < end
+        count[live[~go]] = len(steps)
+        live, node, seeded, at, last = live[go], node[go], seeded[go], at[go].astype(np.int64), end[go] - 1
+        u = _uniform(seeded, np.uint64(len(steps)))
         rec = arc[at]
         rest = np.flatnonzero((u >= rec["p"]) & (at < last))  # not the likeliest arc: try the next ones
-        u_rest = u[rest] - rec["p"][rest]
+        u_rest, at, last = u[rest] - rec["p"][rest], at[rest], last[rest]
         while len(rest):
-            at[rest] += 1
-            rec[rest] = more = arc[at[rest]]
-            on = (u_rest >= more["p"]) & (at[rest] < last[rest])
-            rest, u_rest = rest[on], (u_rest - more["p"])[on]
+            at += 1
+            rec[rest] = more = arc[at]
+            on = (u_rest >= more["p"]) & (at < last)
+            rest, u_rest, at, last = rest[on], (u_rest - more["p"])[on], at[on], last[on]
         steps.append((live, node, rec))
-        count[live] += 1
         node = rec["end"]
-        go = ptr[node + 1] > ptr[node]
-        live, node = live[go], node[go]
-        step += 1
     first = np.cumsum(count) - count
     nodes, arcs = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), ARC)
     for i, (live, node, rec) in enumerate(steps):
         to = first[live] + i
         nodes[to], arcs[to] = node, rec
-    return np.repeat(np.arange(len(count)), count), nodes, arcs
+    return count, nodes, arcs
 
 
 class _Way:
-    """One sample of one text: its arc records, the nodes they leave and the chunks these are in."""
+    """One sample of one text: its pieces, their log-probabilities, the nodes they leave and the chunks these are in."""
 
-    def __init__(self, arcs, nodes, chunks, value, log_prob):
-        self.arcs, self.nodes, self.chunks, self.value, self.log_prob = arcs, nodes, chunks, value, log_prob
+    def __init__(self, pieces, logp, nodes, chunks, value):
+        self.pieces, self.logp, self.nodes, self.chunks, self.value = pieces, logp, nodes, chunks, value
+        self.log_prob = float(logp.sum())
 
 
-def _regions(v: dict, ways: list[_Way], new_from: list[int], before: list[float], seeds: np.ndarray, sample: int, k: int):
-    """Of each way the ``k`` best regions its nodes leave behind, from place ``new_from`` on:
-    lists of (value, place, log-mass of the node)."""
-    sizes = np.array([len(w.arcs) - f for w, f in zip(ways, new_from)])
+def _regions(v: dict, ways: list[_Way], probs: list[np.ndarray], new_from: list[int], before: list[float],
+             seeds: np.ndarray, sample: int, k: int):
+    """Of each way the ``k`` best regions its nodes leave behind, from place ``new_from`` on (``probs``:
+    its probabilities from there on): lists of (value, place, log-mass of the node)."""
     out: list[list] = [[] for _ in ways]
-    held = np.flatnonzero(sizes)
-    if not len(held):
-        return out
-    arcs = np.concatenate([ways[i].arcs[new_from[i]:] for i in held])
-    nodes = np.concatenate([ways[i].nodes[new_from[i]:] for i in held])
-    chunks = np.concatenate([ways[i].chunks[new_from[i]:] for i in held])
-    sizes = sizes[held]
-    start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    logp = np.log(np.maximum(arcs["p"], 1e-300))
-    # log-probability before each arc, way by way, so that a row's sums do not depend on its batch
-    passed = np.concatenate([np.cumsum(x) - x for x in np.split(logp, start[1:])])
-    node_mass = passed + np.repeat(np.array(before)[held], sizes)
-    bound = np.repeat(np.array([ways[i].value for i in held]), sizes)
-    place = np.arange(len(arcs)) - np.repeat(start, sizes)
-    seed = np.repeat(seeds[held], sizes) ^ _C
-    value = np.full(len(arcs), -np.inf)
-
-    def draw(at: np.ndarray) -> None:
-        several = v["ptr"][nodes[at] + 1] - v["ptr"][nodes[at]] > 1
-        at = at[several]
-        loc = node_mass[at] + np.log(np.maximum(1 - arcs["p"][at], 1e-300))
-        value[at] = _below(loc, bound[at], _uniform(seed[at], sample, chunks[at], place[at]))
 
+    def mass(i: int, places: int | None) -> np.ndarray:
+        # way by way, so that a row's sums do not depend on its batch
+        x = ways[i].logp[new_from[i]:][:places]
+        return np.cumsum(x) - x + before[i]
+
+    def draw(which: list[int], masses: list[np.ndarray], places: list[np.ndarray]):
+        """(way, place, log-mass, value) of the regions at ``places``, by way."""
+        owner = np.repeat(np.array(which, np.int64), [len(x) for x in places])
+        place, node_mass = np.concatenate(places), np.concatenate([m[x] for m, x in zip(masses, places)])
+        nodes = np.concatenate([ways[i].nodes[new_from[i]:][x] for i, x in zip(which, places)])
+        chunks = np.concatenate([ways[i].chunks[new_from[i]:][x] for i, x in zip(which, places)])
+        p = np.concatenate([probs[i][x] for i, x in zip(which, places)])
+        several = np.flatnonzero(v["ptr"][nodes + 1] - v["ptr"][nodes] > 1)
+        owner, place, node_mass, chunks = owner[several], place[several], node_mass[several], chunks[several]
+        loc = node_mass + np.log(np.maximum(1 - p[several], 1e-300))
+        seeded = _seeded(seeds[owner] ^ _C, sample, chunks)
+        return owner, place, node_mass, _below(loc, np.array([w.value for w in ways])[owner], _uniform(seeded, place))
+
+    def keep(owner: np.ndarray, place: np.ndarray, node_mass: np.ndarray, value: np.ndarray) -> None:
+        for _ in range(k):
+            if not len(owner):
+                return
+            start = np.flatnonzero(np.diff(owner, prepend=-1))
+            top = np.repeat(np.maximum.reduceat(value, start), np.diff(start, append=len(owner)))
+            at = np.flatnonzero(value == top)
+            at = at[np.diff(owner[at], prepend=-1) > 0]
+            for o, g, x, m in zip(owner[at].tolist(), value[at].tolist(), place[at].tolist(), node_mass[at].tolist()):
+                out[o].append((g, x + new_from[o], m))
+            owner, place, node_mass, value = (np.delete(x, at) for x in (owner, place, node_mass, value))
+
+    held = [i for i, w in enumerate(ways) if len(w.logp) > new_from[i]]
+    if not held:
+        return out
     # regions far down a long text cannot win: they are drawn only where the better ones are poor
-    near = node_mass >= -45
-    draw(np.flatnonzero(near))
-    if not near.all():
-        good = np.add.reduceat((value >= _HIGHEST - 45).astype(np.int64), start) >= k
-        draw(np.flatnonzero(~near & ~np.repeat(good, sizes)))
-    for _ in range(k):
-        top = np.maximum.reduceat(value, start)
-        at = np.flatnonzero(value == np.repeat(top, sizes))
-        owner = np.searchsorted(start, at, "right") - 1
-        owner, pick = np.unique(owner, return_index=True)
-        for o, a in zip(owner, at[pick]):
-            if value[a] > -np.inf:
-                i = held[o]
-                out[i].append((float(value[a]), int(a - start[o]) + new_from[i], float(node_mass[a])))
-        value[at[pick]] = -np.inf
+    masses = [mass(i, NEAR) for i in held]
+    masses = [mass(i, None) if len(m) == NEAR and m[-1] >= -46 else m for i, m in zip(held, masses)]
+    places = [np.flatnonzero(m >= -45) for m in masses]
+    found = draw(held, masses, places)
+    good = np.bincount(found[0][found[3] >= _HIGHEST - 45], minlength=len(ways)) >= k
+    poor = [i for i, x in zip(held, places) if not good[i] and len(x) < len(ways[i].logp) - new_from[i]]
+    if poor:
+        rest = np.flatnonzero(~np.isin(found[0], poor))
+        found = tuple(x[rest] for x in found)
+        masses = [mass(i, None) for i in poor]
+        keep(*draw(poor, masses, [np.arange(len(m)) for m in masses]))
+    keep(*found)
     return out
 
 
 def sample_ways(v: dict, first: list[np.ndarray], seeds: np.ndarray, k: int) -> tuple[list[list[_Way]], list[float]]:
     """``k`` distinct ways of each text (``first``: the first node of each of its chunks) in
     falling order of perturbed value, and the best value left in each queue."""
-    n = len(first)
+    n, ptr, ends, probs, pieces = len(first), v["ptr"], v["arc"]["end"], v["arc"]["p"], v["arc"]["piece"]
     done: list[list[_Way]] = [[] for _ in range(n)]
     queue: list[list[tuple]] = [[] for _ in range(n)]  # (value, way, place, node mass, pieces taken)
 
+    def log(p: np.ndarray) -> np.ndarray:
+        return np.log(np.maximum(p, 1e-300))
+
     def finish(texts: list[int], heads: list[tuple | None], values: list[float], sample: int) -> None:
         """Walks each text from its head (way, place, arc; None: its beginning) to the end."""
-        nodes, ids, seed = [], [], []
-        for t, h in zip(texts, heads):
-            if h is None:
-                nodes.append(first[t])
-                ids.append(np.arange(len(first[t])))
-            else:
-                way, place, arc, _ = h
-                c = way.chunks[place]
-                nodes.append(np.concatenate([v["arc"]["end"][arc:arc + 1], first[t][c + 1:]]))
-                ids.append(np.arange(c, len(first[t])))
-            seed.append(np.full(len(ids[-1]), seeds[t]))
-        sizes = np.array([len(x) for x in ids])
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        where, at, arcs = _walk(v, np.concatenate(nodes), np.concatenate(seed), flat, sample)
-        cut = np.searchsorted(owner[where], np.arange(len(texts) + 1))
-        ways, new_from, before = [], [], []
-        for x, (t, h) in enumerate(zip(texts, heads)):
-            s = slice(cut[x], cut[x + 1])
-            a, nd, ch = arcs[s], at[s], flat[where[s]]
-            if h is not None:
-                way, place, arc, mass = h
-                a = np.concatenate([way.arcs[:place], v["arc"][arc:arc + 1], a])
-                nd = np.concatenate([way.nodes[:place + 1], nd])
-                ch = np.concatenate([way.chunks[:place + 1], ch])
-                new_from.append(place + 1)
-                before.append(mass + math.log(max(1e-300, v["arc"]["p"][arc])))
-            else:
-                new_from.append(0)
-                before.append(0.0)
-            ways.append(_Way(a, nd, ch, values[x], float(np.log(np.maximum(a["p"], 1e-300)).sum())))
-        for t, way, found in zip(texts, ways, _regions(v, ways, new_from, before, seeds[texts], sample, k)):
+        begin = np.array([0 if h is None else h[0].chunks[h[1]] for h in heads], np.int64)
+        nodes = [first[t][c:] for t, c in zip(texts, begin.tolist())]
+        sizes = np.array([len(x) for x in nodes])
+        start, nodes = np.cumsum(sizes) - sizes, np.concatenate(nodes)
+        chunk = np.arange(len(nodes)) - np.repeat(start - begin, sizes)
+        headed = [x for x, h in enumerate(heads) if h is not None]
+        taken = np.array([heads[x][2] for x in headed], np.int64)
+        nodes[start[headed]] = ends[taken]
+        count, nodes, arcs = _walk(v, nodes, _seeded(np.repeat(seeds[texts], sizes), sample, chunk))
+        cut = np.append(0, np.cumsum(count))[np.append(start, len(count))].tolist()
+        chunk, logp, piece = np.repeat(chunk, count), log(arcs["p"]), arcs["piece"].copy()
+        ways, new_from, before = [], [0] * len(texts), [0.0] * len(texts)
+        parts = [[x[a:z] for x in (piece, logp, nodes, chunk)] for a, z in zip(cut, cut[1:])]
+        p_new = [arcs["p"][a:z] for a, z in zip(cut, cut[1:])]
+        for x, arc, p in zip(headed, taken, log(probs[taken])):
+            way, place, _, mass = heads[x]
+            new_from[x], before[x] = place + 1, mass + math.log(max(1e-300, probs[arc]))
+            held = (way.pieces[:place], pieces[arc:arc + 1]), (way.logp[:place], [p]), (way.nodes[:place + 1],), (way.chunks[:place + 1],)
+            parts[x] = [np.concatenate([*h, y]) for h, y in zip(held, parts[x])]
+        ways = [_Way(*x, g) for x, g in zip(parts, values)]
+        for t, way, found in zip(texts, ways, _regions(v, ways, p_new, new_from, before, seeds[texts], sample, k - sample)):
             done[t].append(way)
-            queue[t] += [(g, way, place, mass, (int(way.arcs["piece"][place]),)) for g, place, mass in found]
+            queue[t] += [(g, way, place, mass, (int(way.pieces[place]),)) for g, place, mass in found]
 
     zero = np.zeros(n, np.int64)
-    root = -np.log(-np.log(_uniform(seeds ^ _B, 0, zero, zero)))
+    root = -np.log(-np.log(_uniform(_seeded(seeds ^ _B, 0, zero), zero)))
     if n:
         finish(list(range(n)), [None] * n, root.tolist(), 0)
-    for sample in range(1, k):
-        texts, heads, values = [], [], []
-        for t in range(n):
-            if not queue[t]:
-                continue
-            top = max(range(len(queue[t])), key=lambda q: queue[t][q][0])
-            g, way, place, mass, taken = queue[t].pop(top)
+    for sample in range(1, k):  # no more than k - sample regions of a way can be asked for from here on
+        texts = [t for t in range(n) if queue[t]]
+        if not texts:
+            break
+        tops = [queue[t].pop(max(range(len(queue[t])), key=lambda q: queue[t][q][0])) for t in texts]
+        place = np.array([top[2] for top in tops])
+        u1, u2 = (_uniform(_seeded(seeds[texts] ^ x, sample, place), 0) for x in (_A, _C))
+        heads, over = [], []
+        for x, (t, (g, way, place, mass, taken)) in enumerate(zip(texts, tops)):
             node = way.nodes[place]
-            arcs = [a for a in range(v["ptr"][node], v["ptr"][node + 1]) if v["arc"]["piece"][a] not in taken]
-            p = v["arc"]["p"][arcs]
-            u1, u2 = (float(_uniform(seeds[t:t + 1] ^ x, sample, np.array([place]), np.zeros(1, np.uint64))[0]) for x in (_A, _C))
-            pick = arcs[min(len(arcs) - 1, int(np.searchsorted(np.cumsum(p), u1 * p.sum(), "right")))]
-            left = [a for a in arcs if a != pick]
-            if left:  # what remains of the region, below the value that just left it
-                loc = mass + math.log(max(1e-300, float(v["arc"]["p"][left].sum())))
-                queue[t].append((float(_below(loc, g, u2)), way, place, mass, (*taken, int(v["arc"]["piece"][pick]))))
-            texts.append(t)
+            a = int(ptr[node])
+            names = pieces[a:ptr[node + 1]].tolist()
+            arcs = [a + i for i, y in enumerate(names) if y not in taken]
+            p = probs[arcs]
+            pick = arcs[min(len(arcs) - 1, int(np.searchsorted(np.cumsum(p), u1[x] * p.sum(), "right")))]
             heads.append((way, place, pick, mass))
-            values.append(g)
-        if texts:
-            finish(texts, heads, values, sample)
+            left = [y for y in arcs if y != pick]
+            if left:  # what remains of the region, below the value that just left it
+                over.append((x, mass + math.log(max(1e-300, float(probs[left].sum()))), (*taken, names[pick - a])))
+        at = [x for x, _, _ in over]
+        values = np.array([top[0] for top in tops])
+        for (x, _, taken), g in zip(over, _below(np.array([loc for _, loc, _ in over]), values[at], u2[at]).tolist()):
+            queue[texts[x]].append((g, *tops[x][1:4], taken))
+        finish(texts, heads, values.tolist(), sample)
     return done, [max((q[0] for q in queue[t]), default=-math.inf) for t in range(n)]
 
 
@@ -485,30 +502,27 @@ def _run(lat: Lattices, texts: list[str], keys: list[int], k: int, emit: bool) -
         lat.clear()
     # the leading space is the mark that encoding puts there
     place, chunks, size = chunks_of([" " + t.replace(MARK, " ") if t else "" for t in texts], lat.vocab.fine)
-    number = np.fromiter(map(lat.at.__getitem__, chunks), np.int64, len(chunks))
-    codes = np.split(number[place], np.cumsum(size)[:-1])
-    lat.add()
+    codes, cut = lat.numbers(chunks)[place], np.cumsum(size)[:-1]
     v = lat.view()
     seeds = np.array([xxhash.xxh64_intdigest(str(x).encode(), SEED) for x in keys], np.uint64)
-    ways, left = sample_ways(v, [v["first"][c] for c in codes], seeds, k)
+    ways, left = sample_ways(v, np.split(v["first"][codes], cut), seeds, k)
     vocab, out = lat.vocab, []
 
     def ids_of(way: _Way) -> np.ndarray:
-        ids = way.arcs["piece"]
+        ids = way.pieces
         if len(ids) and ids.max() >= vocab.n:  # characters that only have several bytes
             ids = np.array([y for x in ids.tolist() for y in (
                 (x,) if x < vocab.n else (vocab.byte_id[b] for b in chr(x - vocab.n).encode("utf-8", "replace")))])
-        return ids.astype(np.int32)
+        return ids.astype(np.int32, copy=False)
 
     def told(ids: np.ndarray) -> dict:
-        return {"n_ids": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()} | (
+        return {"n_ids": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<i4", copy=False)).hexdigest()} | (
             {"ids": ids} if emit else {})
 
-    flat = np.concatenate(codes)
-    a = v["first_best"][flat]
-    n = v["first_best"][flat + 1] - a
+    a = v["first_best"][codes]
+    n = v["first_best"][codes + 1] - a
     end = np.append(0, np.cumsum(n))
-    found = np.split(v["best"][np.repeat(a - end[:-1], n) + np.arange(end[-1])], end[np.cumsum(size)[:-1]])
+    found = np.split(v["best"][np.repeat(a - end[:-1], n) + np.arange(end[-1])], end[cut])
     drawn = [[ids_of(w) for w in ws] for ws in ways]
     for text, ids, ws, ds, rest in zip(texts, found, ways, drawn, left):
         raw, decoded = text.encode("utf-8", "replace"), [vocab.decode(x) for x in (ids, *ds)]

@@ -172,3 +172,50 @@ def test_chunks_of_a_run_are_those_of_each_text():
         assert size.tolist() == [len(x) for x in want] and len(set(chunks)) == len(chunks)
         assert [chunks[i] for i in place] == [c for x in want for c in x]
     assert [len(x) for x in segmentation.chunks_of([], True)] == [0, 0, 0]
+
+
+def test_draws_of_a_run_are_made_together(monkeypatch):
+    vocab, right, calls = segmentation.vocabulary(PIECES), segmentation._uniform, []
+    monkeypatch.setattr(segmentation, "_uniform", lambda *a: calls.append(1) or right(*a))
+
+    def calls_for(n):
+        calls.clear()
+        segmentation._run(segmentation.Lattices(vocab), ["then it was said"] * n, list(range(n)), 3, False)
+        return len(calls)
+
+    assert calls_for(400) <= calls_for(40) + 20  # not some for every text
+
+
+def test_regions_do_not_depend_on_how_far_they_are_looked_for(monkeypatch):
+    texts = [*odd_texts(60, 21), "then it was said, and is of the " * 40, "is", ""]
+
+    def run():
+        rows = segmentation._run(segmentation.Lattices(segmentation.vocabulary(PIECES)), texts, list(range(len(texts))), 4, True)
+        return [[(x["ids"].tolist(), x["log_prob"], x["perturbed"], x["log_inclusion"]) for x in r["samples"]] for r in rows]
+
+    want = run()
+    for near, poor in ((1, -math.inf), (7, -math.inf), (10**6, -math.inf), (7, math.inf)):  # inf: every region is drawn
+        monkeypatch.setattr(segmentation, "NEAR", near)
+        if poor > 0:
+            monkeypatch.setattr(segmentation, "_HIGHEST", poor)
+        assert run() == want
+
+
+def test_the_trie_knows_common_and_rare_characters():
+    vocab = segmentation.vocabulary(PIECES)
+    char = vocab.edge & 0x1FFFFF
+    kind = vocab.kind(char)
+    assert (kind == 0).any() and (kind > 0).any()
+    assert (vocab.step(vocab.edge >> 21, char, kind) == vocab.to).all()
+    none = np.array([ord("e"), 0x1F600, 0x10FFFF, 0x2FFF])
+    leaf = np.full(4, int(np.setdiff1d(np.arange(len(vocab.ends)), vocab.edge >> 21)[0]))
+    assert (vocab.step(leaf, none, vocab.kind(none)) == -1).all()
+
+
+def test_chunks_get_the_same_numbers_again():
+    lat = segmentation.Lattices(segmentation.vocabulary(PIECES))
+    assert lat.numbers([" a", "b", "\n"]).tolist() == [0, 1, 2]
+    size = lat.arc.n
+    assert lat.numbers(["b", " a"]).tolist() == [1, 0] and lat.arc.n == size
+    assert lat.numbers(["c", "b", " d"]).tolist() == [3, 1, 4] and len(lat.first.view()) == 5
+    assert lat.numbers([]).tolist() == []
